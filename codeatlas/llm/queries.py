@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, exact_dedup, pii
+from codeatlas.llm import bpe, chat, exact_dedup, html_extract, mixing, ngram_join, pii, quality, secrets, toxicity
 from codeatlas.sources.scratch import read_table
 
 
@@ -20,5 +20,38 @@ def op7_pii(spark, sf_dir):
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup, op7_pii)}
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark, sf_dir):
+    return quality.report(read_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_quotes(spark, sf_dir):
+    return chat.report(read_table(spark, sf_dir, "conversations"))
+
+
+def op6_secret_scan(spark, sf_dir):
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark, sf_dir):
+    return html_extract.report(read_table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_byte_bpe, op3_exact_dedup, op4_quality_rules, op5_chat_quotes, op6_secret_scan, op7_pii, op8_html_text, op9_toxicity, op10_mixing,
+    )
+}
 ORACLE = {"op3_exact_dedup": exact_dedup.SQL}
