@@ -95,7 +95,8 @@ def extract_json(text: Column) -> Column:
     body = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
     commas = F.regexp_replace(body, r",\s*([}\]])", "$1")
     comments = F.regexp_replace(commas, r"(?m)(?<!:)//[^\n]*$", "")
-    tried = [F.when(F.try_parse_json(x).isNotNull(), x) for x in (body, commas, comments)]
+    valid = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).isNotNull()  # noqa: E731  in a list, nothing may follow the object
+    tried = [F.when(valid(x), x) for x in (body, commas, comments)]
     return F.when(body != "", F.coalesce(*tried))
 
 

@@ -214,7 +214,7 @@ def call_chain(calls_: DataFrame, starts: DataFrame, depth: int = 3) -> DataFram
     paths = step.select("project_id", F.array("a", "b").alias("keys"), F.col("b").alias("at"))
     levels = [paths]
     for n in range(2, depth + 1):
-        grown = levels[-1].join(edges, (edges["project_id"] == levels[-1]["project_id"]) & (edges["a"] == levels[-1]["at"])).drop(edges["project_id"])
+        grown = levels[-1].withColumnRenamed("at", "a").join(edges, ["project_id", "a"])
         again = F.exists(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: (F.element_at("keys", i) == F.col("a")) & (F.element_at("keys", i + 1) == F.col("b")))
         levels.append(grown.filter(~again).select("project_id", F.concat("keys", F.array("b")).alias("keys"), F.col("b").alias("at")))
     return reduce(DataFrame.unionByName, levels).select("project_id", "keys", (F.size("keys") - 1).alias("length"))

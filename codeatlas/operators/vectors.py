@@ -1,8 +1,7 @@
 """Embedding and exact cosine top-K over chunk vectors.
 
-Many queries run in one pass: queries are broadcast (``MAX_QUERIES`` at most, else by blocks), index vectors
-come as Arrow batches, a matrix product gives the distances of a batch, and each task keeps its k best rows of
-each query, so that only k rows a query and task are shuffled. Rows of scores are never all kept.
+Many queries run in one pass: blocks of queries meet blocks of index rows, a matrix product gives the distances of
+two blocks, and only the k best rows of each query and block are shuffled. Rows of scores are never all kept.
 """
 
 from __future__ import annotations
@@ -12,11 +11,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Batch of the embedding calls, and results of a search.
-BATCH, TOP_K, MAX_QUERIES = 16, 8, 4096
+BATCH, TOP_K = 16, 8
+ROW_BLOCK, QUERY_BLOCK = 2000, 500
 
 
 def embed(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], batch_size: int = BATCH, text: str = "content") -> DataFrame:
@@ -64,50 +67,48 @@ def search(index: DataFrame, query: list[float], top_k: int = TOP_K, equal: dict
     return rows.orderBy("distance", id_column).limit(top_k)
 
 
-def search_many(index: DataFrame, queries: list[tuple], filters: tuple[str, ...] = (), id_column: str = "id") -> DataFrame:
+def search_many(index: DataFrame, queries: DataFrame, filters: tuple[str, ...] = (), id_column: str = "id") -> DataFrame:
     """Ranked rows (query_id, id, distance, rank) for many queries.
 
-    ``queries`` are (query_id, vector, top_k, {filter column: value}); the columns in ``filters`` can be filtered on.
+    ``queries`` has query_id, embedding, top_k and a column for each of ``filters``, null where it does not filter.
+    Queries and index rows are packed into blocks of bounded size; every block of queries meets every block of
+    rows once, and returns its best ``top_k`` rows of each query.
     """
-    blocks = [queries[s : s + MAX_QUERIES] for s in range(0, len(queries), MAX_QUERIES)]
-    id_type = index.schema[id_column].dataType.simpleString()
-
-    def one(block):
-        shared = index.sparkSession.sparkContext.broadcast(block)  # at most MAX_QUERIES vectors
-
-        def run(batches):
-            qs = shared.value
-            q = np.array([x[1] for x in qs], np.float64)
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            best: list[list[tuple]] = [[] for _ in qs]
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.array(pdf["embedding"].tolist(), np.float64)
-                distance = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ q.T
-                ids = pdf["id"].to_numpy()
-                for j, (_, _, k, equal) in enumerate(qs):
-                    keep = np.ones(len(pdf), bool)
-                    for column, value in equal.items():
-                        keep &= (pdf[column] == value).to_numpy()
-                    at = np.flatnonzero(keep)
-                    if len(at) > 4 * k:
-                        cut = np.partition(distance[at, j], k - 1)[k - 1]
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((index, id_column), (queries, "query_id")))
+
+    def packed(df, key, size, kept, name):
+        numbered = df.select(F.struct(F.col(key).alias("id"), "embedding", *kept).alias("x"))
+        blocks = F.ceil(F.lit(df.count() / size)).cast("int")
+        place = F.pmod(F.xxhash64(F.col("x.id")), F.greatest(blocks, F.lit(1)))
+        return numbered.groupBy(place.alias(f"{name}_block")).agg(F.collect_list("x").alias(name))
+
+    rows = packed(index, id_column, ROW_BLOCK, filters, "rows")
+    asked = packed(queries, "query_id", QUERY_BLOCK, ("top_k", *filters), "asked")
+
+    def run(batches):
+        for batch in batches:
+            for have, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                unit = lambda items: np.array([x["embedding"] for x in items], np.float64)
+                v, q = unit(have), unit(want)
+                distance = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T
+                columns = {c: np.array([x[c] for x in have], object) for c in filters}
+                out = []
+                for j, x in enumerate(want):
+                    at = np.arange(len(have))
+                    for c in filters:
+                        at = at if x[c] is None else at[columns[c][at] == x[c]]
+                    if len(at) > 4 * x["top_k"]:
+                        cut = np.partition(distance[at, j], x["top_k"] - 1)[x["top_k"] - 1]
                         at = at[distance[at, j] <= cut]
-                    best[j] = sorted(best[j] + [(distance[i, j], ids[i]) for i in at])[:k]
-            rows = [(qs[j][0], i, float(d)) for j, found in enumerate(best) for d, i in found]
-            yield pd.DataFrame(rows, columns=["query_id", "id", "distance"])
-
-        source = index.select(F.col(id_column).alias("id"), "embedding", *filters)
-        found = source.mapInPandas(run, f"query_id long, id {id_type}, distance double")
-        limits = F.create_map(*[F.lit(x) for q in block for x in (q[0], q[2])]) if len(block) <= 200 else None
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
-        if limits is None:
-            sizes = index.sparkSession.createDataFrame([(q[0], q[2]) for q in block], "query_id long, top_k int")
-            return ranked.join(F.broadcast(sizes), "query_id").filter("rank <= top_k").drop("top_k")
-        return ranked.filter(F.col("rank") <= limits[F.col("query_id")])
-
-    return reduce(DataFrame.unionByName, map(one, blocks))
+                    best = sorted((distance[i, j], have[i]["id"]) for i in at)[: x["top_k"]]
+                    out += [(x["id"], i, float(d), x["top_k"]) for d, i in best]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], type=t) for k, t in enumerate(types)], names=["query_id", "id", "distance", "top_k"])
+
+    schema = T._parse_datatype_string(f"query_id {query_type}, id {id_type}, distance double, top_k int")
+    types = [f.type for f in to_arrow_schema(schema)]
+    found = rows.crossJoin(asked).select("rows", "asked").mapInArrow(run, schema)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+    return ranked.filter("rank <= top_k").drop("top_k")
 
 
 def distinct_contexts(specs: DataFrame, retrieve: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -26,7 +26,12 @@ def query(sql: str | None = None):
 
 
 def _code(spark, sf_dir):
-    return parse.parse_code(corpus.code_files(spark, sf_dir))
+    return corpus.parsed(spark, sf_dir)["code"]
+
+
+def _fresh(spark, sf_dir):
+    """The code files parsed within the query: for the queries on parsing itself."""
+    return parse.parse_code(corpus.files(spark, sf_dir))
 
 
 def _classes(spark, sf_dir):
@@ -48,22 +53,22 @@ def p1_classify_file(spark, sf_dir):
 
 @query(oracle("SELECT path, package FROM classes"))
 def p2_package_name(spark, sf_dir):
-    return corpus.code_files(spark, sf_dir).select("path", parse.package_name(F.col("source")).alias("package"))
+    return parse.classified(corpus.files(spark, sf_dir)).filter("kind = 'code'").select("path", parse.package_name(F.col("source")).alias("package"))
 
 
 @query(oracle("SELECT path, 0 AS pos, imported FROM classes UNION ALL SELECT path, 1, 'java.util.*' FROM classes"))
 def p3_imports(spark, sf_dir):
-    return parse.explode_imports(_code(spark, sf_dir)).select("path", "pos", "imported")
+    return parse.explode_imports(_fresh(spark, sf_dir)).select("path", "pos", "imported")
 
 
 @query(oracle("SELECT path, name, superclass, CASE WHEN iface_a <> '' THEN concat(iface_a, ',', iface_b) ELSE '' END AS interfaces FROM classes"))
 def p4_classes(spark, sf_dir):
-    return _classes(spark, sf_dir).select("path", "name", "superclass", F.array_join("interfaces", ",").alias("interfaces"))
+    return parse.explode_classes(_fresh(spark, sf_dir)).select("path", "name", "superclass", F.array_join("interfaces", ",").alias("interfaces"))
 
 
 @query(oracle("SELECT path, annotations FROM classes"))
 def p5_class_annotations(spark, sf_dir):
-    return _classes(spark, sf_dir).select("path", F.array_join("annotations", ",").alias("annotations"))
+    return parse.explode_classes(_fresh(spark, sf_dir)).select("path", F.array_join("annotations", ",").alias("annotations"))
 
 
 _METHODS = """SELECT path, i AS pos, CASE WHEN i = 0 THEN 'onCreate' ELSE concat('run', CAST((k + 7 * (i - 1)) % 50 AS VARCHAR)) END AS name,
@@ -72,17 +77,17 @@ _METHODS = """SELECT path, i AS pos, CASE WHEN i = 0 THEN 'onCreate' ELSE concat
 
 @query(oracle(_METHODS.replace(", {more}", "")))
 def p6_methods(spark, sf_dir):
-    return parse.explode_methods(_code(spark, sf_dir)).select("path", F.col("pos").cast("long"), "name", "return_type", "params")
+    return parse.explode_methods(_fresh(spark, sf_dir)).select("path", F.col("pos").cast("long"), "name", "return_type", "params")
 
 
 @query(oracle("SELECT path, i AS pos, CASE WHEN i = 1 THEN superclass ELSE 'String' END AS type, concat('f', CAST(i AS VARCHAR)) AS name FROM classes, range(0, 4) r(i) WHERE i < n_fields"))
 def p7_fields(spark, sf_dir):
-    return parse.explode_fields(_code(spark, sf_dir)).select("path", F.col("pos").cast("long"), "type", "name")
+    return parse.explode_fields(_fresh(spark, sf_dir)).select("path", F.col("pos").cast("long"), "type", "name")
 
 
 @query(oracle("SELECT qualified_name, component_type, layer FROM classes"))
 def p8_p9_component_type_and_layer(spark, sf_dir):
-    rows = _classes(spark, sf_dir)
+    rows = parse.explode_classes(_fresh(spark, sf_dir))
     return rows.select(graph.qualified(F.col("package"), F.col("name")).alias("qualified_name"), "component_type", "layer")
 
 
@@ -109,7 +114,7 @@ def p12_build_file(spark, sf_dir):
 @query(oracle("SELECT project_id, count(*) AS files, CAST(sum(n_fields) AS BIGINT) AS fields, CAST(sum(n_runs + 1) AS BIGINT) AS methods, CAST(count(*) * 2 AS BIGINT) AS imports FROM classes GROUP BY project_id"))
 def p13_p14_parse_and_explode(spark, sf_dir):
     total = lambda c: F.sum(F.size(c)).cast("long").alias(c)
-    return _code(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("files"), total("fields"), total("methods"), total("imports"))
+    return _fresh(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("files"), total("fields"), total("methods"), total("imports"))
 
 
 _CLASS_TEXT = """concat('Package: ', package, chr(10), '[', component_type, '] class ', name, ' extends ', superclass,
@@ -290,7 +295,7 @@ def g17_class_dependents(spark, sf_dir):
 
 @query(oracle(f"SELECT 'node' AS kind, label AS name, count(*) AS n FROM ({_ALL_NODES}) GROUP BY label UNION ALL SELECT 'edge', rel, count(*) FROM ({_ALL_EDGES}) GROUP BY rel"))
 def g19_graph_summary(spark, sf_dir):
-    nodes, edges = graph.build_graph(corpus.parsed(spark, sf_dir))
+    nodes, edges = corpus.stored_graph(spark, sf_dir)
     return graph.graph_summary(nodes, edges).select("kind", "name", F.col("count").alias("n"))
 
 
@@ -342,13 +347,13 @@ def a7_screen_list(spark, sf_dir):
 
 @query(oracle("SELECT path, rule_id, count(*) AS n FROM (SELECT path, 'plain_http' AS rule_id FROM classes WHERE k % 11 = 0 UNION ALL SELECT path, unnest(['empty_catch', 'generic_catch']) FROM classes WHERE k % 13 = 0) GROUP BY ALL"))
 def f7_rule_scan_code(spark, sf_dir):
-    return audit.rule_scan(corpus.code_files(spark, sf_dir)).groupBy("path", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return audit.rule_scan(corpus.files(spark, sf_dir)).groupBy("path", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(oracle("SELECT DISTINCT project_id, 'android.permission.NEVER_USED' AS permission FROM classes"))
 def f8_unused_permissions(spark, sf_dir):
     p = corpus.parsed(spark, sf_dir)
-    return audit.unused_permissions(p["manifest"], corpus.code_files(spark, sf_dir))
+    return audit.unused_permissions(p["manifest"], p["code"])
 
 
 @query(oracle("SELECT project_id, concat('KNOWN SCREENS DETECTED FROM STATIC PARSING:', chr(10), string_agg(name, ', ' ORDER BY name), chr(10), chr(10)) AS hint FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY name) AS r FROM (SELECT DISTINCT project_id, name FROM classes WHERE component_type IN ('Activity', 'Fragment'))) WHERE r <= 40 GROUP BY project_id"))

@@ -121,12 +121,26 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(reduce(DataFrame.unionByName, made))
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that is written once in a session and read by all queries that need it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = durable(make(), name)
+    return _STORED[key]
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_files(spark, sf_dir).unionByName(config_files(spark, sf_dir))
+    """All files of the corpus, stored as a listing with texts."""
+    return stored(spark, sf_dir, "files", lambda: code_files(spark, sf_dir).unionByName(config_files(spark, sf_dir)))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return parse.parse_files(files(spark, sf_dir))
+    """The parsed tables, stored: files are parsed once, whatever is built from them."""
+    tables = parse.parse_files(files(spark, sf_dir))
+    return {k: stored(spark, sf_dir, f"parsed-{k}", lambda df=df: df) for k, df in tables.items()}
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +148,6 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, written once: the graph's queries read them more than once."""
+    """Nodes and edges, stored: the graph's queries read them more than once."""
     nodes, edges = graph.build_graph(parsed(spark, sf_dir))
-    return durable(nodes, "nodes"), durable(edges, "edges")
+    return stored(spark, sf_dir, "nodes", lambda: nodes), stored(spark, sf_dir, "edges", lambda: edges)

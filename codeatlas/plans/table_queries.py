@@ -9,7 +9,7 @@ from codeatlas.functions import text as tx
 from codeatlas.operators import audit, context, diagrams, graph, history, incremental, vectors
 from codeatlas.plans import corpus
 from codeatlas.sources import store
-from codeatlas.sources.scratch import read_table
+from codeatlas.sources.scratch import durable, read_table
 
 QUERIES, ORACLE = {}, {}
 
@@ -107,9 +107,10 @@ def v4_where_document(spark, sf_dir):
  {_COS.format(a='e.embedding', b='q.embedding')} AS distance FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND (q.vec_id % 200 = 0 OR e.label = q.label)) WHERE rank <= CASE WHEN query_id % 200 = 0 THEN 12 ELSE 10 END""")
 def v5_search_many(spark, sf_dir):
     index = read_table(spark, sf_dir, "embeddings")
-    wanted = index.filter("vec_id % 100 = 0").select("vec_id", "embedding", "label").limit(vectors.MAX_QUERIES).collect()  # queries, a stated bound
-    queries = [(r["vec_id"], r["embedding"], 12 if r["vec_id"] % 200 == 0 else 10, {} if r["vec_id"] % 200 == 0 else {"label": r["label"]}) for r in wanted]
-    return vectors.search_many(index, queries, filters=("label",), id_column="vec_id").select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+    wide = F.col("vec_id") % 200 == 0
+    queries = index.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.when(wide, 12).otherwise(10).alias("top_k"), F.when(~wide, F.col("label")).alias("label"))
+    found = vectors.search_many(index, queries, filters=("label",), id_column="vec_id")
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
 _SPEC_ROWS = ", ".join(f"('{c[0]}', {c[3]}, {'NULL' if c[4] is None else repr(c[4])})" for c in specs.CATEGORIES)
@@ -124,13 +125,12 @@ def v6_distinct_contexts(spark, sf_dir):
 
 # Questions, contexts, prompts
 
-_Q = "SELECT item_id AS query_id, concat('Show ''', split_part(text, ' ', 1), ''' and \"', split_part(text, ' ', 2), '\" of the ', CASE WHEN item_id % 2 = 0 THEN 'call chain' ELSE 'page' END, ' MainActivity Repo') AS question, CASE item_id % 3 WHEN 0 THEN 'class_diagram' WHEN 1 THEN 'state_diagram' ELSE 'general' END AS analysis_type FROM {benchmark}"
+_Q = "SELECT item_id AS query_id, concat('Show ', chr(39), split_part(replace(text, chr(10), ' '), ' ', 1), chr(39), ' and ', chr(34), split_part(replace(text, chr(10), ' '), ' ', 2), chr(34), ' of the ', CASE WHEN item_id % 2 = 0 THEN 'call chain' ELSE 'page' END, ' MainActivity Repo') AS question, CASE item_id % 3 WHEN 0 THEN 'class_diagram' WHEN 1 THEN 'state_diagram' ELSE 'general' END AS analysis_type FROM {benchmark}"
 _QS = f"({_Q.replace('{benchmark}', 'benchmark')})"
 
 
 def _questions(spark, sf_dir):
-    sql = _Q.replace("''' and", "\\' and").replace("'Show '''", "'Show \\''")
-    return corpus.run_sql(spark, sql, benchmark=read_table(spark, sf_dir, "benchmark"))
+    return corpus.run_sql(spark, _Q, benchmark=read_table(spark, sf_dir, "benchmark"))
 
 
 @query(f"SELECT query_id, array_to_string(list_concat(regexp_extract_all(question, '''([^'']+)''', 1), regexp_extract_all(question, '\"([^\"]+)\"', 1)), ' ') AS terms FROM {_QS}")
@@ -213,7 +213,7 @@ _GQ = "(SELECT k AS query_id, project_id, name FROM classes WHERE k % 50 = 3)"
 @query(corpus.oracle(f"""SELECT query_id, array_to_string(list_filter([CASE WHEN outs IS NOT NULL THEN concat('**', name, ' depends on:**', chr(10), outs) END, CASE WHEN ins IS NOT NULL THEN concat('**Classes that depend on ', name, ':**', chr(10), ins) END], lambda x: x IS NOT NULL), concat(chr(10), chr(10))) AS graph FROM (
  SELECT q.query_id, q.name, concat('  - (INHERITS_FROM) → ', c.superclass) AS outs, CASE WHEN d.name IS NOT NULL THEN concat('  - ', d.name, ' (INHERITS_FROM)') END AS ins FROM {_GQ} q JOIN classes c ON c.k = q.query_id LEFT JOIN classes d ON d.superclass = q.name AND d.project_id = q.project_id)"""))
 def q9_graph_context(spark, sf_dir):
-    code = graph.parse.parse_code(corpus.code_files(spark, sf_dir))
+    code = corpus.parsed(spark, sf_dir)["code"]
     edges, stubs = graph.inheritance(code)
     nodes = graph.class_nodes(code).select("project_id", F.col("qualified_name").alias("key"), "name").unionByName(stubs.select("project_id", F.col("name").alias("key"), "name"))
     nodes = nodes.withColumn("label", F.lit("Class"))
@@ -378,7 +378,7 @@ def r5_assemble_report(spark, sf_dir):
 
 # Diagram records: a class diagram for each nation, with its suppliers as classes
 
-_DIAGRAM_DOCS = """SELECT n_nationkey AS diagram_id, 'class_diagram' AS diagram_type, concat('{"classes": [', cls, '], "relationships": [{"source": "', low, '", "target": "', upper(high), '", "label": "includes"}, {"source": "', low, '", "target": "Outside', CAST(n_nationkey AS STRING), '", "arrow_type": "<|--"}], "notes": [{"target": "nobody", "position": "ABOVE"}]}') AS json, low, high, n
+_DIAGRAM_DOCS = """SELECT n_nationkey AS diagram_id, 'class_diagram' AS diagram_type, concat('{"classes": [', cls, '], "relationships": [{"source": "', low, '", "target": "', upper(high), '", "label": "includes"}, {"source": "', low, '", "target": "Outside', CAST(n_nationkey AS STRING), '", "arrow_type": "--|>"}], "notes": [{"target": "nobody", "position": "ABOVE"}]}') AS json, low, high, n
 FROM {nation} JOIN (SELECT s_nationkey, {agg} AS cls, min(s_name) AS low, max(s_name) AS high, count(*) AS n FROM {supplier} GROUP BY s_nationkey) s ON s_nationkey = n_nationkey"""
 
 
@@ -393,35 +393,34 @@ def d1_d2_parse_and_dedupe(spark, sf_dir):
     return diagrams.dedupe_entities(diagrams.parse_entities(_diagrams(spark, sf_dir))).select("diagram_id", "name", "kind")
 
 
+def _resolved(spark, sf_dir):
+    """The documents, their entities, and their relationships with canonical ends, stored."""
+    docs = durable(_diagrams(spark, sf_dir), "diagrams")
+    entities, links = durable(diagrams.dedupe_entities(diagrams.parse_entities(docs)), "entities"), diagrams.parse_relationships(docs)
+    for end in ("source", "target"):
+        links = diagrams.resolve_references(links, entities, end)
+    return docs, entities, durable(links, "relationships")
+
+
 _ENDS = "(SELECT s_nationkey AS diagram_id, min(s_name) AS low, max(s_name) AS high FROM supplier GROUP BY s_nationkey)"
 
 
 @query(f"SELECT diagram_id, 0 AS pos, low AS source, high AS target, 'include' AS kind FROM {_ENDS} UNION ALL SELECT diagram_id, 1, low, concat('Outside', CAST(diagram_id AS VARCHAR)), 'generalization' FROM {_ENDS}")
 def d3_d5_resolve_and_relation_kind(spark, sf_dir):
-    docs = _diagrams(spark, sf_dir)
-    entities = diagrams.dedupe_entities(diagrams.parse_entities(docs))
-    links = diagrams.parse_relationships(docs)
-    for end in ("source", "target"):
-        links = diagrams.resolve_references(links, entities, end)
+    _, _, links = _resolved(spark, sf_dir)
     return links.select("diagram_id", "pos", "source", "target", diagrams.relation_kind(F.col("label"), F.col("arrow_type")).alias("kind"))
 
 
 @query(f"SELECT diagram_id, concat('Outside', CAST(diagram_id AS VARCHAR)) AS name, 'external' AS kind FROM {_ENDS}")
 def d4_promote_external(spark, sf_dir):
-    docs = _diagrams(spark, sf_dir)
-    entities, links = diagrams.dedupe_entities(diagrams.parse_entities(docs)), diagrams.parse_relationships(docs)
-    for end in ("source", "target"):
-        links = diagrams.resolve_references(links, entities, end)
+    docs, entities, links = _resolved(spark, sf_dir)
     return diagrams.promote_external(entities, links).filter("kind <> 'class'").select("diagram_id", "name", "kind")
 
 
 @query(f"""SELECT diagram_id, 'too many' AS "check", 'class' AS subject FROM (SELECT s_nationkey AS diagram_id, count(*) AS n FROM supplier GROUP BY ALL) WHERE n > 15 UNION ALL SELECT diagram_id, 'undeclared endpoint', concat('Outside', CAST(diagram_id AS VARCHAR)) FROM {_ENDS}
  UNION ALL SELECT diagram_id, 'undeclared note target', 'nobody' FROM {_ENDS}""")
 def d7_integrity_errors(spark, sf_dir):
-    docs = _diagrams(spark, sf_dir)
-    entities, links = diagrams.dedupe_entities(diagrams.parse_entities(docs)), diagrams.parse_relationships(docs)
-    for end in ("source", "target"):
-        links = diagrams.resolve_references(links, entities, end)
+    docs, entities, links = _resolved(spark, sf_dir)
     return diagrams.integrity_errors(docs, entities, links, diagrams.parse_notes(docs))
 
 
