@@ -121,8 +121,8 @@ def fit(rows: list, prior: float, rounds: int = 300, rate: float = 0.05, decay:
     return {int(s): float(x) for s, x in zip(slots, w) if abs(x) > 1e-3}, float(bias)
 
 
-def score(docs: DataFrame, model: tuple[dict[int, float], float], keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``score`` double in 0..1."""
+def score(docs: DataFrame, model: tuple[dict[int, float], float], keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns and ``name``, a double in 0..1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], keep: list[str
 
         return lambda texts: ([one(t) for t in texts],)
 
-    return map_slices(docs, keep, ["text"], "score double", make)
+    return map_slices(docs, keep, ["text"], f"{name} double", make)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000) -> tuple[dict[int, float], float]:
@@ -151,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents whose score stays under ``threshold``, with their own columns."""
     own = docs.columns
-    scored = score(docs, train(docs, labels), own)
-    return scored.filter(F.col("score") < threshold).select(*own)
+    scored = score(docs, train(docs, labels), own, "_toxicity")
+    return scored.filter(F.col("_toxicity") < threshold).select(*own)
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
