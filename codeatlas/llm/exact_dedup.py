@@ -54,9 +54,8 @@ def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document, dropped ones too."""
-    return with_groups(docs.select("doc_id", "text")).select(
-        "doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
-    )
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")  # before the join, which then moves no text
+    return with_groups(docs.select("doc_id", "text", digest)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = """
