@@ -139,3 +139,27 @@ def keep_selected(docs: DataFrame) -> DataFrame:
     chosen = select(docs, source_domain(F.col("source")), {}, lambda total: F.floor(total * 0.9).cast("double"), seed=7)
     ids = chosen.filter("copies > 0").select(F.col("doc_id").alias("_id"))
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
+def _oracle(epochs: int = 2, seed: int = 7) -> str:
+    """The report in SQL."""
+
+    def divide(nodes: str, by: str, out: str) -> str:
+        part = f"PARTITION BY {by} " if by else ""
+        before = f"({part}ORDER BY cap / w, {LEVELS[len(by.split(',')) if by else 0]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        return f"""SELECT *, least(CAST(cap AS DOUBLE), w * max(level) OVER ({part})) AS {out} FROM (SELECT *, greatest(0.0, (budget - coalesce(sum(cap) OVER {before}, 0)) / (sum(w) OVER ({part}) - coalesce(sum(w) OVER {before}, 0))) AS level FROM ({nodes}))"""
+
+    weight = lambda level: "CASE " + level + "".join(f" WHEN '{k}' THEN {v!r}" for k, v in WEIGHTS.get(level, {}).items()) + " ELSE 1.0 END" if WEIGHTS.get(level) else "1.0"
+    cast = lambda level: f"CAST({weight(level)} AS DOUBLE) AS w"
+    top = divide(f"SELECT domain, CAST({epochs} * sum(leaf_tokens) AS BIGINT) AS cap, {cast('domain')}, floor((SELECT sum(leaf_tokens) FROM leaves) * {BUDGET_SHARE}) AS budget FROM leaves GROUP BY domain", "", "b0")
+    second = divide(f"SELECT domain, language, CAST({epochs} * sum(leaf_tokens) AS BIGINT) AS cap, {cast('language')}, any_value(b0) AS budget FROM leaves JOIN top USING (domain) GROUP BY domain, language", "domain", "b1")
+    third = divide(f"SELECT domain, language, leaf_source, leaf_tokens, CAST({epochs} * leaf_tokens AS BIGINT) AS cap, {cast('leaf_source')}, b1 AS budget FROM leaves JOIN second USING (domain, language)", "domain, language", "b2")
+    return f"""WITH counted AS (SELECT doc_id, coalesce('d' || CAST(TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '^src([0-9]{{1,9}})$', 1), '') AS INT) % 4 AS VARCHAR), 'other') AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS leaf_source,
+ CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, language, leaf_source, CAST(sum(n_tokens) AS BIGINT) AS leaf_tokens FROM counted GROUP BY ALL), top AS ({top}), second AS ({second}), third AS ({third}),
+budgets AS (SELECT *, CASE WHEN leaf_tokens > 0 THEN CAST(floor(b2 + 1e-6) AS BIGINT) // leaf_tokens ELSE 0 END AS epochs FROM third), ready AS (SELECT *, CAST(floor(b2 + 1e-6) AS BIGINT) - epochs * leaf_tokens AS rest FROM budgets)
+SELECT doc_id, domain, language, leaf_source, n_tokens, epochs + CASE WHEN epochs < {epochs} AND sum(n_tokens) OVER (PARTITION BY domain, language, leaf_source ORDER BY md5(concat('{seed}:', CAST(epochs AS VARCHAR), ':', coalesce(CAST(doc_id AS VARCHAR), '')))) <= rest THEN 1 ELSE 0 END AS copies
+FROM counted JOIN ready USING (domain, language, leaf_source)"""
+
+
+SQL = _oracle()

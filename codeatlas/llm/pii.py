@@ -24,7 +24,7 @@ PATTERNS = {
     "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 KINDS = list(PATTERNS)
@@ -128,3 +128,32 @@ def report(docs: DataFrame) -> DataFrame:
     counts = [F.greatest(F.lit(0), count(k)).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.filter("spans", lambda x: x["kind_no"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The report in SQL: the same patterns in plain form, and the checksums as folds over digits."""
+    plain = {k: p.replace("++", "+").replace("*+", "*") for k, p in PATTERNS.items()}
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"(SELECT sum(CASE WHEN i % 2 = 0 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END) % 10 = 0 FROM (SELECT unnest(range(0, length({digits}))) AS i, CAST(unnest(string_split(reverse({digits}), '')) AS INT) AS d))"
+    turned = "concat(substr(replace(v, ' ', ''), 5), substr(replace(v, ' ', ''), 1, 4))"
+    number = f"array_to_string(list_transform(string_split({turned}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), '')"
+    mod = f"list_reduce(list_transform(string_split({number}, ''), lambda c: CAST(c AS INT)), lambda a, d: (a * 10 + d) % 97) = 1"
+    valid = {
+        "email": "TRUE", "ip": "len(list_filter(string_split(v, '.'), lambda x: TRY_CAST(x AS HUGEINT) IS NULL OR CAST(x AS HUGEINT) > 255)) = 0",
+        "card": f"CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {luhn} ELSE FALSE END", "phone": f"length({digits}) BETWEEN 10 AND 15",
+        "iban": f"CASE WHEN length(replace(v, ' ', '')) BETWEEN 15 AND 34 THEN {mod} ELSE FALSE END",
+        "ssn": f"regexp_matches(lower(substr(t, greatest(1, s + 1 - {WINDOW}), least({WINDOW}, s))), '\\b(?:{CONTEXT['ssn']})')",
+    }
+    total = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS n, '{k}' AS kind, s, s + length(v) AS e FROM (SELECT doc_id, t, m[i] AS v, CAST({total('g[1:i]')} + {total('m[1:i-1]')} AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM docs))) WHERE {valid[k]}"
+        for n, (k, p) in enumerate(plain.items())
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    named = "string_agg(concat(kind, ':', CAST(s AS VARCHAR), ':', CAST(e AS VARCHAR)), ',' ORDER BY s, n)"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({found})
+SELECT d.doc_id, {counts}, sha256(coalesce({named} FILTER (n < {len(BASE)}), '')) AS base_sha256, coalesce({named} FILTER (n IS NOT NULL), '') AS spans
+FROM docs d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+
+
+SQL = _oracle()
