@@ -2,7 +2,7 @@
 
 The tokenizer is built on the driver from a rank file (token bytes in base64, rank): merges are
 recovered from the ranks, bytes are written as the printable characters of the byte table, and
-every match of the split pattern is merged separately. Its serialised form, bounded by the
+every match of the split pattern is merged separately, once while it is remembered. Its serialised form, bounded by the
 vocabulary, travels to the tasks in a broadcast variable. Rows are independent: no shuffle.
 
 ``encode`` gives ids as little-endian unsigned 32-bit integers and, if asked, each token's span
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,6 +27,11 @@ from pyspark.sql import functions as F
 
 from codeatlas.llm.arrow import map_slices
 
+#: Characters whose classes no Unicode version changes: texts of these are split by the regex module, which is faster; others by the tokenizer.
+SETTLED = re.compile(r"[\x00-\u0557\u2000-\u206f\u3000-\u33ff\u4e00-\u9fa5]*")
+#: Pieces that a task remembers at most, besides those of its current slice.
+MEMO = 300_000
+
 
 def byte_table() -> list[str]:
     """A printable character for each byte: itself where printable, else the next one from U+0100."""
@@ -62,21 +68,53 @@ def build_tokenizer(path: str, pattern: str) -> str:
     return made.to_str()
 
 
+class Pieces(dict):
+    """Ids (and offsets) of the pieces of texts, remembered up to a bound."""
+
+    def __init__(self, tokenizer, offsets: bool):
+        self.run = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
+        self.offsets = offsets
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self) > MEMO:
+            self.clear()
+        new = [p for p in pieces if p not in self]
+        for piece, x in zip(new, self.run(new, add_special_tokens=False)):
+            ids = np.array(x.ids, "<u4").tobytes()
+            self[piece] = (ids, np.array(x.offsets, "<u4").reshape(-1, 2)) if self.offsets else ids
+
+
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], offsets: bool = False) -> DataFrame:
-    """``keep`` columns, ``ids`` binary, and with ``offsets`` also ``spans`` binary (start, end in code points)."""
+    """``keep`` columns, ``ids`` binary, and with ``offsets`` also ``spans`` binary (start, end in code points).
+
+    The pieces that the pattern finds in an Arrow slice go to the tokenizer once each, as one batch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(build_tokenizer(path, pattern))
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        single, find, cut = Tokenizer.from_str(shared.value), regex.compile(pattern), Tokenizer.from_str(shared.value).pre_tokenizer
+        single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        known = Pieces(single, offsets)
+
+        def split(text):
+            if SETTLED.fullmatch(text):
+                return find.findall(text)
+            return [text[a:b] for _, (a, b) in cut.pre_tokenize_str(text)]
 
-        tokenizer = Tokenizer.from_str(shared.value)
-        run = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
+        def spans(pieces):
+            starts = np.cumsum([0, *map(len, pieces[:-1])])
+            return b"".join((known[p][1] + s).astype("<u4").tobytes() for p, s in zip(pieces, starts))
 
         def call(texts):
-            found = run([t or "" for t in texts], add_special_tokens=False)
-            ids = [np.array(x.ids, "<u4").tobytes() for x in found]
-            return (ids, [np.array(x.offsets, "<u4").tobytes() for x in found]) if offsets else (ids,)
+            found = [split(t or "") for t in texts]
+            known.learn(set().union(*found))
+            if offsets:
+                return [b"".join(known[p][0] for p in pieces) for pieces in found], list(map(spans, found))
+            return ([b"".join(map(known.__getitem__, pieces)) for pieces in found],)
 
         return call
 
