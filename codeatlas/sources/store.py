@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def write_index(chunks: DataFrame, path: str, mode: str = "replace") -> None:
@@ -43,7 +42,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
-HISTORY = T._parse_datatype_string(
+HISTORY = (
     "projects map<string, struct<last_accessed: string, stats: struct<total_files: bigint, total_chunks: bigint, parsed: bigint, chunks: bigint>>>, chats map<string, array<struct<role: string, content: string>>>"
 )
 
