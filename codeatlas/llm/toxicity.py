@@ -83,12 +83,18 @@ def fit(rows: list, prior: float, rounds: int = 300, rate: float = 0.05, decay:
     if not positive or not 0 < prior < 1 or len(positive) == len(bags):
         return {}, -20.0
     unlabelled = [b for y, b in bags if y == 0]
-    seen = lambda bag: np.bincount(np.concatenate([np.unique(b) for b in bag] or [np.zeros(0, int)]), minlength=SLOTS)
+
+    def seen(bag):
+        counts = np.zeros(SLOTS, np.int32)
+        for b in bag:
+            counts[np.unique(b)] += 1
+        return counts
+
     in_p, in_u = seen(positive), seen(unlabelled)
     lift = (in_p / len(positive)) / ((in_u + 1) / (len(unlabelled) + 1))
     slots = np.flatnonzero((in_p >= MIN_DOCS) & (lift > 1.5))
     slots = slots[np.argsort(-lift[slots], kind="stable")][:MAX_SLOTS]
-    place = np.full(SLOTS, -1)
+    place = np.full(SLOTS, -1, np.int32)
     place[slots] = np.arange(len(slots))
 
     def matrix(bag):
@@ -144,7 +150,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], keep: list[str
     return map_slices(docs, keep, ["text"], f"{name} double", make)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000) -> tuple[dict[int, float], float]:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 6000) -> tuple[dict[int, float], float]:
     return fit(*sample(docs, labels, max_positive, max_unlabelled))
 
 
