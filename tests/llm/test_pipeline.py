@@ -13,3 +13,23 @@ def test_run_equals_its_stages(spark):
     assert seen == sorted(seen, reverse=True) and seen[2] < seen[1] < seen[0] and seen[-1] > 0.7 * seen[0]
     want = {(r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()}
     assert {(r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SMALL).collect()} == want
+
+
+def test_run_equals_a_plain_version(spark):
+    """Scores come from the operator (held-out accuracy is tested apart); all other stages are done by hand."""
+    from codeatlas.llm import mixing, toxicity
+    from tests.llm import test_bpe, test_mixing, test_ngram_join
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    fine = {r.doc_id for r in toxicity.report(docs, labels).filter("predicted = 0").collect()}
+    rows = [r for r in docs.collect() if r.doc_id in fine]
+    last = {r.text or "": r.doc_id for r in sorted(rows, key=lambda r: r.doc_id)}
+    rows = [r for r in rows if last[r.text or ""] == r.doc_id]
+    first = {i for i, c, _, _ in test_ngram_join.brute([(r.doc_id, r.text) for r in rows]) if i == c}
+    rows = [r for r in rows if r.doc_id in first]
+    words = {r.doc_id: len(test_ngram_join.nj.WORDS.findall(r.text or "")) for r in rows}
+    leaves = [(r.doc_id, f"d{int(r.source[3:]) % 4}", r.lang, r.source, words[r.doc_id]) for r in rows]
+    copies = test_mixing.plain(leaves, {}, int(sum(words.values()) * 0.9), 1, 7)
+    enc = test_bpe.plain()
+    want = {(r.doc_id, len(enc.encode_ordinary(r.text or ""))) for r in rows if copies[r.doc_id]}
+    assert mixing.BUDGET_SHARE == 0.5 and {(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SMALL).collect()} == want
