@@ -134,7 +134,9 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files of the corpus, stored as a listing with texts."""
-    return stored(spark, sf_dir, "files", lambda: code_files(spark, sf_dir).unionByName(config_files(spark, sf_dir)))
+    made = lambda: code_files(spark, sf_dir).unionByName(config_files(spark, sf_dir))
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return stored(spark, sf_dir, "files", lambda: made().repartition(spread, "path"))  # by file, so that no project is one task
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
