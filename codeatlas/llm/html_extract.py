@@ -5,15 +5,17 @@
 2. For each host and token an occurrence vector over the host's pages is fingerprinted: the XOR of hashes of (page,
    count), an aggregate with map-side combining, so that a hot host never meets in one task.
    Tokens of a host with the same fingerprint form an equivalence class.
-3. A class is valid if it has two tokens or more, occurs in at least half of the host's pages (of three or more), and
-   is nested: the tags around its tokens lie in the class itself or in one other class. The valid classes are the host's
-   template; at most twice the tokens of an average page are in it.
+3. A class is valid if it has two tokens or more and occurs in at least half of the host's pages (of three or more). Tokens
+   hold their path, so those of a class that lie in tags of another class are parts of it, each nested in that class; a
+   menu's items and a line in a paragraph do not make each other invalid. The valid classes are the host's template; at
+   most twice the tokens of an average page are in it.
 4. Each page is read against its host's template: template texts are dropped, what remains are slots. The slots of the
    main container (``article``, else ``main``, else the body; a template container is preferred) are the text, without the slots of
    menus, headers, footers, sidebars, notices, adverts, forms and comments, which tags, roles and class names show.
 
-Inside ``article`` or ``main`` every slot and every text counts, whatever its vector: text that happens to be on all pages of a small
-host is not lost. Templates go to the pages by broadcast while they hold at most ``BROADCAST_TOKENS`` tokens
+Inside ``article`` or ``main`` the template needs a stronger support, ``INSIDE_PAGES`` pages and ``INSIDE_SUPPORT`` of the host's, so that text
+which happens to be on all pages of a small host is not lost, and drops whole blocks only, so that no sentence loses a word
+between tags. A page of which nothing would remain (all pages of its host are copies) keeps its texts. Templates go to the pages by broadcast while they hold at most ``BROADCAST_TOKENS`` tokens
 in all (measured on the written table), else by a join on the host.
 
 Defined results: null or empty html gives an empty text; a page without a host in its url is read without a template; pages
@@ -34,6 +36,7 @@ from codeatlas.llm.arrow import map_slices
 from codeatlas.sources.scratch import durable
 
 MIN_PAGES, SUPPORT, MIN_TOKENS, BROADCAST_TOKENS = 3, 0.5, 2, 500_000
+INSIDE_PAGES, INSIDE_SUPPORT = 10, 0.9
 
 # Kinds of elements and the words in class, id and role that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -130,45 +133,55 @@ def text_token(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}:{text}") - (1 << 63)
 
 
-def page_tokens(page: str) -> list[tuple[int, int, int]]:
-    """(token, token of the tag around it, times it occurs)."""
+def page_tokens(page: str) -> list[tuple[int, int]]:
+    """(token, times it occurs)."""
     found: Counter = Counter()
     for kind, name, path, parent, _, _ in walk(page):
         if kind == "open":
-            found[path, parent] += 1
+            found[path] += 1
         elif kind == "text" and (text := " ".join(name.split())):
-            found[text_token(parent, text), parent] += 1
-    return [(t, p, n) for (t, p), n in found.items()]
+            found[text_token(parent, text)] += 1
+    return list(found.items())
 
 
-def main_text(page: str, template: set[int]) -> str:
-    """The slots of the main container, a line for each block."""
-    blocks: dict[int, list[str]] = {0: []}
-    open_parts: dict[int, list[str]] = {0: []}
+def main_text(page: str, template: set[int], inside: set[int] = frozenset()) -> str:
+    """The slots of the main container, a line for each block; ``inside`` are the template tokens that count in it."""
+    blocks: list[tuple[int, str, bool]] = []  # container, text, whether all of it is template
     rank: dict[int, tuple] = {}
+    parts: list[str] = []
+    at, fixed = 0, True
 
     def end_block():
-        for c, parts in open_parts.items():
-            if text := " ".join("".join(parts).split()):
-                blocks[c].append(text)
-            parts.clear()
+        nonlocal fixed
+        if text := " ".join("".join(parts).split()):
+            blocks.append((at, text, fixed))
+        parts.clear()
+        fixed = True
 
     for kind, name, path, parent, low, container in walk(page):
-        if container not in blocks:
-            blocks[container], open_parts[container] = [], []
+        if container and container not in rank:
             rank[container] = (name == "article", path in template)
         if kind == "text":
             text = " ".join(name.split())
             if low or not container and text and text_token(parent, text) in template:
                 continue
-            open_parts[container].append(name)
+            if container != at:
+                end_block()
+                at = container
+            parts.append(name)
+            if text and fixed:
+                fixed = bool(container and inside) and text_token(parent, text) in inside
         elif name in BLOCKS:
             end_block()
         elif name == "br":
-            open_parts[container].append(" ")
+            parts.append(" ")
     end_block()
-    best = max((c for c in rank if blocks[c]), key=lambda c: (*rank[c], sum(map(len, blocks[c])), -c), default=0)
-    return "\n".join(blocks[best])
+    mass = Counter()
+    for c, text, _ in blocks:
+        mass[c] += len(text)
+    best = max((c for c in rank if mass[c]), key=lambda c: (*rank[c], mass[c], -c), default=0)
+    found = [(text, fixed) for c, text, fixed in blocks if c == best]
+    return "\n".join([text for text, fixed in found if not fixed] or [text for text, _ in found])
 
 
 def host_of(url: str | None) -> str | None:
@@ -177,57 +190,56 @@ def host_of(url: str | None) -> str | None:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens array<long>, classes long): the valid classes of each host."""
+    """(host, tokens array<long>, inside array<long>, classes long): the valid classes of each host."""
 
     def make():
         def call(htmls, urls):
             rows = [page_tokens(h or "") if host_of(u) else [] for h, u in zip(htmls, urls)]
-            return [host_of(u) for u in urls], [[t[0] for t in r] for r in rows], [[t[1] for t in r] for r in rows], [[t[2] for t in r] for r in rows]
+            return [host_of(u) for u in urls], [[t[0] for t in r] for r in rows], [[t[1] for t in r] for r in rows]
 
         return call
 
-    read = map_slices(pages, ["page_id", "url"], ["html", "url"], "host string, token array<long>, parent array<long>, times array<int>", make)
+    read = map_slices(pages, ["page_id", "url"], ["html", "url"], "host string, token array<long>, times array<int>", make)
     read = read.filter("host IS NOT NULL").withColumn("page", F.xxhash64("page_id", "url"))
-    tokens = read.select("host", "page", F.inline(F.arrays_zip("token", "parent", "times")))
-    vectors = tokens.groupBy("host", "token", "parent").agg(F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count(F.lit(1)).alias("pages"))
+    tokens = read.select("host", "page", F.inline(F.arrays_zip("token", "times")))
+    vectors = tokens.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count(F.lit(1)).alias("pages"))
     hosts = read.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     often = vectors.filter(F.col("pages") >= MIN_PAGES).join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("of"))
-    often = durable(often.select("host", "token", "parent", F.xxhash64("vector", "pages").alias("class")), "html-tokens")
-    around = often.select("host", F.col("token").alias("parent"), F.col("class").alias("outer")).distinct()
-    nested = often.join(around, ["host", "parent"], "left").groupBy("host", "class").agg(
-        F.countDistinct("token").alias("size"), F.countDistinct(F.when(F.col("outer") != F.col("class"), F.col("outer"))).alias("outers")
+    strong = (F.col("pages") >= INSIDE_PAGES) & (F.col("pages") >= INSIDE_SUPPORT * F.col("of"))
+    often = durable(often.select("host", "token", F.xxhash64("vector", "pages").alias("class"), strong.alias("strong")), "html-tokens")
+    valid = often.groupBy("host", "class").agg(F.countDistinct("token").alias("size")).filter(F.col("size") >= MIN_TOKENS).select("host", "class")
+    return often.join(valid, ["host", "class"]).groupBy("host").agg(
+        F.sort_array(F.collect_set("token")).alias("tokens"), F.sort_array(F.collect_set(F.when(F.col("strong"), F.col("token")))).alias("inside"), F.countDistinct("class").alias("classes")
     )
-    valid = nested.filter((F.col("size") >= MIN_TOKENS) & (F.col("outers") <= 1)).select("host", "class")
-    return often.join(valid, ["host", "class"]).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("tokens"), F.countDistinct("class").alias("classes"))
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``text`` and ``n_template``, the number of template tokens of the host."""
     pages = pages.select(*dict.fromkeys([*keep, "page_id", "url", "html"]))
     found = durable(templates(pages), "html-templates")
-    size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    side = found.select(F.col("host").alias("_host"), F.col("tokens").alias("_tokens"))
+    size = found.agg(F.sum(F.size("tokens") + F.size("inside"))).first()[0] or 0
+    side = found.select(F.col("host").alias("_host"), F.col("tokens").alias("_tokens"), F.col("inside").alias("_inside"))
     side = F.broadcast(side) if size <= BROADCAST_TOKENS else side
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     joined = pages.withColumn("_host", host).join(side, "_host", "left")
 
     def make():
-        sets: dict[tuple, set] = {}
+        sets: dict[tuple, tuple[set, set]] = {}
 
-        def call(htmls, tokens):
+        def call(htmls, tokens, insides):
             texts = []
-            for h, t in zip(htmls, tokens):
+            for h, t, inside in zip(htmls, tokens, insides):
                 key = (len(t), t[0], t[-1]) if t else ()
                 if key not in sets:
                     if len(sets) > 500:
                         sets.clear()
-                    sets[key] = set(t or ())
-                texts.append(main_text(h or "", sets[key] if t else set()))
+                    sets[key] = set(t or ()), set(inside or ())
+                texts.append(main_text(h or "", *sets[key]))
             return texts, [len(t or ()) for t in tokens]
 
         return call
 
-    return map_slices(joined, keep, ["html", "_tokens"], "text string, n_template long", make)
+    return map_slices(joined, keep, ["html", "_tokens", "_inside"], "text string, n_template long", make)
 
 
 def report(pages: DataFrame) -> DataFrame:

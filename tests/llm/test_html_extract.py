@@ -23,3 +23,17 @@ def test_template_texts_go_where_there_is_no_article(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {(r.page_id, r.text) for r in he.report(df).collect()} == {(k, f"Body number {k}") for k in range(6)}
     assert he.report(df.limit(0)).count() == 0
+
+
+def test_template_texts_inside_the_article_go_on_large_hosts(spark):
+    nav = "<nav><ul><li><a>Home</a></li><li><a>News</a></li><li><a>About</a></li></ul></nav>"
+    page = "<body>{nav}<div>Site of {h}</div><article><h1>Title {k}</h1>{ps}<p>Read it in our app</p><p>By <b>{k}</b></p></article></body>"
+    made = lambda h, k: page.format(nav=nav, h=h, k=k, ps="".join(f"<p>Para {k} {i}</p>" for i in range(1 + k % 3)))
+    rows = [(k, f"http://large.org/{k}", made("large", k)) for k in range(12)] + [(100 + k, f"http://small.org/{k}", made("small", k)) for k in range(6)]
+    rows += [(200 + k, f"http://copies.org/{k}", made("copies", 0)) for k in range(12)]
+    got = {r.page_id: r.text for r in he.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        paras = [f"Para {k} {i}" for i in range(1 + k % 3)]
+        assert got[k].split("\n") == [f"Title {k}", *paras, f"By {k}"]
+        assert k > 5 or got[100 + k].split("\n") == [f"Title {k}", *paras, "Read it in our app", f"By {k}"]
+        assert got[200 + k].split("\n") == ["Title 0", "Para 0 0", "Read it in our app", "By 0"]
