@@ -10,13 +10,16 @@
    menu's items and a line in a paragraph do not make each other invalid. The valid classes are the host's template; at
    most twice the tokens of an average page are in it.
 4. Each page is read against its host's template: template texts are dropped, what remains are slots. The slots of the
-   main container (``article``, else ``main``, else the body; a template container is preferred) are the text, without the slots of
-   menus, headers, footers, sidebars, notices, adverts, forms and comments, which tags, roles and class names show.
+   main containers (each outermost ``article`` or ``main`` with all that is nested in it, in page order; without any, the body) are
+   the text; a container that is all template goes when another one has slots. Out go the slots of menus, headers, footers,
+   sidebars, notices, adverts, forms and comments, which tags, roles and class names show.
 
 Inside ``article`` or ``main`` the template needs a stronger support, ``INSIDE_PAGES`` pages and ``INSIDE_SUPPORT`` of the host's, so that text
 which happens to be on all pages of a small host is not lost, and drops whole blocks only, so that no sentence loses a word
-between tags. A page of which nothing would remain (all pages of its host are copies) keeps its texts. Templates go to the pages by broadcast while they hold at most ``BROADCAST_TOKENS`` tokens
-in all (measured on the written table), else by a join on the host.
+between tags. A page of which nothing would remain (all pages of its host are copies) keeps its texts.
+
+Templates go to the pages by broadcast while they hold at most ``BROADCAST_TOKENS`` tokens in all (measured on the written
+table), else by a join on the host.
 
 Defined results: null or empty html gives an empty text; a page without a host in its url is read without a template; pages
 that repeat an id or url count each; markup that is cut off or badly nested is read as far as it goes.
@@ -98,7 +101,8 @@ def is_boilerplate(name: str, attrs: dict, inside: bool) -> bool:
 def walk(page: str):
     """Tokens of a page: (kind, name or text, path hash, hash of the enclosing path, depth of boilerplate, main container).
 
-    Kinds: open, close, text. Containers are numbered in order: 0 is outside of ``article`` and ``main``.
+    Kinds: open, close, text. Containers are numbered in order: 0 is outside of ``article`` and ``main``, and what is nested
+    in an ``article`` or ``main`` belongs to the outermost one.
     """
     stack: list[tuple] = [("", 0, 0, 0)]  # name, path hash, boilerplate, container
     containers = 0
@@ -115,7 +119,7 @@ def walk(page: str):
             parent = stack[-1]
             path = xxhash.xxh3_64_intdigest(f"{parent[1]}/{name}.{attrs.get('class', '')}#{attrs.get('role', '')}") - (1 << 63)
             container = parent[3]
-            if name in ("article", "main") and not parent[2]:
+            if name in ("article", "main") and not parent[2] and not container:
                 containers += 1
                 container = containers
             low = parent[2] + is_boilerplate(name, attrs, bool(parent[3]))
@@ -145,9 +149,8 @@ def page_tokens(page: str) -> list[tuple[int, int]]:
 
 
 def main_text(page: str, template: set[int], inside: set[int] = frozenset()) -> str:
-    """The slots of the main container, a line for each block; ``inside`` are the template tokens that count in it."""
+    """The slots of the main containers, a line for each block; ``inside`` are the template tokens that count in them."""
     blocks: list[tuple[int, str, bool]] = []  # container, text, whether all of it is template
-    rank: dict[int, tuple] = {}
     parts: list[str] = []
     at, fixed = 0, True
 
@@ -159,8 +162,6 @@ def main_text(page: str, template: set[int], inside: set[int] = frozenset()) ->
         fixed = True
 
     for kind, name, path, parent, low, container in walk(page):
-        if container and container not in rank:
-            rank[container] = (name == "article", path in template)
         if kind == "text":
             text = " ".join(name.split())
             if low or not container and text and text_token(parent, text) in template:
@@ -176,11 +177,7 @@ def main_text(page: str, template: set[int], inside: set[int] = frozenset()) ->
         elif name == "br":
             parts.append(" ")
     end_block()
-    mass = Counter()
-    for c, text, _ in blocks:
-        mass[c] += len(text)
-    best = max((c for c in rank if mass[c]), key=lambda c: (*rank[c], mass[c], -c), default=0)
-    found = [(text, fixed) for c, text, fixed in blocks if c == best]
+    found = [(text, fixed) for c, text, fixed in blocks if c] or [(text, False) for _, text, _ in blocks]
     return "\n".join([text for text, fixed in found if not fixed] or [text for text, _ in found])
 
 

@@ -37,3 +37,12 @@ def test_template_texts_inside_the_article_go_on_large_hosts(spark):
         assert got[k].split("\n") == [f"Title {k}", *paras, f"By {k}"]
         assert k > 5 or got[100 + k].split("\n") == [f"Title {k}", *paras, "Read it in our app", f"By {k}"]
         assert got[200 + k].split("\n") == ["Title 0", "Para 0 0", "Read it in our app", "By 0"]
+
+
+def test_all_containers_count():
+    text = lambda page: he.main_text(page, set())
+    card = "<article class='card'>Card</article>"
+    assert text(f"<body><div>menu</div><main><h1>H</h1><p>Lead</p>{card}<article><p>A</p><article>Inner</article>B</article><p>End</p></main></body>") == "H\nLead\nCard\nA\nInner\nB\nEnd"
+    assert text(f"<body>{card}<main><p>A long body of the page</p></main></body>") == "Card\nA long body of the page"
+    assert text("<body><article>One</article><div>between</div><article><p>Two</p><div class='comments'><article>c</article></div></article><article class='teaser'>t</article></body>") == "One\nTwo"
+    assert text("<body><article></article><p>Body</p></body>") == "Body"
