@@ -221,22 +221,21 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     joined = pages.withColumn("_host", host).join(side, "_host", "left")
 
     def make():
-        sets: dict[tuple, tuple[set, set]] = {}
+        sets: dict[str, tuple[set, set]] = {}
 
-        def call(htmls, tokens, insides):
+        def call(htmls, hosts, tokens, insides):
             texts = []
-            for h, t, inside in zip(htmls, tokens, insides):
-                key = (len(t), t[0], t[-1]) if t else ()
-                if key not in sets:
+            for h, host, t, inside in zip(htmls, hosts, tokens, insides):
+                if host not in sets:
                     if len(sets) > 500:
                         sets.clear()
-                    sets[key] = set(t or ()), set(inside or ())
-                texts.append(main_text(h or "", *sets[key]))
+                    sets[host] = set(t or ()), set(inside or ())
+                texts.append(main_text(h or "", *sets[host]))
             return texts, [len(t or ()) for t in tokens]
 
         return call
 
-    return map_slices(joined, keep, ["html", "_tokens", "_inside"], "text string, n_template long", make)
+    return map_slices(joined, keep, ["html", "_host", "_tokens", "_inside"], "text string, n_template long", make)
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -46,3 +46,10 @@ def test_all_containers_count():
     assert text(f"<body>{card}<main><p>A long body of the page</p></main></body>") == "Card\nA long body of the page"
     assert text("<body><article>One</article><div>between</div><article><p>Two</p><div class='comments'><article>c</article></div></article><article class='teaser'>t</article></body>") == "One\nTwo"
     assert text("<body><article></article><p>Body</p></body>") == "Body"
+
+
+def test_hosts_on_one_layout_keep_their_own_templates(spark):
+    page = "<body><div><p><b>Site {h}</b></p></div><ul><li><i>Body {k} of {h}</i></li></ul><h2>All rights</h2></body>"
+    rows = [(10 * h + k, f"http://host{h}.org/{k}", page.format(h=h, k=k)) for h in range(12) for k in range(4)]
+    got = he.report(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {(r.page_id, r.text) for r in got} == {(10 * h + k, f"Body {k} of {h}") for h in range(12) for k in range(4)}
