@@ -2,14 +2,16 @@
 
 References come from all documents, in two aggregations with map-side combining: each language's shares
 of the character classes, and its common words, those with at least 1/``COMMON`` of the language's words
-(so at most ``COMMON`` words a language, whatever the corpus holds). Languages with less than
-1/``LANGUAGES`` of all characters share the reference of the whole corpus, which bounds the
-number of references. A second pass compares each document with its
-reference by Jensen-Shannon distance (base 2, 0 to 1), without a shuffle.
+(so at most ``COMMON`` words a language, whatever the corpus holds). Every language has its own reference, whatever its
+share of the corpus. A second pass compares each document with its reference by Jensen-Shannon distance (base 2, 0 to
+1). References go to the tasks by broadcast while they hold at most ``BROADCAST_WORDS`` entries in all (measured on the written
+table), else by a join on the language.
 
 A document is rejected by the base rules (under 10 words, or over a fifth of its words in repeated windows) or by
 the method: its character distance is over ``MAX_CHARS`` with at least ``MIN_CHARS`` characters, or its word
-distance is over ``MAX_WORDS`` with at least ``MIN_WORDS`` words. Shorter texts pass that guard.
+distance is over ``MAX_WORDS`` with at least ``MIN_WORDS`` words. Shorter texts pass that guard, and so do all texts of a language with
+less than ``LANGUAGE_CHARS`` characters (for the first) or ``LANGUAGE_WORDS`` words (for the second) in all: they are
+too few for a verdict; their distances are reported.
 
 Defined results: a null text counts as empty, has no words and fails the base; a null language is a
 language of its own (``''``); the rows are independent of each other apart from the references, in which
@@ -27,8 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.llm.arrow import map_slices
+from codeatlas.sources.scratch import durable
 
-COMMON, LANGUAGES, WINDOW = 400, 50, 5
+COMMON, WINDOW = 400, 5
+BROADCAST_WORDS, BROADCAST_LANGUAGES = 200_000, 10_000
+LANGUAGE_CHARS, LANGUAGE_WORDS = 20_000, 10 * COMMON
 MIN_CHARS, MAX_CHARS = 200, 0.25
 MIN_WORDS, MAX_WORDS = 50, 0.45
 WORDS, SYMBOLS = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[#*$%&|<>]")
@@ -57,8 +62,8 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Language ('' and the key None for the whole corpus) -> class counts, common word counts and the rest."""
+def references(docs: DataFrame) -> DataFrame:
+    """A row for each language ('' for null): class counts ``chars``, all ``n_words``, the common ``words`` and their ``shares``."""
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
     def make():
@@ -70,21 +75,16 @@ def references(docs: DataFrame) -> dict[str, tuple[list[float], dict[str, float]
         return call
 
     counted = map_slices(rows, ["lang"], ["text"], "counts array<long>", make)
-    chars = counted.groupBy("lang").agg(*[F.sum(F.col("counts")[k]).alias(c) for k, c in enumerate(CLASSES)])
-    size = sum(F.col(c) for c in CLASSES)
-    total = chars.agg(F.sum(size)).first()[0] or 0
-    kept = {r["lang"]: [float(r[c]) for c in CLASSES] for r in chars.filter(size >= total / LANGUAGES).collect()}  # at most LANGUAGES rows
-    pooled = chars.agg(*[F.sum(c).alias(c) for c in CLASSES]).first()
-    own = F.when(F.col("lang").isin(list(kept)), F.col("lang")) if kept else F.lit(None).cast("string")
-    words = rows.select(own.alias("lang"), F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("word"))
+    chars = counted.groupBy("lang").agg(F.array(*[F.sum(F.col("counts")[k]).cast("double") for k in range(len(CLASSES))]).alias("chars"))
+    chars = durable(chars, "quality-chars")
+    small = F.broadcast if chars.count() <= BROADCAST_LANGUAGES else lambda x: x
+    words = rows.select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("word"))
     words = words.filter("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    sums = words.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("of"))
-    common = words.join(F.broadcast(sums), F.col("lang").eqNullSafe(F.col("_lang"))).filter(F.col("n") * COMMON >= F.col("of"))  # LANGUAGES + 1 sums at most
-    found: dict = {k: (v, {}) for k, v in kept.items()}
-    found[None] = ([float(pooled[c] or 0) for c in CLASSES], {})
-    for r in common.select("lang", "word", "n", "of").collect():  # at most COMMON rows a language
-        found[r["lang"]][1][r["word"]] = r["n"] / r["of"]
-    return found
+    sums = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
+    common = words.join(small(sums), "lang").filter(F.col("n") * COMMON >= F.col("n_words"))  # at most COMMON rows a language
+    common = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("n_words")).alias("share")))).alias("common"))
+    found = chars.join(sums, "lang", "left").join(common, "lang", "left").withColumn("common", F.coalesce("common", F.array().cast("array<struct<word:string,share:double>>")))
+    return durable(found.select("lang", "chars", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.col("common.word").alias("words"), F.col("common.share").alias("shares")), "quality-references")
 
 
 def repeated_words(words: list[str]) -> int:
@@ -108,22 +108,33 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def judge(docs: DataFrame, found: dict, keep: list[str]) -> DataFrame:
+def judge(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, the counts, the distances, ``base_failed`` and ``kept``."""
-    shared = docs.sparkSession.sparkContext.broadcast(found)  # at most LANGUAGES x COMMON words
+    reference = F.struct("chars", "n_words", "words", "shares").alias("_reference")
+    side, more = found.select(F.col("lang").alias("_lang"), reference), []
+    known = {}
+    if (found.agg(F.sum(F.size("words") + 1)).first()[0] or 0) <= BROADCAST_WORDS:
+        known = {r["_lang"]: r["_reference"].asDict() for r in side.collect()}  # at most BROADCAST_WORDS entries
+    else:
+        docs, more = docs.join(side, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left"), ["_reference"]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def make():
         table = character_classes()
         refs = {}
-        for lang, (chars, words) in shared.value.items():
-            order = sorted(words)
-            shares = np.array([words[w] for w in order])
-            refs[lang] = (np.array(chars), {w: k for k, w in enumerate(order)}, np.append(shares, max(0.0, 1 - shares.sum())))
 
-        def one(text, lang):
+        def reference_of(lang, sent):
+            if lang not in refs:
+                if len(refs) > 500:
+                    refs.clear()
+                r = sent or shared.value[lang]
+                refs[lang] = (np.array(r["chars"]), r["n_words"], {w: k for k, w in enumerate(r["words"])}, np.append(r["shares"], max(0.0, 1 - sum(r["shares"]))))
+            return refs[lang]
+
+        def one(text, lang, sent=None):
             text = text or ""
             words = WORDS.findall(text)
-            chars, places, shares = refs.get(lang or "", refs[None])
+            chars, n_words, places, shares = reference_of(lang or "", sent)
             used = Counter(map(places.get, map(str.lower, words)))
             seen = np.zeros(len(shares))
             for k, n in used.items():
@@ -131,13 +142,14 @@ def judge(docs: DataFrame, found: dict, keep: list[str]) -> DataFrame:
             d_chars, d_words = distance(class_counts(text, table), chars), distance(seen, shares) if places else 0.0
             repeats = repeated_words(words)
             failed = len(words) < 10 or 100 * repeats > 20 * len(words)
-            far = len(text) >= MIN_CHARS and d_chars > MAX_CHARS or len(words) >= MIN_WORDS and d_words > MAX_WORDS
-            return len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), repeated_lines(text), repeats, d_chars, d_words, failed, not failed and not far
+            far = len(text) >= MIN_CHARS and chars.sum() >= LANGUAGE_CHARS and d_chars > MAX_CHARS
+            far = far or len(words) >= MIN_WORDS and n_words >= LANGUAGE_WORDS and d_words > MAX_WORDS
+            return len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), repeated_lines(text), repeats, d_chars, d_words, failed, not (failed or bool(far))
 
-        return lambda texts, langs: list(zip(*map(one, texts, langs)))
+        return lambda *columns: list(zip(*map(one, *columns)))
 
     out = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
-    return map_slices(docs, keep, ["text", "lang"], out, make)
+    return map_slices(docs, keep, ["text", "lang", *more], out, make)
 
 
 def report(docs: DataFrame) -> DataFrame:

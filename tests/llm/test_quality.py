@@ -39,3 +39,22 @@ def test_distance_bounds():
 
     assert quality.distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality.distance(np.array([1.0, 3]), np.array([2.0, 6])) == pytest.approx(0)
+
+
+def test_small_languages_have_their_own_reference(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + k) for k in range(60)]
+    chinese = lambda: " ".join("".join(rng.choices(letters, k=3)) for _ in range(80))
+    english = lambda n: " ".join(rng.choice("the of and to in a house rain door old sea cat".split()) + rng.choice(["", "", "s", "x", "y."]) for _ in range(n))
+    rows = [(k, english(5000), "en") for k in range(80)] + [(100 + k, chinese(), "zh") for k in range(70)] + [(300 + k, chinese(), "yue") for k in range(3)]
+    rows += [(400, " ".join(f"word{k}" for k in range(90)), "zh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.report(docs).collect()
+    assert all(r.kept for r in got if 100 <= r.doc_id < 400) and not next(r for r in got if r.doc_id == 400).kept
+    alone = {r.doc_id: r for r in quality.report(docs.filter("lang <> 'en'")).collect()}
+    assert all(r == alone[r.doc_id] for r in got if r.doc_id >= 100)
+    monkeypatch.setattr(quality, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 0)
+    assert sorted(quality.report(docs).collect()) == sorted(got)
