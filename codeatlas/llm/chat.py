@@ -4,8 +4,8 @@
    passage. What has level 0 is the message's own text; the line that introduces a quote ("On ... wrote:") goes.
 2. Passages are normalised (lower case, white space runs to one blank, trimmed) and hashed, whole and by line.
 3. Quoted passages are joined to the first message of the conversation whose own text holds the same passage or
-   line, if it is an earlier turn. The message replies to the one with a whole passage in common, else with the most lines, else
-   the latest.
+   line, if it is an earlier turn. The message replies to one that its shallowest matching level quotes: the one with a whole
+   passage in common, else with the most lines, else the latest.
 4. Replies are followed up to the first message of their thread, by pointer doubling; a conversation in reply order is
    its rows by thread, then turn: a reply always comes after what it quotes.
 
@@ -79,15 +79,13 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     hashed = lambda c: F.md5(normal(c))
     mine = parsed.select("_conv", "_turn", F.explode(F.array_union(F.array(F.col("content")), F.split("content", "\n"))).alias("part"))
     mine = mine.filter(normal(F.col("part")) != "").groupBy("_conv", hashed(F.col("part")).alias("hash")).agg(F.min("_turn").alias("first"))
-    nearest = F.array_min(F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: p["level"]))
-    quotes = parsed.filter(F.exists("passages", lambda p: p["level"] > 0)).withColumn("_nearest", nearest)
-    quotes = quotes.select(*KEY, F.explode(F.filter("passages", lambda p: p["level"] == F.col("_nearest"))).alias("p"))
+    quotes = parsed.select(*KEY, F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p"))
     whole = F.struct(F.lit(1).alias("whole"), F.array_join("p.lines", "\n").alias("part"))
     lines = F.transform("p.lines", lambda x: F.struct(F.lit(0).alias("whole"), x.alias("part")))
-    quotes = quotes.select(*KEY, F.inline(F.array_union(F.array(whole), lines))).filter(normal(F.col("part")) != "")
-    quotes = quotes.select(*KEY, "whole", hashed(F.col("part")).alias("hash"))
-    votes = quotes.join(mine, ["_conv", "hash"]).filter("first < _turn").groupBy(*KEY, "first").agg(F.max("whole").alias("whole"), F.count(F.lit(1)).alias("n"))
-    return votes.groupBy(*KEY).agg(F.max(F.struct("whole", "n", "first"))["first"].alias("reply_to"))
+    quotes = quotes.select(*KEY, F.col("p.level").alias("level"), F.inline(F.array_union(F.array(whole), lines))).filter(normal(F.col("part")) != "")
+    quotes = quotes.select(*KEY, "level", "whole", hashed(F.col("part")).alias("hash"))
+    votes = quotes.join(mine, ["_conv", "hash"]).filter("first < _turn").groupBy(*KEY, "level", "first").agg(F.max("whole").alias("whole"), F.count(F.lit(1)).alias("n"))
+    return votes.groupBy(*KEY).agg(F.max(F.struct(-F.col("level"), "whole", "n", "first"))["first"].alias("reply_to"))
 
 
 def threads(links: DataFrame, max_rounds: int = 60) -> DataFrame:

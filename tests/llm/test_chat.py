@@ -25,3 +25,12 @@ def test_long_chain_of_replies(spark):
     data = [(1, 0, "user", "m0")] + [(1, k, "user", f"> m{k - 1}\nm{k}") for k in range(1, 21)]
     got = chat.report(rows(spark, data)).collect()
     assert {r.thread for r in got} == {0} and all(r.reply_to == r.turn - 1 for r in got if r.turn)
+
+
+def test_deeper_quotes_link_where_nearer_ones_match_nothing(spark):
+    data = [
+        (1, 0, "user", "How do I sort?\nI use Spark."), (1, 1, "assistant", "Use orderBy."), (1, 2, "user", "> an edited answer\n>> How do I sort?\n>> I use Spark.\nThanks"),
+        (1, 3, "user", "> On Tuesday Y wrote:\n>> Use orderBy.\nAgain"), (1, 4, "user", "> Again\n>> How do I sort?\n>> I use Spark.\nno"), (1, 5, "user", "> x\n>> y\n>>> Use orderBy.\nz"),
+    ]
+    got = {r.turn: (r.reply_to, r.thread) for r in chat.report(rows(spark, data)).collect()}
+    assert got == {0: (None, 0), 1: (None, 1), 2: (0, 0), 3: (1, 1), 4: (3, 1), 5: (1, 1)}
