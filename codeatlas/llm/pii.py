@@ -5,9 +5,10 @@ points, end exclusive) come from the lengths of what lies between the matches.
 
 Kinds, in their fixed order: ``email``, ``ip``, ``card``, ``phone`` (the base, whose failing
 matches are dropped without another try), then ``iban`` (mod 97) and ``ssn`` (needs a context
-word). A score in 0..1 is the kind's prior plus 0.3 for a confirmed checksum plus 0.3 for a
-context word in the 48 characters before; the base kinds stay whatever their score, the others
-need 0.6.
+word). An IBAN ends where its country's length says (for other countries at the last capital or digit of the run), and is
+looked for at every country code, whatever failed before it. A score in 0..1 is the kind's prior plus 0.3 for a
+confirmed checksum plus 0.3 for a context word in the 48 characters before or after; the base kinds stay whatever their
+score, the others need 0.6. The SQL knows plain cases only: whole runs as IBANs and context words before a span.
 
 Defined results: a null or empty text has no spans; other columns are untouched; each row is
 judged alone, so ties and repeated rows need no rule.
@@ -28,6 +29,14 @@ PATTERNS = {
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 KINDS = list(PATTERNS)
+# The countries' IBAN lengths, and IBANs at the start of a text.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(c for cs in IBAN_LENGTHS.values() for c in cs.split())
+IBAN_HEAD = r"\b[A-Z]{2}[0-9]{2}"
+IBAN = r"^(?:" + "".join(rf"(?:{cs.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}|" for n, cs in IBAN_LENGTHS.items()) + rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})\b"
 BASE = KINDS[:4]
 # What a text must hold for a kind's pattern to be tried.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]"}
@@ -48,10 +57,10 @@ MIN_SCORE, WINDOW = 0.6, 48
 def find_spans(text: Column, kind: str) -> tuple[Column, Column]:
     """Leftmost matches that do not overlap, and what lies between them."""
     none = F.array().cast("array<string>")
-    pattern = F.lit(PATTERNS[kind])
+    pattern = IBAN_HEAD if kind == "iban" else PATTERNS[kind]
     wanted = text.rlike(NEEDS[kind])
-    return F.when(wanted, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none), F.when(
-        wanted, F.split(text, PATTERNS[kind], -1)
+    return F.when(wanted, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(
+        wanted, F.split(text, pattern, -1)
     ).otherwise(none)
 
 
@@ -65,6 +74,17 @@ def _placed(found: Column, gaps: Column) -> Column:
     return F.transform(found, place)
 
 
+def _whole_ibans(text: Column, heads: Column) -> Column:
+    """The IBANs that start at the heads and have a valid checksum; of overlapping ones the first."""
+
+    def whole(x):
+        value = F.regexp_extract(F.substring(text, x["start"] + 1, F.lit(68)), IBAN, 0)
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(value)).alias("end"), value.alias("value"))
+
+    valid = F.filter(F.transform(heads, whole), lambda x: _confirmed("iban", x["value"]))
+    return F.filter(valid, lambda x: ~F.exists(valid, lambda y: (y["start"] < x["start"]) & (y["end"] > x["start"])))
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a valid Luhn sum."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.struct(d.cast("int").alias("d"), i.alias("i")))
@@ -104,12 +124,14 @@ def detect(docs: DataFrame) -> DataFrame:
 
     def scored(k):
         def one(x):
-            near = F.lower(F.substring(F.col("_t"), F.greatest(F.lit(1), x["start"] + 1 - WINDOW), F.least(F.lit(WINDOW), x["start"])))
+            before = F.substring(F.col("_t"), F.greatest(F.lit(1), x["start"] + 1 - WINDOW), F.least(F.lit(WINDOW), x["start"]))
+            near = F.lower(F.concat_ws("\n", before, F.substring(F.col("_t"), x["end"] + 1, F.lit(WINDOW))))
             checked = F.lit(0.3 if k in ("card", "iban", "ip") else 0.0)
             score = F.lit(PRIOR[k]) + checked + F.when(near.rlike(rf"\b(?:{CONTEXT[k]})"), 0.3).otherwise(0.0)
             return F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind_no"), x["end"].alias("end"), F.lit(k).alias("kind"), x["value"].alias("value"), F.least(F.lit(1.0), score).alias("score"))
 
-        placed = F.filter(_placed(F.col(f"_f_{k}"), F.col(f"_g_{k}")), lambda x: _confirmed(k, x["value"]))
+        placed = _placed(F.col(f"_f_{k}"), F.col(f"_g_{k}"))
+        placed = _whole_ibans(F.col("_t"), placed) if k == "iban" else F.filter(placed, lambda x: _confirmed(k, x["value"]))
         out = F.transform(placed, one)
         return out if k in BASE else F.filter(out, lambda x: x["score"] >= MIN_SCORE)
 

@@ -38,3 +38,13 @@ def test_iban_needs_its_checksum_and_ssn_a_context_word(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "IBAN DE88370400440532013000"), (3, "my ssn is 123-45-6789"), (4, "part 123-45-6789")]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "iban:5:32", 2: "", 3: "ssn:10:21", 4: ""}
+
+
+def test_iban_ends_at_its_countrys_length_and_context_may_follow(spark):
+    iban, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    rows = [
+        (1, f"{iban} BIC COBADEFFXXX"), (2, f"pay {iban} EUR 500"), (3, f"{iban} {other} X"), (4, f"AT12 {iban}"), (5, "123-45-6789 (SSN)"), (6, "123-45-6789 " + "x" * 60 + " ssn"),
+        (7, "DE88 3704 0044 0532 0130 00 BIC"), (8, f"\U0001f600 {iban.replace(' ', '')} NO93 8601 1117 947 A1"),
+    ]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "iban:0:27", 2: "iban:4:31", 3: "iban:0:27,iban:28:55", 4: "iban:5:32", 5: "ssn:0:11", 6: "", 7: "", 8: "iban:2:24,iban:25:43"}
