@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeatlas.operators import parse
+
 # Characters that may stand between a line's start and a method's name; words that look like calls.
-BEFORE_NAME = re.compile(r"[\w<>\[\]?,\s]*\Z")
-CALL = re.compile(r"\b(\w+)\s*\(")
+BEFORE_NAME = re.compile(r"[\w<>\[\]?,\s]+")
+CALL = re.compile(r"(?<!\w)(\w++)\s*\(")
 NOT_CALLS = {"if", "for", "while", "switch", "catch", "synchronized", "when", "return"}
-CLASS_HEAD = re.compile(r"(?:class|interface|object|enum)\s+(\w+)")
-METHOD_HEAD = re.compile(r"(\w+)\s*\(([^)]*)\)\s*(?::\s*([\w<>\[\]?,]+))?\s*\{")
-FIELD_HEAD = re.compile(r"(?:val|var)\s+(\w+)\s*:\s*([\w<>\[\]?,]+)|([\w<>\[\]?,]+)\s+(\w+)\s*[;=]")
+
+
+def as_python(pattern: str) -> re.Pattern:
+    """A pattern of the parser for the scans here: classes are Unicode there by a flag, here always."""
+    return re.compile(re.sub(r"^\(\?U\)", "", pattern))
+
+
+CLASS_HEAD, METHOD_HEAD, FIELD_HEAD = as_python(parse.CLASS), as_python(parse.METHOD), as_python(parse.FIELD)
 
 
 def brace_ends(source: str) -> dict[int, int]:
@@ -28,19 +36,31 @@ def brace_ends(source: str) -> dict[int, int]:
     return ends | dict.fromkeys(stack, len(source))
 
 
-def method_body(source: str, name: str, ends: dict[int, int]) -> str:
-    """From the first ``name(`` with what leads to it, to the end of the next braces; '' without any."""
-    m = re.search(re.escape(name) + r"\s*\(", source)
-    brace = source.find("{", m.end()) if m else -1
-    if brace < 0:
-        return ""
-    start = m.start()
-    if start and source[start - 1].isspace():
-        line = start
-        while line and BEFORE_NAME.match(source, line - 1, line):
-            line -= 1
-        start = line if start - line > 1 else start
-    return source[start : ends[brace]].strip()
+def bodies_of(source: str, names: set[str]) -> dict[str, str]:
+    """For each name the text from its first ``name(`` with what leads to it, to the end of the next braces; '' without any.
+
+    One look at every ``word(`` finds the names that end a word (a name may be the end of a longer word).
+    """
+    ends, places = brace_ends(source), {}
+    sizes = sorted({len(n) for n in names})
+    for m in CALL.finditer(source):
+        for size in sizes:
+            tail = m[1][-size:]
+            if len(tail) == size and tail in names and tail not in places:
+                places[tail] = m.end(1) - size, m.end()
+        if len(places) == len(names):
+            break
+    runs = [m.span() for m in BEFORE_NAME.finditer(source)]
+    found = dict.fromkeys(names, "")
+    for name, (start, after) in places.items():
+        brace = source.find("{", after)
+        if brace < 0:
+            continue
+        if start and source[start - 1].isspace():
+            line = runs[bisect_right(runs, (start, -1)) - 1][0]
+            start = line if start - line > 1 else start
+        found[name] = source[start : ends[brace]].strip()
+    return found
 
 
 def method_bodies(source: Column, names: Column) -> Column:
@@ -50,8 +70,7 @@ def method_bodies(source: Column, names: Column) -> Column:
     def bodies(sources: pd.Series, wanted: pd.Series) -> pd.Series:
         out = []
         for text, methods in zip(sources, wanted):
-            ends = brace_ends(text or "")
-            known = {n: method_body(text or "", n, ends) for n in set(methods)}
+            known = bodies_of(text or "", set(methods))
             out.append([known[n] for n in methods])
         return pd.Series(out)
 
@@ -65,23 +84,26 @@ def called_names(body: Column, own: Column) -> Column:
 
 
 def _members(source: str) -> list[tuple[str, str, str, str, str]]:
-    """(class, kind, name, type, params) of the methods and fields directly inside each class."""
+    """(class, kind, name, type, params) of the methods and fields directly inside each class, in one sweep over the braces."""
     ends = brace_ends(source)
-    spans = []
+    found, opened = [], {}  # opening brace -> (1, class name) or (0, '') for a method's
+    for m in METHOD_HEAD.finditer(source):
+        if m[1] not in NOT_CALLS:
+            opened[m.end() - 1] = 0, ""
+            found.append((m.start(), "method", m[1], m[3] or "void", m[2].strip()))
     for m in CLASS_HEAD.finditer(source):
-        brace = source.find("{", m.end())
+        brace = source.find("{", m.end(1))
         if brace >= 0:
-            spans.append((brace, ends[brace], m[1]))
-    owner = lambda at: max((s for s in spans if s[0] < at < s[1]), default=None)
-    bodies = [(m.end() - 1, ends[m.end() - 1]) for m in METHOD_HEAD.finditer(source) if m[1] not in NOT_CALLS]
-    found = [(m.start(), "method", m[1], m[3] or "void", m[2].strip()) for m in METHOD_HEAD.finditer(source) if m[1] not in NOT_CALLS]
+            opened[brace] = max(opened.get(brace, (0, "")), (1, m[1]))
     found += [(m.start(), "field", m[1] or m[4], m[2] or m[3], "") for m in FIELD_HEAD.finditer(source)]
-    rows = []
+    rows, stack, waiting = [], [], sorted(opened, reverse=True)
     for at, kind, name, type_, params in sorted(found):
-        home = owner(at)
-        inner = [b for b in bodies if b[0] < at < b[1]]
-        if home and not any(b[0] > home[0] for b in inner):
-            rows.append((home[2], kind, name, type_, params))
+        while waiting and waiting[-1] < at:
+            stack.append(waiting.pop())
+        while stack and ends[stack[-1]] <= at:
+            stack.pop()
+        if stack and opened[stack[-1]][0]:
+            rows.append((opened[stack[-1]][1], kind, name, type_, params))
     return rows
 
 

@@ -1,7 +1,7 @@
 """Source files to packages, classes, members, manifests, layouts and build files.
 
-Everything is regular expressions in one projection per step: no shuffle, and the text of a file is read once.
-Patterns keep the reference semantics, oddities included: no word boundary before ``class``, comments are
+Everything is regular expressions in one projection per step: no shuffle. Whole matches are taken from a text once and their
+parts from the short matches; runs of word characters are entered only at their start, so that a long run costs one look. Patterns keep the reference semantics, oddities included: no word boundary before ``class``, comments are
 not skipped, ``return x;`` is a field, ``when(x) {`` a method.
 """
 
@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.functions import rules
+from codeatlas.functions import rules, spans
 
 # The patterns that define what is found, in Java syntax with Unicode classes.
 PACKAGE = r"(?Umd)^package\s+([\w.]+)"
 IMPORT = r"(?Umd)^import\s+([\w.*]+)"
 CLASS = r"(?U)(?:class|interface|object|enum)\s+(\w+)(?:\s*<[^>]*>)?(?:\s*(?:extends|:)\s*([\w.]+))?(?:\s*(?:implements|,)\s*([^{\n]+))?"
 ANNOTATION = r"(?U)@(\w+)"
-METHOD = r"(?U)(?:fun\s+)?(\w+)\s*\(([^)]*)\)\s*(?::\s*([\w<>\[\]?,]+))?\s*\{"
-FIELD = r"(?U)(?:val|var)\s+(\w+)\s*:\s*([\w<>\[\]?,]+)|([\w<>\[\]?,]+)\s+(\w+)\s*[;=]"
+METHOD = r"(?U)(?<!\w)(\w++)\s*+\(([^)]*+)\)\s*+(?::\s*([\w<>\[\]?,]+))?\s*\{"
+FIELD = r"(?U)(?:val|var)\s+(\w+)\s*:\s*([\w<>\[\]?,]+)|(?<![\w<>\[\]?,])([\w<>\[\]?,]++)\s++(\w++)\s*+[;=]"
 CONTROL = ["if", "for", "while", "switch", "catch", "synchronized"]
 TAG = r"(?U)<(\w[\w.]*)"
 MANIFEST = {
@@ -38,7 +38,7 @@ BUILD = {
     "plugins": r"""id\s*[\("]\s*['"]([^'"]+)['"]""",
 }
 BUILD_FIRST = {"min_sdk": r"minSdk\s*=?\s*(\d+)", "target_sdk": r"targetSdk\s*=?\s*(\d+)", "compile_sdk": r"compileSdk\s*=?\s*(\d+)"}
-NEAR = 300
+NEAR, LEAST_CLASS = 300, 6
 
 
 def every(text: Column, pattern: str, group: int = 1) -> Column:
@@ -53,51 +53,39 @@ def imports(source: Column) -> Column:
     return every(source, IMPORT)
 
 
-def _starts(found: Column, gaps: Column) -> Column:
-    """Offsets of matches, from the lengths of the matches and of what lies between them."""
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(found, lambda _, i: total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i)))
-
-
 def class_matches(files: DataFrame) -> DataFrame:
     """``files`` plus ``classes``: name, superclass, interfaces, annotations, component_type, layer."""
-    made = files.withColumns(
-        {
-            "_found": every(F.col("source"), CLASS, 0), "_name": every(F.col("source"), CLASS, 1), "_super": every(F.col("source"), CLASS, 2),
-            "_ifaces": every(F.col("source"), CLASS, 3), "_gaps": F.split("source", CLASS, -1),
-        }
-    )
-    made = made.withColumn("_at", _starts(F.col("_found"), F.col("_gaps")))
-    parts = F.arrays_zip("_name", "_super", "_ifaces", "_at")
+    made = files.withColumns({"_found": every(F.col("source"), CLASS, 0), "_gaps": F.split("source", CLASS, -1)})
+    part = lambda x, k: F.regexp_extract(x, CLASS, k)
 
-    def one(x):
-        before = F.substring(F.col("source"), F.greatest(F.lit(1), x["_at"] + 1 - NEAR), F.least(F.lit(NEAR), x["_at"]))
-        named = F.filter(F.transform(F.split(F.coalesce(x["_ifaces"], F.lit("")), ","), lambda i: F.trim(F.regexp_replace(i, r"(?U)^\s+|\s+$", ""))), lambda i: i != "")
-        return F.struct(x["_name"].alias("name"), F.coalesce(x["_super"], F.lit("")).alias("superclass"), named.alias("interfaces"), every(before, ANNOTATION).alias("annotations"))
+    def one(found, before):
+        named = F.filter(F.transform(F.split(part(found, 3), ","), lambda i: F.regexp_replace(i, r"(?U)^\s+|\s+$", "")), lambda i: i != "")
+        return F.struct(part(found, 1).alias("name"), part(found, 2).alias("superclass"), named.alias("interfaces"), every(before, ANNOTATION).alias("annotations"))
 
     def typed(c):
         kind = rules.component_type(c["name"], c["superclass"], c["annotations"])
         return F.struct(c["name"].alias("name"), c["superclass"].alias("superclass"), c["interfaces"].alias("interfaces"), c["annotations"].alias("annotations"), kind.alias("component_type"), rules.layer(kind, c["name"], c["superclass"], c["annotations"]).alias("layer"))
 
-    made = made.withColumn("classes", F.transform(parts, one)).withColumn("classes", F.transform("classes", typed))
+    before = spans.texts_before(F.col("_found"), F.col("_gaps"), NEAR, LEAST_CLASS)
+    made = made.withColumn("classes", F.transform(F.zip_with("_found", before, one), typed))
     return made.select(*files.columns, "classes")
 
 
 def methods(source: Column) -> Column:
-    parts = F.arrays_zip(every(source, METHOD, 1).alias("a"), every(source, METHOD, 2).alias("b"), every(source, METHOD, 3).alias("c"))
-
     def one(x):
-        kind = F.coalesce(F.nullif(x["c"], F.lit("")), F.lit("void"))
-        return F.struct(x["a"].alias("name"), kind.alias("return_type"), F.regexp_replace(x["b"], r"(?U)^\s+|\s+$", "").alias("params"))
+        part = lambda k: F.regexp_extract(x, METHOD, k)
+        kind = F.coalesce(F.nullif(part(3), F.lit("")), F.lit("void"))
+        return F.struct(part(1).alias("name"), kind.alias("return_type"), F.regexp_replace(part(2), r"(?U)^\s+|\s+$", "").alias("params"))
 
-    return F.filter(F.transform(parts, one), lambda m: ~m["name"].isin(CONTROL))
+    return F.filter(F.transform(every(source, METHOD, 0), one), lambda m: ~m["name"].isin(CONTROL))
 
 
 def fields(source: Column) -> Column:
-    groups = [every(source, FIELD, k).alias(f"g{k}") for k in range(1, 5)]
-    filled = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
-    made = F.transform(F.arrays_zip(*groups), lambda x: F.struct(filled(x["g2"], x["g3"]).alias("type"), filled(x["g1"], x["g4"]).alias("name")))
-    return F.filter(made, lambda f: f["type"].isNotNull() & f["name"].isNotNull())
+    def one(x):
+        filled = lambda a, b: F.coalesce(*[F.nullif(F.regexp_extract(x, FIELD, k), F.lit("")) for k in (a, b)])
+        return F.struct(filled(2, 3).alias("type"), filled(1, 4).alias("name"))
+
+    return F.filter(F.transform(every(source, FIELD, 0), one), lambda f: f["type"].isNotNull() & f["name"].isNotNull())
 
 
 def classified(files: DataFrame) -> DataFrame:

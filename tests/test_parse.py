@@ -1,6 +1,10 @@
+import random
+import re
+import time
+
 import pytest
 
-from codeatlas.functions import rules
+from codeatlas.functions import rules, spans
 from codeatlas.operators import bodies, chunk, parse
 from pyspark.sql import functions as F
 
@@ -47,10 +51,44 @@ def test_build_pattern_needs_a_bracket(spark):
 
 def test_method_bodies():
     source = "int a() { return b(); }\n  public void b() { if (x) { y(); } }\nvoid c() { {"
-    ends = bodies.brace_ends(source)
-    assert bodies.method_body(source, "a", ends) == "int a() { return b(); }"
-    assert bodies.method_body(source, "b", ends) == "return b(); }\n  public void b() { if (x) { y(); } }"
-    assert bodies.method_body(source, "c", ends) == "void c() { {" and bodies.method_body(source, "d", ends) == ""
+    assert bodies.bodies_of(source, {"a", "b", "c", "d"}) == {
+        "a": "int a() { return b(); }", "b": "return b(); }\n  public void b() { if (x) { y(); } }", "c": "void c() { {", "d": "",
+    }
+    assert bodies.bodies_of("prerun() { } run() { x }", {"run"}) == {"run": "run() { }"}  # the end of a longer word comes first
+
+
+def test_guarded_patterns_find_what_plain_ones_find():
+    rng = random.Random(4)
+    method = re.compile(r"(?:fun\s+)?(\w+)\s*\(([^)]*)\)\s*(?::\s*([\w<>\[\]?,]+))?\s*\{")
+    field = re.compile(r"(?:val|var)\s+(\w+)\s*:\s*([\w<>\[\]?,]+)|([\w<>\[\]?,]+)\s+(\w+)\s*[;=]")
+    parts = ["val", "var", "fun", "x", "List<A>", "é", " ", "\n", "(", ")", "{", ":", ";", "=", ",", "[]", "1"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(25)))
+        assert bodies.METHOD_HEAD.findall(text) == method.findall(text)
+        assert [m[0] for m in bodies.FIELD_HEAD.finditer(text)] == [m[0] for m in field.finditer(text)]
+
+
+def test_long_texts_are_parsed_in_time_linear_in_their_length(spark):
+    blob = "A" * 200_000
+    many = "".join(f"@M{k} class C{k} extends B{{ void m{k}() {{ n{k}(); }} }}\n" for k in range(9000))
+    begun = time.time()
+    code = parse.parse_code(files(spark, many[:500_000], blob, f'String s = "{blob}";'))
+    rows = chunk.with_bodies(code).groupBy("path").count().collect()
+    n = many[:500_000].count("class ")
+    assert max(r["count"] for r in rows) >= n - 1 and bodies.resolve_members(files(spark, many, blob)).count() == 9000
+    assert {len(c.annotations) for r in code.collect() for c in r.classes} <= set(range(8))
+    assert time.time() - begun < 60
+
+
+def test_pieces_of_texts(spark):
+    rng = random.Random(1)
+    texts = ["", "x", "1", "a1b", "".join(rng.choice("ab12 é\U0001f600,") for _ in range(9000)), "1,2,3," * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all("t", F.lit("[0-9]+"), F.lit(0)).alias("f"), F.split("t", "[0-9]+", -1).alias("g"))
+    cut = lambda f: f(F.col("f"), F.col("g"), 7, 1)
+    for r in df.select("t", spans.starts(F.col("f"), F.col("g")).alias("s"), cut(spans.texts_before).alias("b"), cut(spans.texts_after).alias("a")).collect():
+        found = list(re.finditer("[0-9]+", r.t))
+        assert r.s == [m.start() for m in found]
+        assert (r.b, r.a) == ([r.t[max(0, m.start() - 7) : m.start()] for m in found], [r.t[m.end() : m.end() + 7] for m in found])
 
 
 def test_members_belong_to_the_enclosing_class(spark):
