@@ -13,6 +13,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_ROWS, SLICE_CHARS = 256, 4_000_000
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start = chars = 0
     for i, n in enumerate(sizes):

@@ -1,4 +1,5 @@
 import re
+import time
 from hashlib import sha256
 
 from codeatlas.llm import pii
@@ -34,6 +35,32 @@ def test_base_matches_plain_search(spark, odd_docs, no_docs):
     assert pii.report(no_docs).count() == 0
 
 
+def test_long_runs_take_time_linear_in_the_text(spark):
+    valid = "4539578763621486 "
+    texts = [
+        ",".join("123456789"[k % 9] for k in range(500_000)), "x" * 1_000_000 + " a@b.cc", "7" * 1_000_000, "1.1.1.1 " * 60_000, valid * 30_000, "a@b.cc," * 60_000, "DE89370400440532013000 " * 20_000, "1 " * 500_000,
+        "my ssn 123-45-6789 " * 30_000,
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(len(texts))
+    begun = time.time()
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert time.time() - begun < 120
+    assert [got[0].n_card, got[1].spans, got[2].spans, got[3].n_ip, got[4].n_card, got[5].n_email] == [0, "email:1000001:1000007", "", 60_000, 0, 60_000]
+    assert (got[6].spans.count("iban"), got[7].spans, got[8].spans.count("ssn")) == (20_000, "", 30_000)
+
+
+def test_context_words_raise_the_score(spark):
+    rows = [(1, "DE89370400440532013000"), (2, "Konto DE89370400440532013000"), (3, "4539578763621486 is my card"), (4, "host 10.0.0.1, or 10.0.0.2" + " x" * 30 + " 10.0.0.3"), (5, None)]
+    got = {r.doc_id: r.scores for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "0.60", 2: "0.90", 3: "1.00", 4: "1.00,1.00,0.70", 5: ""}
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs = spark.createDataFrame([(1, "a@b.cc", "mine", 5)], "doc_id long, text string, spans string, _text int")
+    row = pii.detect(docs).first()
+    assert (row.spans, row._text, [x.kind for x in row.spans_]) == ("mine", 5, ["email"])
+
+
 def test_iban_needs_its_checksum_and_ssn_a_context_word(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "IBAN DE88370400440532013000"), (3, "my ssn is 123-45-6789"), (4, "part 123-45-6789")]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
