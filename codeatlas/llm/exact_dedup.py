@@ -3,13 +3,14 @@
 Texts are grouped by their MD5 and compared byte for byte inside a hash group, all in hash
 aggregates with map-side combining: a text that a third of all rows share leaves each map task
 as one row. Only hashes, ids and counts are joined back to the documents, so the text is
-shuffled once; the join is many-to-one and AQE splits its hot keys.
+shuffled once; the join is many-to-one and AQE splits its hot keys. Should different texts share a hash, only the
+rows of such hashes are joined on their texts too.
 
 Defined results: a null text counts as empty, empty texts are equal to each other; of equal
 texts the row with the largest (or smallest) id stays; ids are unique keys, so rows that repeat
 an id and its text are one document and get the same answer; a null id never beats another
-id, and a group of null ids only has a null ``keep_id`` and keeps its rows. Other columns pass through untouched; an
-empty table gives an empty result.
+id, and a group of null ids only has a null ``keep_id`` and keeps its rows. All columns of the caller come back with their values,
+whatever their names (a new column whose name is taken gets an underscore); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeatlas.llm.arrow import free_name
 from codeatlas.sources.scratch import durable
 
 
@@ -24,32 +26,48 @@ def md5_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def with_groups(docs: DataFrame, keep: str = "largest", hash_key=md5_key) -> DataFrame:
-    """``docs`` with ``keep_id``, ``group_size`` and ``kept`` after its own columns."""
+def _groups(docs: DataFrame, keep: str, hash_key) -> tuple[DataFrame, DataFrame | None]:
+    """(hash, texts, keep_id, group_size) of every hash, and (hash, body, keep_id, group_size) of those that different texts share."""
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
-    own = docs.drop("keep_id", "group_size", "kept", "_hash", "_body")
-    keyed = own.withColumn("_body", F.coalesce("text", F.lit(""))).withColumn("_hash", hash_key(F.col("_body")))
     best = F.max if keep == "largest" else F.min
-    texts = keyed.groupBy("_hash", "_body").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = durable(
-        texts.groupBy("_hash").agg(
-            best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("_texts")
-        ),
-        "exact-groups",
-    )
-    if groups.filter("_texts > 1").isEmpty():
-        joined = keyed.join(groups.drop("_texts"), "_hash")
-    else:  # different texts share a hash: the texts themselves are the key
-        joined = keyed.join(texts, ["_hash", "_body"])
-    return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        *own.columns, "keep_id", "group_size", "kept"
-    )
-
-
-def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    body = F.coalesce(docs["text"], F.lit(""))
+    texts = docs.select(hash_key(body).alias("hash"), body.alias("body"), docs["doc_id"].alias("id"))
+    texts = texts.groupBy("hash", "body").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    groups = durable(groups, "exact-groups")
+    shared = groups.filter("texts > 1").select("hash")
+    return groups, None if shared.isEmpty() else durable(texts.join(shared, "hash", "left_semi"), "exact-collisions")
+
+
+def with_groups(docs: DataFrame, keep: str = "largest", hash_key=md5_key) -> DataFrame:
+    """``docs`` with ``keep_id``, ``group_size`` and ``kept`` after its own columns."""
+    groups, collisions = _groups(docs, keep, hash_key)
+    names = [free_name(docs, c) for c in ("keep_id", "group_size", "kept")]
+    body = F.coalesce(docs["text"], F.lit(""))
+
+    def joined(found, on):
+        made = docs.join(found, on)
+        new = [found["keep_id"], found["group_size"], docs["doc_id"].eqNullSafe(found["keep_id"])]
+        return made.select(*[docs[c] for c in docs.columns], *[c.alias(n) for c, n in zip(new, names)])
+
+    single = groups.filter("texts = 1")
+    made = joined(single, hash_key(body) == single["hash"])
+    if collisions is not None:
+        made = made.unionByName(joined(collisions, (hash_key(body) == collisions["hash"]) & (body == collisions["body"])))
+    return made
+
+
+def drop_copies(docs: DataFrame, keep: str = "largest", hash_key=md5_key) -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
-    return with_groups(docs, keep).filter("kept").select(*docs.columns)
+    groups, collisions = _groups(docs, keep, hash_key)
+    body = F.coalesce(docs["text"], F.lit(""))
+    best = lambda found: (hash_key(body) == found["hash"]) & docs["doc_id"].eqNullSafe(found["keep_id"])
+    single = groups.filter("texts = 1")
+    made = docs.join(single, best(single), "left_semi")
+    if collisions is not None:
+        made = made.unionByName(docs.join(collisions, best(collisions) & (body == collisions["body"]), "left_semi"))
+    return made
 
 
 def report(docs: DataFrame) -> DataFrame:
