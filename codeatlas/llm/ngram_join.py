@@ -3,25 +3,27 @@
 Two documents are linked if the sets of their word shingles (five words, split at ASCII white
 space; a shorter text is one shingle) have a Jaccard similarity of 0.8 or more.
 
-1. Each text becomes its shingle set's 128-bit key and 128 MinHash values. Documents with the same
-   set form a class with one representative; copies are never compared.
+1. Each text becomes its set of 64-bit shingle hashes, that set's 128-bit key and 128 MinHash values. Documents with the same
+   set form a class with one representative row; copies are never compared.
 2. Representatives that agree in 4 MinHash values of one of 32 bands are candidates. A pair of similarity 0.8
    shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 3. MinHash values of a candidate pair are compared 16 at a time. With m of n equal the similarity has the
    posterior Beta(1 + m, 1 + n - m); a pair goes when its chance of reaching the threshold is under
    ``TOLERANCE``.
-4. What is left is verified on the whole shingle sets.
-5. Links are counted for each document, and connected classes get one id.
+4. What is left is verified on the whole shingle sets, which are stored once; texts are read in the first pass only.
+5. Links are counted for each document, and connected classes get one id. Classes are known by their set throughout, ids of
+   documents come in at the end.
 
 Skew: a bucket of up to ``SMALL`` representatives is joined to itself; a larger one is cut into
-blocks of bounded text, a task sees two blocks at a time, and returns link counts and
+blocks of bounded rows and shingles, a task sees two blocks at a time, and returns link counts and
 the edges of a spanning forest, never the pairs. A pair belongs to the first band that it agrees in,
 so nothing is counted twice and no pair list is made distinct. Exact link counts inside a group of g different
 texts take g * g / 2 comparisons, spread over the blocks' tasks.
 
 Defined results: a null text counts as empty; a text without words has no shingles, is linked to nothing
 and is a class of its own (``class_id`` is its id); rows without an id are returned with a null class
-and no links; rows that repeat an id count as copies; ties need no rule, since the smallest id names a class.
+and no links; rows that repeat an id are rows of their own: with the same text they are copies, with different texts they may be
+in different classes; ties need no rule, since the smallest id names a class.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from codeatlas.sources.scratch import durable
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS, STEP = 32, 4, 16
 HASHES = BANDS * ROWS
-SMALL, BLOCK_SHINGLES, TILE = 16, 1_000_000, 256
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES, TILE = 16, 400, 400_000, 256
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 MEMO = 400_000
 
@@ -91,19 +93,19 @@ def minhash(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key and signature (both null without words)."""
+    """doc_id, n_shingles, set_key, signature and shingles (all three null without words)."""
 
     def make():
         hashes, odd = WordHash(), minhash_parameters()
 
         def call(texts):
             sets = [shingle_set(t, hashes) for t in texts]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            return [len(s) for s in sets], keys, [minhash(s, odd).tobytes() if len(s) else None for s in sets]
+            some = lambda f: [f(s) if len(s) else None for s in sets]
+            return [len(s) for s in sets], some(lambda s: xxhash.xxh3_128_digest(s.tobytes())), some(lambda s: minhash(s, odd).tobytes()), some(np.ndarray.tobytes)
 
         return call
 
-    return map_slices(docs, ["doc_id"], ["text"], "n_shingles long, set_key binary, signature binary", make)
+    return map_slices(docs, ["doc_id"], ["text"], "n_shingles long, set_key binary, signature binary, shingles binary", make)
 
 
 def least_matches() -> list[int]:
@@ -137,6 +139,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both) - 1e-9
 
 
+def _hashes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
 def _signatures(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), HASHES)
 
@@ -157,17 +163,9 @@ def _small(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(a, b, copies and texts) -> a row for each end of each pair that is similar."""
-
-    def make():
-        hashes = WordHash()
-
-        def call(left, right):
-            return ([similar(shingle_set(x, hashes), shingle_set(y, hashes)) for x, y in zip(left, right)],)
-
-        return call
-
-    linked = map_slices(pairs, ["a", "b", "copies_a", "copies_b"], ["text_a", "text_b"], "linked boolean", make).filter("linked")
+    """(a, b, copies and shingles) -> a row for each end of each pair that is similar."""
+    make = lambda: lambda left, right: ([similar(_hashes(x), _hashes(y)) for x, y in zip(left, right)],)
+    linked = map_slices(pairs, ["a", "b", "copies_a", "copies_b"], ["shingles_a", "shingles_b"], "linked boolean", make).filter("linked")
     ends = F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("peer"), F.col("copies_b").alias("doc_links")), F.struct(F.col("b").alias("rep"), F.col("a").alias("peer"), F.col("copies_a").alias("doc_links")))
     return linked.select(F.inline(ends)).select("rep", "peer", F.lit(1).cast("long").alias("text_links"), "doc_links")
 
@@ -202,8 +200,7 @@ def _block_links(pdf, least):
     """Link counts and forest edges of the pairs of two blocks (or of one) of a large bucket."""
     import pandas as pd
 
-    hashes = WordHash()
-    sets = [shingle_set(t, hashes) for t in pdf["text"]]
+    sets = [_hashes(x) for x in pdf["shingles"]]
     sig, band = _signatures(list(pdf["signature"])), int(pdf["band"].iloc[0])
     reps, copies, block = pdf["rep"].to_list(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
     low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
@@ -239,9 +236,8 @@ def _block_links(pdf, least):
     return pd.DataFrame({"rep": [reps[k] for k in at], "peer": [reps[find(int(k))] for k in at], "text_links": text_links[at], "doc_links": doc_links[at]})
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (rep, peer, text_links, doc_links): partial link counts of a representative, and an edge to ``peer``."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     keys = F.array(*[F.xxhash64(F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS), F.lit(k)) for k in range(BANDS)])
     bands = classes.select("rep", "n_shingles", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).filter("members > 1")
@@ -254,26 +250,24 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = durable(_small(pairs), "ngram-pairs")
 
     large = members.filter(F.col("members") > SMALL)
-    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
+    blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("members") / BLOCK_ROWS)).cast("int")
     large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     units = large.select("rep", "band", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     units = units.select("rep", "band", "key", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
 
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(large.select("rep")).distinct()
-    texts = durable(
-        wanted.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").groupBy("rep").agg(F.max("text").alias("text")).join(classes.select("rep", "copies", "signature"), "rep"),
-        "ngram-texts",
-    )
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("copies").alias(f"copies_{x}"), F.col("text").alias(f"text_{x}"))
+    whole = sets.select(F.col("row").alias("rep"), "shingles").join(wanted, "rep")
+    whole = durable(whole.join(classes.select("rep", "copies", "signature"), "rep"), "ngram-shingles")
+    side = lambda x: whole.select(F.col("rep").alias(x), F.col("copies").alias(f"copies_{x}"), F.col("shingles").alias(f"shingles_{x}"))
     found = _verified(pairs.join(side("a"), "a").join(side("b"), "b"))
 
     least = least_matches()
-    blocks = units.join(texts, "rep").groupBy("band", "key", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, least), f"rep {id_type}, peer {id_type}, text_links long, doc_links long")
+    blocks = units.join(whole, "rep").groupBy("band", "key", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, least), "rep long, peer long, text_links long, doc_links long")
     return durable(found.unionByName(blocks), "ngram-links")
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(rep, class_id): the smallest id that each end of the edges (u, v) is connected to.
+    """(rep, root): the smallest node that each end of the edges (u, v) is connected to.
 
     Rounds of large-star and small-star steps; each node's neighbours are only ever reduced to their
     smallest, never collected.
@@ -296,7 +290,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         current = durable(star(star(current, small=False), small=True), "cc")
         after = mark(current)
         if after == before:
-            return current.groupBy("u").agg(F.min("v").alias("class_id")).withColumnRenamed("u", "rep")
+            return current.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "rep")
         before = after
     raise RuntimeError("components did not settle")
 
@@ -307,23 +301,22 @@ def join(docs: DataFrame) -> DataFrame:
     ``set_id`` is the smallest id with the same shingle set, ``n_links`` counts all other linked documents
     (copies too), ``n_text_links`` the linked classes with other shingle sets.
     """
-    docs = docs.select("doc_id", "text")
-    sets = durable(sketch(docs), "ngram-sets")
+    sets = durable(sketch(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
     usable = sets.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = durable(
-        usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")),
-        "ngram-classes",
-    )
-    found = links(docs, classes)
+    grouped = usable.groupBy("set_key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies"))
+    classes = durable(grouped.join(sets.select(F.col("row").alias("rep"), "n_shingles", "signature"), "rep"), "ngram-classes")
+    found = links(classes, sets)
     counts = found.groupBy("rep").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("peer").alias("v")))
-    known = classes.select("set_key", "rep", "copies").join(counts, "rep", "left").join(groups, "rep", "left")
+    known = classes.select("set_key", "rep", "set_id", "copies").join(counts, "rep", "left").join(groups, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    names = known.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    known = known.join(names, "root")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     owned = F.col("doc_id").isNotNull()
     return sets.select("doc_id", "n_shingles", "set_key").join(known, "set_key", "left").select(
         "doc_id",
-        F.when(owned, F.coalesce("class_id", "rep", "doc_id")).alias("class_id"),
-        F.when(owned, F.coalesce("rep", "doc_id")).alias("set_id"),
+        F.when(owned, F.coalesce("class_id", "doc_id")).alias("class_id"),
+        F.when(owned, F.coalesce("set_id", "doc_id")).alias("set_id"),
         "n_shingles",
         F.when(owned, zero("doc_links") + F.greatest(zero("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         F.when(owned, zero("text_links")).otherwise(0).cast("long").alias("n_text_links"),
@@ -331,6 +324,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each class the document with the smallest id, with the columns of ``docs``; rows without an id stay."""
-    found = join(docs).filter("doc_id IS NOT NULL AND doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
+    """Of each class the document with the smallest id, with the columns of ``docs``; rows without an id stay.
+
+    An id goes when none of its rows names its class (rows that repeat an id with different texts stand or fall together).
+    """
+    found = join(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("class_id")).alias("gone"))
+    gone = found.filter("gone").select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")

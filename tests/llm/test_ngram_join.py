@@ -2,6 +2,7 @@ import itertools
 import random
 
 from codeatlas.llm import ngram_join as nj
+from tests.conftest import SMALL
 
 
 def brute(rows):
@@ -56,11 +57,31 @@ def corpus():
 
 def test_join_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK_SHINGLES", 3000)  # several blocks
+    monkeypatch.setattr(nj, "BLOCK_ROWS", 25)
     rows = corpus()
     got = nj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted((r.doc_id, r.class_id, r.n_links, r.n_text_links) for r in got.collect()) == brute(rows)
 
 
+def test_given_documents_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.n_text_links) for r in nj.join(docs).collect()) == brute(rows)
+
+
+def test_rows_that_repeat_an_id_stand_for_themselves(spark):
+    w, v = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, w, "a"), (1, v, "b"), (2, w, "c"), (3, v, "d"), (4, v + " x", "e"), (4, "other words here", "f"), (None, w, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set_key string")
+    got = sorted((r.doc_id, r.class_id, r.set_id, r.n_links) for r in nj.join(docs).collect() if r.doc_id)
+    assert got == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1), (4, 4, 4, 0), (4, 4, 4, 0)]
+    later = spark.createDataFrame([(1, w), (2, w), (2, v), (3, v), (5, w)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in nj.join(later).collect()) == [(1, 1), (2, 1), (2, 2), (3, 2), (5, 1)]
+    assert sorted(tuple(r) for r in nj.keep_first(later).collect()) == [(1, w), (2, w), (2, v)]
+    kept = nj.keep_first(docs).collect()
+    assert sorted(r.set_key for r in kept) == ["a", "b", "e", "f", "g"]
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = nj.join(odd_docs).collect()
     assert len(got) == odd_docs.count()
