@@ -1,45 +1,48 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. Every page becomes tokens: a tag with its path of containers, or a whole text chunk with the path
-   of the tag around it.
-2. For each host and token an occurrence vector over the host's pages is fingerprinted: the XOR of hashes of (page,
-   count), an aggregate with map-side combining, so that a hot host never meets in one task.
-   Tokens of a host with the same fingerprint form an equivalence class.
-3. A class is valid if it has two tokens or more and occurs in at least half of the host's pages (of three or more). Tokens
-   hold their path, so those of a class that lie in tags of another class are parts of it, each nested in that class; a
-   menu's items and a line in a paragraph do not make each other invalid. The valid classes are the host's template; at
-   most twice the tokens of an average page are in it.
-4. Each page is read against its host's template: template texts are dropped, what remains are slots. The slots of the
-   main containers (each outermost ``article`` or ``main`` with all that is nested in it, in page order; without any, the body) are
-   the text; a container that is all template goes when another one has slots. Out go the slots of menus, headers, footers,
-   sidebars, notices, adverts, forms and comments, which tags, roles and class names show.
-
-Inside ``article`` or ``main`` the template needs a stronger support, ``INSIDE_PAGES`` pages and ``INSIDE_SUPPORT`` of the host's, so that text
-which happens to be on all pages of a small host is not lost, and drops whole blocks only, so that no sentence loses a word
-between tags. A page of which nothing would remain (all pages of its host are copies) keeps its texts.
+1. Every page is read once into nodes (paths of nested tags, with how often each occurs and how much text is below it) and
+   pieces of text (each with its node and its block); both are stored.
+2. Pages are grouped by host; pages of hosts with fewer than ``MIN_PAGES`` are grouped by their layout (the set of their paths) instead.
+   Tokens of a page are its nodes and its pieces (node and text). For each group and token an occurrence vector over the
+   group's pages is fingerprinted: two sums of hashes of (page, count), aggregates with map-side combining, so that a hot
+   host never meets in one task. Tokens of a group with the same fingerprint form an equivalence class.
+3. A class is valid if it has two tokens or more and occurs in at least half of the group's pages. Tokens hold their path, so classes nest in
+   each other along the paths. The valid classes are the group's template; at most twice the tokens of an average page are in it.
+4. The template's main slot is found from the root: it is entered child by child as long as a child container of a valid class
+   holds half of the group's text or more, not counting text that the template repeats. It ends at an ``article`` or ``main``, or where the
+   heading stands, so that heading and lead stay.
+5. A page's text is what it has in its template's main slot, without the blocks that the template repeats there. In an ``article`` or ``main``
+   the support must be stronger for that, ``INSIDE_PAGES`` pages and ``INSIDE_SUPPORT`` of the group's, so that text which happens to be on all pages of a
+   small host is not lost; whole blocks go only, so that no sentence loses a word between tags. A page of which nothing
+   would remain (all pages of its host are copies) keeps its texts.
+
+Names of tags, roles and classes supplement this: inside the main slot they mark notices, forms, adverts and comments, and a page
+without a main slot (no template, no dominating slot, or a page of another kind) is read by them alone: the outermost ``article`` and
+``main`` containers in page order, or the body without template texts.
 
 Templates go to the pages by broadcast while they hold at most ``BROADCAST_TOKENS`` tokens in all (measured on the written
-table), else by a join on the host.
+table), else by a join on the group.
 
-Defined results: null or empty html gives an empty text; a page without a host in its url is read without a template; pages
-that repeat an id or url count each; markup that is cut off or badly nested is read as far as it goes.
+Defined results: null or empty html gives an empty text; a page without a host in its url is grouped by its layout; rows that
+repeat a page count each; markup that is cut off or badly nested is read as far as it goes; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.arrow import map_slices
+from codeatlas.llm.arrow import free_name, map_slices
 from codeatlas.sources.scratch import durable
 
 MIN_PAGES, SUPPORT, MIN_TOKENS, BROADCAST_TOKENS = 3, 0.5, 2, 500_000
-INSIDE_PAGES, INSIDE_SUPPORT = 10, 0.9
+INSIDE_PAGES, INSIDE_SUPPORT, MAIN_SHARE = 10, 0.9, 0.5
 
 # Kinds of elements and the words in class, id and role that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +58,8 @@ MARKS = set(
     " gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies reply share sharing"
     " sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
 )
+#: Elements that are blocks of text, not containers of an article.
+LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr figure figcaption caption summary".split())
 NO_MAIN = set("ad ads advert comment comments related reply teaser".split())
 ROLES = set("navigation banner complementary contentinfo search dialog form alert menu menubar".split())
 CLOSED_BY = {"head": {"body"}, "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -98,87 +103,154 @@ def is_boilerplate(name: str, attrs: dict, inside: bool) -> bool:
     return bool(marked) or attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true"
 
 
-def walk(page: str):
-    """Tokens of a page: (kind, name or text, path hash, hash of the enclosing path, depth of boilerplate, main container).
+@dataclass(slots=True)
+class Page:
+    """Nodes: path hash, index of the parent (-1 for the root), tag, whether names mark it, its name container, times, characters below.
 
-    Kinds: open, close, text. Containers are numbered in order: 0 is outside of ``article`` and ``main``, and what is nested
-    in an ``article`` or ``main`` belongs to the outermost one.
+    Pieces: node, block and text; a block's pieces follow each other.
     """
-    stack: list[tuple] = [("", 0, 0, 0)]  # name, path hash, boilerplate, container
-    containers = 0
-    for kind, name, attrs in events(page):
+
+    path: list[int] = field(default_factory=list)
+    up: list[int] = field(default_factory=list)
+    tag: list[str] = field(default_factory=list)
+    marked: list[bool] = field(default_factory=list)
+    times: list[int] = field(default_factory=list)
+    chars: list[int] = field(default_factory=list)
+    node: list[int] = field(default_factory=list)
+    container: list[int] = field(default_factory=list)
+    block: list[int] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)
+
+
+def read_page(html: str) -> Page:
+    """Nodes and pieces of a page; containers are the outermost ``article`` and ``main`` in order, 0 is outside of them."""
+    page, places = Page(), {}
+
+    def node(path, up, tag, marked):
+        if path not in places:
+            places[path] = len(page.path)
+            for column, value in ((page.path, path), (page.up, up), (page.tag, tag), (page.marked, marked), (page.times, 0), (page.chars, 0)):
+                column.append(value)
+        page.times[places[path]] += 1
+        return places[path]
+
+    stack = [("", node(0, -1, "", False), 0, 0)]  # name, node, depth of marks, container
+    blocks = containers = 0
+    last = None  # node, marks and container of the piece at hand
+
+    for kind, name, attrs in events(html):
         if kind == "text":
-            yield kind, name, None, stack[-1][1], stack[-1][2], stack[-1][3]
-        elif kind == "open":
+            _, at, low, container = stack[-1]
+            if last and last[1:] == (low > 0, container, blocks):
+                page.text[-1] += name
+            elif name and not (name.isspace() and (not last or last[3] != blocks)):
+                for column, value in ((page.node, at), (page.container, container), (page.block, blocks), (page.text, name)):
+                    column.append(value)
+                last = at, low > 0, container, blocks
+            continue
+        blocks += name in BLOCKS
+        if name == "br" and last and last[3] == blocks:
+            page.text[-1] += " "
+        if kind == "open":
             for k in range(len(stack) - 1, 0, -1):
                 if name in CLOSED_BY.get(stack[k][0], ()):
                     del stack[k:]
                     break
                 if stack[k][0] in BLOCKS and stack[k][0] not in CLOSED_BY:
                     break
-            parent = stack[-1]
-            path = xxhash.xxh3_64_intdigest(f"{parent[1]}/{name}.{attrs.get('class', '')}#{attrs.get('role', '')}") - (1 << 63)
-            container = parent[3]
-            if name in ("article", "main") and not parent[2] and not container:
+            _, up, low, container = stack[-1]
+            marked = is_boilerplate(name, attrs, bool(container))
+            if name in ("article", "main") and not low and not container:
                 containers += 1
                 container = containers
-            low = parent[2] + is_boilerplate(name, attrs, bool(parent[3]))
-            yield kind, name, path, parent[1], low, container
+            path = xxhash.xxh3_64_intdigest(f"{page.path[up]}/{name}.{attrs.get('class', '')}#{attrs.get('role', '')}") - (1 << 63)
+            at = node(path, up, name, marked)
             if name not in VOID:
-                stack.append((name, path, low, container))
+                stack.append((name, at, low + marked, container))
         else:
             at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
             if at:
                 del stack[at:]
-            yield kind, name, None, stack[-1][1], stack[-1][2], stack[-1][3]
+    for at, text in zip(page.node, page.text):
+        n = len(" ".join(text.split()))
+        while at >= 0:
+            page.chars[at] += n
+            at = page.up[at]
+    return page
+
+
+def piece_token(path: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}:{' '.join(text.split())}") - (1 << 63)
+
+
+def tokens_of(page: Page) -> list[tuple[int, int, int, int, str]]:
+    """(token, times, path above, characters, tag): the nodes, then the pieces with a text (their tag is empty)."""
+    nodes = [(p, n, page.path[u] if u >= 0 else 0, c, t) for p, n, u, c, t in zip(page.path, page.times, page.up, page.chars, page.tag)][1:]
+    pieces = Counter((piece_token(page.path[at], text), page.path[at], len(flat)) for at, text in zip(page.node, page.text) if (flat := " ".join(text.split())))
+    return nodes + [(token, n, path, n * size, "") for (token, path, size), n in pieces.items()]
+
+
+def main_slot(nodes: list, pieces: list) -> tuple[int | None, str]:
+    """The path and tag of the main slot, None without one: ``nodes`` are (path, above, tag, characters, valid), ``pieces`` (above, characters) what the template repeats."""
+    net = {p: c for p, _, _, c, _ in nodes}
+    above = {p: a for p, a, *_ in nodes}
+    for at, c in pieces:
+        while at in net:
+            net[at] -= c
+            at = above[at]
+    children = defaultdict(list)
+    for p, a, tag, _, valid in nodes:
+        children[a if a in above else None].append((net[p], p, tag, valid))
+    total = sum(c[0] for c in children[None])
+    at, tag = None, ""
+    while tag not in ("article", "main") and not any(t == "h1" for *_, t, _ in children[at]):
+        best = max((c for c in children[at] if c[3] and c[2] not in LEAVES and c[2] != "head"), default=None)
+        if not best or best[0] <= 0 or best[0] < MAIN_SHARE * total:
+            break
+        _, at, tag, _ = best
+    return (None, "") if tag in ("", "html", "body") else (at, tag)
+
+
+def main_text(page: Page, main: int | None = None, template: set[int] = frozenset(), inside: set[int] = frozenset()) -> str:
+    """The slots of the main slot, a line for each block; by names alone where there is none."""
+
+    def rest(chosen, fixed):
+        """Lines of the chosen pieces that are not fixed."""
+        lines: dict[int, str] = {}
+        for k in chosen:
+            lines[page.block[k]] = lines.get(page.block[k], "") + ("" if fixed(k) else page.text[k])
+        return [x for text in lines.values() if (x := " ".join(text.split()))]
+
+    def marked(at, top):
+        while at >= 0 and page.path[at] != top:
+            if page.marked[at]:
+                return True
+            at = page.up[at]
+        return False
 
+    def within(at):
+        while at >= 0 and page.path[at] != main:
+            at = page.up[at]
+        return at >= 0
 
-def text_token(path: int, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}:{text}") - (1 << 63)
+    token = lambda k: piece_token(page.path[page.node[k]], page.text[k])
 
+    def slots(chosen, known):
+        chosen = list(chosen)
+        by_block: dict[int, bool] = {}
+        for k in chosen:
+            if page.text[k].strip():
+                by_block[page.block[k]] = by_block.get(page.block[k], True) and bool(known) and token(k) in known
+        return rest(chosen, lambda k: by_block.get(page.block[k], False)) or rest(chosen, lambda k: False)
 
-def page_tokens(page: str) -> list[tuple[int, int]]:
-    """(token, times it occurs)."""
-    found: Counter = Counter()
-    for kind, name, path, parent, _, _ in walk(page):
-        if kind == "open":
-            found[path] += 1
-        elif kind == "text" and (text := " ".join(name.split())):
-            found[text_token(parent, text)] += 1
-    return list(found.items())
-
-
-def main_text(page: str, template: set[int], inside: set[int] = frozenset()) -> str:
-    """The slots of the main containers, a line for each block; ``inside`` are the template tokens that count in them."""
-    blocks: list[tuple[int, str, bool]] = []  # container, text, whether all of it is template
-    parts: list[str] = []
-    at, fixed = 0, True
-
-    def end_block():
-        nonlocal fixed
-        if text := " ".join("".join(parts).split()):
-            blocks.append((at, text, fixed))
-        parts.clear()
-        fixed = True
-
-    for kind, name, path, parent, low, container in walk(page):
-        if kind == "text":
-            text = " ".join(name.split())
-            if low or not container and text and text_token(parent, text) in template:
-                continue
-            if container != at:
-                end_block()
-                at = container
-            parts.append(name)
-            if text and fixed:
-                fixed = bool(container and inside) and text_token(parent, text) in inside
-        elif name in BLOCKS:
-            end_block()
-        elif name == "br":
-            parts.append(" ")
-    end_block()
-    found = [(text, fixed) for c, text, fixed in blocks if c] or [(text, False) for _, text, _ in blocks]
-    return "\n".join([text for text, fixed in found if not fixed] or [text for text, _ in found])
+    every = range(len(page.text))
+    if main is not None:
+        found = slots((k for k in every if within(page.node[k]) and not marked(page.node[k], main)), inside)
+        if found:
+            return "\n".join(found)
+    plain = [k for k in every if not marked(page.node[k], None)]
+    found = slots((k for k in plain if page.container[k]), inside)
+    return "\n".join(found or slots(plain, template))
 
 
 def host_of(url: str | None) -> str | None:
@@ -186,56 +258,87 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens array<long>, inside array<long>, classes long): the valid classes of each host."""
+PAGE = "path array<long>, up array<int>, tag array<string>, marked array<boolean>, times array<int>, chars array<long>, node array<int>, container array<int>, block array<int>, text array<string>"
+TOKENS = "token array<long>, token_times array<int>, above array<long>, token_chars array<long>, token_tag array<string>"
+
+
+def pages_read(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns, the group of each page, its nodes and pieces, and its tokens."""
 
     def make():
         def call(htmls, urls):
-            rows = [page_tokens(h or "") if host_of(u) else [] for h, u in zip(htmls, urls)]
-            return [host_of(u) for u in urls], [[t[0] for t in r] for r in rows], [[t[1] for t in r] for r in rows]
+            read = [read_page(h or "") for h in htmls]
+            tokens = [tokens_of(p) for p in read]
+            layouts = [xxhash.xxh3_64_hexdigest(str(sorted(p.path))) for p in read]
+            return [host_of(u) for u in urls], layouts, *[[getattr(p, c) for p in read] for c in Page.__slots__], *[[[t[k] for t in ts] for ts in tokens] for k in range(5)]
 
         return call
 
-    read = map_slices(pages, ["page_id", "url"], ["html", "url"], "host string, token array<long>, times array<int>", make)
-    read = read.filter("host IS NOT NULL").withColumn("page", F.xxhash64("page_id", "url"))
-    tokens = read.select("host", "page", F.inline(F.arrays_zip("token", "times")))
-    vectors = tokens.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count(F.lit(1)).alias("pages"))
-    hosts = read.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    often = vectors.filter(F.col("pages") >= MIN_PAGES).join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("of"))
-    strong = (F.col("pages") >= INSIDE_PAGES) & (F.col("pages") >= INSIDE_SUPPORT * F.col("of"))
-    often = durable(often.select("host", "token", F.xxhash64("vector", "pages").alias("class"), strong.alias("strong")), "html-tokens")
-    valid = often.groupBy("host", "class").agg(F.countDistinct("token").alias("size")).filter(F.col("size") >= MIN_TOKENS).select("host", "class")
-    return often.join(valid, ["host", "class"]).groupBy("host").agg(
-        F.sort_array(F.collect_set("token")).alias("tokens"), F.sort_array(F.collect_set(F.when(F.col("strong"), F.col("token")))).alias("inside"), F.countDistinct("class").alias("classes")
+    order = dict(x.split(" ") for x in PAGE.split(", "))
+    out = "host string, layout string, " + ", ".join(f"{c} {order[c]}" for c in Page.__slots__) + ", " + TOKENS
+    read = durable(map_slices(pages, keep, ["html", "url"], out, make), "html-read")
+    hosts = read.filter("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") >= MIN_PAGES).select("host", F.concat(F.lit("host "), "host").alias("known"))
+    return read.join(hosts, "host", "left").withColumn("group", F.coalesce("known", F.concat(F.lit("layout "), "layout"))).drop("known", "layout", "host")
+
+
+def template_tokens(read: DataFrame) -> DataFrame:
+    """(group, token, above, tag, chars, strong, class, valid): the tokens of at least half of a group's pages."""
+    page = F.xxhash64(*[c for c in ("page_id", "url") if c in read.columns])
+    rows = read.select("group", page.alias("page"), F.inline(F.arrays_zip("token", "token_times", "above", "token_chars", "token_tag")))
+    mark = lambda seed: F.sum(F.pmod(F.xxhash64("page", "token_times", F.lit(seed)), F.lit(1 << 31)))
+    vectors = rows.groupBy("group", "token").agg(
+        mark(1).alias("v1"), mark(2).alias("v2"), F.count(F.lit(1)).alias("pages"), F.min("above").alias("above"), F.min("token_tag").alias("tag"), F.sum("token_chars").alias("chars")
     )
+    groups = read.groupBy("group").agg(F.count(F.lit(1)).alias("of"))
+    often = vectors.filter(F.col("pages") >= MIN_PAGES).join(groups, "group").filter(F.col("pages") >= SUPPORT * F.col("of"))
+    strong = (F.col("pages") >= INSIDE_PAGES) & (F.col("pages") >= INSIDE_SUPPORT * F.col("of"))
+    often = durable(often.select("group", "token", "above", "tag", "chars", strong.alias("strong"), F.xxhash64("v1", "v2", "pages").alias("class")), "html-tokens")
+    sizes = often.groupBy("group", "class").agg((F.count(F.lit(1)) >= MIN_TOKENS).alias("valid"))
+    return often.join(sizes, ["group", "class"])
+
+
+def templates(read: DataFrame) -> DataFrame:
+    """(group, main, tokens, inside, n_template): the main slot, the repeated pieces, those with strong support, and the size of each template."""
+    tokens = template_tokens(read)
+    node = F.when(F.col("tag") != "", F.struct("token", "above", "tag", "chars", "valid"))
+    piece = F.when((F.col("tag") == "") & F.col("valid"), F.struct("token", "above", "chars", "strong"))
+    listed = tokens.groupBy("group").agg(F.collect_list(node).alias("nodes"), F.collect_list(piece).alias("pieces"), F.count_if("valid").alias("n_template"))
+
+    def make():
+        def one(nodes, pieces):
+            main, tag = main_slot([tuple(n.values()) for n in nodes], [(p["above"], p["chars"]) for p in pieces])
+            frame = main is not None and tag not in ("article", "main")
+            return main, sorted(p["token"] for p in pieces), sorted(p["token"] for p in pieces if p["strong"] or frame)
+
+        return lambda nodes, pieces: list(zip(*map(one, nodes, pieces)))
+
+    return map_slices(listed, ["group", "n_template"], ["nodes", "pieces"], "main long, tokens array<long>, inside array<long>", make)
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``text`` and ``n_template``, the number of template tokens of the host."""
-    pages = pages.select(*dict.fromkeys([*keep, "page_id", "url", "html"]))
-    found = durable(templates(pages), "html-templates")
-    size = found.agg(F.sum(F.size("tokens") + F.size("inside"))).first()[0] or 0
-    side = found.select(F.col("host").alias("_host"), F.col("tokens").alias("_tokens"), F.col("inside").alias("_inside"))
-    side = F.broadcast(side) if size <= BROADCAST_TOKENS else side
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    joined = pages.withColumn("_host", host).join(side, "_host", "left")
+    """``keep`` columns, ``text`` and ``n_template``, the number of tokens of the page's template."""
+    kept = F.struct(*[F.col(c) for c in keep]).alias("kept")  # whatever the columns are called
+    read = pages_read(pages.select(kept, "page_id", "url", "html"), ["kept", "page_id", "url"])
+    found = durable(templates(read), "html-templates")
+    size = found.agg(F.sum(F.size("tokens") + F.size("inside") + 1)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_TOKENS else found
+    joined = read.join(found, "group", "left").withColumn("n_template", F.coalesce("n_template", F.lit(0)))
+    names = [free_name(pages.select(*keep), c) for c in ("text", "n_template")]
 
     def make():
         sets: dict[str, tuple[set, set]] = {}
 
-        def call(htmls, hosts, tokens, insides):
-            texts = []
-            for h, host, t, inside in zip(htmls, hosts, tokens, insides):
-                if host not in sets:
-                    if len(sets) > 500:
-                        sets.clear()
-                    sets[host] = set(t or ()), set(inside or ())
-                texts.append(main_text(h or "", *sets[host]))
-            return texts, [len(t or ()) for t in tokens]
+        def one(group, main, tokens, inside, *columns):
+            if group not in sets:
+                if len(sets) > 500:
+                    sets.clear()
+                sets[group] = set(tokens or ()), set(inside or ())
+            return main_text(Page(*columns), main, *sets[group])
 
-        return call
+        return lambda texts, *columns: ([one(*x) for x in zip(*columns)],)
 
-    return map_slices(joined, keep, ["html", "_host", "_tokens", "_inside"], "text string, n_template long", make)
+    made = map_slices(joined, ["kept", "n_template"], ["text", "group", "main", "tokens", "inside", *Page.__slots__], "main_text string", make)
+    return made.select("kept.*", F.col("main_text").alias(names[0]), F.col("n_template").alias(names[1]))
 
 
 def report(pages: DataFrame) -> DataFrame:

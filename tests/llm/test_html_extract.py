@@ -1,4 +1,10 @@
+import html as htmllib
+import random
+import re
+from collections import Counter, defaultdict
+
 from codeatlas.llm import html_extract as he
+from tests.conftest import SMALL
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{{}}</style></head><body><nav><ul><li><a href="/a">menu{k}</a></li></ul></nav><header>Site head</header>'
@@ -40,7 +46,7 @@ def test_template_texts_inside_the_article_go_on_large_hosts(spark):
 
 
 def test_all_containers_count():
-    text = lambda page: he.main_text(page, set())
+    text = lambda page: he.main_text(he.read_page(page))
     card = "<article class='card'>Card</article>"
     assert text(f"<body><div>menu</div><main><h1>H</h1><p>Lead</p>{card}<article><p>A</p><article>Inner</article>B</article><p>End</p></main></body>") == "H\nLead\nCard\nA\nInner\nB\nEnd"
     assert text(f"<body>{card}<main><p>A long body of the page</p></main></body>") == "Card\nA long body of the page"
@@ -53,3 +59,51 @@ def test_hosts_on_one_layout_keep_their_own_templates(spark):
     rows = [(10 * h + k, f"http://host{h}.org/{k}", page.format(h=h, k=k)) for h in range(12) for k in range(4)]
     got = he.report(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
     assert {(r.page_id, r.text) for r in got} == {(10 * h + k, f"Body {k} of {h}") for h in range(12) for k in range(4)}
+
+
+def test_templates_alone_find_the_given_articles(spark, monkeypatch):
+    """With all names of boilerplate forgotten the templates give the same texts."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    named = sorted((r.page_id, r.text) for r in he.report(pages).collect())
+    for names in ("MARKS", "DROPPED", "DROPPED_OUTSIDE", "ROLES"):
+        monkeypatch.setattr(he, names, set())
+    assert sorted((r.page_id, r.text) for r in he.report(pages).collect()) == named
+    article = lambda html: re.sub(r"<[^>]*>", " ", re.search(r"(?s)<article>(.*)</article>", html)[1])
+    plain = lambda text: " ".join(htmllib.unescape(text).split())
+    assert [(r.page_id, plain(article(r.html))) for r in pages.orderBy("page_id").collect()] == [(i, plain(t)) for i, t in named]
+
+
+def test_classes_match_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        parts = [f"<div class='{c}'>{rng.choice(['same', f'other {k}'])}<p>{c}</p></div>" * rng.randrange(3) for c in "abcd"]
+        rows.append((k, f"http://h{k % 3}.org/{k}", "<body><h1>Top</h1>" + "".join(parts) + f"<footer>end{k % 2}</footer></body>"))
+    rows += rows[:4]
+    read = he.pages_read(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"])
+    got = {(r.group, r.token): r.valid for r in he.template_tokens(read).collect()}
+    vectors, sizes = defaultdict(lambda: defaultdict(list)), Counter(f"host {he.host_of(u)}" for _, u, _ in rows)
+    for n, (_, url, html) in enumerate(rows):
+        for token, times, *_ in he.tokens_of(he.read_page(html)):
+            vectors[f"host {he.host_of(url)}"][token].append((n, times))
+    want = {}
+    for group, tokens in vectors.items():
+        often = {t: tuple(v) for t, v in tokens.items() if len(v) >= max(he.MIN_PAGES, he.SUPPORT * sizes[group])}
+        classes = Counter(often.values())
+        want |= {(group, t): classes[v] >= he.MIN_TOKENS for t, v in often.items()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_main_slot_without_names(spark):
+    page = "<body><div class='x1'>Go {h} <a>{k}</a></div><div class='x2'><div class='y'><h2>T{k}</h2>{ps}</div></div><div class='x3'>{k} other stories</div></body>"
+    rows = [(k, f"http://h.org/{k}", page.format(h="home", k=k, ps="".join(f"<p>Paragraph {i} of the story {k}</p>" for i in range(1 + k % 4)))) for k in range(8)]
+    got = {r.page_id: r.text for r in he.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].split("\n") == [f"T{k}", *[f"Paragraph {i} of the story {k}" for i in range(1 + k % 4)]] for k in range(8))
+
+
+def test_long_pages_and_columns_of_the_caller(spark):
+    long = "<article>" + "<p>word <b>bold</b> &amp; more</p>" * 100_000 + "</article>"
+    rows = [(1, "http://a.org/", long, "mine", "g", 5), (2, "http://a.org/2", "<div>" * 3000 + "deep", "yours", "h", 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, `group` string, kept int")
+    got = he.extract(pages, ["page_id", "text", "group", "kept"]).orderBy("page_id").collect()
+    assert [(r.page_id, r.text, r.group, r.kept) for r in got] == [(1, "mine", "g", 5), (2, "yours", "h", 6)]
+    assert got[0].text_.split("\n") == ["word bold & more"] * 100_000 and got[1].text_ == "deep"
