@@ -12,12 +12,19 @@ NO_CONTEXT = "(No relevant context found)"
 MAX_SOURCE, MAX_CHUNK, MAX_CONTEXT = 500_000, 1500, 12_000
 
 # What marks a question about structure.
-STRUCTURAL = (
-    r"(?i)\b(?:depend|depends|dependency|dependencies)\b|\b(?:inherit|extends|subclass|superclass|parent class)\b|\b(?:implements|interface)\b"
-    r"|\b(?:calls?|invokes?|call chain|call graph)\b|\b(?:imports?|imported by)\b|\bwhat classes\b|\bwho uses\b|\bimpact of changing\b"
-    r"|\bconnected to\b|\brelationship between\b"
-)
-MENTION = r"\b([A-Z][a-zA-Z0-9]{2,})\b"
+STRUCTURAL = [
+    r"\b(depend|depends|dependency|dependencies)\b",
+    r"\b(inherit|extends|subclass|superclass|parent class)\b",
+    r"\b(implements|interface)\b",
+    r"\b(calls?|invokes?|call chain|call graph)\b",
+    r"\b(imports?|imported by)\b",
+    r"\bwhat classes\b",
+    r"\bwho uses\b",
+    r"\bimpact of changing\b",
+    r"\bconnected to\b",
+    r"\brelationship between\b",
+]
+MENTION = r"(?U)\b([A-Z][a-zA-Z0-9]{2,})\b"
 # Control tokens that models leak.
 LEAKED = ["<|im_start|>", "<|im_end|>", "<|EOT|>", "<|endoftext|>"]
 # Labels before an answer, echoes of the instruction, and lines that are headings without a mark.
@@ -62,7 +69,7 @@ def quoted_terms(question: Column) -> Column:
 
 
 def is_structural(question: Column) -> Column:
-    return question.rlike(STRUCTURAL)
+    return question.rlike("(?i)" + "|".join(STRUCTURAL))
 
 
 def class_mentions(question: Column, limit: int | None = None) -> Column:

@@ -139,11 +139,7 @@ def section_questions(spark: SparkSession) -> DataFrame:
 
 
 def scan_questions(spark: SparkSession) -> DataFrame:
-    keys = "severity, title, location, description, recommendation"
-    rows = [
-        (key, name, f"Perform a thorough security and code quality audit for: {name}. {about}\n\nReturn a JSON array of objects with keys: {keys}.", f"sec_{key}", k, layer)
-        for key, name, about, k, layer in specs.CATEGORIES
-    ]
+    rows = [(key, name, specs.AUDIT_QUESTION.replace("{name}", name).replace("{about}", about), f"sec_{key}", k, layer) for key, name, about, k, layer in specs.CATEGORIES]
     return spark.createDataFrame(rows, "key string, display_name string, question string, analysis_type string, top_k int, layer_filter string")
 
 

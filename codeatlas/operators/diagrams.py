@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import humanize, squeeze
+from codeatlas.sources.scratch import durable
 
 # Where a diagram type keeps its entities (list, kind), its relationships (list, source, target) and nested lists.
 ENTITIES = {
@@ -34,7 +35,7 @@ LIMITS = {"class": 15, "usecase": 20, "participant": 10}
 INITIAL = "idle|initial|created|new|ready"
 ENTRY = "main|home|splash|launcher|login|start"
 EDGE_STATE = "[*]"
-MAX_DEPTH = 6
+STEP_TYPES = ["action", "decision", "fork", "join", "stop"]
 
 
 def _list(json: Column, path: str) -> Column:
@@ -92,19 +93,22 @@ def parse_notes(docs: DataFrame) -> DataFrame:
 
 
 def parse_steps(docs: DataFrame) -> DataFrame:
-    """Activity steps with their place in the nesting: (diagram_id, path, depth, step_type, label, condition, swimlane)."""
+    """Activity steps of any depth with their place in the nesting: (diagram_id, path, depth, step_type, label, condition, swimlane).
+
+    One level is read after the other until a level is empty; each is stored, so that the plan does not grow with the depth.
+    """
     level = docs.filter("diagram_type = 'activity_diagram'").select("diagram_id", F.posexplode(_list(F.col("json"), "steps")).alias("pos", "e"))
-    level = level.select("diagram_id", F.format_string("%04d", "pos").alias("path"), F.lit(0).alias("depth"), "e")
-    levels = [level]
-    for depth in range(1, MAX_DEPTH + 1):
-        inner = [
-            level.select("diagram_id", "path", F.posexplode(_list(F.col("e"), part)).alias("pos", "x")).select("diagram_id", F.concat("path", F.lit(f"/{part[0]}"), F.format_string("%04d", "pos")).alias("path"), F.lit(depth).alias("depth"), F.col("x").alias("e"))
-            for part in ("yes_steps", "no_steps")
-        ]
-        level = inner[0].unionByName(inner[1])
+    level = durable(level.select("diagram_id", F.format_string("%04d", "pos").alias("path"), F.lit(0).alias("depth"), "e"), "steps")
+    levels = []
+    while not level.isEmpty():
         levels.append(level)
+        inner = lambda part: F.transform(F.coalesce(_list(F.col("e"), part), F.array().cast("array<string>")), lambda x, i: F.struct(F.format_string(f"/{part[0]}%04d", i).alias("place"), x.alias("e")))
+        below = level.select("diagram_id", "path", "depth", F.inline(F.concat(inner("yes_steps"), inner("no_steps"))).alias("place", "e"))
+        level = durable(below.select("diagram_id", F.concat("path", "place").alias("path"), (F.col("depth") + 1).alias("depth"), "e"), "steps")
     e = F.col("e")
-    return reduce(DataFrame.unionByName, levels).select("diagram_id", "path", "depth", _field(e, "step_type", "action").alias("step_type"), _field(e, "label").alias("label"), _field(e, "condition").alias("condition"), _field(e, "swimlane").alias("swimlane"))
+    kind = F.lower(_field(e, "step_type", "action"))
+    columns = [F.when(kind.isin(STEP_TYPES), kind).otherwise("action").alias("step_type"), _field(e, "label").alias("label"), _field(e, "condition").alias("condition"), _field(e, "swimlane").alias("swimlane")]
+    return reduce(DataFrame.unionByName, levels or [level]).select("diagram_id", "path", "depth", *columns)
 
 
 def dedupe_entities(entities: DataFrame) -> DataFrame:

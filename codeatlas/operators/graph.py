@@ -102,25 +102,27 @@ def _first_class(code: DataFrame) -> Column:
     return qualified(F.col("package"), F.get(F.col("classes"), 0)["name"])
 
 
+def _members(code: DataFrame, column: str, *parts: str) -> DataFrame:
+    """A row for each method or field of a file, which belong to its first class: id, path, pos, name, class_name and ``parts``."""
+    rows = code.filter(F.size("classes") > 0).select("project_id", "path", _first_class(code).alias("class_name"), F.posexplode(column).alias("pos", "m"))
+    return rows.select("project_id", F.concat("class_name", F.lit("."), "m.name").alias("id"), "path", "pos", F.col("m.name").alias("name"), *[F.col(f"m.{c}").alias(c) for c in parts], "class_name")
+
+
 def method_nodes(code: DataFrame) -> DataFrame:
-    """Key class.method; overloads merge; a file's methods belong to its first class."""
-    rows = code.filter(F.size("classes") > 0).select("project_id", "path", _first_class(code).alias("class_name"), F.posexplode("methods").alias("pos", "m"))
-    rows = rows.select("project_id", F.concat("class_name", F.lit("."), "m.name").alias("id"), "path", "pos", F.col("m.name").alias("name"), F.col("m.return_type").alias("return_type"), "class_name")
-    return _last_wins(rows, ["project_id", "id"], ["path", "pos"]).drop("path", "pos")
+    """Key class.method; overloads merge."""
+    return _last_wins(_members(code, "methods", "return_type"), ["project_id", "id"], ["path", "pos"]).drop("path", "pos")
 
 
 def has_method(code: DataFrame) -> DataFrame:
-    return _edges(method_nodes(code), "Class", "class_name", "HAS_METHOD", "Method", "id")
+    return _edges(_members(code, "methods"), "Class", "class_name", "HAS_METHOD", "Method", "id")
 
 
 def field_nodes(code: DataFrame) -> DataFrame:
-    rows = code.filter(F.size("classes") > 0).select("project_id", "path", _first_class(code).alias("class_name"), F.posexplode("fields").alias("pos", "f"))
-    rows = rows.select("project_id", F.concat("class_name", F.lit("."), "f.name").alias("id"), "path", "pos", F.col("f.name").alias("name"), F.col("f.type").alias("type"), "class_name")
-    return _last_wins(rows, ["project_id", "id"], ["path", "pos"]).drop("path", "pos")
+    return _last_wins(_members(code, "fields", "type"), ["project_id", "id"], ["path", "pos"]).drop("path", "pos")
 
 
 def has_field(code: DataFrame) -> DataFrame:
-    return _edges(field_nodes(code), "Class", "class_name", "HAS_FIELD", "Field", "id")
+    return _edges(_members(code, "fields"), "Class", "class_name", "HAS_FIELD", "Field", "id")
 
 
 def of_type(code: DataFrame) -> DataFrame:
@@ -144,30 +146,53 @@ def method_calls(code: DataFrame) -> DataFrame:
     return rows.select("project_id", caller.alias("src"), F.explode(called_names(body, F.col("name"))).alias("wanted")).distinct()
 
 
-def calls(code: DataFrame, max_definitions: int | None = None) -> DataFrame:
-    """CALLS edges: a caller to every method of the project with the called name, except itself.
+def definitions(code: DataFrame, max_definitions: int | None = None) -> DataFrame:
+    """Distinct (project_id, wanted, dst): the methods that a called name can mean.
 
     Names with more than ``max_definitions`` definitions can be left out (off by default).
     """
-    methods = method_nodes(code).select("project_id", F.col("name").alias("wanted"), F.col("id").alias("dst"))
+    methods = _members(code, "methods").select("project_id", F.col("name").alias("wanted"), F.col("id").alias("dst")).distinct()
     if max_definitions:
         few = methods.groupBy("project_id", "wanted").count().filter(F.col("count") <= max_definitions).drop("count")
         methods = methods.join(few, ["project_id", "wanted"], "left_semi")
-    return _edges(method_calls(code).join(methods, ["project_id", "wanted"]).filter("src <> dst"), "Method", "src", "CALLS", "Method", "dst")
+    return methods
+
+
+def calls(code: DataFrame, max_definitions: int | None = None) -> DataFrame:
+    """CALLS edges: a caller to every method of the project with the called name, except itself.
+
+    Both sides are distinct and a method has one name, so that no edge comes twice.
+    """
+    rows = method_calls(code).join(definitions(code, max_definitions), ["project_id", "wanted"]).filter("src <> dst")
+    return rows.select("project_id", F.lit("Method").alias("src_label"), F.col("src").alias("src_key"), F.lit("CALLS").alias("rel"), F.lit("Method").alias("dst_label"), F.col("dst").alias("dst_key"))
+
+
+def count_calls(code: DataFrame) -> DataFrame:
+    """(rel, count) of the CALLS edges, from callers times definitions of each name: the edges themselves are not made."""
+    known = definitions(code)
+    callers = method_calls(code)
+    per = callers.groupBy("project_id", "wanted").agg(F.count(F.lit(1)).alias("callers")).join(known.groupBy("project_id", "wanted").agg(F.count(F.lit(1)).alias("defined")), ["project_id", "wanted"])
+    own = callers.join(known.withColumnRenamed("dst", "src"), ["project_id", "wanted", "src"], "left_semi").agg(F.count(F.lit(1)).alias("own"))
+    total = per.agg(F.coalesce(F.sum(F.col("callers") * F.col("defined")), F.lit(0)).alias("all")).crossJoin(own)  # one row each
+    return total.select(F.lit("CALLS").alias("rel"), (F.col("all") - F.col("own")).alias("count"))
+
+
+def _edge_parts(code: DataFrame) -> list[DataFrame]:
+    """All edges but CALLS."""
+    return [inheritance(code)[0], interfaces(code)[0], has_method(code), has_field(code), belongs_to(code), defined_in(code), of_type(code), import_edges(code)]
 
 
 def build_graph(parsed: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): nodes as (project_id, label, key, name)."""
     code = parsed["code"]
-    (inherits, class_stubs), (implements, interface_stubs) = inheritance(code), interfaces(code)
+    class_stubs, interface_stubs = inheritance(code)[1], interfaces(code)[1]
     node = lambda df, label, key, name: df.select("project_id", F.lit(label).alias("label"), F.col(key).alias("key"), F.col(name).alias("name"))
     classes = [node(class_nodes(code), "Class", "qualified_name", "name"), node(class_stubs, "Class", "name", "name"), node(interface_stubs, "Class", "name", "name")]
     nodes = [
         reduce(DataFrame.unionByName, classes).dropDuplicates(["project_id", "key"]), node(file_nodes(parsed), "File", "path", "path"),
         node(package_nodes(code), "Package", "name", "name"), node(method_nodes(code), "Method", "id", "name"), node(field_nodes(code), "Field", "id", "name"),
     ]
-    edges = [inherits, implements, has_method(code), has_field(code), belongs_to(code), defined_in(code), calls(code), of_type(code), import_edges(code)]
-    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, [*_edge_parts(code), calls(code)])
 
 
 def build_counters(parsed: dict[str, DataFrame]) -> DataFrame:
@@ -220,7 +245,19 @@ def call_chain(calls_: DataFrame, starts: DataFrame, depth: int = 3) -> DataFram
     return reduce(DataFrame.unionByName, levels).select("project_id", "keys", (F.size("keys") - 1).alias("length"))
 
 
+def _placed(counted: DataFrame) -> DataFrame:
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "name")))  # a row for each label and type
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts by node label and edge type, with the share order of each."""
-    counted = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).count().unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("rel").alias("name")).count())
-    return counted.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "name")))
+    """Counts by node label and edge type, with the place in the order of each."""
+    counted = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).count()
+    return _placed(counted.unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("rel").alias("name")).count()))
+
+
+def summary_of(parsed: dict[str, DataFrame]) -> DataFrame:
+    """The summary of the graph that ``build_graph`` would make, without its CALLS edges being made."""
+    nodes, edges = build_graph(parsed)[0], reduce(DataFrame.unionByName, _edge_parts(parsed["code"]))
+    nodes = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).count()
+    edges = edges.groupBy(F.col("rel").alias("name")).count().unionByName(count_calls(parsed["code"]).withColumnRenamed("rel", "name")).filter(F.col("count") > 0)
+    return _placed(nodes.unionByName(edges.select(F.lit("edge").alias("kind"), "name", "count")))

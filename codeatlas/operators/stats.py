@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import humanize
-from codeatlas.operators.parse import explode_classes
 
 # The layers that a layer group can have.
 LAYERS = ["UI", "Business Logic", "Data", "Service", "DI", "Other"]
@@ -75,16 +74,13 @@ def gradle_info(builds: DataFrame) -> DataFrame:
 
 
 def layer_groups(classes: DataFrame) -> DataFrame:
-    """Class names of each layer in order; an unknown layer counts as Other."""
+    """(project_id, layer, position, name): class names of each layer in order, a row each; an unknown layer counts as Other."""
     known = F.when(F.col("layer").isin(LAYERS), F.col("layer")).otherwise("Other")
-    return classes.groupBy("project_id", known.alias("layer")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    rows = classes.select("project_id", known.alias("layer"), "name")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("project_id", "layer").orderBy("name")))
 
 
 def screen_list(classes: DataFrame) -> DataFrame:
     """Distinct Activity and Fragment classes with a readable name."""
     rows = classes.filter(F.col("component_type").isin(SCREENS) & (F.col("name") != "")).select("project_id", "name").distinct()
     return rows.withColumn("display_name", humanize(F.col("name")))
-
-
-def classes_of(code: DataFrame) -> DataFrame:
-    return explode_classes(code)

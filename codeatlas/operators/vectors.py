@@ -1,7 +1,11 @@
 """Embedding and exact cosine top-K over chunk vectors.
 
-Many queries run in one pass: blocks of queries meet blocks of index rows, a matrix product gives the distances of
-two blocks, and only the k best rows of each query and block are shuffled. Rows of scores are never all kept.
+Many queries run in one pass over the index: a block of queries of bounded size is sent to all tasks, a matrix product gives
+the distances of a batch of rows, each task keeps its k best rows of each query, and only these are shuffled. The index itself is not. Scores
+are never all kept. More queries than a block holds take another pass for each block.
+
+A vector that is null, holds nulls, has another length than the query or is all zeros has no direction: it has no distance to
+anything, and is in no result.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Batch of the embedding calls, and results of a search.
 BATCH, TOP_K = 16, 8
-ROW_BLOCK, QUERY_BLOCK = 2000, 500
+#: Bytes of query vectors sent to the tasks at once, and rows and queries of one matrix product.
+QUERY_BYTES, ROW_BLOCK, QUERY_BLOCK = 64_000_000, 4096, 512
 
 
 def embed(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], batch_size: int = BATCH, text: str = "content") -> DataFrame:
@@ -63,51 +69,83 @@ def where(index: DataFrame, equal: dict | None = None, contains: str | None = No
 def search(index: DataFrame, query: list[float], top_k: int = TOP_K, equal: dict | None = None, id_column: str = "id") -> DataFrame:
     """The ``top_k`` nearest rows with ``distance``, ties by id."""
     vector = F.array(*[F.lit(float(x)) for x in query])
-    rows = where(index, equal).withColumn("distance", cosine_distance(F.col("embedding"), vector))
+    usable = (F.size("embedding") == len(query)) & ~F.exists("embedding", lambda x: x.isNull()) & F.exists("embedding", lambda x: x != 0)
+    if not any(query):
+        usable = F.lit(False)
+    rows = where(index, equal).filter(usable).withColumn("distance", cosine_distance(F.col("embedding"), vector))
     return rows.orderBy("distance", id_column).limit(top_k)
 
 
-def search_many(index: DataFrame, queries: DataFrame, filters: tuple[str, ...] = (), id_column: str = "id") -> DataFrame:
-    """Ranked rows (query_id, id, distance, rank) for many queries.
+def directions(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the usable vectors in ``column``, their unit vectors)."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(lengths == size)
+    flat = pc.list_flatten(column.take(pa.array(at)))
+    values = pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(len(at), size)
+    norms = np.linalg.norm(values, axis=1)
+    fine = np.isfinite(norms) & (norms > 0)
+    return at[fine], values[fine] / norms[fine, None]
 
-    ``queries`` has query_id, embedding, top_k and a column for each of ``filters``, null where it does not filter.
-    Queries and index rows are packed into blocks of bounded size; every block of queries meets every block of
-    rows once, and returns its best ``top_k`` rows of each query.
-    """
-    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((index, id_column), (queries, "query_id")))
 
-    def packed(df, key, size, kept, name):
-        numbered = df.select(F.struct(F.col(key).alias("id"), "embedding", *kept).alias("x"))
-        blocks = F.ceil(F.lit(df.count() / size)).cast("int")
-        place = F.pmod(F.xxhash64(F.col("x.id")), F.greatest(blocks, F.lit(1)))
-        return numbered.groupBy(place.alias(f"{name}_block")).agg(F.collect_list("x").alias(name))
+def _best(found: pd.DataFrame) -> pd.DataFrame:
+    """The rows of each query that can be among its best."""
+    kept = found.sort_values(["query", "distance", "id"])
+    return kept[kept.groupby("query").cumcount() < kept["top_k"]]
 
-    rows = packed(index, id_column, ROW_BLOCK, filters, "rows")
-    asked = packed(queries, "query_id", QUERY_BLOCK, ("top_k", *filters), "asked")
+
+def _search_block(index: DataFrame, asked: pa.Table, filters: tuple[str, ...], id_column: str, schema: str) -> DataFrame:
+    """The best rows of each query in each task."""
+    size = int(pc.max(pc.list_value_length(asked["embedding"])).as_py() or 0)
+    at, q = directions(asked["embedding"].combine_chunks(), size)
+    top = asked["top_k"].to_numpy()[at]
+    wanted = {c: asked[c].take(pa.array(at)).to_pylist() for c in filters}
+    names = asked["query_id"].take(pa.array(at)).to_pylist()
+    shared = index.sparkSession.sparkContext.broadcast((q.astype(np.float64), top, wanted, names))  # at most QUERY_BYTES of vectors
 
     def run(batches):
+        q, top, wanted, names = shared.value
+        kept = pd.DataFrame({"query": [], "id": [], "distance": [], "top_k": []})
         for batch in batches:
-            for have, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                unit = lambda items: np.array([x["embedding"] for x in items], np.float64)
-                v, q = unit(have), unit(want)
-                distance = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T
-                columns = {c: np.array([x[c] for x in have], object) for c in filters}
-                out = []
-                for j, x in enumerate(want):
-                    at = np.arange(len(have))
+            for s in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(s, ROW_BLOCK)
+                rows, v = directions(part.column(1), q.shape[1])
+                if not len(rows):
+                    continue
+                ids = part.column(0).take(pa.array(rows)).to_pandas()
+                values = {c: np.array(part.column(2 + k).take(pa.array(rows)).to_pylist(), object) for k, c in enumerate(filters)}
+                parts = [kept]
+                for f in range(0, len(q), QUERY_BLOCK):
+                    distance = 1 - q[f : f + QUERY_BLOCK] @ v.T
                     for c in filters:
-                        at = at if x[c] is None else at[columns[c][at] == x[c]]
-                    if len(at) > 4 * x["top_k"]:
-                        cut = np.partition(distance[at, j], x["top_k"] - 1)[x["top_k"] - 1]
-                        at = at[distance[at, j] <= cut]
-                    best = sorted((distance[i, j], have[i]["id"]) for i in at)[: x["top_k"]]
-                    out += [(x["id"], i, float(d), x["top_k"]) for d, i in best]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], type=t) for k, t in enumerate(types)], names=["query_id", "id", "distance", "top_k"])
-
-    schema = T._parse_datatype_string(f"query_id {query_type}, id {id_type}, distance double, top_k int")
-    types = [f.type for f in to_arrow_schema(schema)]
-    found = rows.crossJoin(asked).select("rows", "asked").mapInArrow(run, schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+                        for j, x in enumerate(wanted[c][f : f + QUERY_BLOCK]):
+                            if x is not None:
+                                distance[j, values[c] != x] = np.inf
+                    k = min(int(top[f : f + QUERY_BLOCK].max()), distance.shape[1])
+                    cut = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+                    j, i = np.nonzero((distance <= cut) & np.isfinite(distance))
+                    parts.append(pd.DataFrame({"query": j + f, "id": ids.to_numpy()[i], "distance": distance[j, i], "top_k": top[j + f]}))
+                kept = _best(pd.concat([p for p in parts if len(p)] or [kept]))
+        if len(kept):
+            columns = [[names[int(j)] for j in kept["query"]], kept["id"].tolist(), kept["distance"].tolist(), kept["top_k"].astype(int).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["query_id", "id", "distance", "top_k"])
+
+    types = [f.type for f in to_arrow_schema(T._parse_datatype_string(schema))]
+    return index.select(id_column, "embedding", *filters).mapInArrow(run, schema)
+
+
+def search_many(index: DataFrame, queries: DataFrame, filters: tuple[str, ...] = (), id_column: str = "id") -> DataFrame:
+    """Ranked rows (query_id, id, distance, rank) for many queries.
+
+    ``queries`` has query_id, embedding, top_k and a column for each of ``filters``, null where it does not filter.
+    """
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((index, id_column), (queries, "query_id")))
+    schema = f"query_id {query_type}, id {id_type}, distance double, top_k int"
+    queries = queries.select("query_id", "embedding", F.col("top_k").cast("int").alias("top_k"), *filters)
+    size = queries.agg(F.coalesce(F.sum(F.coalesce(F.size("embedding"), F.lit(0)) * 8 + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // QUERY_BYTES))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_search_block(index, queries.filter(place == k).toArrow(), filters, id_column, schema) for k in range(blocks)]
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.filter("rank <= top_k").drop("top_k")
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from codeatlas.functions import rules
+from codeatlas.functions import rules, specs
 from codeatlas.functions.text import truncate
-from codeatlas.operators import audit, chunk, context, graph, incremental, parse, stats
+from codeatlas.operators import audit, chunk, context, graph, incremental, parse, stats, vectors
 from codeatlas.operators.bodies import resolve_members
 from codeatlas.plans import corpus
 from codeatlas.plans.corpus import oracle
 from codeatlas.sources import files as sources
+from codeatlas.sources import store
+from codeatlas.sources.scratch import durable, shared_dir
+from codeatlas.streaming import index
 
 QUERIES, ORACLE = {}, {}
 
@@ -295,10 +302,26 @@ def g17_class_dependents(spark, sf_dir):
 
 @query(oracle(f"SELECT 'node' AS kind, label AS name, count(*) AS n FROM ({_ALL_NODES}) GROUP BY label UNION ALL SELECT 'edge', rel, count(*) FROM ({_ALL_EDGES}) GROUP BY rel"))
 def g19_graph_summary(spark, sf_dir):
-    nodes, edges = corpus.stored_graph(spark, sf_dir)
+    return graph.summary_of(corpus.parsed(spark, sf_dir)).select("kind", "name", F.col("count").alias("n"))
+
+
+@query(oracle(f"""SELECT kind, name, n FROM (SELECT project_id, 'node' AS kind, label AS name, count(*) AS n FROM ({_ALL_NODES}) GROUP BY ALL UNION ALL SELECT project_id, 'edge', rel, count(*) FROM ({_ALL_EDGES}) GROUP BY ALL) WHERE project_id = 'proj3'"""))
+def g19_summary_of_stored_graph(spark, sf_dir):
+    nodes, edges = (df.filter("project_id = 'proj3'") for df in corpus.stored_graph(spark, sf_dir))
     return graph.graph_summary(nodes, edges).select("kind", "name", F.col("count").alias("n"))
 
 
+_STARTS = f"SELECT project_id, min(src_key) AS a FROM ({_CALLS}) WHERE src_key LIKE '%.onCreate' GROUP BY project_id"
+
+
+@query(oracle(f"""SELECT e.project_id, concat(e.src_key, '>', e.dst_key) AS path, 1 AS length FROM ({_CALLS}) e JOIN ({_STARTS}) s ON s.project_id = e.project_id AND s.a = e.src_key
+ UNION ALL SELECT e.project_id, concat(e.src_key, '>', e.dst_key, '>', f.dst_key), 2 FROM ({_CALLS}) e JOIN ({_STARTS}) s ON s.project_id = e.project_id AND s.a = e.src_key JOIN ({_CALLS}) f ON f.project_id = e.project_id AND f.src_key = e.dst_key WHERE NOT (f.src_key = e.src_key AND f.dst_key = e.dst_key)"""))
+def g18_call_chain_of_calls(spark, sf_dir):
+    edges = corpus.stored_graph(spark, sf_dir)[1].filter("rel = 'CALLS'")
+    starts = edges.filter(F.col("src_key").endswith(".onCreate")).groupBy("project_id").agg(F.min("src_key").alias("key"))
+    return graph.call_chain(edges, starts, 2).select("project_id", F.array_join("keys", ">").alias("path"), "length")
+
+
 @query(oracle(f"SELECT project_id, count(*) + 3 AS total_files, CAST(sum((language = 'java')::INT) AS BIGINT) AS java_files, CAST(sum((language = 'kotlin')::INT) AS BIGINT) AS kotlin_files, 2::BIGINT AS xml_files, 1::BIGINT AS gradle_files, count(*) AS classes, count(*) + 3 + (SELECT count(*) FROM ({_BODIES}) b WHERE b.project_id = c.project_id AND length(body) > 60) AS total_chunks FROM classes c GROUP BY project_id"))
 def a1_project_stats(spark, sf_dir):
     p = corpus.parsed(spark, sf_dir)
@@ -335,9 +358,9 @@ def a5_manifest_and_gradle_info(spark, sf_dir):
     return manifest.join(build, "project_id")
 
 
-@query(oracle("SELECT project_id, layer, string_agg(name, ',' ORDER BY name) AS names FROM classes GROUP BY ALL"))
+@query(oracle("SELECT project_id, layer, name, CAST(row_number() OVER (PARTITION BY project_id, layer ORDER BY name) AS INTEGER) AS position FROM classes"))
 def a6_layer_groups(spark, sf_dir):
-    return stats.layer_groups(_classes(spark, sf_dir)).withColumn("names", F.array_join("names", ","))
+    return stats.layer_groups(_classes(spark, sf_dir))
 
 
 @query(oracle("SELECT DISTINCT project_id, name, CASE WHEN name LIKE '%Activity' OR name LIKE '%Fragment' THEN concat('C', CAST(k AS VARCHAR)) ELSE trim(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) END AS display_name FROM classes WHERE component_type IN ('Activity', 'Fragment')"))
@@ -370,3 +393,115 @@ def i1_code_fingerprint(spark, sf_dir):
 @query(oracle(f"SELECT path, CASE WHEN length(t) > 100 THEN concat(substr(t, 1, 100), chr(10), '... [truncated]') ELSE t END AS content FROM (SELECT path, {_CLASS_TEXT} AS t FROM classes)"))
 def k1_truncate_chunks(spark, sf_dir):
     return chunk.class_chunks(_code(spark, sf_dir)).select(F.col("file_path").alias("path"), truncate(F.col("content"), 100).alias("content"))
+
+
+# Stored tables, written and read back
+
+
+def _put_files(rows, root):
+    """Writes a text file for each row of (relative, source) under ``root``, in tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = Path(root, row["relative"])
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_bytes(row["source"].encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows.select("relative", "source").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()  # one number
+
+
+_PLACE = """CASE k % 6 WHEN 0 THEN concat('_', name, ext) WHEN 1 THEN concat('.github/', name, ext) WHEN 2 THEN concat('x/_gen/.', name, ext) WHEN 3 THEN concat('build/', name, ext) WHEN 4 THEN concat(name, ext, '.txt') ELSE concat('src/', name, ext) END"""
+
+
+@query(oracle(f"SELECT relative, CASE WHEN language = 'kotlin' THEN '.kt' ELSE '.java' END AS extension, length(name) + 7 AS size, concat('class ', name, chr(10)) AS source FROM (SELECT *, {_PLACE} AS relative FROM (SELECT *, CASE WHEN language = 'kotlin' THEN '.kt' ELSE '.java' END AS ext FROM classes)) WHERE k % 6 NOT IN (3, 4)"))
+def s1_scan_files(spark, sf_dir):
+    rows = corpus.class_rows(spark, sf_dir).withColumn("ext", F.when(F.col("language") == "kotlin", ".kt").otherwise(".java"))
+    root = f"{shared_dir(spark).removeprefix('file://')}/tree-{uuid.uuid4().hex}"
+    _put_files(rows.select(F.expr(_PLACE).alias("relative"), F.concat(F.lit("class "), "name", F.lit("\n")).alias("source")), root)
+    return sources.scan_files(spark, root, "p").select("relative", "extension", "size", "source")
+
+
+@query(oracle(f"SELECT project_id, sha2 AS id, md5(CASE WHEN project_id = 'proj1' THEN 'new' ELSE t END) AS digest FROM (SELECT project_id, sha256(concat(project_id, '|', path, '|CLASS|0')) AS sha2, {_CLASS_TEXT} AS t FROM classes)"))
+def s4_write_index(spark, sf_dir):
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    chunks = chunk.class_chunks(_code(spark, sf_dir)).withColumn("project_id", F.col("project_id"))
+    store.write_index(chunks, path)
+    store.write_index(chunks.filter("project_id = 'proj1'").withColumn("content", F.lit("new")), path, mode="projects")
+    return spark.read.parquet(path).select("project_id", "id", F.md5("content").alias("digest"))
+
+
+@query(oracle(f"""SELECT 'node' AS kind, project_id, label AS name, count(*) AS n FROM ({_ALL_NODES}) WHERE project_id <> 'proj2' OR label = 'File' GROUP BY ALL
+ UNION ALL SELECT 'edge', project_id, rel, count(*) FROM ({_ALL_EDGES}) WHERE project_id <> 'proj2' OR rel = 'DEFINED_IN' GROUP BY ALL"""))
+def s7_write_and_read_graph(spark, sf_dir):
+    nodes, edges = corpus.stored_graph(spark, sf_dir)
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    store.write_graph(nodes, edges, path)
+    store.write_graph(nodes.filter("project_id = 'proj2' AND label = 'File'"), edges.filter("project_id = 'proj2' AND rel = 'DEFINED_IN'"), path)
+    nodes, edges = store.read_graph(spark, path)
+    count = lambda df, kind, name: df.groupBy(F.lit(kind).alias("kind"), "project_id", F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return count(nodes, "node", "label").unionByName(count(edges, "edge", "rel"))
+
+
+@query(oracle("SELECT path AS file_path, CASE WHEN k % 10 = 0 THEN concat('S', CAST(k AS VARCHAR)) ELSE name END AS component_name FROM classes WHERE k % 10 <> 1"))
+def s5_stream_index(spark, sf_dir):
+    """Files arrive in two drops: all, then newer and shorter versions of some and the removal of others."""
+    first = corpus.files(spark, sf_dir).filter("extension IN ('.java', '.kt')").withColumn("modified", F.timestamp_seconds(F.lit(100)))
+    keys = corpus.class_rows(spark, sf_dir).filter("k % 10 < 2").select("k", "path")
+    again = first.join(keys, "path").withColumns({"modified": F.timestamp_seconds(F.lit(200)), "source": F.when(F.col("k") % 10 == 0, F.concat(F.lit("class S"), "k"))})
+    drop, path = (f"{shared_dir(spark)}/{x}-{uuid.uuid4().hex}" for x in ("drop", "index"))
+    for rows in (first, again):
+        rows.select(*spark.createDataFrame([], index.FILES).columns).write.mode("append").parquet(drop)
+        index.start_index(index.file_stream(spark, drop), path, f"{path}-state", available_now=True).awaitTermination()
+    return spark.read.parquet(path).filter("chunk_type = 'CLASS'").select("file_path", "component_name")
+
+
+# Retrieval over the chunks of the corpus
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(texts):
+    """An embedding that SQL can state: how often each letter occurs."""
+    return [[float(t.lower().count(c)) for c in LETTERS] for t in texts]
+
+
+_VECTOR = "[" + ", ".join(f"CAST(length(t) - length(replace(lower(t), '{c}', '')) AS DOUBLE)" for c in LETTERS) + "]"
+_TEXTS = f"SELECT path, project_id, layer, {_CLASS_TEXT} AS t FROM classes"
+
+
+@query(oracle(f"SELECT path, array_to_string(list_transform({_VECTOR}, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS vector FROM ({_TEXTS})"))
+def v1_embed(spark, sf_dir):
+    made = vectors.embed(chunk.class_chunks(_code(spark, sf_dir)), letter_counts)
+    return made.select(F.col("file_path").alias("path"), F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
+
+
+_ASKED = ", ".join(f"('{key}', '{specs.AUDIT_QUESTION.replace('{name}', name).replace('{about}', about)}', {k}, {'NULL' if layer is None else repr(layer)})" for key, name, about, k, layer in specs.CATEGORIES)
+
+
+@query(oracle(f"""SELECT key, path, rank FROM (SELECT key, path, top_k, row_number() OVER (PARTITION BY key ORDER BY 1 - list_cosine_similarity(q.v, d.v), sha256(concat(project_id, '|', path, '|CLASS|0'))) AS rank
+ FROM (SELECT key, top_k, layer_filter, {_VECTOR} AS v FROM (VALUES {_ASKED}) a(key, t, top_k, layer_filter)) q JOIN (SELECT path, project_id, layer, {_VECTOR} AS v FROM ({_TEXTS})) d ON q.layer_filter IS NULL OR q.layer_filter = d.layer) WHERE rank <= top_k"""))
+def v5_search_chunks(spark, sf_dir):
+    """The audit's questions against all class chunks, each with its own layer and number of results."""
+    found = _retrieved(spark, sf_dir)
+    return found.select(F.col("query_id").alias("key"), F.col("file_path").alias("path"), F.col("rank").cast("long").alias("rank"))
+
+
+def _retrieved(spark, sf_dir):
+    chunks = durable(vectors.embed(chunk.class_chunks(_code(spark, sf_dir)), letter_counts), "embedded")
+    asked = vectors.embed(context.scan_questions(spark), letter_counts, text="question")
+    asked = asked.select(F.col("key").alias("query_id"), "embedding", "top_k", F.col("layer_filter").alias("layer"))
+    return vectors.search_many(chunks, asked, filters=("layer",)).join(chunks.drop("embedding"), "id")
+
+
+@query()
+def q12_audit_prompts(spark, sf_dir):
+    """From questions to prompts: retrieval, packing, graph neighbours, model and prompt."""
+    found = _retrieved(spark, sf_dir)
+    packed = context.pack_context(found)
+    nodes, edges = corpus.stored_graph(spark, sf_dir)
+    best = found.filter("rank = 1").select("query_id", "project_id", F.concat(F.lit("who uses "), "component_name").alias("question"))
+    whole = context.hybrid_context(packed, context.graph_context(best, nodes, edges))
+    asked = context.route_model(context.scan_questions(spark).withColumnRenamed("key", "query_id"))
+    return context.build_prompts(asked, whole, tasks={"sec_performance": "Find what is slow."})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeatlas.functions import specs
@@ -9,7 +11,7 @@ from codeatlas.functions import text as tx
 from codeatlas.operators import audit, context, diagrams, graph, history, incremental, vectors
 from codeatlas.plans import corpus
 from codeatlas.sources import store
-from codeatlas.sources.scratch import durable, read_table
+from codeatlas.sources.scratch import durable, read_table, shared_dir
 
 QUERIES, ORACLE = {}, {}
 
@@ -116,16 +118,27 @@ def v5_search_many(spark, sf_dir):
 _SPEC_ROWS = ", ".join(f"('{c[0]}', {c[3]}, {'NULL' if c[4] is None else repr(c[4])})" for c in specs.CATEGORIES)
 
 
-@query(f"SELECT key, top_k, layer_filter, (SELECT count(*) FROM documents WHERE length(text) > s.top_k) AS n FROM (VALUES {_SPEC_ROWS}) s(key, top_k, layer_filter)")
+_LAYERED = "(SELECT *, CASE WHEN label = 3 THEN 'Data' ELSE 'UI' END AS layer FROM embeddings)"
+
+
+@query(f"""SELECT key, top_k, layer_filter, id, rank FROM (SELECT key, top_k, layer_filter, e.vec_id AS id, row_number() OVER (PARTITION BY key ORDER BY 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id) AS rank
+ FROM (VALUES {_SPEC_ROWS}) s(key, top_k, layer_filter), (SELECT embedding FROM embeddings WHERE vec_id = 0) q, {_LAYERED} e WHERE s.layer_filter IS NULL OR s.layer_filter = e.layer) WHERE rank <= top_k""")
 def v6_distinct_contexts(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    retrieve = lambda few: few.join(docs.select(F.length("text").alias("len")), F.col("len") > F.col("top_k")).groupBy("context_id").agg(F.count(F.lit(1)).alias("n"))
-    return vectors.distinct_contexts(context.scan_questions(spark), retrieve).select("key", "top_k", "layer_filter", "n")
+    index = read_table(spark, sf_dir, "embeddings").withColumn("layer", F.when(F.col("label") == 3, "Data").otherwise("UI"))
+    query = F.array(*[F.lit(float(x)) for x in _vector(spark, sf_dir)]).alias("embedding")
+
+    def retrieve(few):
+        asked = few.select(F.col("context_id").alias("query_id"), query, "top_k", F.col("layer_filter").alias("layer"))
+        return vectors.search_many(index, asked, filters=("layer",), id_column="vec_id").select(F.col("query_id").alias("context_id"), "id", F.col("rank").cast("long").alias("rank"))
+
+    return vectors.distinct_contexts(context.scan_questions(spark), retrieve).select("key", "top_k", "layer_filter", "id", "rank")
 
 
 # Questions, contexts, prompts
 
-_Q = "SELECT item_id AS query_id, concat('Show ', chr(39), split_part(replace(text, chr(10), ' '), ' ', 1), chr(39), ' and ', chr(34), split_part(replace(text, chr(10), ' '), ' ', 2), chr(34), ' of the ', CASE WHEN item_id % 2 = 0 THEN 'call chain' ELSE 'page' END, ' MainActivity Repo') AS question, CASE item_id % 3 WHEN 0 THEN 'class_diagram' WHEN 1 THEN 'state_diagram' ELSE 'general' END AS analysis_type FROM {benchmark}"
+_PHRASES = ["its dependency", "a subclass", "the interface", "the call chain", "what it imports", "what classes there are", "who uses it", "the impact of changing it", "what is connected to it", "the relationship between both", "the page", "a dependable importer"]
+_PHRASE = "CASE item_id % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_PHRASES)) + " END"
+_Q = f"SELECT item_id AS query_id, text AS body, concat('Show ', chr(39), split_part(replace(text, chr(10), ' '), ' ', 1), chr(39), ' and ', chr(34), split_part(replace(text, chr(10), ' '), ' ', 2), chr(34), ' of the ', {_PHRASE}, ' MainActivity Repo') AS question, CASE item_id % 3 WHEN 0 THEN 'class_diagram' WHEN 1 THEN 'state_diagram' ELSE 'general' END AS analysis_type FROM {{benchmark}}"
 _QS = f"({_Q.replace('{benchmark}', 'benchmark')})"
 
 
@@ -150,27 +163,24 @@ def q2_expand_query(spark, sf_dir):
     return context.expand_query(_questions(spark, sf_dir)).select("query_id", "expanded")
 
 
-@query(f"SELECT query_id, regexp_matches(lower(question), '\\b(call|calls|call chain|depends|imports)\\b') AS structural FROM {_QS}")
+@query("SELECT item_id AS query_id, item_id % 12 < 10 AS structural FROM benchmark")
 def q3_is_structural(spark, sf_dir):
     return _questions(spark, sf_dir).select("query_id", tx.is_structural(F.col("question")).alias("structural"))
 
 
-@query("SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9]{2,})\\b', 1), 1, 3), ',') AS mentions FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-zA-Z0-9]{2,}$')), 1, 3), ',') AS mentions FROM documents")
 def q4_class_mentions(spark, sf_dir):
-    docs = _documents(spark, sf_dir).filter("lang = 'en'")
-    return docs.select("doc_id", F.array_join(tx.class_mentions(F.col("text"), 3), ",").alias("mentions"))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(tx.class_mentions(F.col("text"), 3), ",").alias("mentions"))
 
 
 def _ranked(spark, sf_dir):
-    """Documents as search results: a query for each source and language, ranked by length."""
-    docs = _documents(spark, sf_dir).filter("length(text) < 900")
-    return docs.select(
-        F.concat_ws("-", "source", "lang").alias("query_id"), F.col("doc_id").alias("rank"), F.concat(F.lit("f"), (F.col("doc_id") % 50)).alias("file_path"), F.col("lang").alias("component_name"),
-        F.lit("Class").alias("component_type"), F.lit("Data").alias("layer"), F.lit("CLASS").alias("chunk_type"), F.col("text").alias("content"),
-    )
+    """Documents as search results: a query for each source, language and fifty ids, ranked by id."""
+    return corpus.run_sql(spark, _RANKED.replace("FROM documents", "FROM {documents}").replace("VARCHAR", "STRING"), documents=_documents(spark, sf_dir)).select(
+        "*", F.lit("Class").alias("component_type"), F.lit("Data").alias("layer"), F.lit("CLASS").alias("chunk_type")
+    )
 
 
-_RANKED = "SELECT concat(source, '-', lang) AS query_id, doc_id AS rank, concat('f', CAST(doc_id % 50 AS VARCHAR)) AS file_path, lang AS component_name, text AS content FROM documents WHERE length(text) < 900"
+_RANKED = "SELECT concat(source, '-', lang, '-', CAST(CAST(floor(doc_id / 50) AS BIGINT) AS VARCHAR)) AS query_id, doc_id AS rank, concat('f', CAST(doc_id % 20 AS VARCHAR)) AS file_path, lang AS component_name, text AS content FROM documents"
 _BLOCK = "concat('### [CLASS] ', component_name, ' (Class, Layer: Data)', chr(10), content)"
 
 
@@ -207,7 +217,7 @@ def q8_join_context(spark, sf_dir):
     return context.join_context(_ranked(spark, sf_dir))
 
 
-_GQ = "(SELECT k AS query_id, project_id, name FROM classes WHERE k % 50 = 3)"
+_GQ = "(SELECT k AS query_id, project_id, name FROM classes)"
 
 
 @query(corpus.oracle(f"""SELECT query_id, array_to_string(list_filter([CASE WHEN outs IS NOT NULL THEN concat('**', name, ' depends on:**', chr(10), outs) END, CASE WHEN ins IS NOT NULL THEN concat('**Classes that depend on ', name, ':**', chr(10), ins) END], lambda x: x IS NOT NULL), concat(chr(10), chr(10))) AS graph FROM (
@@ -217,17 +227,17 @@ def q9_graph_context(spark, sf_dir):
     edges, stubs = graph.inheritance(code)
     nodes = graph.class_nodes(code).select("project_id", F.col("qualified_name").alias("key"), "name").unionByName(stubs.select("project_id", F.col("name").alias("key"), "name"))
     nodes = nodes.withColumn("label", F.lit("Class"))
-    asked = corpus.class_rows(spark, sf_dir).filter("k % 50 = 3").select(F.col("k").alias("query_id"), "project_id", F.concat(F.lit("who uses "), "name").alias("question"))
+    asked = corpus.class_rows(spark, sf_dir).select(F.col("k").alias("query_id"), "project_id", F.concat(F.lit("who uses "), "name").alias("question"))
     return context.graph_context(asked, nodes, edges)
 
 
-@query(f"SELECT query_id, CASE WHEN query_id % 2 = 0 THEN concat('ctx', chr(10), chr(10), chr(10), repeat('=', 40), chr(10), 'STRUCTURAL CONTEXT (from Knowledge Graph):', chr(10), repeat('=', 40), chr(10), question) ELSE 'ctx' END AS context FROM {_QS}")
+@query(f"SELECT query_id, CASE WHEN query_id % 2 = 0 THEN concat(body, chr(10), chr(10), chr(10), repeat('=', 40), chr(10), 'STRUCTURAL CONTEXT (from Knowledge Graph):', chr(10), repeat('=', 40), chr(10), question) ELSE body END AS context FROM {_QS}")
 def q10_hybrid_context(spark, sf_dir):
     qs = _questions(spark, sf_dir)
-    return context.hybrid_context(qs.select("query_id", F.lit("ctx").alias("context")), qs.filter("query_id % 2 = 0").select("query_id", F.col("question").alias("graph")))
+    return context.hybrid_context(qs.select("query_id", F.col("body").alias("context")), qs.filter("query_id % 2 = 0").select("query_id", F.col("question").alias("graph")))
 
 
-@query(f"SELECT query_id, CASE analysis_type WHEN 'class_diagram' THEN '{specs.FIRST_MODEL}' WHEN 'state_diagram' THEN '{specs.FIRST_MODEL}' WHEN 'general' THEN '{specs.FIRST_MODEL}' ELSE '{specs.DEFAULT_MODEL}' END AS model FROM {_QS}")
+@query(f"SELECT query_id, CASE analysis_type WHEN 'class_diagram' THEN '{specs.MODELS['general']}' WHEN 'state_diagram' THEN '{specs.MODELS['general']}' WHEN 'general' THEN '{specs.MODELS['general']}' ELSE '{specs.DEFAULT_MODEL}' END AS model FROM {_QS}")
 def q11_route_model(spark, sf_dir):
     return context.route_model(_questions(spark, sf_dir)).select("query_id", "model")
 
@@ -235,10 +245,10 @@ def q11_route_model(spark, sf_dir):
 _HEAD, _TAIL = (s.replace("'", "''").replace("\n", "' || chr(10) || '") for s in context.SYSTEM.split("{model}"))
 
 
-@query(f"SELECT query_id, '{_HEAD}' || 'AI Assistant' || '{_TAIL}' || chr(10) || 'TASK: ' || 'Answer the question based on the code context provided.' || chr(10) || chr(10) || 'RETRIEVED CODE CONTEXT:' || chr(10) || repeat('=', 60) || chr(10) || 'ctx' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || 'QUESTION: ' || question || chr(10) || chr(10) || 'ANSWER:' || chr(10) AS prompt FROM {_QS}")
+@query(f"SELECT query_id, '{_HEAD}' || 'AI Assistant' || '{_TAIL}' || chr(10) || 'TASK: ' || CASE analysis_type WHEN 'class_diagram' THEN 'Draw the classes.' ELSE 'Answer the question based on the code context provided.' END || chr(10) || chr(10) || 'RETRIEVED CODE CONTEXT:' || chr(10) || repeat('=', 60) || chr(10) || body || chr(10) || repeat('=', 60) || chr(10) || chr(10) || 'QUESTION: ' || question || chr(10) || chr(10) || 'ANSWER:' || chr(10) AS prompt FROM {_QS}")
 def q12_build_prompts(spark, sf_dir):
     qs = _questions(spark, sf_dir)
-    return context.build_prompts(qs, qs.select("query_id", F.lit("ctx").alias("context")))
+    return context.build_prompts(qs, qs.select("query_id", F.col("body").alias("context")), tasks={"class_diagram": "Draw the classes."})
 
 
 _DIAGRAM_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in d) + ")" for d in specs.DIAGRAMS)
@@ -251,17 +261,43 @@ def q13_diagram_questions(spark, sf_dir):
     return context.diagram_questions(requests).select("id", "question", "top_k", "layer_filter", "budget")
 
 
+def _values(rows):
+    return ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_SECTION_ROWS = _values([(k, f"Generate the '{title}' documentation section for this project.", kind, specs.SECTION_TOP_K, layer) for k, title, kind, layer in specs.SECTIONS])
+
+
+@query(f"SELECT p_partkey AS id, s.* FROM part JOIN (VALUES {_SECTION_ROWS}) s(key, question, analysis_type, top_k, layer_filter) ON key = CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{s[0]}'" for i, s in enumerate(specs.SECTIONS)) + " END")
+def q13_section_questions(spark, sf_dir):
+    keys = F.array(*[F.lit(s[0]) for s in specs.SECTIONS])
+    asked = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(keys, (F.col("p_partkey") % 7).cast("int")).alias("key"))
+    return asked.join(F.broadcast(context.section_questions(spark)), "key")  # seven rows
+
+
+_SCAN_ROWS = _values([(c[0], c[1], f"Perform a thorough security and code quality audit for: {c[1]}. {c[2]}", f"sec_{c[0]}", c[3], c[4]) for c in specs.CATEGORIES])
+
+
+@query(f"SELECT p_partkey AS id, key, display_name, opening, analysis_type, top_k, layer_filter, TRUE AS ends FROM part JOIN (VALUES {_SCAN_ROWS}) s(key, display_name, opening, analysis_type, top_k, layer_filter) ON key = CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{c[0]}'" for i, c in enumerate(specs.CATEGORIES)) + " END")
+def q13_scan_questions(spark, sf_dir):
+    keys = F.array(*[F.lit(c[0]) for c in specs.CATEGORIES])
+    asked = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(keys, (F.col("p_partkey") % 10).cast("int")).alias("key"))
+    rows = asked.join(F.broadcast(context.scan_questions(spark)), "key")  # ten rows
+    parts = F.split("question", "\n\n")
+    return rows.select("id", "key", "display_name", parts[0].alias("opening"), "analysis_type", "top_k", "layer_filter", F.col("question").endswith("Output ONLY the JSON array, no other text.").alias("ends"))
+
+
 # Graph paths over foreign keys
 
 _FK = "SELECT 'p' AS project_id, concat('s', CAST(s_suppkey AS STRING)) AS a, concat('n', CAST(s_nationkey AS STRING)) AS b FROM {supplier} UNION ALL SELECT 'p', concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM {nation} UNION ALL SELECT 'p', concat('r', CAST(n_regionkey AS STRING)), concat('n', CAST(n_nationkey AS STRING)) FROM {nation}"
 
 
-@query(f"""WITH RECURSIVE e AS ({_FK.replace('{supplier}', 'supplier').replace('{nation}', 'nation')}), paths(keys, tail, used) AS (SELECT [a, b], b, [concat(a, '>', b)] FROM e WHERE a LIKE 's%' AND CAST(substr(a, 2) AS BIGINT) % 10 = 0
+@query(f"""WITH RECURSIVE e AS ({_FK.replace('{supplier}', 'supplier').replace('{nation}', 'nation')}), paths(keys, tail, used) AS (SELECT [a, b], b, [concat(a, '>', b)] FROM e WHERE a LIKE 's%'
  UNION ALL SELECT list_append(keys, e.b), e.b, list_append(used, concat(e.a, '>', e.b)) FROM paths JOIN e ON e.a = paths.tail WHERE len(used) < 3 AND NOT list_contains(used, concat(e.a, '>', e.b))) SELECT array_to_string(keys, '>') AS path, CAST(len(used) AS INTEGER) AS length FROM paths""")
 def g18_call_chain(spark, sf_dir):
     e = corpus.run_sql(spark, _FK, supplier=read_table(spark, sf_dir, "supplier"), nation=read_table(spark, sf_dir, "nation"))
     edges = e.select("project_id", F.col("a").alias("src_key"), F.lit("CALLS").alias("rel"), F.col("b").alias("dst_key"))
-    starts = read_table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 0").select(F.lit("p").alias("project_id"), F.concat(F.lit("s"), "s_suppkey").alias("key"))
+    starts = read_table(spark, sf_dir, "supplier").select(F.lit("p").alias("project_id"), F.concat(F.lit("s"), "s_suppkey").alias("key"))
     return graph.call_chain(edges, starts, 3).select(F.array_join("keys", ">").alias("path"), "length")
 
 
@@ -285,10 +321,11 @@ def f1_f2_parse_and_normalize(spark, sf_dir):
 
 def _findings(spark, sf_dir):
     rows = _events(spark, sf_dir)
-    return rows.select(F.col("user_id").alias("project_id"), (F.col("event_id") % 10).cast("string").alias("category"), (F.col("event_id") % 10).cast("string").alias("display_name"), F.col("event_id").alias("pos"), "severity")
+    project = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 500).cast("string"))
+    return rows.select(project.alias("project_id"), (F.col("event_id") % 10).cast("string").alias("category"), (F.col("event_id") % 10).cast("string").alias("display_name"), F.col("event_id").alias("pos"), "severity")
 
 
-_F = f"(SELECT user_id AS project_id, CAST(event_id % 10 AS VARCHAR) AS category, event_id AS pos, severity FROM ({_EVENTS.replace("{events}", "events")}))"
+_F = f"(SELECT concat(CAST(user_id AS VARCHAR), '-', CAST(CAST(floor(event_id / 500) AS BIGINT) AS VARCHAR)) AS project_id, CAST(event_id % 10 AS VARCHAR) AS category, event_id AS pos, severity FROM ({_EVENTS.replace("{events}", "events")}))"
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"
 
 
@@ -299,16 +336,48 @@ def f3_order_findings(spark, sf_dir):
 
 _SUMMARY = f"""SELECT project_id, total_findings, n_critical, n_high, n_medium, n_low, n_info, greatest(0, least(100, 100 - 15 * n_critical - 8 * n_high - 4 * n_medium - 2 * n_low))::INTEGER AS health_score FROM (SELECT project_id, count(*) AS total_findings,
  count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(*) FILTER (severity = 'HIGH') AS n_high, count(*) FILTER (severity = 'MEDIUM') AS n_medium, count(*) FILTER (severity = 'LOW') AS n_low, count(*) FILTER (severity = 'INFO') AS n_info FROM {{f}} GROUP BY project_id)"""
-_SUM = _SUMMARY.format(f=f"(SELECT project_id, severity FROM {_F} WHERE pos % 13 = 0)")
+_SUM = _SUMMARY.format(f=_F)
 _GRADED = f"SELECT *, CASE WHEN health_score >= 90 THEN 'A' WHEN health_score >= 80 THEN 'B' WHEN health_score >= 65 THEN 'C' WHEN health_score >= 50 THEN 'D' ELSE 'F' END AS health_grade FROM ({_SUM})"
+#: Every project was scanned for two categories more: one is clean, one failed.
+_SCANNED = f"SELECT DISTINCT project_id, category, NULL AS error FROM {_F} UNION ALL SELECT DISTINCT project_id, 'clean', NULL FROM {_F} UNION ALL SELECT DISTINCT project_id, 'failed', 'timeout' FROM {_F}"
 
 
-@query(f"""SELECT s.*, coalesce(n.total_findings, 0) AS total_findings, coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(n_low, 0) AS n_low, coalesce(n_info, 0) AS n_info, coalesce(health_score, 100) AS health_score, coalesce(health_grade, 'A') AS health_grade
- FROM (SELECT project_id, count(*) AS categories_scanned, count(*) FILTER (NOT found) AS categories_clean FROM (SELECT project_id, category, bool_or(pos % 13 = 0) AS found FROM {_F} GROUP BY ALL) GROUP BY project_id) s LEFT JOIN ({_GRADED}) n ON s.project_id = n.project_id""".replace("s.*, coalesce(n.total", "s.project_id, s.categories_scanned, s.categories_clean, coalesce(n.total"))
+@query(f"""SELECT s.project_id, s.categories_scanned, s.categories_clean, n.total_findings, n_critical, n_high, n_medium, n_low, n_info, health_score, health_grade
+ FROM (SELECT project_id, count(*) AS categories_scanned, count(*) FILTER (category = 'clean') AS categories_clean FROM ({_SCANNED}) GROUP BY project_id) s JOIN ({_GRADED}) n ON s.project_id = n.project_id""")
 def f4_f5_scan_summary(spark, sf_dir):
     found = _findings(spark, sf_dir)
-    results = found.select("project_id", "category").distinct().withColumn("error", F.lit(None).cast("string"))
-    return audit.scan_summary(results, found.filter("pos % 13 = 0"))
+    return audit.scan_summary(_scanned(found), found)
+
+
+def _scanned(found):
+    results = found.select("project_id", "category", F.lit(None).cast("string").alias("error")).distinct()
+    more = F.explode(F.array(F.struct(F.lit("clean").alias("category"), F.lit(None).cast("string").alias("error")), F.struct(F.lit("failed").alias("category"), F.lit("timeout").alias("error")))).alias("x")
+    return results.unionByName(found.select("project_id").distinct().select("project_id", more).select("project_id", "x.*"))
+
+
+_KEYS = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{c[0]}'" for i, c in enumerate(specs.CATEGORIES)) + " END"
+_NAMES = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{c[1]}'" for i, c in enumerate(specs.CATEGORIES)) + " END"
+_REPORTED = f"(SELECT concat(CAST(user_id AS VARCHAR), '-', CAST(CAST(floor(event_id / 500) AS BIGINT) AS VARCHAR)) AS project_id, event_id % 10 AS place, {_NAMES} AS display_name, event_id AS pos, severity FROM ({_EVENTS.replace('{events}', 'events')}))"
+_BODY = "concat('[', severity, '] t', CAST(pos AS VARCHAR), chr(10), chr(10), CASE WHEN pos % 2 = 0 THEN concat('**Location:** `here`', chr(10), chr(10)) ELSE '' END, 'why', chr(10), chr(10))"
+
+
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY project_id, place ORDER BY {_RANK}, pos) AS nr FROM {_REPORTED}),
+sections AS (SELECT project_id, place, concat('## ', any_value(display_name), chr(10), chr(10), CASE WHEN place = 9 THEN concat('> **Error:** timeout', chr(10)) ELSE string_agg(concat('### ', CAST(nr AS VARCHAR), '. ', {_BODY}), concat('---', chr(10), chr(10)) ORDER BY nr) END) AS t FROM f GROUP BY project_id, place),
+n AS (SELECT project_id, count(*) AS total, count(DISTINCT place) AS scanned, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS m, count(*) FILTER (severity = 'LOW') AS l, count(*) FILTER (severity = 'INFO') AS i FROM f GROUP BY project_id),
+g AS (SELECT *, greatest(0, 100 - 15 * c - 8 * h - 4 * m - 2 * l) AS score FROM n)
+SELECT project_id, concat('# Security & Code Quality Report', chr(10), chr(10), '**Health Score:** ', CAST(score AS VARCHAR), '/100 (Grade: **', CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 65 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'F' END, '**)', chr(10), chr(10), '**Total Findings:** ', CAST(total AS VARCHAR), '  |  **Categories Scanned:** ', CAST(scanned AS VARCHAR), '  |  **Clean Categories:** 0', chr(10), chr(10),
+ '## Severity Breakdown', chr(10), chr(10), '| Severity | Count |', chr(10), '|---|---|', chr(10), array_to_string(list_filter([CASE WHEN c > 0 THEN concat('| CRITICAL | ', CAST(c AS VARCHAR), ' |') END, CASE WHEN h > 0 THEN concat('| HIGH | ', CAST(h AS VARCHAR), ' |') END, CASE WHEN m > 0 THEN concat('| MEDIUM | ', CAST(m AS VARCHAR), ' |') END, CASE WHEN l > 0 THEN concat('| LOW | ', CAST(l AS VARCHAR), ' |') END, CASE WHEN i > 0 THEN concat('| INFO | ', CAST(i AS VARCHAR), ' |') END], lambda x: x IS NOT NULL), chr(10)),
+ chr(10), chr(10), '---', chr(10), chr(10), (SELECT string_agg(t, chr(10) ORDER BY place) FROM sections s WHERE s.project_id = g.project_id)) AS report FROM g""")
+def f6_scan_report(spark, sf_dir):
+    """Findings of all events; the last category failed in every project that has findings of it."""
+    keys, names = (F.array(*[F.lit(c[k]) for c in specs.CATEGORIES]) for k in (0, 1))
+    rows = _findings(spark, sf_dir).withColumn("at", F.col("category").cast("int"))
+    rows = rows.select(
+        "project_id", F.get(keys, F.col("at")).alias("category"), F.get(names, F.col("at")).alias("display_name"), "pos", "severity", F.concat(F.lit("t"), "pos").alias("title"), F.when(F.col("pos") % 2 == 0, "here").otherwise("").alias("location"),
+        F.lit("why").alias("description"), F.lit("").alias("recommendation"),
+    )
+    failed = F.when(F.col("category") == specs.CATEGORIES[-1][0], "timeout")
+    return audit.scan_report(rows.select("project_id", "category", "display_name", failed.alias("error")).distinct(), rows)
 
 
 @query(f"SELECT p.project_id, s.severity, count(f.severity) AS n FROM (SELECT DISTINCT project_id FROM {_F}) p CROSS JOIN (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity) LEFT JOIN {_F} f ON f.project_id = p.project_id AND f.severity = s.severity GROUP BY ALL")
@@ -321,13 +390,14 @@ def f4_findings_by_category(spark, sf_dir):
     return audit.findings_by_category(_findings(spark, sf_dir))
 
 
-@query("""SELECT doc_id, line_number, unnest(list_filter([CASE WHEN regexp_matches(line, '(?i)(token|secret|password|api_?key)\\s*=\\s*"[^"]{8,}"') THEN 'secret_value' END,
- CASE WHEN regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+') THEN 'email_in_text' END, CASE WHEN regexp_matches(line, '(?i)licensed under|released under') THEN 'license_line' END], lambda x: x IS NOT NULL)) AS rule_id
+_MET = ", ".join("CASE WHEN regexp_matches(line, '" + r[3].replace("'", "''") + f"') THEN '{r[0]}' END" for r in specs.RULES)
+
+
+@query(f"""SELECT doc_id, line_number, unnest(list_filter([{_MET}], lambda x: x IS NOT NULL)) AS rule_id
  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line_number FROM documents)""")
 def f7_rule_scan(spark, sf_dir):
-    rules = [r for r in specs.RULES if r[0] in ("secret_value", "email_in_text", "license_line")]
     sources = _documents(spark, sf_dir).select(F.col("source").alias("project_id"), F.col("doc_id").alias("path"), F.col("text").alias("source"))
-    return audit.rule_scan(sources, rules).select(F.col("path").alias("doc_id"), "line_number", "rule_id")
+    return audit.rule_scan(sources).select(F.col("path").alias("doc_id"), "line_number", "rule_id")
 
 
 # Answers
@@ -361,19 +431,23 @@ def r3_normalize_doc(spark, sf_dir):
     return _talk(spark, sf_dir, _DOC).select("conv_id", "turn", tx.normalize_doc(F.col("raw")).alias("found"))
 
 
-_TITLED = "concat('### Project Overview', CASE WHEN turn % 2 = 0 THEN ' of all' ELSE ' x' END, chr(10), role)"
+_TITLED = "concat(CASE turn % 4 WHEN 3 THEN '### Something Else' WHEN 2 THEN 'Project Overview' ELSE '### Project Overview' END, CASE WHEN turn % 2 = 0 THEN ' of all' ELSE ' x' END, chr(10), role)"
 
 
-@query("SELECT conv_id, turn, role AS found FROM conversations")
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN concat('### Something Else x', chr(10), role) WHEN 2 THEN concat('Project Overview of all', chr(10), role) ELSE role END AS found FROM conversations")
 def r4_strip_duplicate_title(spark, sf_dir):
     return _talk(spark, sf_dir, _TITLED).select("conv_id", "turn", tx.strip_duplicate_title(F.col("raw"), F.lit("📋 Project Overview")).alias("found"))
 
 
-@query("SELECT conv_id AS project_id, concat('# Project Documentation', chr(10), string_agg(concat(chr(10), '---', chr(10), chr(10), '## ', title, chr(10), chr(10), role, chr(10)), '' ORDER BY turn)) AS report FROM conversations JOIN (VALUES (0, '📋 Project Overview'), (1, '📱 Screens & Navigation'), (2, '⚡ Features')) s(t, title) ON turn = t GROUP BY conv_id")
+_TITLES = ", ".join(f"({i}, '{s[1]}')" for i, s in enumerate(specs.SECTIONS))
+
+
+@query(f"SELECT conv_id AS project_id, concat('# Project Documentation', chr(10), string_agg(concat(chr(10), '---', chr(10), chr(10), '## ', title, chr(10), chr(10), coalesce(text, ''), chr(10)), '' ORDER BY turn)) AS report FROM conversations JOIN (VALUES {_TITLES}) s(t, title) ON turn = t GROUP BY conv_id")
 def r5_assemble_report(spark, sf_dir):
-    talk = read_table(spark, sf_dir, "conversations").filter("turn < 3")
+    """Turns as sections; turns beyond the seven sections have no place in a report."""
+    talk = read_table(spark, sf_dir, "conversations")
     keys = F.array(*[F.lit(s[0]) for s in specs.SECTIONS])
-    return audit.assemble_report(talk.select(F.col("conv_id").alias("project_id"), F.get(keys, F.col("turn").cast("int")).alias("key"), F.col("role").alias("content")))
+    return audit.assemble_report(talk.select(F.col("conv_id").alias("project_id"), F.get(keys, F.col("turn").cast("int")).alias("key"), F.col("text").alias("content")))
 
 
 # Diagram records: a class diagram for each nation, with its suppliers as classes
@@ -435,6 +509,90 @@ def d6_initial_state(spark, sf_dir):
     return diagrams.initial_states(entities, diagrams.parse_relationships(docs))
 
 
+#: A diagram of each type for each nation, made of its suppliers and customers' segments.
+_ALL_TYPES = """SELECT n_nationkey AS diagram_id, 'sequence_diagram' AS diagram_type, concat('{"participants": [{"name": "', low, '", "alias": "L"}, {"name": "', high, '"}], "messages": [{"sender": "L", "receiver": "', upper(high), '"}], "groups": [{"messages": [{"sender": "', high, '", "receiver": "L", "label": "g"}], "else_messages": [{"sender": "L", "receiver": "L"}]}]}') AS json FROM {ends}
+UNION ALL SELECT n_nationkey, 'package_diagram', concat('{"packages": [{"name": "p', CAST(n_nationkey AS STRING), '", "classes": ["', low, '", "', lower(low), '", "', high, '"]}]}') FROM {ends}
+UNION ALL SELECT n_nationkey, 'deployment_diagram', concat('{"nodes": [{"name": "device", "children": ["', low, '", {"name": "', high, '"}]}, {"name": "server"}]}') FROM {ends}
+UNION ALL SELECT n_nationkey, 'component_diagram', concat('{"components": [{"name": "', low, '"}], "interfaces": [{"name": "Api", "alias": "a-', CAST(n_nationkey AS STRING), '"}], "external_components": [{"name": "', high, '"}]}') FROM {ends}
+UNION ALL SELECT n_nationkey, 'usecase_diagram', concat('{"actors": [{"name": "', low, '"}], "usecases": [{"name": "buy"}, {"name": " Buy "}, {"name": "sell  it"}]}') FROM {ends}
+UNION ALL SELECT n_nationkey, 'navigation_diagram', concat('{"screens": [{"name": "', low, '"}, {"name": "MainActivity"}', CASE WHEN n_nationkey % 3 = 0 THEN '], "entry_screen": "Given"' ELSE ']' END, ', "transitions": [', CASE WHEN n_nationkey % 3 = 1 THEN concat('{"source": "[*]", "target": "', low, '"}, ') ELSE '' END, '{"source": "', low, '", "target": "[*]"}, {"source": "', upper(low), '", "target": "[*]"}, {"source": "[*]", "target": "[*]"}]}') FROM {ends}"""
+_NATION_ENDS = "(SELECT n_nationkey, min(s_name) AS low, max(s_name) AS high FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING min(s_name) <> max(s_name))"
+_PAIRS = _NATION_ENDS.replace("{supplier}", "supplier").replace("{nation}", "nation")
+
+
+def _typed_diagrams(spark, sf_dir):
+    tables = {t: read_table(spark, sf_dir, t) for t in ("supplier", "nation")}
+    return corpus.run_sql(spark, _ALL_TYPES.replace("{ends}", _NATION_ENDS), **tables)
+
+
+def _kinds(*rows):
+    return " UNION ALL ".join(f"SELECT n_nationkey AS diagram_id, '{t}' AS diagram_type, '{kind}' AS kind, {parent} AS parent, {name} AS name FROM {_PAIRS}" for t, kind, parent, name in rows)
+
+
+@query(_kinds(
+    ("sequence_diagram", "participant", "''", "low"), ("sequence_diagram", "participant", "''", "high"), ("package_diagram", "package", "''", "concat('p', CAST(n_nationkey AS VARCHAR))"),
+    ("package_diagram", "member", "concat('p', CAST(n_nationkey AS VARCHAR))", "low"), ("package_diagram", "member", "concat('p', CAST(n_nationkey AS VARCHAR))", "high"),
+    ("deployment_diagram", "node", "''", "'device'"), ("deployment_diagram", "node", "''", "'server'"), ("deployment_diagram", "child", "'device'", "low"), ("deployment_diagram", "child", "'device'", "high"),
+    ("component_diagram", "component", "''", "low"), ("component_diagram", "interface", "''", "'Api'"), ("component_diagram", "external", "''", "high"),
+    ("usecase_diagram", "actor", "''", "low"), ("usecase_diagram", "usecase", "''", "'buy'"), ("usecase_diagram", "usecase", "''", "'sell it'"), ("navigation_diagram", "screen", "''", "low"), ("navigation_diagram", "screen", "''", "'MainActivity'"),
+))
+def d1_entities_of_all_types(spark, sf_dir):
+    docs = _typed_diagrams(spark, sf_dir).withColumn("type", F.col("diagram_type")).withColumn("diagram_id", F.concat_ws("/", "diagram_id", "type"))  # a document each
+    found = diagrams.dedupe_entities(diagrams.parse_entities(docs))
+    return found.select(F.split("diagram_id", "/")[0].cast("int").alias("diagram_id"), "diagram_type", "kind", "parent", "name")
+
+
+@query(f"SELECT n_nationkey AS diagram_id, pos, a AS source, b AS target, label FROM (SELECT n_nationkey, 0 AS pos, low AS a, high AS b, '' AS label FROM {_PAIRS} UNION ALL SELECT n_nationkey, 1, high, low, 'g' FROM {_PAIRS} UNION ALL SELECT n_nationkey, 2, low, low, '' FROM {_PAIRS})")
+def d1_d3_sequence_messages(spark, sf_dir):
+    docs = _typed_diagrams(spark, sf_dir).filter("diagram_type = 'sequence_diagram'")
+    entities, links = durable(diagrams.dedupe_entities(diagrams.parse_entities(docs)), "entities"), diagrams.parse_relationships(docs)
+    for end in ("source", "target"):
+        links = diagrams.resolve_references(links, entities, end)
+    return links.select("diagram_id", "pos", "source", "target", "label")
+
+
+@query(f"SELECT n_nationkey AS diagram_id, CASE n_nationkey % 3 WHEN 0 THEN 'Given' WHEN 1 THEN low ELSE 'MainActivity' END AS entry, low AS exits FROM {_PAIRS}")
+def d6_entry_and_exit_screens(spark, sf_dir):
+    docs = _typed_diagrams(spark, sf_dir).filter("diagram_type = 'navigation_diagram'")
+    entities, links = diagrams.dedupe_entities(diagrams.parse_entities(docs)), diagrams.parse_relationships(docs)
+    entry = diagrams.entry_screens(docs, entities, links).select("diagram_id", F.col("name").alias("entry"))
+    return entry.join(diagrams.exit_screens(links).select("diagram_id", F.col("name").alias("exits")), "diagram_id")
+
+
+_STEP_DOCS = """SELECT n_nationkey AS diagram_id, 'activity_diagram' AS diagram_type, concat('{"steps": [', repeat('{"step_type": "Decision", "condition": "c", "no_steps": [{"label": "no", "step_type": "odd"}], "yes_steps": [', CAST(n_nationkey AS INT)), '{"label": "leaf", "step_type": "STOP"}', repeat(']}', CAST(n_nationkey AS INT)), ']}') AS json FROM {nation}"""
+
+
+@query("""SELECT n_nationkey AS diagram_id, CAST(d AS INTEGER) AS depth, 'decision' AS step_type, '' AS label, concat('0000', repeat('/y0000', CAST(d AS INT))) AS path FROM nation, range(0, 25) r(d) WHERE d < n_nationkey
+ UNION ALL SELECT n_nationkey, CAST(d + 1 AS INTEGER), 'action', 'no', concat('0000', repeat('/y0000', CAST(d AS INT)), '/n0000') FROM nation, range(0, 25) r(d) WHERE d < n_nationkey
+ UNION ALL SELECT n_nationkey, CAST(n_nationkey AS INTEGER), 'stop', 'leaf', concat('0000', repeat('/y0000', CAST(n_nationkey AS INT))) FROM nation""")
+def d1_activity_steps(spark, sf_dir):
+    """Decisions nested as deep as the nation's number."""
+    docs = corpus.run_sql(spark, _STEP_DOCS, nation=read_table(spark, sf_dir, "nation"))
+    return diagrams.parse_steps(docs).select("diagram_id", "depth", "step_type", "label", "path")
+
+
+#: Documents with errors: of each nation one of five kinds.
+_BAD_DOCS = """SELECT n_nationkey AS diagram_id, CASE n_nationkey % 5 WHEN 0 THEN 'state_diagram' WHEN 1 THEN 'usecase_diagram' WHEN 2 THEN 'package_diagram' WHEN 3 THEN 'sequence_diagram' ELSE 'class_diagram' END AS diagram_type,
+ CASE n_nationkey % 5 WHEN 0 THEN concat('{"states": [{"name": "', n_name, '"}], "transitions": [{"source": "[*]", "target": "[*]"}, {"source": "', n_name, '", "target": ""}]}')
+ WHEN 1 THEN concat('{"actors": [{"name": "A"}, {"name": "B"}], "usecases": [{"name": "', n_name, '"}, {"name": "U"}], "relationships": [{"source": "A", "target": "B", "label": "x"}, {"source": "U", "target": "', n_name, '", "label": "x"}, {"source": "A", "target": "U", "label": "include"}, {"source": "A", "target": "U"}]}')
+ WHEN 2 THEN concat('{"packages": [{"name": "p", "classes": ["', n_name, '", "X"]}, {"name": "q", "classes": ["X"]}], "notes": [{"target": "", "text": "fine here"}]}')
+ WHEN 3 THEN '{"participants": []}' ELSE concat('{"classes": [{"name": " "}, {"name": "', n_name, '"}, {"name": "', lower(n_name), '"}], "notes": [{"target": ""}], "relationships": [{"source": "", "target": "', n_name, '"}]}') END AS json FROM {nation}"""
+_ERRORS = " UNION ALL ".join(
+    f"""SELECT n_nationkey AS diagram_id, '{check}' AS "check", {subject} AS subject FROM nation WHERE n_nationkey % 5 = {k}"""
+    for k, check, subject in [
+        (0, "edge to edge", "'0'"), (0, "empty target", "'1'"), (1, "relation between wrong kinds", "'A association B'"), (1, "relation between wrong kinds", "concat('U association ', n_name)"), (1, "relation between wrong kinds", "'A include U'"),
+        (2, "class in several packages", "'X'"), (3, "no entities", "''"), (3, "no transitions", "''"), (4, "empty name", "'class'"), (4, "duplicate", "lower(n_name)"), (4, "empty note target", "'0'"), (4, "empty source", "'0'"),
+    ]
+)
+
+
+@query(_ERRORS)
+def d7_errors_of_other_kinds(spark, sf_dir):
+    """Errors in the documents as they come, before names are cleaned and references resolved."""
+    docs = durable(corpus.run_sql(spark, _BAD_DOCS, nation=read_table(spark, sf_dir, "nation")), "diagrams")
+    return diagrams.integrity_errors(docs, diagrams.parse_entities(docs), diagrams.parse_relationships(docs), diagrams.parse_notes(docs))
+
+
 # History
 
 
@@ -463,3 +621,17 @@ def h3_chat_of(spark, sf_dir):
 def h3_replace_chats(spark, sf_dir):
     chats = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project_path"), "turn", "role")
     return history.replace_chats(chats, chats.filter("project_path % 3 = 0 AND turn = 0").withColumn("role", F.lit("new")))
+
+
+@query("""SELECT coalesce(r.p, c.p) AS project_path, r.last, r.files AS total_files, 2 * r.files AS total_chunks, c.n AS n_turns, c.digest FROM (SELECT CAST(user_id AS VARCHAR) AS p, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, arg_max(event_id, (ts, event_id)) AS files FROM events GROUP BY user_id) r
+ FULL JOIN (SELECT CAST(conv_id AS VARCHAR) AS p, count(*) AS n, md5(string_agg(concat(role, ':', text), '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id) c ON r.p = c.p""")
+def s8_history_round_trip(spark, sf_dir):
+    """Runs of all users and chats of all conversations, saved as JSON and loaded again."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    chats = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("project_path"), "turn", "role", F.col("text").alias("content"))
+    store.save_history(history.latest_runs(_runs(spark, sf_dir)).withColumn("project_path", F.col("project_path").cast("string")), chats, path)
+    runs, chats = store.load_history(spark, path)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", "content").alias("x")))), lambda t: t["x"]), "|")
+    talk = chats.groupBy("project_path").agg(F.count(F.lit(1)).alias("n_turns"), F.md5(said).alias("digest"))  # the turns of a chat
+    runs = runs.select("project_path", F.date_format("last_accessed", "yyyy-MM-dd HH:mm:ss").alias("last"), "total_files", "total_chunks")
+    return runs.join(talk, "project_path", "full")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.functions import rules, text
 
+#: Schemes that tasks open themselves; files in other stores come through Spark's reader.
+OPENED = ("file", "hdfs", "s3", "s3a", "gs")
+
 
 def filter_files(listing: DataFrame) -> DataFrame:
     """Rows of a listing (project_id, path, relative, ...) with a known extension and outside of ignored folders."""
@@ -14,18 +22,76 @@ def filter_files(listing: DataFrame) -> DataFrame:
     return listing.filter(ext.isin(rules.EXTENSIONS) & ~rules.in_ignored_dir(F.col("relative"))).withColumn("extension", ext)
 
 
+def _store(root: str) -> tuple[stores.FileSystem, str]:
+    if "://" not in root and not root.startswith("file:"):
+        return stores.LocalFileSystem(), os.path.abspath(root)
+    return stores.FileSystem.from_uri(root.replace("s3a://", "s3://"))
+
+
+def _below(store: stores.FileSystem, folder: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files under a folder, ignored folders left out unopened."""
+    waiting = [folder]
+    while waiting:
+        for entry in store.get_file_info(stores.FileSelector(waiting.pop())):
+            if entry.type == stores.FileType.Directory:
+                if entry.base_name not in rules.IGNORED_DIRS and not os.path.islink(entry.path):
+                    waiting.append(entry.path)
+            else:
+                yield entry.path, entry.size or 0
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, relative, size) of all files under ``root``: its first level is listed here, what is below in tasks."""
+    store, base = _store(root)
+    top = [(e.path, e.type == stores.FileType.Directory, e.size or 0) for e in store.get_file_info(stores.FileSelector(base)) if e.base_name not in rules.IGNORED_DIRS]
+    rows = spark.createDataFrame(top, "path string, folder boolean, size bigint").repartition(max(1, min(len(top), 256)))
+
+    def run(batches):
+        opened, base = _store(root)
+        for batch in batches:
+            for entry in batch.to_pylist():
+                found = list(_below(opened, entry["path"])) if entry["folder"] else [(entry["path"], entry["size"])]
+                yield pa.RecordBatch.from_pydict({"path": [p for p, _ in found], "relative": [p[len(base) :].lstrip("/") for p, _ in found], "size": pa.array([n for _, n in found], pa.int64())})
+
+    return rows.mapInArrow(run, "path string, relative string, size bigint")
+
+
+def _with_content(files: DataFrame, root: str) -> DataFrame:
+    """``files`` plus ``content``, opened in tasks; a file that cannot be read has none."""
+
+    def run(batches):
+        store, _ = _store(root)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                try:
+                    with store.open_input_stream(row.column("path")[0].as_py()) as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], names=[*row.schema.names, "content"])
+
+    columns = ", ".join(f"{c} {t}" for c, t in files.dtypes)
+    return files.mapInArrow(run, f"{columns}, content binary")
+
+
 def scan_files(spark: SparkSession, root: str, project_id: str, with_source: bool = True) -> DataFrame:
     """Files under ``root``: project_id, path, relative, extension, size, and their text if wanted.
 
-    Without the text only the listing is read. Names that begin with ``_`` or ``.`` are skipped by the reader.
+    Only files that are kept are opened, each by the task that has its row. In stores that only Spark's reader reaches, names that begin
+    with ``_`` or ``.`` are skipped, since that reader does so.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:"))
-    path = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
-    relative = F.expr("substring(p, length(b) + 2)")
-    columns = ["content"] if with_source else []
-    rows = files.select(F.lit(project_id).alias("project_id"), path.alias("path"), F.col("length").alias("size"), base.alias("b"), path.alias("p"), *columns)
-    rows = filter_files(rows.withColumn("relative", relative)).drop("b", "p")
+    if root.split(":")[0] in OPENED or "://" not in root:
+        rows = filter_files(listing(spark, root).withColumn("project_id", F.lit(project_id)))
+        rows = rows.select("project_id", "path", "relative", "extension", "size")
+        if not with_source:
+            return rows
+        spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return read_text(_with_content(rows.repartition(spread, "path"), root))
+    names = "*{" + ",".join(rules.EXTENSIONS) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
+    relative = F.expr(f"substring(path, length('{root.rstrip('/')}') + 2)")
+    rows = filter_files(files.select(F.lit(project_id).alias("project_id"), "path", relative.alias("relative"), F.col("length").alias("size"), *["content"] * with_source))
     return read_text(rows) if with_source else rows.select("project_id", "path", "relative", "extension", "size")
 
 

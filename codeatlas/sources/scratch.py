@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,10 +13,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set."""
+    """The cluster's checkpoint folder. One of our own only in local mode, where all tasks see it; the session deletes it at its end."""
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="codeatlas-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set(CHECKPOINT_DIR, base)
     return base.rstrip("/")
 

@@ -33,9 +33,10 @@ def chunk_count(chunks: DataFrame) -> DataFrame:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges of the projects in them, in place of what those projects had."""
-    for df, name, parts in ((nodes, "nodes", ["project_id", "label"]), (edges, "edges", ["project_id", "rel"])):
-        df.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/{name}")
+    """Nodes and edges of the projects in them, in place of all that those projects had (labels and types that are gone too)."""
+    for df, name, key in ((nodes, "nodes", "key"), (edges, "edges", "src_key")):
+        spread = df.repartition("project_id", F.pmod(F.hash(key), F.lit(16)))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(f"{path}/{name}")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -48,15 +49,15 @@ HISTORY = (
 
 
 def load_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, chats) of a JSON history document."""
-    doc = spark.read.schema(HISTORY).option("multiLine", True).json(path)
+    """(runs, chats) of one JSON history document (a ``.json`` file), or of a folder that ``save_history`` wrote."""
+    doc = spark.read.schema(HISTORY).option("multiLine", path.endswith(".json")).json(path)
     runs = doc.select(F.explode("projects").alias("project_path", "p")).select("project_path", F.to_timestamp("p.last_accessed").alias("last_accessed"), "p.stats.*")
     chats = doc.select(F.explode("chats").alias("project_path", "turns")).select("project_path", F.posexplode("turns").alias("turn", "t")).select("project_path", "turn", "t.role", "t.content")
     return runs, chats
 
 
 def save_history(runs: DataFrame, chats: DataFrame, path: str) -> None:
-    """One JSON document a project, in the shape that ``load_history`` reads."""
+    """A folder with one JSON document a project and line, in the shape of the whole document."""
     stamp = F.date_format("last_accessed", "yyyy-MM-dd'T'HH:mm:ss")
     projects = runs.select("project_path", F.create_map("project_path", F.struct(stamp.alias("last_accessed"), F.struct("total_files", "total_chunks").alias("stats"))).alias("projects"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))

@@ -1,7 +1,8 @@
 """Indexing as files arrive: a file stream is parsed and chunked, and each micro-batch is merged into the index.
 
 Parsing and chunking are stateless projections, so the same functions serve streams and tables. A batch
-rewrites only the partitions of its projects, so that a batch that runs twice leaves the same index.
+rewrites only the partitions of its projects, so that a batch that runs twice leaves the same index. Of several versions of a file in a
+batch the one modified last counts; a version without a text (null) takes the file out of the index.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from codeatlas.operators import chunk, parse
 from codeatlas.sources import store
 from codeatlas.sources.scratch import durable
 
-FILES = "project_id string, path string, relative string, extension string, size bigint, source string"
+FILES = "project_id string, path string, relative string, extension string, size bigint, modified timestamp, source string"
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -27,7 +28,7 @@ def start_index(files: DataFrame, index_path: str, checkpoint: str, available_no
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy("project_id", "path").agg(F.max(F.struct("size", "relative", "extension", "source")).alias("f")).select("project_id", "path", "f.*")
+        latest = batch.groupBy("project_id", "path").agg(F.max_by(F.struct("relative", "extension", "size", "source"), F.struct("modified", F.col("source").isNotNull(), "size", "source")).alias("f")).select("project_id", "path", "f.*")
         chunks = chunk.chunk_files(parse.parse_files(latest))
         try:
             old = spark.read.schema(chunks.schema).parquet(index_path)

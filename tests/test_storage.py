@@ -1,4 +1,10 @@
 import json
+import math
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
 
 from codeatlas.operators import chunk, diagrams, graph, parse, vectors
 from codeatlas.sources import files, store
@@ -6,12 +12,12 @@ from codeatlas.streaming import index
 
 
 def test_scan_reads_known_files_and_skips_ignored_folders(spark, tmp_path):
-    for name, text in {"src/A.java": "class A {}\r\nx", "build/B.java": "class B {}", "notes.txt": "no", "x/C.KT": "class C"}.items():
+    for name, text in {"src/A.java": "class A {}\r\nx", "build/B.java": "class B {}", "notes.txt": "no", "x/C.KT": "class C", "_B.java": "b", ".github/C.kt": "c", "src/_gen/.D.kt": "", ".gradle/E.kt": "e", "_F.java/.git/G.kt": "g"}.items():
         path = tmp_path / "app" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(text.encode() + (b"\xff" if name.endswith("KT") else b""))
     got = {r.relative: r for r in files.scan_files(spark, str(tmp_path / "app"), "p").collect()}
-    assert set(got) == {"src/A.java", "x/C.KT"} and got["src/A.java"].source == "class A {}\nx" and got["x/C.KT"].source.endswith("�") and got["x/C.KT"].extension == ".kt"
+    assert set(got) == {"src/A.java", "x/C.KT", "_B.java", ".github/C.kt", "src/_gen/.D.kt"} and got["src/A.java"].source == "class A {}\nx" and got["x/C.KT"].source.endswith("�") and got["x/C.KT"].extension == ".kt"
 
 
 def test_index_graph_and_history_round_trips(spark, tmp_path):
@@ -22,19 +28,33 @@ def test_index_graph_and_history_round_trips(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps({"projects": {"/a": {"last_accessed": "2024-01-02T03:04:05", "stats": {"total_files": 2, "chunks": 7}}}, "chats": {"/a": [{"role": "user", "content": "hi"}]}}))
     runs, chats = store.load_history(spark, str(tmp_path / "h.json"))
     assert runs.first().total_files == 2 and [(r.turn, r.role, r.content) for r in chats.collect()] == [(0, "user", "hi")]
-    store.save_history(runs, chats, str(tmp_path / "out"))
+    more = runs.unionByName(runs.withColumn("project_path", F.lit("/b")))
+    store.save_history(more, chats, str(tmp_path / "out"))
     again, talk = store.load_history(spark, str(tmp_path / "out"))
-    assert again.first().last_accessed == runs.first().last_accessed and talk.count() == 1
+    assert {r.last_accessed for r in again.collect()} == {runs.first().last_accessed} and again.count() == 2 and talk.count() == 1
+
+
+def test_graph_of_a_project_is_replaced_as_a_whole(spark, tmp_path):
+    node, edge = "project_id string, label string, key string, name string", "project_id string, src_label string, src_key string, rel string, dst_label string, dst_key string"
+    nodes = spark.createDataFrame([("p", "File", "f", "f"), ("p", "Class", "c", "c"), ("q", "Class", "d", "d")], node)
+    edges = spark.createDataFrame([("p", "Class", "c", "DEFINED_IN", "File", "f"), ("p", "Class", "c", "IMPORTS", "Class", "c"), ("q", "Class", "d", "IMPORTS", "Class", "d")], edge)
+    path = str(tmp_path / "g")
+    store.write_graph(nodes, edges, path)
+    store.write_graph(nodes.filter("label = 'File'"), edges.filter("rel = 'DEFINED_IN'"), path)
+    kept, links = store.read_graph(spark, path)
+    assert {(r.project_id, r.label) for r in kept.collect()} == {("p", "File"), ("q", "Class")}
+    assert {(r.project_id, r.rel) for r in links.collect()} == {("p", "DEFINED_IN"), ("q", "IMPORTS")}
 
 
 def test_stream_keeps_the_index_up_to_date(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "index")
-    listing = lambda *rows: spark.createDataFrame([("p", n, n, ".java", len(t), t) for n, t in rows], index.FILES)
-    for rows in ([("A.java", "class A {}"), ("B.java", "class B {}")], [("A.java", "class A2 {}  ")]):
+    listing = lambda *rows: spark.createDataFrame([("p", n, n, ".java", len(t or ""), datetime(2024, 1, day), t) for n, t, day in rows], index.FILES)
+    drops = ([("A.java", "class A {}  ", 1), ("B.java", "class B {}", 1), ("C.java", "class C {}", 1)], [("A.java", "class A2 {}        ", 2), ("A.java", "class A3 {}", 3), ("C.java", None, 2)])
+    for rows in drops:
         listing(*rows).coalesce(1).write.mode("append").parquet(str(source))
         index.start_index(index.file_stream(spark, str(source)), out, str(tmp_path / "ck"), available_now=True).awaitTermination(120)
         spark.catalog.clearCache()
-    assert {r.component_name for r in spark.read.parquet(out).collect()} == {"A2", "B"}
+    assert {r.component_name for r in spark.read.parquet(out).collect()} == {"A3", "B"}
 
 
 def test_embed_and_search(spark):
@@ -46,8 +66,53 @@ def test_embed_and_search(spark):
     assert [(r.query_id, r.id) for r in many.orderBy("rank").collect()][0] == (7, 2)
 
 
+def test_search_leaves_out_vectors_without_a_direction(spark):
+    rows = [(1, [1.0, 0.0], "x"), (2, [0.0, 0.0], "x"), (3, None, "x"), (4, [1.0], "x"), (5, [None, 1.0], "y"), (6, [0.9, 0.1], "y"), (7, [2.0, 0.0], "y"), (8, [-1.0, 0.0], "x")]
+    stored = spark.createDataFrame(rows, "id long, embedding array<double>, kind string")
+    asked = [(1, [1.0, 0.0], 3, None), (2, [1.0, 0.0], 9, "y"), (3, [0.0, 0.0], 3, None), (4, None, 3, None), (5, [0.0, 5.0], 2, "none")]
+    many = vectors.search_many(stored, spark.createDataFrame(asked, "query_id long, embedding array<double>, top_k int, kind string"), filters=("kind",))
+    found = [(r.query_id, r.rank, r.id) for r in many.orderBy("query_id", "rank").collect()]
+    assert found == [(1, 1, 1), (1, 2, 7), (1, 3, 6), (2, 1, 7), (2, 2, 6)]
+    assert [r.id for r in vectors.search(stored, [1.0, 0.0], 3).collect()] == [1, 7, 6] and vectors.search(stored, [0.0, 0.0], 3).count() == 0
+    none = vectors.search_many(stored.limit(0), spark.createDataFrame(asked, "query_id long, embedding array<double>, top_k int, kind string"))
+    assert none.count() == 0
+
+
+@pytest.mark.parametrize("limit", [64_000_000, 4000])
+def test_search_equals_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(vectors, "QUERY_BYTES", limit)  # the smaller one takes several passes
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 50)
+    rng = random.Random(5)
+    rows = [(f"i{k}", [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)], rng.choice("ab")) for k in range(400)]
+    asked = [(k, [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)], rng.randrange(1, 30), rng.choice(["a", "b", None])) for k in range(60)]
+    stored = spark.createDataFrame(rows, "id string, embedding array<float>, kind string").repartition(5)
+    many = vectors.search_many(stored, spark.createDataFrame(asked, "query_id long, embedding array<float>, top_k int, kind string"), filters=("kind",)).collect()
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    for q, v, k, kind in asked:
+        near = sorted((round(1 - sum(a * b for a, b in zip(unit(v), unit(w))), 9), i) for i, w, c in rows if any(w) and kind in (None, c))[:k]
+        got = sorted((r.rank, round(r.distance, 9)) for r in many if r.query_id == q)
+        assert [d for _, d in got] == pytest.approx([d for d, _ in near], abs=1e-8)
+
+
+def test_steps_of_any_depth(spark):
+    step = {"label": "deep"}
+    for _ in range(20):
+        step = {"step_type": "decision", "yes_steps": [step], "no_steps": [{"label": "n"}, {"label": "m"}]}
+    docs = spark.createDataFrame([(1, "activity_diagram", json.dumps({"steps": [step]})), (2, "activity_diagram", "{}")], "diagram_id int, diagram_type string, json string")
+    rows = diagrams.parse_steps(docs).collect()
+    assert len(rows) == 61 and max(r.depth for r in rows) == 20 and sum(r.label == "deep" for r in rows) == 1 and diagrams.parse_steps(docs.limit(0)).count() == 0
+
+
+def test_summary_counts_calls_without_making_them(spark):
+    text = "package x;\nclass A{k} { void go() { run(); go(); } void run() { go(); } }"
+    rows = [("p", f"/A{k}.java", f"A{k}.java", ".java", 1, None, text.replace("{k}", str(k))) for k in range(4)]
+    parsed = parse.parse_files(spark.createDataFrame(rows, index.FILES))
+    summary = lambda df: {(r.kind, r.name): r["count"] for r in df.collect()}
+    assert summary(graph.summary_of(parsed)) == summary(graph.graph_summary(*graph.build_graph(parsed)))
+
+
 def test_graph_edges_end_in_nodes(spark):
-    rows = [("p", f"/{n}.java", f"{n}.java", ".java", 1, t) for n, t in {"A": "package x;\nclass A extends B implements I {\n void go() { B b; helpMe(); }\n}", "B": "package y;\nimport x.A;\nclass B { A a; void helpMe() { go(); } }"}.items()]
+    rows = [("p", f"/{n}.java", f"{n}.java", ".java", 1, None, t) for n, t in {"A": "package x;\nclass A extends B implements I {\n void go() { B b; helpMe(); }\n}", "B": "package y;\nimport x.A;\nclass B { A a; void helpMe() { go(); } }"}.items()]
     nodes, edges = graph.build_graph(parse.parse_files(spark.createDataFrame(rows, index.FILES)))
     known, links = {(r.label, r.key) for r in nodes.collect()}, edges.collect()
     assert all((e.src_label, e.src_key) in known and (e.dst_label, e.dst_key) in known for e in links)
@@ -70,6 +135,6 @@ def test_diagram_references_and_errors(spark):
 
 
 def test_chunk_ids_are_stable(spark):
-    rows = [("p", "/A.java", "A.java", ".java", 1, "class A {}")]
+    rows = [("p", "/A.java", "A.java", ".java", 1, None, "class A {}")]
     ids = lambda: [r.id for r in chunk.chunk_files(parse.parse_files(spark.createDataFrame(rows, index.FILES))).collect()]
     assert ids() == ids() and len(set(ids())) == 1
