@@ -43,6 +43,7 @@ from codeatlas.sources.scratch import durable
 
 MIN_PAGES, SUPPORT, MIN_TOKENS, BROADCAST_TOKENS = 3, 0.5, 2, 500_000
 INSIDE_PAGES, INSIDE_SUPPORT, MAIN_SHARE = 10, 0.9, 0.5
+PIECE, NAMED, HEADING, FRAME, LEAF, CONTAINER = range(6)
 
 # Kinds of elements and the words in class, id and role that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,15 +184,20 @@ def piece_token(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}:{' '.join(text.split())}") - (1 << 63)
 
 
-def tokens_of(page: Page) -> list[tuple[int, int, int, int, str]]:
-    """(token, times, path above, characters, tag): the nodes, then the pieces with a text (their tag is empty)."""
-    nodes = [(p, n, page.path[u] if u >= 0 else 0, c, t) for p, n, u, c, t in zip(page.path, page.times, page.up, page.chars, page.tag)][1:]
+def tag_kind(tag: str) -> int:
+    """What a tag means for the main slot; pieces of text have kind ``PIECE``."""
+    return NAMED if tag in ("article", "main") else HEADING if tag == "h1" else FRAME if tag in ("html", "body") else LEAF if tag in LEAVES or tag == "head" else CONTAINER
+
+
+def tokens_of(page: Page) -> list[tuple[int, int, int, int, int]]:
+    """(token, times, path above, characters, kind): the nodes, then the pieces with a text."""
+    nodes = [(p, n, page.path[u] if u >= 0 else 0, c, tag_kind(t)) for p, n, u, c, t in zip(page.path, page.times, page.up, page.chars, page.tag)][1:]
     pieces = Counter((piece_token(page.path[at], text), page.path[at], len(flat)) for at, text in zip(page.node, page.text) if (flat := " ".join(text.split())))
-    return nodes + [(token, n, path, n * size, "") for (token, path, size), n in pieces.items()]
+    return nodes + [(token, n, path, n * size, PIECE) for (token, path, size), n in pieces.items()]
 
 
-def main_slot(nodes: list, pieces: list) -> tuple[int | None, str]:
-    """The path and tag of the main slot, None without one: ``nodes`` are (path, above, tag, characters, valid), ``pieces`` (above, characters) what the template repeats."""
+def main_slot(nodes: list, pieces: list) -> tuple[int | None, int]:
+    """The path and kind of the main slot, None without one: ``nodes`` are (path, above, kind, characters, valid), ``pieces`` (above, characters) what the template repeats."""
     net = {p: c for p, _, _, c, _ in nodes}
     above = {p: a for p, a, *_ in nodes}
     for at, c in pieces:
@@ -199,16 +205,16 @@ def main_slot(nodes: list, pieces: list) -> tuple[int | None, str]:
             net[at] -= c
             at = above[at]
     children = defaultdict(list)
-    for p, a, tag, _, valid in nodes:
-        children[a if a in above else None].append((net[p], p, tag, valid))
+    for p, a, kind, _, valid in nodes:
+        children[a if a in above else None].append((net[p], p, kind, valid))
     total = sum(c[0] for c in children[None])
-    at, tag = None, ""
-    while tag not in ("article", "main") and not any(t == "h1" for *_, t, _ in children[at]):
-        best = max((c for c in children[at] if c[3] and c[2] not in LEAVES and c[2] != "head"), default=None)
+    at, kind = None, FRAME
+    while kind != NAMED and not any(k == HEADING for *_, k, _ in children[at]):
+        best = max((c for c in children[at] if c[3] and c[2] not in (LEAF, HEADING)), default=None)
         if not best or best[0] <= 0 or best[0] < MAIN_SHARE * total:
             break
-        _, at, tag, _ = best
-    return (None, "") if tag in ("", "html", "body") else (at, tag)
+        _, at, kind, _ = best
+    return (None, FRAME) if kind == FRAME else (at, kind)
 
 
 def main_text(page: Page, main: int | None = None, template: set[int] = frozenset(), inside: set[int] = frozenset()) -> str:
@@ -259,7 +265,7 @@ def host_of(url: str | None) -> str | None:
 
 
 PAGE = "path array<long>, up array<int>, tag array<string>, marked array<boolean>, times array<int>, chars array<long>, node array<int>, container array<int>, block array<int>, text array<string>"
-TOKENS = "token array<long>, token_times array<int>, above array<long>, token_chars array<long>, token_tag array<string>"
+TOKENS = "token array<long>, token_times array<int>, above array<long>, token_chars array<long>, token_kind array<int>"
 
 
 def pages_read(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -277,22 +283,24 @@ def pages_read(pages: DataFrame, keep: list[str]) -> DataFrame:
     order = dict(x.split(" ") for x in PAGE.split(", "))
     out = "host string, layout string, " + ", ".join(f"{c} {order[c]}" for c in Page.__slots__) + ", " + TOKENS
     read = durable(map_slices(pages, keep, ["html", "url"], out, make), "html-read")
-    hosts = read.filter("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") >= MIN_PAGES).select("host", F.concat(F.lit("host "), "host").alias("known"))
+    hosts = read.filter("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") >= MIN_PAGES)
+    hosts = durable(hosts.select("host", F.concat(F.lit("host "), "host").alias("known")), "html-hosts")
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_TOKENS else hosts
     return read.join(hosts, "host", "left").withColumn("group", F.coalesce("known", F.concat(F.lit("layout "), "layout"))).drop("known", "layout", "host")
 
 
 def template_tokens(read: DataFrame) -> DataFrame:
-    """(group, token, above, tag, chars, strong, class, valid): the tokens of at least half of a group's pages."""
+    """(group, token, above, kind, chars, strong, class, valid): the tokens of at least half of a group's pages."""
     page = F.xxhash64(*[c for c in ("page_id", "url") if c in read.columns])
-    rows = read.select("group", page.alias("page"), F.inline(F.arrays_zip("token", "token_times", "above", "token_chars", "token_tag")))
+    rows = read.select("group", page.alias("page"), F.inline(F.arrays_zip("token", "token_times", "above", "token_chars", "token_kind")))
     mark = lambda seed: F.sum(F.pmod(F.xxhash64("page", "token_times", F.lit(seed)), F.lit(1 << 31)))
     vectors = rows.groupBy("group", "token").agg(
-        mark(1).alias("v1"), mark(2).alias("v2"), F.count(F.lit(1)).alias("pages"), F.min("above").alias("above"), F.min("token_tag").alias("tag"), F.sum("token_chars").alias("chars")
+        mark(1).alias("v1"), mark(2).alias("v2"), F.count(F.lit(1)).alias("pages"), F.min("above").alias("above"), F.min("token_kind").alias("kind"), F.sum("token_chars").alias("chars")
     )
     groups = read.groupBy("group").agg(F.count(F.lit(1)).alias("of"))
     often = vectors.filter(F.col("pages") >= MIN_PAGES).join(groups, "group").filter(F.col("pages") >= SUPPORT * F.col("of"))
     strong = (F.col("pages") >= INSIDE_PAGES) & (F.col("pages") >= INSIDE_SUPPORT * F.col("of"))
-    often = durable(often.select("group", "token", "above", "tag", "chars", strong.alias("strong"), F.xxhash64("v1", "v2", "pages").alias("class")), "html-tokens")
+    often = durable(often.select("group", "token", "above", "kind", "chars", strong.alias("strong"), F.xxhash64("v1", "v2", "pages").alias("class")), "html-tokens")
     sizes = often.groupBy("group", "class").agg((F.count(F.lit(1)) >= MIN_TOKENS).alias("valid"))
     return often.join(sizes, ["group", "class"])
 
@@ -300,14 +308,14 @@ def template_tokens(read: DataFrame) -> DataFrame:
 def templates(read: DataFrame) -> DataFrame:
     """(group, main, tokens, inside, n_template): the main slot, the repeated pieces, those with strong support, and the size of each template."""
     tokens = template_tokens(read)
-    node = F.when(F.col("tag") != "", F.struct("token", "above", "tag", "chars", "valid"))
-    piece = F.when((F.col("tag") == "") & F.col("valid"), F.struct("token", "above", "chars", "strong"))
+    node = F.when(F.col("kind") != PIECE, F.struct("token", "above", "kind", "chars", "valid"))
+    piece = F.when((F.col("kind") == PIECE) & F.col("valid"), F.struct("token", "above", "chars", "strong"))
     listed = tokens.groupBy("group").agg(F.collect_list(node).alias("nodes"), F.collect_list(piece).alias("pieces"), F.count_if("valid").alias("n_template"))
 
     def make():
         def one(nodes, pieces):
-            main, tag = main_slot([tuple(n.values()) for n in nodes], [(p["above"], p["chars"]) for p in pieces])
-            frame = main is not None and tag not in ("article", "main")
+            main, kind = main_slot([tuple(n.values()) for n in nodes], [(p["above"], p["chars"]) for p in pieces])
+            frame = main is not None and kind != NAMED
             return main, sorted(p["token"] for p in pieces), sorted(p["token"] for p in pieces if p["strong"] or frame)
 
         return lambda nodes, pieces: list(zip(*map(one, nodes, pieces)))
