@@ -10,7 +10,8 @@ space; a shorter text is one shingle) have a Jaccard similarity of 0.8 or more.
 3. MinHash values of a candidate pair are compared 16 at a time. With m of n equal the similarity has the
    posterior Beta(1 + m, 1 + n - m); a pair goes when its chance of reaching the threshold is under
    ``TOLERANCE``.
-4. What is left is verified on the whole shingle sets, which are stored once; texts are read in the first pass only.
+4. What is left is verified on the whole shingle sets. Only documents with a candidate are read again for that, their sets are stored once, and no
+   text is shuffled after.
 5. Links are counted for each document, and connected classes get one id. Classes are known by their set throughout, ids of
    documents come in at the end.
 
@@ -93,7 +94,7 @@ def minhash(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, signature and shingles (all three null without words)."""
+    """doc_id, n_shingles, set_key and signature (both null without words)."""
 
     def make():
         hashes, odd = WordHash(), minhash_parameters()
@@ -101,11 +102,31 @@ def sketch(docs: DataFrame) -> DataFrame:
         def call(texts):
             sets = [shingle_set(t, hashes) for t in texts]
             some = lambda f: [f(s) if len(s) else None for s in sets]
-            return [len(s) for s in sets], some(lambda s: xxhash.xxh3_128_digest(s.tobytes())), some(lambda s: minhash(s, odd).tobytes()), some(np.ndarray.tobytes)
+            return [len(s) for s in sets], some(set_key), some(lambda s: minhash(s, odd).tobytes())
 
         return call
 
-    return map_slices(docs, ["doc_id"], ["text"], "n_shingles long, set_key binary, signature binary, shingles binary", make)
+    return map_slices(docs, ["doc_id"], ["text"], "n_shingles long, set_key binary, signature binary", make)
+
+
+def set_key(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, shingles) of the representatives in ``wanted`` (rep, set_key, source_id)."""
+
+    def make():
+        hashes = WordHash()
+
+        def call(texts, keys):  # of the rows that share an id, those that have the set
+            sets = [shingle_set(t, hashes) for t in texts]
+            return ([s.tobytes() if set_key(s) == k else None for s, k in zip(sets, keys)],)
+
+        return call
+
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("source_id"))
+    return map_slices(rows, ["rep"], ["text", "set_key"], "shingles binary", make).filter("shingles IS NOT NULL").dropDuplicates(["rep"])
 
 
 def least_matches() -> list[int]:
@@ -236,7 +257,7 @@ def _block_links(pdf, least):
     return pd.DataFrame({"rep": [reps[k] for k in at], "peer": [reps[find(int(k))] for k in at], "text_links": text_links[at], "doc_links": doc_links[at]})
 
 
-def links(classes: DataFrame, sets: DataFrame) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (rep, peer, text_links, doc_links): partial link counts of a representative, and an edge to ``peer``."""
     keys = F.array(*[F.xxhash64(F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS), F.lit(k)) for k in range(BANDS)])
     bands = classes.select("rep", "n_shingles", F.posexplode(keys).alias("band", "key"))
@@ -256,8 +277,8 @@ def links(classes: DataFrame, sets: DataFrame) -> DataFrame:
     units = units.select("rep", "band", "key", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
 
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(large.select("rep")).distinct()
-    whole = sets.select(F.col("row").alias("rep"), "shingles").join(wanted, "rep")
-    whole = durable(whole.join(classes.select("rep", "copies", "signature"), "rep"), "ngram-shingles")
+    wanted = classes.select("rep", "set_key", "source_id").join(wanted, "rep")
+    whole = durable(shingle_sets(docs, wanted).join(classes.select("rep", "copies", "signature"), "rep"), "ngram-shingles")
     side = lambda x: whole.select(F.col("rep").alias(x), F.col("copies").alias(f"copies_{x}"), F.col("shingles").alias(f"shingles_{x}"))
     found = _verified(pairs.join(side("a"), "a").join(side("b"), "b"))
 
@@ -304,8 +325,8 @@ def join(docs: DataFrame) -> DataFrame:
     sets = durable(sketch(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
     usable = sets.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     grouped = usable.groupBy("set_key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies"))
-    classes = durable(grouped.join(sets.select(F.col("row").alias("rep"), "n_shingles", "signature"), "rep"), "ngram-classes")
-    found = links(classes, sets)
+    classes = durable(grouped.join(sets.select(F.col("row").alias("rep"), F.col("doc_id").alias("source_id"), "n_shingles", "signature"), "rep"), "ngram-classes")
+    found = links(classes, docs)
     counts = found.groupBy("rep").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("peer").alias("v")))
     known = classes.select("set_key", "rep", "set_id", "copies").join(counts, "rep", "left").join(groups, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
