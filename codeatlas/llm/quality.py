@@ -1,6 +1,6 @@
 """Quality rules: how far a document's characters and common words are from its language's.
 
-References come from all documents, in two aggregations with map-side combining: each language's shares
+References come from all documents in one pass, whose tasks count characters and words before they are shuffled: each language's shares
 of the character classes, and its common words, those with at least 1/``COMMON`` of the language's words
 (so at most ``COMMON`` words a language, whatever the corpus holds). Every language has its own reference, whatever its
 share of the corpus. A second pass compares each document with its reference by Jensen-Shannon distance (base 2, 0 to
@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ from codeatlas.llm.arrow import map_slices
 from codeatlas.sources.scratch import durable
 
 COMMON, WINDOW = 400, 5
+MEMO, FLUSH = 200_000, 50_000
 BROADCAST_WORDS, BROADCAST_LANGUAGES = 200_000, 10_000
 LANGUAGE_CHARS, LANGUAGE_WORDS = 20_000, 10 * COMMON
 MIN_CHARS, MAX_CHARS = 200, 0.25
@@ -62,29 +64,52 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """A row for each language ('' for null): class counts ``chars``, all ``n_words``, the common ``words`` and their ``shares``."""
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
+def counts(rows: DataFrame) -> DataFrame:
+    """(lang, class, word, n) of ``rows`` (lang, text): counts of the character classes (word null) and of the words (class null)."""
 
-    def make():
+    def run(batches):
         table = character_classes()
+        chars, words = defaultdict(lambda: np.zeros(len(CLASSES), np.int64)), defaultdict(Counter)
+        names = ["lang", "class", "word", "n"]
+
+        def flushed():
+            for lang, n in chars.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(range(len(n)), pa.int32()), pa.nulls(len(n), pa.string()), pa.array(n, pa.int64())], names=names)
+            for lang, seen in words.items():
+                items = list(seen.items())
+                for s in range(0, len(items), FLUSH):
+                    part = items[s : s + FLUSH]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.nulls(len(part), pa.int32()), pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=names)
+            chars.clear()
+            words.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                chars[lang] += class_counts(text, table)
+                words[lang].update(map(str.lower, WORDS.findall(text)))
+                if sum(map(len, words.values())) > MEMO:
+                    yield from flushed()
+        yield from flushed()
+
+    found = rows.select("lang", "text").mapInArrow(run, "lang string, class int, word string, n long")
+    return found.groupBy("lang", "class", "word").agg(F.sum("n").alias("n"))
 
-        def call(texts):
-            return ([class_counts(t or "", table).tolist() for t in texts],)
 
-        return call
-
-    counted = map_slices(rows, ["lang"], ["text"], "counts array<long>", make)
-    chars = counted.groupBy("lang").agg(F.array(*[F.sum(F.col("counts")[k]).cast("double") for k in range(len(CLASSES))]).alias("chars"))
+def references(docs: DataFrame) -> DataFrame:
+    """A row for each language ('' for null): class counts ``chars``, all ``n_words``, the common ``words`` and their ``shares``."""
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    counted = durable(counts(rows), "quality-counts")
+    chars = counted.groupBy("lang").agg(
+        F.array(*[F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)).cast("double") for k in range(len(CLASSES))]).alias("chars"),
+        F.coalesce(F.sum(F.when(F.col("class").isNull(), F.col("n"))), F.lit(0)).alias("n_words"),
+    )
     chars = durable(chars, "quality-chars")
     small = F.broadcast if chars.count() <= BROADCAST_LANGUAGES else lambda x: x
-    words = rows.select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("word"))
-    words = words.filter("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    sums = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
-    common = words.join(small(sums), "lang").filter(F.col("n") * COMMON >= F.col("n_words"))  # at most COMMON rows a language
+    common = counted.filter("word IS NOT NULL").join(small(chars.select("lang", "n_words")), "lang").filter(F.col("n") * COMMON >= F.col("n_words"))  # at most COMMON rows a language
     common = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("n_words")).alias("share")))).alias("common"))
-    found = chars.join(sums, "lang", "left").join(common, "lang", "left").withColumn("common", F.coalesce("common", F.array().cast("array<struct<word:string,share:double>>")))
-    return durable(found.select("lang", "chars", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.col("common.word").alias("words"), F.col("common.share").alias("shares")), "quality-references")
+    found = chars.join(common, "lang", "left").withColumn("common", F.coalesce("common", F.array().cast("array<struct<word:string,share:double>>")))
+    return durable(found.select("lang", "chars", "n_words", F.col("common.word").alias("words"), F.col("common.share").alias("shares")), "quality-references")
 
 
 def repeated_words(words: list[str]) -> int:

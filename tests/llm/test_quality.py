@@ -1,15 +1,20 @@
+import math
 import re
+import unicodedata
+from collections import Counter, defaultdict
 
 import pytest
 
 from codeatlas.llm import quality
+from tests.conftest import SMALL
 
 
 def plain(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    marked = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    often = Counter(windows)
+    marked = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
     seen, dups = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -22,7 +27,7 @@ def test_counts_and_verdicts(spark, odd_docs, no_docs):
     prose = "the cat sat on the mat and the dog lay by the door while rain fell on the roof of the old house near the sea. " * 2
     rows = [(200 + k, prose.replace("cat", f"c{k}").replace("dog", f"d{k}").replace("roof", f"r{k}"), "en") for k in range(40)]
     rows += [(300, "#$% &&& *** " * 40, "en"), (301, "a b c d e f g\na b c d e f g\n\n x", "en")]
-    docs = odd_docs.filter("doc_id <> 6 OR doc_id IS NULL").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = odd_docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     got = {r.doc_id: r for r in quality.report(docs).collect()}
     for r in docs.collect():
         g = got[r.doc_id]
@@ -34,6 +39,62 @@ def test_counts_and_verdicts(spark, odd_docs, no_docs):
     assert quality.report(no_docs).count() == 0
 
 
+def kind(c):
+    if c in ".,;:!?'\"-":
+        return "stop"
+    if c in "\n\r":
+        return "line"
+    if c == "\t":
+        return "blank"
+    given = unicodedata.category(c)
+    return {"Ll": "lower", "Lu": "upper", "Lt": "upper", "Lm": "letter", "Lo": "letter", "Nd": "digit", "Nl": "number", "No": "number", "Zs": "blank", "Zl": "line", "Zp": "line"}.get(given) or {"M": "mark", "P": "punctuation", "S": "symbol"}.get(given[0], "other")
+
+
+def divergence(p, q):
+    """Square root of the Jensen-Shannon divergence of two histograms by name."""
+    a, b = sum(p.values()), sum(q.values())
+    if not a or not b:
+        return 0.0
+    part = lambda x, y: sum(v * math.log2(2 * v / (v + y.get(k, 0))) for k, v in x.items() if v)
+    x, y = {k: v / a for k, v in p.items()}, {k: v / b for k, v in q.items()}
+    return math.sqrt(max(0.0, (part(x, y) + part(y, x)) / 2))
+
+
+def test_distances_and_verdicts_match_plain_counts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    chars, words = defaultdict(Counter), defaultdict(Counter)
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    for r in rows:
+        chars[r.lang].update(map(kind, r.text or ""))
+        words[r.lang].update(map(str.lower, split(r.text)))
+    common = {k: {w: n for w, n in v.items() if n * quality.COMMON >= v.total()} for k, v in words.items()}
+    got = {r.doc_id: r for r in quality.report(docs).collect()}
+    for r in rows:
+        known, total = common[r.lang], words[r.lang].total()
+        rest = {**known, None: total - sum(known.values())}
+        seen = Counter(w if w in known else None for w in map(str.lower, split(r.text)))
+        g, d_words, d_chars = got[r.doc_id], divergence(seen, rest), divergence(Counter(map(kind, r.text or "")), chars[r.lang])
+        assert math.isclose(g.char_distance, d_chars, abs_tol=1e-6) and math.isclose(g.word_distance, d_words, abs_tol=1e-6)
+        far = len(r.text or "") >= 200 and chars[r.lang].total() >= quality.LANGUAGE_CHARS and d_chars > quality.MAX_CHARS
+        far = far or len(split(r.text)) >= 50 and total >= quality.LANGUAGE_WORDS and d_words > quality.MAX_WORDS
+        assert g.kept == (not g.base_failed and not far)
+
+
+def test_many_small_languages_keep_their_verdicts(spark):
+    import random
+
+    rng = random.Random(7)
+    vocabulary = [[f"w{lang}x{k}" for k in range(60)] for lang in range(100)]
+    text = lambda lang: " ".join(rng.choices(vocabulary[lang], k=600))
+    rows = [(10 * lang + k, text(lang), f"l{lang}") for lang in range(100) for k in range(9)] + [(10 * lang + 9, text((lang + 1) % 100), f"l{lang}") for lang in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.report(docs).collect()}
+    assert all(got[i].kept == (i % 10 != 9) for i in got)
+    alone = {r.doc_id: r for r in quality.report(docs.filter("lang = 'l3'")).collect()}
+    assert all(r == got[i] for i, r in alone.items())
+
+
 def test_distance_bounds():
     import numpy as np
 
