@@ -104,7 +104,6 @@ def select(docs: DataFrame, domain: Column, weights: dict, budget, max_epochs: i
     rows = rows.join(slices, [*LEVELS, "slice"])
     whole = F.col("before") + F.col("slice_tokens") <= F.col("rest")
     cut = ~whole & (F.col("before") <= F.col("rest"))
-    inside = Window.partitionBy(*LEVELS, "slice").orderBy("order_key", "doc_id").rangeBetween(Window.unboundedPreceding, 0)
     sure = rows.filter(~cut).withColumn("taken", whole)
     edge = rows.filter(cut).withColumn("taken", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "slice").orderBy("order_key")) <= F.col("rest"))
     copies = F.col("epochs") + F.when(F.col("taken") & (F.col("epochs") < max_epochs), 1).otherwise(0)

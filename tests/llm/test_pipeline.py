@@ -1,3 +1,7 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.conftest import SMALL
 
@@ -33,3 +37,30 @@ def test_run_equals_a_plain_version(spark):
     enc = test_bpe.plain()
     want = {(r.doc_id, len(enc.encode_ordinary(r.text or ""))) for r in rows if copies[r.doc_id]}
     assert mixing.BUDGET_SHARE == 0.5 and {(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SMALL).collect()} == want
+
+
+CLASHING = dict(keep_id=7, kept="k", group_size=1, score=0.5, toxicity=0.1, _id=3, _hash=4, set_key="s", rep=5, row=6, slots="x", copies=2, domain="d", _toxicity=0.2, class_id=8, label="l")
+
+
+def test_every_stage_gives_back_the_callers_rows(spark, odd_docs, no_docs):
+    """Nulls, empty and very long texts, copies, and columns with names that the operators use."""
+    named = lambda df: df.select("doc_id", "text", "lang", "source", "n_chars").withColumns({k: F.lit(v) for k, v in CLASHING.items()})
+    docs, empty = named(odd_docs), named(no_docs)
+    given = Counter(map(str, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns, name
+        assert not Counter(map(str, got.collect())) - given, name
+        assert stage(spark, empty, SMALL).collect() == []
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, SMALL).count() == docs.count() and last(spark, empty, SMALL).count() == 0
+
+
+def test_run_over_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    labels = spark.createDataFrame([(6, 1, 0), (4, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd_docs), ("empty", no_docs)):
+        docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.limit(3 if name == "odd" else 0).write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()}
+    assert got <= {2, 4, 3, 5, 6, 7, 8, 9, None} and len(got) > 2
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
