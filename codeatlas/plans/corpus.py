@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.operators import chunk, graph, parse
-from codeatlas.sources.scratch import durable, read_table
+from codeatlas.sources.scratch import CHECKPOINT_DIR, durable, read_table
 
 _NAMED = """
 SELECT p_partkey AS k, concat('proj', CAST(p_partkey % 7 AS STRING)) AS project_id,
@@ -124,25 +124,31 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple, DataFrame] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table that is written once in a session and read by all queries that need it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the ``part`` table was last written, and its rows: from footers and file listings only."""
+    return tuple(read_table(spark, sf_dir, "part").agg(F.max("_metadata.file_modification_time"), F.count(F.lit(1))).first())
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, version: tuple, make) -> DataFrame:
+    """A table that is written once in a session for a version of the data and read by all queries that need it."""
+    key = (spark.sparkContext.applicationId, spark.conf.get(CHECKPOINT_DIR, None), sf_dir, name, version)
     if key not in _STORED:
         _STORED[key] = durable(make(), name)
     return _STORED[key]
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, version: tuple | None = None) -> DataFrame:
     """All files of the corpus, stored as a listing with texts."""
     made = lambda: code_files(spark, sf_dir).unionByName(config_files(spark, sf_dir))
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return stored(spark, sf_dir, "files", lambda: made().repartition(spread, "path"))  # by file, so that no project is one task
+    return stored(spark, sf_dir, "files", version or _version(spark, sf_dir), lambda: made().repartition(spread, "path"))  # by file, so that no project is one task
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def parsed(spark: SparkSession, sf_dir: str, version: tuple | None = None) -> dict[str, DataFrame]:
     """The parsed tables, stored: files are parsed once, whatever is built from them."""
-    tables = parse.parse_files(files(spark, sf_dir))
-    return {k: stored(spark, sf_dir, f"parsed-{k}", lambda df=df: df) for k, df in tables.items()}
+    version = version or _version(spark, sf_dir)
+    tables = parse.parse_files(files(spark, sf_dir, version))
+    return {k: stored(spark, sf_dir, f"parsed-{k}", version, lambda df=df: df) for k, df in tables.items()}
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,5 +157,6 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges, stored: the graph's queries read them more than once."""
-    nodes, edges = graph.build_graph(parsed(spark, sf_dir))
-    return stored(spark, sf_dir, "nodes", lambda: nodes), stored(spark, sf_dir, "edges", lambda: edges)
+    version = _version(spark, sf_dir)
+    nodes, edges = graph.build_graph(parsed(spark, sf_dir, version))
+    return stored(spark, sf_dir, "nodes", version, lambda: nodes), stored(spark, sf_dir, "edges", version, lambda: edges)
