@@ -30,7 +30,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, survives lost executors and lets later reads prune columns.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
