@@ -352,3 +352,21 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = join(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("class_id")).alias("gone"))
     gone = found.filter("gone").select(F.col("doc_id").alias("_id"))
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+
+
+#: The same on small tables, from all shared shingles: no sketch and no candidates.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS shingles FROM w),
+k AS (SELECT doc_id, len(shingles) AS n, CASE WHEN len(shingles) > 0 THEN md5(array_to_string(list_sort(shingles), chr(10))) END AS key, shingles FROM s),
+classes AS (SELECT key, min(doc_id) AS set_id, count(*) AS copies, any_value(shingles) AS shingles, any_value(n) AS n FROM k WHERE key IS NOT NULL AND doc_id IS NOT NULL GROUP BY key),
+x AS (SELECT key, n, unnest(shingles) AS shingle FROM classes),
+near AS (SELECT a.key AS a, b.key AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.key < b.key GROUP BY a.key, b.key HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+linked AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+counts AS (SELECT l.a AS key, count(*) AS text_links, CAST(sum(c.copies) AS BIGINT) AS doc_links FROM linked l JOIN classes c ON c.key = l.b GROUP BY l.a),
+reach(key, other) AS (SELECT key, key FROM classes UNION SELECT r.key, l.b FROM reach r JOIN linked l ON l.a = r.other),
+named AS (SELECT r.key, min(c.set_id) AS class_id FROM reach r JOIN classes c ON c.key = r.other GROUP BY r.key)
+SELECT k.doc_id, CASE WHEN k.doc_id IS NOT NULL THEN coalesce(m.class_id, k.doc_id) END AS class_id, CASE WHEN k.doc_id IS NOT NULL THEN coalesce(c.set_id, k.doc_id) END AS set_id, k.n AS n_shingles,
+ CASE WHEN k.doc_id IS NOT NULL THEN coalesce(n.doc_links, 0) + greatest(coalesce(c.copies, 0) - 1, 0) ELSE 0 END AS n_links, CASE WHEN k.doc_id IS NOT NULL THEN coalesce(n.text_links, 0) ELSE 0 END AS n_text_links
+FROM k LEFT JOIN classes c ON c.key = k.key LEFT JOIN counts n ON n.key = k.key LEFT JOIN named m ON m.key = k.key
+"""

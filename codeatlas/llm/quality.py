@@ -169,7 +169,7 @@ def judge(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
             failed = len(words) < 10 or 100 * repeats > 20 * len(words)
             far = len(text) >= MIN_CHARS and chars.sum() >= LANGUAGE_CHARS and d_chars > MAX_CHARS
             far = far or len(words) >= MIN_WORDS and n_words >= LANGUAGE_WORDS and d_words > MAX_WORDS
-            return len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), repeated_lines(text), repeats, d_chars, d_words, failed, not (failed or bool(far))
+            return len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), repeated_lines(text), repeats, round(d_chars, 6), round(d_words, 6), failed, not (failed or bool(far))
 
         return lambda *columns: list(zip(*map(one, *columns)))
 
@@ -181,3 +181,44 @@ def report(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang")
     made = judge(docs, references(docs), ["doc_id"])
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+_SPLIT = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+# The character classes as regular expressions, in the order of CLASSES; the last one is what is left.
+_IN_CLASS = [r"\p{Ll}", r"\p{Lu}\p{Lt}", r"\p{Lm}\p{Lo}", r"\p{M}", r"\p{Nd}", r"\p{Nl}\p{No}", r"\p{Zs}\t", r"\p{Zl}\p{Zp}\n\r", r".,;:!?''\"\-", None, r"\p{S}"]
+
+
+def _oracle() -> str:
+    """The report in SQL, from all words and windows as rows."""
+    stops = "length(regexp_replace(t, '[^.,;:!?''\"\\-]', '', 'g'))"
+    counted = [f"length(regexp_replace(t, '[^{c}]', '', 'g'))" if c else f"length(regexp_replace(t, '[^\\p{{P}}]', '', 'g')) - {stops}" for c in _IN_CLASS]
+    listed = f"[{', '.join(counted)}]"
+    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+    distance = f"round(sqrt(greatest(0, sum({part('p', 'q')} + {part('q', 'p')}) / 2)), 6)"
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents), w AS (SELECT rid, lang, t, {_SPLIT} AS ws FROM d),
+word AS (SELECT rid, lang, lower(ws[i]) AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+win AS (SELECT rid, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+often AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS n FROM win) WHERE n > 1),
+repeats AS (SELECT rid, count(DISTINCT i + k) AS n FROM often, range(0, {WINDOW}) r(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid),
+classed AS (SELECT rid, lang, length(t) AS size, list_append(c, length(t) - list_sum(c)) AS c FROM (SELECT rid, lang, t, {listed} AS c FROM d)),
+chars AS (SELECT rid, lang, size, k, c[k] AS n FROM (SELECT *, unnest(range(1, {len(CLASSES) + 1})) AS k FROM classed)),
+whole AS (SELECT lang, k, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS of FROM chars GROUP BY lang, k),
+d_chars AS (SELECT rid, {distance} AS x, any_value(of) AS of FROM (SELECT c.rid, c.n / c.size AS p, v.n / v.of AS q, v.of FROM chars c JOIN whole v ON c.lang = v.lang AND c.k = v.k WHERE c.size > 0) GROUP BY rid),
+counts AS (SELECT lang, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS of FROM word GROUP BY lang, word),
+common AS (SELECT lang, word, n / of AS q FROM counts WHERE n * {COMMON} >= of),
+reference AS (SELECT lang, word, q FROM common UNION ALL SELECT lang, NULL, greatest(0, 1 - sum(q)) FROM common GROUP BY lang),
+sizes AS (SELECT lang, any_value(of) AS of FROM counts GROUP BY lang),
+seen AS (SELECT w.rid, w.lang, c.word, count(*) AS n FROM word w LEFT JOIN common c ON w.lang = c.lang AND w.word = c.word GROUP BY w.rid, w.lang, c.word),
+shares AS (SELECT w.rid, r.word, coalesce(s.n, 0) / w.n AS p, r.q FROM (SELECT rid, lang, count(*) AS n FROM word GROUP BY rid, lang) w JOIN reference r ON r.lang = w.lang LEFT JOIN seen s ON s.rid = w.rid AND s.word IS NOT DISTINCT FROM r.word),
+d_words AS (SELECT rid, {distance} AS x FROM shares GROUP BY rid),
+judged AS (SELECT d.doc_id, len(w.ws) AS n_words, CAST(coalesce(list_sum(list_transform(w.ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+ coalesce(r.n, 0) AS n_repeat_words, length(d.t) AS size, coalesce(c.x, 0.0) AS char_distance, coalesce(v.x, 0.0) AS word_distance, coalesce(c.of, 0) AS of_chars, coalesce(s.of, 0) AS of_words
+ FROM d JOIN w ON w.rid = d.rid LEFT JOIN lines l ON l.rid = d.rid LEFT JOIN repeats r ON r.rid = d.rid LEFT JOIN d_chars c ON c.rid = d.rid LEFT JOIN d_words v ON v.rid = d.rid LEFT JOIN sizes s ON s.lang = d.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, char_distance, word_distance,
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR (size >= {MIN_CHARS} AND of_chars >= {LANGUAGE_CHARS} AND char_distance > {MAX_CHARS}) OR (n_words >= {MIN_WORDS} AND of_words >= {LANGUAGE_WORDS} AND word_distance > {MAX_WORDS})) AS kept FROM judged
+"""
+
+
+SQL = _oracle()

@@ -54,4 +54,4 @@ QUERIES = {
         op1_ngram_join, op2_byte_bpe, op3_exact_dedup, op4_quality_rules, op5_chat_quotes, op6_secret_scan, op7_pii, op8_html_text, op9_toxicity, op10_mixing,
     )
 }
-ORACLE = {"op3_exact_dedup": exact_dedup.SQL, "op5_chat_quotes": chat.SQL, "op7_pii": pii.SQL, "op10_mixing": mixing.SQL}
+ORACLE = {"op1_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality.SQL, "op5_chat_quotes": chat.SQL, "op7_pii": pii.SQL, "op10_mixing": mixing.SQL}
