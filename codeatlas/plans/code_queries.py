@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -402,11 +401,13 @@ def _put_files(rows, root):
     """Writes a text file for each row of (relative, source) under ``root``, in tasks."""
 
     def run(batches):
+        place, base = sources.store_of(root)
         for batch in batches:
             for row in batch.to_pylist():
-                path = Path(root, row["relative"])
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_bytes(row["source"].encode())
+                path = f"{base}/{row['relative']}"
+                place.create_dir(path.rpartition("/")[0], recursive=True)
+                with place.open_output_stream(path) as f:
+                    f.write(row["source"].encode())
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
     rows.select("relative", "source").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()  # one number
@@ -418,7 +419,7 @@ _PLACE = """CASE k % 6 WHEN 0 THEN concat('_', name, ext) WHEN 1 THEN concat('.g
 @query(oracle(f"SELECT relative, CASE WHEN language = 'kotlin' THEN '.kt' ELSE '.java' END AS extension, length(name) + 7 AS size, concat('class ', name, chr(10)) AS source FROM (SELECT *, {_PLACE} AS relative FROM (SELECT *, CASE WHEN language = 'kotlin' THEN '.kt' ELSE '.java' END AS ext FROM classes)) WHERE k % 6 NOT IN (3, 4)"))
 def s1_scan_files(spark, sf_dir):
     rows = corpus.class_rows(spark, sf_dir).withColumn("ext", F.when(F.col("language") == "kotlin", ".kt").otherwise(".java"))
-    root = f"{shared_dir(spark).removeprefix('file://')}/tree-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
     _put_files(rows.select(F.expr(_PLACE).alias("relative"), F.concat(F.lit("class "), "name", F.lit("\n")).alias("source")), root)
     return sources.scan_files(spark, root, "p").select("relative", "extension", "size", "source")
 

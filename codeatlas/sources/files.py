@@ -22,9 +22,10 @@ def filter_files(listing: DataFrame) -> DataFrame:
     return listing.filter(ext.isin(rules.EXTENSIONS) & ~rules.in_ignored_dir(F.col("relative"))).withColumn("extension", ext)
 
 
-def _store(root: str) -> tuple[stores.FileSystem, str]:
-    if "://" not in root and not root.startswith("file:"):
-        return stores.LocalFileSystem(), os.path.abspath(root)
+def store_of(root: str) -> tuple[stores.FileSystem, str]:
+    """Where ``root`` is, and its path there."""
+    if "://" not in root:
+        return stores.LocalFileSystem(), os.path.abspath(root.removeprefix("file:"))
     return stores.FileSystem.from_uri(root.replace("s3a://", "s3://"))
 
 
@@ -42,12 +43,12 @@ def _below(store: stores.FileSystem, folder: str) -> Iterator[tuple[str, int]]:
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, relative, size) of all files under ``root``: its first level is listed here, what is below in tasks."""
-    store, base = _store(root)
+    store, base = store_of(root)
     top = [(e.path, e.type == stores.FileType.Directory, e.size or 0) for e in store.get_file_info(stores.FileSelector(base)) if e.base_name not in rules.IGNORED_DIRS]
     rows = spark.createDataFrame(top, "path string, folder boolean, size bigint").repartition(max(1, min(len(top), 256)))
 
     def run(batches):
-        opened, base = _store(root)
+        opened, base = store_of(root)
         for batch in batches:
             for entry in batch.to_pylist():
                 found = list(_below(opened, entry["path"])) if entry["folder"] else [(entry["path"], entry["size"])]
@@ -60,7 +61,7 @@ def _with_content(files: DataFrame, root: str) -> DataFrame:
     """``files`` plus ``content``, opened in tasks; a file that cannot be read has none."""
 
     def run(batches):
-        store, _ = _store(root)
+        store, _ = store_of(root)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
