@@ -24,13 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors and lets later reads prune columns.
+    Cuts the lineage, survives lost executors and lets later reads prune columns. The session's compression is used if none is given.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
