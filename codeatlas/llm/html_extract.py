@@ -282,7 +282,7 @@ def pages_read(pages: DataFrame, keep: list[str]) -> DataFrame:
 
     order = dict(x.split(" ") for x in PAGE.split(", "))
     out = "host string, layout string, " + ", ".join(f"{c} {order[c]}" for c in Page.__slots__) + ", " + TOKENS
-    read = durable(map_slices(pages, keep, ["html", "url"], out, make), "html-read")
+    read = durable(map_slices(pages, keep, ["html", "url"], out, make), "html-read", "zstd")
     hosts = read.filter("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") >= MIN_PAGES)
     hosts = durable(hosts.select("host", F.concat(F.lit("host "), "host").alias("known")), "html-hosts")
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_TOKENS else hosts
