@@ -46,7 +46,7 @@ BANDS, ROWS, STEP = 32, 4, 16
 HASHES = BANDS * ROWS
 SMALL, BLOCK_ROWS, BLOCK_SHINGLES, TILE = 16, 400, 400_000, 256
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-MEMO = 400_000
+MEMO = 200_000
 
 
 class WordHash(dict):
