@@ -40,34 +40,40 @@ def _groups(docs: DataFrame, keep: str, hash_key) -> tuple[DataFrame, DataFrame
     return groups, None if shared.isEmpty() else durable(texts.join(shared, "hash", "left_semi"), "exact-collisions")
 
 
+def _hashed(docs: DataFrame, hash_key) -> tuple[DataFrame, str]:
+    """``docs`` with their hash in a column of a free name, so that a join on it moves no text that nobody needs."""
+    name = free_name(docs, "hash")
+    return docs.withColumn(name, hash_key(F.coalesce(docs["text"], F.lit("")))), name
+
+
 def with_groups(docs: DataFrame, keep: str = "largest", hash_key=md5_key) -> DataFrame:
     """``docs`` with ``keep_id``, ``group_size`` and ``kept`` after its own columns."""
     groups, collisions = _groups(docs, keep, hash_key)
     names = [free_name(docs, c) for c in ("keep_id", "group_size", "kept")]
-    body = F.coalesce(docs["text"], F.lit(""))
+    keyed, key = _hashed(docs, hash_key)
 
-    def joined(found, on):
-        made = docs.join(found, on)
-        new = [found["keep_id"], found["group_size"], docs["doc_id"].eqNullSafe(found["keep_id"])]
-        return made.select(*[docs[c] for c in docs.columns], *[c.alias(n) for c, n in zip(new, names)])
+    def joined(found, more=None):
+        on = keyed[key] == found["hash"]
+        made = keyed.join(found, on if more is None else on & more)
+        new = [found["keep_id"], found["group_size"], keyed["doc_id"].eqNullSafe(found["keep_id"])]
+        return made.select(*[keyed[c] for c in docs.columns], *[c.alias(n) for c, n in zip(new, names)])
 
-    single = groups.filter("texts = 1")
-    made = joined(single, hash_key(body) == single["hash"])
+    made = joined(groups.filter("texts = 1"))
     if collisions is not None:
-        made = made.unionByName(joined(collisions, (hash_key(body) == collisions["hash"]) & (body == collisions["body"])))
+        made = made.unionByName(joined(collisions, F.coalesce(keyed["text"], F.lit("")) == collisions["body"]))
     return made
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest", hash_key=md5_key) -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
     groups, collisions = _groups(docs, keep, hash_key)
-    body = F.coalesce(docs["text"], F.lit(""))
-    best = lambda found: (hash_key(body) == found["hash"]) & docs["doc_id"].eqNullSafe(found["keep_id"])
+    keyed, key = _hashed(docs, hash_key)
+    best = lambda found: (keyed[key] == found["hash"]) & keyed["doc_id"].eqNullSafe(found["keep_id"])
     single = groups.filter("texts = 1")
-    made = docs.join(single, best(single), "left_semi")
+    made = keyed.join(single, best(single), "left_semi")
     if collisions is not None:
-        made = made.unionByName(docs.join(collisions, best(collisions) & (body == collisions["body"]), "left_semi"))
-    return made
+        made = made.unionByName(keyed.join(collisions, best(collisions) & (F.coalesce(keyed["text"], F.lit("")) == collisions["body"]), "left_semi"))
+    return made.drop(key)
 
 
 def report(docs: DataFrame) -> DataFrame:
