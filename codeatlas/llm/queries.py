@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, chat, exact_dedup, html_extract, mixing, ngram_join, pii, quality, secrets, toxicity
+from codeatlas.llm import bpe, chat, exact_dedup, html_extract, lexical, mixing, ngram_join, pii, quality, secrets, toxicity
 from codeatlas.sources.scratch import read_table
 
 
@@ -48,10 +48,16 @@ def op10_mixing(spark, sf_dir):
     return mixing.report(read_table(spark, sf_dir, "documents"))
 
 
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_byte_bpe, op3_exact_dedup, op4_quality_rules, op5_chat_quotes, op6_secret_scan, op7_pii, op8_html_text, op9_toxicity, op10_mixing,
+        op13_lexical_search,
     )
 }
-ORACLE = {"op1_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality.SQL, "op5_chat_quotes": chat.SQL, "op7_pii": pii.SQL, "op10_mixing": mixing.SQL}
+ORACLE = {"op1_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality.SQL, "op5_chat_quotes": chat.SQL, "op7_pii": pii.SQL, "op10_mixing": mixing.SQL, "op13_lexical_search": lexical.SQL}

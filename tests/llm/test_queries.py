@@ -8,7 +8,7 @@ from tests.conftest import SMALL
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("benchmark", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SMALL), con.sql(queries.ORACLE[name])
     columns = sorted(got.columns)
