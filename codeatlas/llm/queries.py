@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, chat, exact_dedup, html_extract, lexical, mixing, ngram_join, pii, quality, secrets, toxicity
+from codeatlas.llm import alignment, bpe, chat, exact_dedup, html_extract, lexical, mixing, near_dedup, ngram_join, pii, quality, secrets, toxicity
 from codeatlas.sources.scratch import read_table
 
 
@@ -49,6 +49,14 @@ def op10_mixing(spark, sf_dir):
 
 
 
+def op11_tokenizer_alignment(spark, sf_dir):
+    return alignment.report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_tensored_near_dedup(spark, sf_dir):
+    return near_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark, sf_dir):
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_byte_bpe, op3_exact_dedup, op4_quality_rules, op5_chat_quotes, op6_secret_scan, op7_pii, op8_html_text, op9_toxicity, op10_mixing,
-        op13_lexical_search,
+        op11_tokenizer_alignment, op12_tensored_near_dedup, op13_lexical_search,
     )
 }
-ORACLE = {"op1_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality.SQL, "op5_chat_quotes": chat.SQL, "op7_pii": pii.SQL, "op10_mixing": mixing.SQL, "op13_lexical_search": lexical.SQL}
+ORACLE = {"op1_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality.SQL, "op5_chat_quotes": chat.SQL, "op7_pii": pii.SQL, "op10_mixing": mixing.SQL, "op12_tensored_near_dedup": near_dedup.SQL, "op13_lexical_search": lexical.SQL}
