@@ -73,7 +73,7 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         blank = self.b.piece_to_id("▁")
         self.blank = blank if pieces[blank] == "▁" else None
-        crossing = re.compile(r"[^\s▁][\s▁]|[^\S▁]")  # white space after something else, or white space that is no blank
+        crossing = re.compile(r"[^▁]▁|\n")  # a blank after something else, or a line feed
         self.cuts = self.blank is not None and not any(crossing.search(p) for i, p in enumerate(pieces) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i))
 
     def units(self, text: str) -> list[str]:
