@@ -25,6 +25,8 @@ tables give no rows.
 from __future__ import annotations
 
 import heapq
+import itertools
+import json
 import math
 import os
 import re
@@ -39,11 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeatlas.llm.arrow import map_slices
+from codeatlas.llm.bpe import SETTLED, byte_table
 from codeatlas.sources.scratch import durable
 
 RECORDS, FRAME, PENDING = 1_000_000, 4096, 65_536
-#: Units that a task remembers, and the bytes of the longest of them.
-MEMO, LONG = 200_000, 64
+#: Units that a task remembers, the characters of the longest of them, and the characters that are aligned at once.
+MEMO, LONG, BLOCK = 300_000, 64, 500_000
 #: A unit ends where a blank or a line feed follows something else than white space.
 UNITS = re.compile(r"\s*\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+")
 #: Bits of a number in the packed ones, and of an id of A.
@@ -54,21 +57,25 @@ MIX = 40_503  # odd: A ids in another order, so that radix parts are even
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        from codeatlas.llm.bpe import byte_table
-
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         if self.a.get_vocab_size() > 1 << ID_BITS:
             raise ValueError(f"the vocabulary of A has more than 2^{ID_BITS} entries")
         back = {c: n for n, c in enumerate(byte_table())}
+        vocabulary, merges = (json.loads(self.a.to_str())["model"][k] for k in ("vocab", "merges"))
+        ranks = {bytes(map(back.__getitem__, t)): i for t, i in vocabulary.items() if all(c in back for c in t)}
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        #: The same merges in the order of the ids: for texts whose characters both libraries take alike.
+        self.fast = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if made == sorted(made) else None
         self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.bytes_a[i] = bytes(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode()
+        for raw, i in ranks.items():
+            self.bytes_a[i] = raw
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         blank = self.b.piece_to_id("▁")
@@ -76,32 +83,26 @@ class Tokenizers:
         crossing = re.compile(r"[^▁]▁|\n")  # a blank after something else, or a line feed
         self.cuts = self.blank is not None and not any(crossing.search(p) for i, p in enumerate(pieces) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i))
 
-    def units(self, text: str) -> list[str]:
-        """Parts of a blank and the text that no token crosses."""
-        return UNITS.findall(" " + text) if self.cuts else [" " + text]
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)  # it adds a blank, but to no empty text
-        for k, u in enumerate(units):
-            if u == " ":
-                b[k] = [self.blank]
-            elif u[0] != " ":
-                b[k] = b[k][1:] if b[k][:1] == [self.blank] else []
-        return a, b
-
-
-def align(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[str, np.ndarray, int]:
-    """The groups as text, the links as (index in a, index in b), the number of groups. Both ends are rising and end alike."""
-    cuts = np.union1d(ends_a, ends_b)
-    links = np.stack([np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)])
-    last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True).nonzero()[0] + 1, np.isin(ends_b, ends_a, assume_unique=True).nonzero()[0] + 1
-    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    groups, i, j = [], 0, 0
-    for k, m in zip(last_a.tolist(), last_b.tolist()):
-        groups.append(",".join(text_a[i:k]) + "|" + ",".join(text_b[j:m]))
-        i, j = k, m
-    return ";".join(groups), links, len(groups)
+    def units(self, text: str):
+        """Blocks of parts of a blank and the text that no token crosses."""
+        if not self.cuts:
+            yield [" " + text]
+        elif len(text) <= BLOCK:
+            yield UNITS.findall(" " + text)
+        else:
+            found = (m[0] for m in UNITS.finditer(" " + text))
+            while block := list(itertools.islice(found, BLOCK // 4)):
+                yield block
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text that begins with the blank (or, further on in a text, with a line feed)."""
+        a = self.fast.encode_ordinary(text) if self.fast and SETTLED.fullmatch(text) else self.a.encode(text, add_special_tokens=False).ids
+        if text == " ":
+            b = [self.blank]  # B adds a blank, but to no empty text
+        else:
+            b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1)
+            b = b if text[0] == " " else b[1:] if b[:1] == [self.blank] else []
+        return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def mixed(a: np.ndarray) -> np.ndarray:
@@ -115,23 +116,74 @@ class Aligned(dict):
 
     def __init__(self, tokenizers: Tokenizers):
         self.tok = tokenizers
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (tokenizers.bytes_a, tokenizers.bytes_b))
+        #: What follows an id in the groups' text: a comma, or what ends its side of a group.
+        self.marks = [f"{i}{end}" for n, ends in ((len(self.size_a), ",|"), (len(self.size_b), ",;")) for i in range(n) for end in ends]
 
     def learn(self, units: set[str]) -> dict:
-        """The units of a slice that are not known; long ones are for this slice only."""
+        """The units that are not known; long ones are returned and not kept."""
         if len(self) > MEMO:
             self.clear()
         new, once = [u for u in units if u not in self], {}
-        for unit, a, b in zip(new, *(self.tok.encode(new) if new else ((), ()))):
-            (self if len(unit) <= LONG else once)[unit] = self._made(unit, a, b)
+        kinds: dict[bool | None, list[str]] = {True: [], False: [], None: []}
+        for u in new:  # one after the other they are a text whose tokens are theirs, unless white space meets white space
+            kinds[None if u[-1].isspace() or not self.tok.cuts else bool(SETTLED.fullmatch(u))].append(u)
+        for kind, some in kinds.items():
+            start = size = 0
+            for k, u in enumerate(some):
+                size += len(u)
+                if size > BLOCK or kind is None or k == len(some) - 1:
+                    self._align(some[start : k + 1], once)
+                    start, size = k + 1, 0
         return once
 
-    def _made(self, unit: str, a: list[int], b: list[int]):
-        parts_a, parts_b, raw = [self.tok.bytes_a[i] for i in a], [self.tok.bytes_b[i] for i in b], unit.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        text, (i, j), groups = align(a, b, np.cumsum([len(p) for p in parts_a]), np.cumsum([len(p) for p in parts_b]))
-        return text, (mixed(a[i]) << np.uint64(32) | b[j].astype(np.uint64)).tobytes(), len(a) | len(b) << BITS | groups << 2 * BITS
+    def _align(self, units: list[str], once: dict) -> None:
+        raw = [u.encode() for u in units]
+        a, b = self.tok.encode("".join(units))
+        whole = b"".join(raw)
+        if b"".join(map(self.tok.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.tok.bytes_b.__getitem__, b.tolist())) != whole:
+            for u in units if len(units) > 1 else []:
+                self._align([u], once)
+            if len(units) == 1:
+                (self if len(units[0]) <= LONG else once)[units[0]] = None
+            return
+        ends_a, ends_b, ends = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), np.cumsum(list(map(len, raw)))
+        cuts = np.union1d(ends_a, ends_b)
+        pairs = (mixed(a[np.searchsorted(ends_a, cuts)]) << np.uint64(32) | b[np.searchsorted(ends_b, cuts)].astype(np.uint64)).tobytes()
+        last_a, last_b = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        through_a, through_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1  # tokens up to the end of each group
+        written = np.empty(len(a) + len(b), np.int64)
+        written[np.arange(len(a)) + np.append(0, through_b)[group_a]] = 2 * a + last_a
+        written[np.arange(len(b)) + through_a[group_b]] = 2 * (len(self.size_a) + b) + last_b
+        text = list(map(self.marks.__getitem__, written.tolist()))
+        of = lambda points: np.searchsorted(points, ends, "right")
+        n_a, n_b, n_links = of(ends_a), of(ends_b), of(cuts)
+        n_groups = of(ends_a[last_a])
+        at_a = at_b = at_link = at_group = 0
+        for u, i, j, k, g in zip(units, n_a.tolist(), n_b.tolist(), n_links.tolist(), n_groups.tolist()):
+            made = "".join(text[at_a + at_b : i + j])[:-1], pairs[8 * at_link : 8 * k], (i - at_a) | (j - at_b) << BITS | (g - at_group) << 2 * BITS
+            (self if len(u) <= LONG else once)[u] = made
+            at_a, at_b, at_link, at_group = i, j, k, g
+
+    def document(self, blocks):
+        """(n_a, n_b, n_groups, n_links, digest, distinct pairs, how often) of a text in blocks of units; None if it has no tokens."""
+        digest, packed, n_links, parts = sha256(), 0, 0, []
+        for units, once in blocks:
+            found = [self[u] if u in self else once[u] for u in units]
+            if None in found:
+                return None
+            text, pairs, sizes = zip(*found)
+            digest.update(((";" if packed else "") + ";".join(text)).encode())
+            pairs = np.frombuffer(b"".join(pairs), np.uint64)
+            packed, n_links = packed + sum(sizes), n_links + len(pairs)
+            parts.append(np.unique(pairs, return_counts=True))
+        keys, counts = parts[0]
+        if len(parts) > 1:
+            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
+        low = (1 << BITS) - 1
+        return packed & low, packed >> BITS & low, packed >> 2 * BITS, n_links, digest.hexdigest(), keys, counts
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -157,8 +209,7 @@ class Chunk:
     def __init__(self):
         self.keys, self.counts, self.size, self.docs = [], [], 0, 0
 
-    def add(self, pairs: np.ndarray) -> None:
-        keys, counts = np.unique(pairs, return_counts=True)
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys.append(keys)
         self.counts.append(counts)
         self.size += len(keys)
@@ -253,13 +304,13 @@ def merge(runs: list[bytes]):
 SPILLED = "chunk long, at int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, records binary, part int, run binary"
 
 
-def spill(docs: DataFrame, path_a: str, path_b: str, part_bits: int) -> DataFrame:
+def spill(docs: DataFrame, path_a: str, path_b: str, pattern: str, part_bits: int) -> DataFrame:
     """Rows of documents (chunk, at, doc_id and their numbers), of chunks (chunk, records) and of runs (chunk, part, run)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = rows.sparkSession.createDataFrame([], SPILLED).schema
 
     def work(batches):
-        arrow, aligned = to_arrow_schema(schema), Aligned(Tokenizers(path_a, path_b))
+        arrow, aligned = to_arrow_schema(schema), Aligned(Tokenizers(path_a, path_b, pattern))
         names, number = arrow.names, TaskContext.get().partitionId() << 24
         batch_of = lambda made: pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in made], schema=arrow)
         chunk = Chunk()
@@ -270,25 +321,35 @@ def spill(docs: DataFrame, path_a: str, path_b: str, part_bits: int) -> DataFram
             for s in range(0, len(runs), 256):
                 yield batch_of([(number, *[None] * 8, part, raw) for part, raw in runs[s : s + 256]])
 
-        for batch in batches:
-            for s in range(0, batch.num_rows, 64):
-                part = batch.slice(s, 64)
-                texts = [aligned.tok.units(t) if t else [] for t in part.column(1).to_pylist()]
-                once, made = aligned.learn(set().union(*texts)), []
-                for doc_id, units in zip(part.column(0).to_pylist(), texts):
-                    found = [aligned[u] if u in aligned else once[u] for u in units]
-                    if not found or None in found:
-                        made.append((number, None, doc_id, 0, 0, 0, 0, ""))
-                        continue
-                    text, pairs, packed = zip(*found)
-                    pairs, total, low = np.frombuffer(b"".join(pairs), np.uint64), sum(packed), (1 << BITS) - 1
-                    made.append((number, chunk.docs, doc_id, total & low, total >> BITS & low, total >> 2 * BITS, len(pairs), sha256(";".join(text).encode()).hexdigest()))
-                    chunk.add(pairs)
-                    if chunk.size >= RECORDS:
-                        yield batch_of(made)
-                        yield from spilled()
-                        chunk, made, number = Chunk(), [], number + 1
+        def aligned_blocks(text):
+            for units in aligned.tok.units(text):
+                yield units, aligned.learn(set(units))
+
+        def documents(batches):
+            """(doc_id, what its text comes to): short texts learn their units together, long ones block by block."""
+            for batch in batches:
+                for s in range(0, batch.num_rows, 64):
+                    ids, texts = (c.to_pylist() for c in batch.slice(s, 64).columns)
+                    short = {k: next(aligned.tok.units(t)) for k, t in enumerate(texts) if t and len(t) <= BLOCK}
+                    once = aligned.learn(set().union(*short.values()))
+                    known = [aligned.document([(short[k], once)]) if k in short else None for k in range(len(texts))]
+                    yield from ((i, aligned.document(aligned_blocks(t)) if t and len(t) > BLOCK else x) for i, t, x in zip(ids, texts, known))
+
+        made = []
+        for doc_id, found in documents(batches):
+            if found is None:
+                made.append((number, None, doc_id, 0, 0, 0, 0, ""))
+            else:
+                *numbers, keys, counts = found
+                made.append((number, chunk.docs, doc_id, *numbers))
+                chunk.add(keys, counts)
+            if len(made) >= 1000 or chunk.size >= RECORDS:
                 yield batch_of(made)
+                made = []
+            if chunk.size >= RECORDS:
+                yield from spilled()
+                chunk, number = Chunk(), number + 1
+        yield batch_of(made)
         if chunk.docs:
             yield from spilled()
 
@@ -335,11 +396,11 @@ def contributions(records: DataFrame, counts: DataFrame, most: DataFrame) -> Dat
     return map_slices(rows, ["chunk"], ["records", "frames"], "docs array<struct<at int, n_best long, count_sum long>>", make).select("chunk", F.inline("docs"))
 
 
-def report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def report(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
     """One row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     tasks = max(1, docs.rdd.getNumPartitions())
     bits = min(12, max(6, math.ceil(math.log2(tasks))))
-    spilled = durable(spill(docs, path_a, path_b, bits), "alignment-spill")
+    spilled = durable(spill(docs, path_a, path_b, pattern, bits), "alignment-spill")
     counts = durable(counted(spilled.filter("run IS NOT NULL")), "alignment-counts")
     gains = contributions(spilled.filter("records IS NOT NULL").select("chunk", "records"), counts.filter("chunk IS NOT NULL").select("chunk", "part", "frame", "counts"), counts.filter("a IS NOT NULL").select("a", "most"))
     rows = spilled.filter("records IS NULL AND run IS NULL").select("chunk", "at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")

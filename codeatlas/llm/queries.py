@@ -50,7 +50,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def op11_tokenizer_alignment(spark, sf_dir):
-    return alignment.report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 def op12_tensored_near_dedup(spark, sf_dir):

@@ -12,7 +12,7 @@ from codeatlas.llm import alignment as al
 from codeatlas.llm.bpe import byte_table
 from tests.conftest import SMALL
 
-A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+A, B, P = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
 
 
 @pytest.fixture(scope="module")
@@ -82,31 +82,31 @@ def test_report_equals_brute_force(spark, odd_docs, no_docs, plain, monkeypatch)
     monkeypatch.setattr(al, "RECORDS", 5000)  # several chunks
     monkeypatch.setattr(al, "FRAME", 64)
     monkeypatch.setattr(al, "PENDING", 128)
+    monkeypatch.setattr(al, "BLOCK", 3000)  # long texts block by block
     given = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").limit(60).collect()]
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()] + [(100 + i, t) for i, t in enumerate(ODD)] + [(1000 + i, t) for i, t in given] + [(100, "the the"), (100, "the the")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = al.report(docs, A, B)
+    got = al.report(docs, A, B, P)
     assert [f.dataType.simpleString() for f in got.schema] == ["bigint"] * 7 + ["string"]
     assert Counter(map(tuple, got.collect())) == brute(rows, plain)
-    assert al.report(no_docs, A, B).count() == 0
-
-
-def test_units_give_what_whole_texts_give(plain):
-    """Both vocabularies allow the cuts, and random texts of nasty characters come out alike."""
-    tok, r = al.Tokenizers(A, B), random.Random(9)
-    assert tok.cuts
-    alphabet = list(" \n\t\r\x0b\x1c\x85\xa0　 ") + list("ab'sL1.,!?▁é日ı́\U0001f600") + ["the", "  ", "\n\n", "'ll", "123"]
-    for _ in range(400):
-        text = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 30)))
-        units = tok.units(text)
-        assert "".join(units) == " " + text
-        a, b = ([i for ids in side for i in ids] for side in tok.encode(units))
-        want = plain(text)
-        aligned = al.Aligned(tok)
-        once = aligned.learn(set(units))
-        found = [aligned[u] if u in aligned else once[u] for u in units]
-        assert (None in found) == (want == ([], [])), text
-        assert None in found or ([i for i, _ in want[0]], [i for i, _ in want[1]]) == (a, b), text
+    assert al.report(no_docs, A, B, P).count() == 0
+
+
+def test_units_give_what_whole_texts_give(plain, monkeypatch):
+    """Both vocabularies allow the cuts, and random texts of nasty characters come out alike, in one block or several."""
+    tok, r = al.Tokenizers(A, B, P), random.Random(9)
+    assert tok.cuts and tok.fast
+    alphabet = list(" \n\t\r\x0b\x1c\x85\xa0　 ") + list("ab'sL1.,!?▁é日ı́\U0001f600") + ["the", "  ", "\n\n", "'ll", "123"]
+    aligned = al.Aligned(tok)
+    for n in range(600):
+        monkeypatch.setattr(al, "BLOCK", 12 if n % 2 else 500_000)
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 40)))
+        blocks = [(units, aligned.learn(set(units))) for units in tok.units(text)]
+        assert "".join(u for units, _ in blocks for u in units) == " " + text
+        ((want, *numbers),) = brute([(0, text)], plain)
+        found = aligned.document(blocks)
+        assert (found is None) == (numbers[0] == 0), text
+        assert found is None or (*found[:4], found[4]) == (*numbers[:4], numbers[6]), text
 
 
 def test_merge_counts_and_finds_the_highest(monkeypatch):
