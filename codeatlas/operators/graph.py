@@ -13,12 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.operators import parse
-from codeatlas.operators.bodies import called_names
-from codeatlas.operators.chunk import with_bodies
+from codeatlas.operators import bodies, parse
 
 # Types that are no classes.
-PRIMITIVES = ["int", "long", "float", "double", "boolean", "byte", "short", "char", "void", "String", "Object", "Int", "Long", "Float", "Double", "Boolean"]
+PRIMITIVES = ["int", "long", "float", "double", "boolean", "byte", "char", "short", "String", "void", "Object", "Int", "Long", "Float", "Double", "Boolean"]
 EDGE = ["project_id", "src_label", "src_key", "rel", "dst_label", "dst_key"]
 
 
@@ -139,11 +137,10 @@ def import_edges(code: DataFrame) -> DataFrame:
 
 
 def method_calls(code: DataFrame) -> DataFrame:
-    """Distinct (project_id, caller id, called name) from the methods' texts."""
-    rows = with_bodies(code).filter(F.col("first_class").isNotNull() & (F.col("body") != ""))
-    caller = F.concat(qualified(F.col("package"), F.col("first_class")), F.lit("."), F.col("name"))
-    body = F.regexp_replace("body", r"(?s)^[^{]*\{", "")
-    return rows.select("project_id", caller.alias("src"), F.explode(called_names(body, F.col("name"))).alias("wanted")).distinct()
+    """Distinct (project_id, caller id, called name) from the methods' bodies; names in comments and literals are no calls, and braces there end no method."""
+    called = F.inline(bodies.method_calls(F.col("source"), F.col("language")))
+    rows = code.filter(F.size("classes") > 0).select("project_id", _first_class(code).alias("class_name"), called)
+    return rows.select("project_id", F.concat("class_name", F.lit("."), "name").alias("src"), F.explode("calls").alias("wanted")).distinct()
 
 
 def definitions(code: DataFrame, max_definitions: int | None = None) -> DataFrame:

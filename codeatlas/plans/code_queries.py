@@ -259,6 +259,24 @@ def g13_resolve_members(spark, sf_dir):
     return resolve_members(_code(spark, sf_dir)).select("path", "class_name", "kind", "name")
 
 
+@query(oracle("""SELECT path, class_name, kind, member AS name, CASE WHEN member LIKE 'run%' THEN CASE WHEN language = 'java' THEN 'int a' ELSE 'a: Int' END WHEN member = 'log' THEN CASE WHEN language = 'java' THEN 'String text' ELSE 'text: String' END ELSE '' END AS params
+ FROM (SELECT path, name AS class_name, language, unnest(['field', 'field', 'field', 'method', 'method']) AS kind, unnest(['open', 'mark', 'block', concat('run', CAST(k % 50 AS VARCHAR)), 'log']) AS member FROM classes
+ UNION ALL SELECT path, concat('In', name), language, unnest(['field', 'method']), unnest([concat('n', CAST(k % 5 AS VARCHAR)), 'deep']) FROM classes)"""))
+def g13_members_beside_literals(spark, sf_dir):
+    """Braces, classes and members in comments, strings and characters count for nothing."""
+    code = parse.parse_code(corpus.literal_files(spark, sf_dir))
+    return resolve_members(code).select("path", "class_name", "kind", "name", "params")
+
+
+@query(oracle("""SELECT DISTINCT path, method, wanted FROM (SELECT path, concat('run', CAST(k % 50 AS VARCHAR)) AS method, unnest([called, 'log', concat('inner', CAST(k % 7 AS VARCHAR))]) AS wanted FROM classes
+ UNION ALL SELECT path, 'log', unnest(['print', called]) FROM classes WHERE language = 'kotlin') WHERE method <> wanted"""))
+def g11_calls_beside_literals(spark, sf_dir):
+    """Names in comments and literals are no calls; those in a Kotlin string's code are."""
+    code = parse.parse_code(corpus.literal_files(spark, sf_dir))
+    found = graph.method_calls(code.withColumn("package", F.col("path")))
+    return found.select(F.regexp_extract("src", r"^(.*/[^/]+\.(?:kt|java))\.", 1).alias("path"), F.regexp_extract("src", r"(\w+)$", 1).alias("method"), "wanted")
+
+
 _ALL_EDGES = f"""{_INHERITS} UNION ALL {_IMPLEMENTS} UNION ALL {_OF_TYPE} UNION ALL {_IMPORTS} UNION ALL {_CALLS}
  UNION ALL SELECT project_id, 'Class', qualified_name, 'DEFINED_IN', 'File', path FROM classes UNION ALL SELECT project_id, 'Class', qualified_name, 'BELONGS_TO', 'Package', package FROM classes
  UNION ALL SELECT project_id, 'Class', class_name, 'HAS_METHOD', 'Method', id FROM ({_METHOD_NODES}) UNION ALL SELECT project_id, 'Class', class_name, 'HAS_FIELD', 'Field', id FROM ({_FIELD_NODES})"""

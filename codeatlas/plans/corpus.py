@@ -7,6 +7,7 @@ made, so that what is parsed can be compared with what was written.
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -121,6 +122,56 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(reduce(DataFrame.unionByName, made))
 
 
+def literal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each class whose comments, strings and characters hold braces, classes, members and calls that are none.
+
+    The class has the fields open, mark and block, the methods run<k % 50> and log; an inner class has a field n<k % 5> and a method deep.
+    run calls ``called``, log and inner<k % 7>; Kotlin's log calls ``called`` within a string.
+    """
+    rows, n, slot = class_rows(spark, sf_dir), F.col("k") % 50, F.col("k") % 7
+    words = {"run": F.concat(F.lit("run"), n), "inner": F.concat(F.lit("inner"), slot), "n": F.concat(F.lit("n"), F.col("k") % 5), "name": F.col("name"), "called": F.col("called"), "super": F.col("superclass")}
+    java = """/* class Ghost { void haunt() { lost(); } } */
+public class <name> extends <super> {
+    private String open = "class Said {"; // } class Noted {
+    char mark = '}';
+    String block = \"\"\"
+ } class Block { int never; void gone() { lost(); }
+ \"quoted\" \"\"\";
+    public void <run>(int a /* ) { */) {
+        String s = "}\\"}"; // lost();
+        <called>();  /* lost() } */
+        log("lost(1) {" + '"' + '\\'' + "}");
+        if (a > 1) { <inner>(); }
+    }
+    static class In<name> { private int <n>; void deep() { char c = '{'; } }
+    void log(String text) { }
+}
+"""
+    kotlin = """/* outer /* class Ghost { */ fun haunt() { lost() } */
+data class Pair<name>(val left: Int, val right: String = "{")
+class <name>(val seed: () -> Unit = { }) : <super>() {
+    val open: String = "class Said {" // } class Noted {
+    val mark: Char = '}'
+    var block: String = \"\"\" } class Block { fun gone() { lost() } \"\"\"
+    fun <run>(a: Int /* ) { */) {
+        val s = "} ${'$'} lost() {"
+        <called>() // lost()
+        log("lost(1) {")
+        if (a > 1) { <inner>() }
+    }
+    class In<name> { val <n>: Int = 1
+        fun deep() { val c = '{' } }
+    fun log(text: String) { print("} ${ <called>() + "}" } {") }
+}
+"""
+
+    def filled(text: str) -> Column:
+        parts = re.split(r"<(\w+)>", text)
+        return F.concat(*[words[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    return _listed(rows.withColumn("source", F.when(F.col("language") == "kotlin", filled(kotlin)).otherwise(filled(java))))
+
+
 _STORED: dict[tuple, DataFrame] = {}
 
 
