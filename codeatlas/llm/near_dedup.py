@@ -10,9 +10,9 @@ shorter text is one shingle) share at least 85 of every 100 shingles that either
    with probability at most 2 (1 - s^ROWS)^SIDE: 3e-6 at similarity 0.85, 2e-8 at 0.9.
    A tuple that only one representative has cannot be part of a shared key, so keys are formed from shared tuples alone.
 3. Each member of a bucket is compared with the bucket's hub. Links make components; buckets inside one component are done.
-4. What is left is compared with a second hub, and then exhaustively, between components only: buckets of up to ``SMALL`` members as pairs,
-   larger ones in blocks of bounded rows and shingles, two blocks to a task, each pair in the first table that it shares. Tasks
-   return a spanning forest of the links, never the pairs.
+4. What is left is compared with a second hub, and then exhaustively, between components only: buckets of up to ``SMALL`` members as pairs;
+   in a larger one the members outside of its main component are compared with all, in blocks of bounded rows and shingles, two blocks
+   to a task, each pair in the first table that it shares. Tasks return a spanning forest of the links, never the pairs.
 5. Every link is confirmed on the full sets, in integers; the signature only drops pairs that have so few equal values as a
    linked pair has once in ``1 / TOLERANCE``.
 
@@ -187,12 +187,12 @@ def _first_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _block_links(pdf, least: int):
-    """Forest edges of the links between two blocks (or in one) of a bucket, between different components."""
+    """Forest edges of the links between a block of a bucket and some of its members outside of its main component."""
     import pandas as pd
 
     sets, table = [_read(x) for x in pdf["shingles"]], int(pdf["table"].iloc[0])
     sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(-1, HASHES)
-    reps, block = pdf["rep"].to_numpy(), pdf["block"].to_numpy()
+    reps, acts = pdf["rep"].to_numpy(), pdf["acts"].to_numpy()
     _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
     root, edges = list(range(int(group.max()) + 1)), []
 
@@ -202,12 +202,12 @@ def _block_links(pdf, least: int):
             x = root[x]
         return x
 
-    left, right = (np.flatnonzero(block == int(pdf[x].iloc[0])) for x in ("low", "high"))
+    left, right = np.flatnonzero(~acts), np.flatnonzero(acts)
     for s in range(0, len(left), TILE):
-        for t in range(s if left is right or block[left[0]] == block[right[0]] else 0, len(right), TILE):
+        for t in range(0, len(right), TILE):
             rows, cols = left[s : s + TILE], right[t : t + TILE]
             now = np.array([find(x) for x in range(len(root))])[group]
-            i, j = np.nonzero((now[rows][:, None] != now[cols][None, :]) & ((rows[:, None] < cols[None, :]) if block[rows[0]] == block[cols[0]] else True))
+            i, j = np.nonzero(now[rows][:, None] != now[cols][None, :])
             ok = np.zeros((len(rows), len(cols)), bool)
             for c in range(0, len(i), 16_384):
                 x, y = i[c : c + 16_384], j[c : c + 16_384]
@@ -256,10 +256,17 @@ def links(classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     found = edges.unionByName(confirmed(pairs, whole))
 
     large = rest.filter(F.col("members") > SMALL).join(classes.select("rep", "n_shingles"), "rep")
-    sizes = large.groupBy("table", "key").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
-    large = large.join(sizes, ["table", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    units = large.select("rep", "root", "table", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    units = units.select("rep", "root", "table", "key", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    blocks = lambda test: F.ceil(F.greatest(F.sum(F.when(test, F.col("n_shingles"))) / BLOCK_SHINGLES, F.count(F.when(test, 1)) / BLOCK_ROWS)).cast("int")
+    mains = large.groupBy("table", "key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("table", "key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    large = large.join(mains, ["table", "key"]).withColumn("other", F.col("root") != F.col("main"))
+    large = large.join(large.groupBy("table", "key").agg(blocks(F.lit(True)).alias("of_all"), blocks(F.col("other")).alias("of_others")), ["table", "key"])
+    # every block of all members meets every block of those outside of the main component
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["rep", "root", "table", "key"]
+    all_ = large.select(*columns, F.lit(False).alias("acts"), dealt("of_all").alias("low"), each("of_others").alias("high"))
+    others = large.filter("other").select(*columns, F.lit(True).alias("acts"), dealt("of_others").alias("high"), each("of_all").alias("low"))
+    units = all_.unionByName(others)
     least = least_matches()
     blocks = units.join(whole, "rep").groupBy("table", "key", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, least), "a long, b long")
     return durable(found.unionByName(blocks), "near-links")
