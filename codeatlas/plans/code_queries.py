@@ -14,7 +14,7 @@ from codeatlas.operators.bodies import resolve_members
 from codeatlas.plans import corpus
 from codeatlas.plans.corpus import oracle
 from codeatlas.sources import files as sources
-from codeatlas.sources import store
+from codeatlas.sources import deltas, store
 from codeatlas.sources.scratch import durable, shared_dir
 from codeatlas.streaming import index
 
@@ -442,6 +442,41 @@ def s1_scan_files(spark, sf_dir):
     return sources.scan_files(spark, root, "p").select("relative", "extension", "size", "source")
 
 
+_NESTED = """CASE WHEN k % 3 = 0 THEN concat('flat/', name) WHEN k % 3 = 1 THEN concat(repeat('down/', CAST(k % 60 AS INTEGER)), name) ELSE concat('d', CAST(k % 5 AS STRING), '/d', CAST(k % 25 AS STRING), '/d', CAST(k % 125 AS STRING), '/', name) END"""
+
+
+def _nested_tree(spark, sf_dir):
+    rows = corpus.class_rows(spark, sf_dir)
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    _put_files(rows.select(F.concat(F.expr(_NESTED), F.lit(".java")).alias("relative"), F.concat(F.lit("class "), "name", F.lit("\n")).alias("source")), root)
+    return root
+
+
+@query(oracle(f"SELECT concat({_NESTED.replace('STRING', 'VARCHAR')}, '.java') AS relative, length(name) + 7 AS size FROM classes"))
+def s1_walk_deep_and_flat(spark, sf_dir):
+    """One wide folder, chains of folders down to depth 59, and a branching tree, in rounds of at most 100 entries a task."""
+    found = sources.walk(spark, _nested_tree(spark, sf_dir), entries=100)
+    return found.filter("kind = 'file'").select("relative", "size")
+
+
+@query(oracle(f"SELECT relative, CASE WHEN k % 10 = 0 THEN '' ELSE concat('class ', name, chr(10)) END AS source, k % 10 = 0 AS failed FROM (SELECT *, concat({_NESTED.replace('STRING', 'VARCHAR')}, '.java') AS relative FROM classes)"))
+def s1_unreadable_files(spark, sf_dir):
+    """Files that vanish between the listing and the reading have an empty text and are rows of the error table."""
+    root = _nested_tree(spark, sf_dir)
+    listed = durable(sources.filter_files(sources.listing(spark, root).withColumn("project_id", F.lit("p"))).select("project_id", "path", "relative", "extension", "size"), "listed")
+    gone = listed.join(corpus.class_rows(spark, sf_dir).filter("k % 10 = 0").select(F.concat(F.expr(_NESTED), F.lit(".java")).alias("relative")), "relative", "left_semi")
+
+    def remove(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                sources.store_of(root)[0].delete_file(path)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    gone.select("path").mapInArrow(remove, "n bigint").agg(F.sum("n")).collect()  # one number
+    files, errors = sources.read_files(listed, root)
+    return files.join(errors.select("project_id", "path", F.lit(True).alias("failed")), ["project_id", "path"], "left").select("relative", "source", F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
 @query(oracle(f"SELECT project_id, sha2 AS id, md5(CASE WHEN project_id = 'proj1' THEN 'new' ELSE t END) AS digest FROM (SELECT project_id, sha256(concat(project_id, '|', path, '|CLASS|0')) AS sha2, {_CLASS_TEXT} AS t FROM classes)"))
 def s4_write_index(spark, sf_dir):
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
@@ -473,7 +508,27 @@ def s5_stream_index(spark, sf_dir):
     for rows in (first, again):
         rows.select(*spark.createDataFrame([], index.FILES).columns).write.mode("append").parquet(drop)
         index.start_index(index.file_stream(spark, drop), path, f"{path}-state", available_now=True).awaitTermination()
-    return spark.read.parquet(path).filter("chunk_type = 'CLASS'").select("file_path", "component_name")
+    return index.read_index(spark, path).filter("chunk_type = 'CLASS'").select("file_path", "component_name")
+
+
+@query(oracle("SELECT path AS file_path, CASE WHEN k % 10 = 0 OR k % 7 = 2 THEN concat('S', CAST(k AS VARCHAR)) ELSE name END AS component_name FROM classes WHERE k % 10 <> 1 OR k % 7 = 2"))
+def s5_deltas_and_compaction(spark, sf_dir):
+    """Three changes of the index and a replay of each: all files; new versions and removals; a base, and after it other new versions and files that come back."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    files = corpus.files(spark, sf_dir).filter("extension IN ('.java', '.kt')")
+    rows = files.join(corpus.class_rows(spark, sf_dir).select("k", "path"), "path").withColumn("short", F.concat(F.lit("class S"), "k"))
+
+    def change(number, touched, source):
+        changed = rows.filter(touched).withColumn("source", source).select(*files.columns)
+        for _ in range(2):
+            deltas.apply(chunk.chunk_files(parse.parse_files(changed)), changed.select("project_id", F.col("path").alias("file_path")), path, "drops", number)
+
+    change(0, F.lit(True), F.col("source"))
+    change(1, F.col("k") % 10 < 2, F.when(F.col("k") % 10 == 0, F.col("short")))
+    deltas.compact(spark, path)
+    change(2, F.col("k") % 7 == 2, F.col("short"))
+    deltas.vacuum(spark, path)
+    return deltas.read(spark, path).filter("chunk_type = 'CLASS'").select("file_path", "component_name")
 
 
 # Retrieval over the chunks of the corpus

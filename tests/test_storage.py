@@ -3,11 +3,12 @@ import math
 import random
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codeatlas.operators import chunk, diagrams, graph, parse, vectors
-from codeatlas.sources import files, store
+from codeatlas.sources import deltas, files, store
 from codeatlas.streaming import index
 
 
@@ -54,7 +55,72 @@ def test_stream_keeps_the_index_up_to_date(spark, tmp_path):
         listing(*rows).coalesce(1).write.mode("append").parquet(str(source))
         index.start_index(index.file_stream(spark, str(source)), out, str(tmp_path / "ck"), available_now=True).awaitTermination(120)
         spark.catalog.clearCache()
-    assert {r.component_name for r in spark.read.parquet(out).collect()} == {"A3", "B"}
+    assert {r.component_name for r in index.read_index(spark, out).collect()} == {"A3", "B"}
+
+
+def _size(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_deltas_grow_with_the_change_and_replays_are_applied_once(spark, tmp_path):
+    path, schema = str(tmp_path / "i"), "project_id string, file_path string, id string, content string"
+    many = spark.createDataFrame([("p", f"f{k}", f"i{k}", f"text {k} " * 20) for k in range(2000)], schema)
+    assert deltas.read(spark, path) is None and deltas.compact(spark, path) is None
+    assert deltas.apply(many, many.select("project_id", "file_path"), path, "s", 0) == 1
+    whole = _size(tmp_path / "i" / "delta")
+    one = spark.createDataFrame([("p", "f7", "i7", "new"), ("p", "f7", "i7b", "more")], schema)
+    touched = spark.createDataFrame([("p", "f7"), ("p", "f8"), ("q", "none")], "project_id string, file_path string")
+    assert deltas.apply(one, touched, path, "s", 1) == 2 and deltas.apply(one, touched, path, "s", 1) is None and deltas.apply(many, touched, path, "s", 0) is None
+    assert _size(tmp_path / "i" / "delta") - whole < whole / 10
+    alive = lambda v=None: {(r.file_path, r.content) for r in deltas.read(spark, path, v).collect()}
+    want = alive()
+    assert len(want) == 2000 and {("f7", "new"), ("f7", "more")} < want and not any(f == "f8" for f, _ in want) and len(alive(1)) == 2000 and ("f8", "text 8 " * 20) in alive(1)
+    assert deltas.compact(spark, path) == 3 and deltas.compact(spark, path) is None and alive() == want
+    (tmp_path / "i" / "delta" / "9-broken" / "chunks").mkdir(parents=True)
+    assert deltas.vacuum(spark, path) == 3 and alive() == want
+    assert deltas.apply(one.limit(0), touched.limit(1), path) == 4 and len(alive()) == 1998
+
+
+def test_a_wide_folder_and_a_chain_are_listed_in_rounds(spark, tmp_path):
+    (tmp_path / "t" / "flat").mkdir(parents=True)
+    for k in range(3000):
+        (tmp_path / "t" / "flat" / f"F{k}.java").write_text("")
+    deep = tmp_path / "t"
+    for k in range(30):
+        deep = deep / "down"
+        deep.mkdir()
+        (deep / f"D{k}.java").write_text("x")
+    (tmp_path / "t" / "loop").symlink_to(tmp_path / "t")
+    found = files.walk(spark, str(tmp_path / "t"), entries=10)
+    assert found.groupBy("kind").count().collect() == [("file", 3030)] and found.filter("size = 1").count() == 30
+    assert found.agg(F.max(F.length("relative"))).first()[0] == len("down/" * 30 + "D29.java")
+    texts = files.scan_files(spark, str(tmp_path / "t"), "p")
+    assert texts.select(F.spark_partition_id()).distinct().count() > 2 and texts.count() == 3030
+    with pytest.raises(OSError):
+        files.walk(spark, str(tmp_path / "none"))
+
+
+def test_what_cannot_be_read_is_a_row_of_the_errors(spark, tmp_path, monkeypatch):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "A.java").write_text("class A {}")
+    rows, errors = files.scan(spark, str(tmp_path / "t"), "p")
+    assert [r.source for r in rows.collect()] == ["class A {}"] and errors.count() == 0
+    lost = rows.drop("source").withColumns({"relative": F.lit("B.java"), "path": F.lit(str(tmp_path / "t" / "B.java"))})
+    rows, errors = files.read_files(rows.drop("source").unionByName(lost), str(tmp_path / "t"))
+    assert {(r.relative, r.source) for r in rows.collect()} == {("A.java", "class A {}"), ("B.java", "")}
+    assert [(r.project_id, r.path.rpartition("/")[2]) for r in errors.collect()] == [("p", "B.java")] and errors.first().error
+    gone = list(files._open_folders([pa.RecordBatch.from_pydict({"path": [str(tmp_path / "gone"), str(tmp_path / "t")]})], str(tmp_path), 100))
+    assert sorted(r["kind"] for b in gone for r in b.to_pylist()) == ["error", "file"]
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "there"
+
+    monkeypatch.setattr(files.time, "sleep", lambda s: None)
+    assert files._tried(flaky) == "there" and len(calls) == 3
 
 
 def test_embed_and_search(spark):
