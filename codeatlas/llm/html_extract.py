@@ -64,6 +64,8 @@ LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr figure figcaption c
 NO_MAIN = set("ad ads advert comment comments related reply teaser".split())
 ROLES = set("navigation banner complementary contentinfo search dialog form alert menu menubar".split())
 CLOSED_BY = {"head": {"body"}, "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: For each name the elements that its start tag closes.
+CLOSES = {name: [k for k, by in CLOSED_BY.items() if name in by] for by in CLOSED_BY.values() for name in by}
 
 MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -136,29 +138,36 @@ def read_page(html: str) -> Page:
         return places[path]
 
     stack = [("", node(0, -1, "", False), 0, 0)]  # name, node, depth of marks, container
+    open_at, barriers = defaultdict(list), [0]  # where in the stack each name is, and the blocks that no start tag closes
     blocks = containers = 0
+    texts: list[list[str]] = []  # the parts of each piece
+
+    def cut(to):
+        """Closes all that is open from ``to`` on."""
+        while len(stack) > to:
+            open_at[stack.pop()[0]].pop()
+        while barriers[-1] >= to:
+            barriers.pop()
+
     last = None  # node, marks and container of the piece at hand
 
     for kind, name, attrs in events(html):
         if kind == "text":
             _, at, low, container = stack[-1]
             if last and last[1:] == (low > 0, container, blocks):
-                page.text[-1] += name
+                texts[-1].append(name)
             elif name and not (name.isspace() and (not last or last[3] != blocks)):
-                for column, value in ((page.node, at), (page.container, container), (page.block, blocks), (page.text, name)):
+                for column, value in ((page.node, at), (page.container, container), (page.block, blocks), (texts, [name])):
                     column.append(value)
                 last = at, low > 0, container, blocks
             continue
         blocks += name in BLOCKS
         if name == "br" and last and last[3] == blocks:
-            page.text[-1] += " "
+            texts[-1].append(" ")
         if kind == "open":
-            for k in range(len(stack) - 1, 0, -1):
-                if name in CLOSED_BY.get(stack[k][0], ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS and stack[k][0] not in CLOSED_BY:
-                    break
+            at = max((open_at[k][-1] for k in CLOSES.get(name, ()) if open_at[k]), default=0)
+            if at > barriers[-1]:
+                cut(at)
             _, up, low, container = stack[-1]
             marked = is_boilerplate(name, attrs, bool(container))
             if name in ("article", "main") and not low and not container:
@@ -167,16 +176,17 @@ def read_page(html: str) -> Page:
             path = xxhash.xxh3_64_intdigest(f"{page.path[up]}/{name}.{attrs.get('class', '')}#{attrs.get('role', '')}") - (1 << 63)
             at = node(path, up, name, marked)
             if name not in VOID:
+                open_at[name].append(len(stack))
+                if name in BLOCKS and name not in CLOSED_BY:
+                    barriers.append(len(stack))
                 stack.append((name, at, low + marked, container))
-        else:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if at:
-                del stack[at:]
+        elif open_at[name]:
+            cut(open_at[name][-1])
+    page.text = list(map("".join, texts))
     for at, text in zip(page.node, page.text):
-        n = len(" ".join(text.split()))
-        while at >= 0:
-            page.chars[at] += n
-            at = page.up[at]
+        page.chars[at] += len(" ".join(text.split()))
+    for at in range(len(page.path) - 1, 0, -1):  # children come after their parents
+        page.chars[page.up[at]] += page.chars[at]
     return page
 
 
@@ -227,17 +237,12 @@ def main_text(page: Page, main: int | None = None, template: set[int] = frozense
             lines[page.block[k]] = lines.get(page.block[k], "") + ("" if fixed(k) else page.text[k])
         return [x for text in lines.values() if (x := " ".join(text.split()))]
 
-    def marked(at, top):
-        while at >= 0 and page.path[at] != top:
-            if page.marked[at]:
-                return True
-            at = page.up[at]
-        return False
-
-    def within(at):
-        while at >= 0 and page.path[at] != main:
-            at = page.up[at]
-        return at >= 0
+    def handed_down(start, step):
+        """A flag for each node from its parent's (``start`` for the root)."""
+        flags = []
+        for at, up in enumerate(page.up):
+            flags.append(step(at, flags[up] if up >= 0 else start))
+        return flags
 
     token = lambda k: piece_token(page.path[page.node[k]], page.text[k])
 
@@ -251,10 +256,13 @@ def main_text(page: Page, main: int | None = None, template: set[int] = frozense
 
     every = range(len(page.text))
     if main is not None:
-        found = slots((k for k in every if within(page.node[k]) and not marked(page.node[k], main)), inside)
+        within = handed_down(False, lambda at, above: above or page.path[at] == main)
+        marked = handed_down(False, lambda at, above: page.path[at] != main and (above or page.marked[at]))
+        found = slots((k for k in every if within[page.node[k]] and not marked[page.node[k]]), inside)
         if found:
             return "\n".join(found)
-    plain = [k for k in every if not marked(page.node[k], None)]
+    marked = handed_down(False, lambda at, above: above or page.marked[at])
+    plain = [k for k in every if not marked[page.node[k]]]
     found = slots((k for k in plain if page.container[k]), inside)
     return "\n".join(found or slots(plain, template))
 

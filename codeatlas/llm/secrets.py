@@ -15,11 +15,13 @@ else is left open, and since the forest sees neither name, assignment nor quotes
 scores are divided by the mean score of the ones (the share of secrets that carry a label, for what looks like one): an example value after a name is
 turned down, a bare secret in running text is found, whatever the rule said about it.
 
-The dictionary covers all documents: words with at least 1/``DICTIONARY`` of all words (so at most that
-many), sent to the tasks by broadcast; so is the table of character pairs in it, which has a fixed size. The documents are read twice, for
-the dictionary and for the candidates, which are stored.
+Every language (the ``lang`` of a document) has a dictionary and a table of character pairs of its own, from all its documents: words with at least
+1/``DICTIONARY`` of its words, so at most that many. Dictionaries go to the tasks by broadcast while they hold at most ``BROADCAST_WORDS`` words
+in all (measured on the written table), else a document is joined to that of its language. The documents are read twice, for
+the dictionaries and for the candidates, which are stored.
 
-Defined results: a null text has no candidates; a null source is an empty path; a candidate is a row of its own,
+Defined results: a null text has no candidates; a null source is an empty path; a null language (or none at all) is a language; values of any length are
+candidates and are looked at whole; a candidate is a row of its own,
 so a value that occurs twice is found twice and repeated rows repeat their findings; with labelled findings of one
 kind only, or none, the share of positives (0 without any) is every candidate's score; columns in ``keep`` come back whatever their names.
 """
@@ -32,18 +34,18 @@ from collections import Counter
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.llm.arrow import map_slices
 from codeatlas.sources.scratch import durable
 
 TREES, DEPTH, MAX_FINDINGS, DICTIONARY, MIN_SHARE = 40, 8, 10_000, 2000, 0.5
-NEAR, SPAN = 40, 200
+NEAR, BROADCAST_WORDS = 40, 200_000
 # Runs of token characters; names of secrets; what assigns a value; words of example values and of paths that hold no live secrets.
 RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api_?key|access_?key|auth|credential|private_?key)s?"
-NAMED = re.compile(NAME + r"[\"']?[ \t]*(?::=|=>|[=:])[ \t]*(?:\"([^\"\n]{6,200})\"|'([^'\n]{6,200})'|([^\s\"'<>]{6,}))", re.I)
+NAMED = re.compile(NAME + r"[\"']?[ \t]*(?::=|=>|[=:])[ \t]*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"'<>]{6,}))", re.I)
 EXAMPLES = r"(?i)example|sample|dummy|placeholder|change_?me|your[_-]|xxxx|0{8}|1234567"
 PATHS = re.compile(r"test|spec|mock|fixture|sample|example|docs?\b", re.I)
 FEATURES = ["length", "transitions", "surprise", "entropy", "digits", "uppers", "hex", "vowels", "signs", "coverage", "test_path", "words_near", "known_near"]
@@ -53,14 +55,22 @@ def kind_of(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def coverage(value: str, dictionary: set[str]) -> float:
+class Dictionary(set):
+    """The common words of a language, what its letter pairs cost, and the lengths of its words from the longest."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(words)
+        self.costs, self.lengths = pair_costs(words), sorted({len(w) for w in words if len(w) > 2}, reverse=True)
+
+
+def coverage(value: str, dictionary: Dictionary) -> float:
     """Part of the letters that dictionary words of three letters or more cover, longest first from the left."""
     letters = covered = 0
     for run in re.findall(r"[a-z]+", value.lower()):
         letters += len(run)
         at = 0
         while at < len(run):
-            n = next((n for n in range(min(12, len(run) - at), 2, -1) if run[at : at + n] in dictionary), 0)
+            n = next((n for n in dictionary.lengths if n <= len(run) - at and run[at : at + n] in dictionary), 0)
             covered += n
             at += n or 1
     return covered / letters if letters else 0.0
@@ -90,45 +100,62 @@ def candidates(text: str) -> list[tuple[int, int, bool, bool, int]]:
     return sorted(found)
 
 
-def features(text: str, start: int, end: int, left: int, path: str, dictionary: set[str], costs: dict[str, float]) -> list[float]:
+def features(text: str, start: int, end: int, left: int, path: str, dictionary: Dictionary) -> list[float]:
     """The name and what assigns the value are not looked at: neighbours are the words before ``left`` and after the value."""
     value, before, after = text[start:end], text[max(0, left - NEAR) : left], text[end : end + NEAR]
-    part = value[:SPAN] + value[max(SPAN, len(value) - SPAN) :] if len(value) > 2 * SPAN else value
-    kinds, n, low = [kind_of(c) for c in part], len(part), part.lower()
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(part).values())
+    kinds, n, low, costs = [kind_of(c) for c in value], len(value), value.lower(), dictionary.costs
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     around = re.findall(r"[^\W\d_]{2,}", (before + " " + after).lower())
     return [
         float(end - start), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, sum(costs.get(a + b, 8.0) for a, b in zip(low, low[1:])) / max(1, n - 1), entropy,
-        kinds.count(2) / n, kinds.count(1) / n, sum(c in "0123456789abcdef" for c in low) / n, sum(c in "aeiou" for c in low) / n, kinds.count(3) / n, coverage(part, dictionary),
+        kinds.count(2) / n, kinds.count(1) / n, sum(c in "0123456789abcdef" for c in low) / n, sum(c in "aeiou" for c in low) / n, kinds.count(3) / n, coverage(value, dictionary),
         float(bool(PATHS.search(path))), float(len(around)), sum(w in dictionary for w in around) / max(1, len(around)),
     ]
 
 
-def dictionary(docs: DataFrame) -> list[str]:
-    """Common words of three letters or more, from all documents."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("word")).filter("length(word) > 2")
-    counted = durable(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "secret-words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    return sorted(r[0] for r in counted.filter(F.col("n") * DICTIONARY >= total).select("word").collect())  # at most DICTIONARY words
+def dictionaries(docs: DataFrame) -> DataFrame:
+    """(lang, words): the common words of three letters or more of each language, from all documents; stored."""
+    words = docs.select(language(docs).alias("lang"), F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("word")).filter("length(word) > 2")
+    counted = durable(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "secret-words")
+    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    common = counted.join(total, "lang").filter(F.col("n") * DICTIONARY >= F.col("total"))  # at most DICTIONARY words a language
+    return durable(common.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("words")), "secret-dictionaries")
+
 
+def language(docs: DataFrame) -> Column:
+    return F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
 
-def findings(docs: DataFrame, common: list[str], keep: list[str]) -> DataFrame:
-    """A row for each candidate: ``keep``, start, end, value, named, quoted, features."""
-    shared = docs.sparkSession.sparkContext.broadcast((common, pair_costs(common)))
+
+def findings(docs: DataFrame, common: DataFrame, keep: list[str]) -> DataFrame:
+    """A row for each candidate: ``keep``, start, end, value, named, quoted, features. ``common`` has the dictionaries (lang, words)."""
+    known, inputs = {}, ["text", "source", "_lang"]
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), "text", "source", language(docs).alias("_lang"))
+    if (common.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS:
+        known = {r.lang: r.words for r in common.collect()}  # at most BROADCAST_WORDS words
+    else:
+        rows, inputs = rows.join(common.select(F.col("lang").alias("_of"), F.col("words").alias("_words")), F.col("_lang") == F.col("_of"), "left"), [*inputs, "_words"]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def make():
-        words, costs = set(shared.value[0]), shared.value[1]
+        ready: dict[str, Dictionary] = {}
+
+        def dictionary_of(lang, sent):
+            if lang not in ready:
+                if len(ready) > 200:
+                    ready.clear()
+                ready[lang] = Dictionary(sent or shared.value.get(lang, []))
+            return ready[lang]
 
-        def one(text, path):
+        def one(text, path, lang, sent=None):
             found = candidates(text or "")
             columns = list(zip(*found))[:4] or [(), (), (), ()]
-            return *columns, [text[a:b] for a, b, *_ in found], [features(text, a, b, left, path or "", words, costs) for a, b, *_, left in found]
+            words = dictionary_of(lang, sent) if found else None
+            return *columns, [text[a:b] for a, b, *_ in found], [features(text, a, b, left, path or "", words) for a, b, *_, left in found]
 
-        return lambda texts, paths: list(zip(*map(one, texts, paths)))
+        return lambda *columns: list(zip(*map(one, *columns)))
 
-    kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
     made = "start array<int>, end array<int>, named array<boolean>, quoted array<boolean>, value array<string>, features array<array<double>>"
-    found = map_slices(docs.select(kept, "text", "source"), ["kept"], ["text", "source"], made, make)
+    found = map_slices(rows, ["kept"], inputs, made, make)
     return found.filter(F.size("start") > 0).select("kept", F.inline(F.arrays_zip("start", "end", "named", "quoted", "value", "features")))
 
 
@@ -159,7 +186,7 @@ def scored(found: DataFrame, labelled: DataFrame, judged: bool, max_findings: in
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """All candidates with their scores; ``labels`` (doc_id, start, label) are findings that somebody has judged."""
-    found = durable(findings(docs, dictionary(docs), list(dict.fromkeys([*keep, "doc_id"]))), "secret-findings")
+    found = durable(findings(docs, dictionaries(docs), list(dict.fromkeys([*keep, "doc_id"]))), "secret-findings")
     if labels is None:
         labelled = confirmed(found)
     else:
@@ -170,5 +197,5 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, keep: tuple[str, ...]
 
 def report(docs: DataFrame) -> DataFrame:
     """A row for each candidate; the value itself is shown only as a digest."""
-    found = scan(docs.select("doc_id", "text", "source"))
+    found = scan(docs.select("doc_id", "text", "source", *["lang"] * ("lang" in docs.columns)))
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= MIN_SHARE).alias("is_secret"), "named", "quoted")

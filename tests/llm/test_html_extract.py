@@ -1,8 +1,11 @@
 import html as htmllib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import pytest
+
 from codeatlas.llm import html_extract as he
 from tests.conftest import SMALL
 
@@ -107,3 +110,14 @@ def test_long_pages_and_columns_of_the_caller(spark):
     got = he.extract(pages, ["page_id", "text", "group", "kept"]).orderBy("page_id").collect()
     assert [(r.page_id, r.text, r.group, r.kept) for r in got] == [(1, "mine", "g", 5), (2, "yours", "h", 6)]
     assert got[0].text_.split("\n") == ["word bold & more"] * 100_000 and got[1].text_ == "deep"
+
+
+@pytest.mark.parametrize("unit", ["<font>word ", "<div>x", "</b>x", "<font><li>w", "<p><font>w ", "word<!-- c -->"])
+def test_a_megabyte_of_unclosed_markup_takes_seconds(unit):
+    page = "<div>" * 12_000 * (unit == "</b>x") + unit * (1_000_000 // len(unit))
+    begun = time.time()
+    read = he.read_page(page)
+    he.tokens_of(read)
+    text = he.main_text(read)
+    assert time.time() - begun < 20 and text
+    assert read.chars[0] == sum(len(" ".join(t.split())) for t in read.text)

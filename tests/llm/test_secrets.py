@@ -57,11 +57,11 @@ def test_judged_findings_train_the_forest(spark):
 def test_features_match_plain_counts():
     rng = random.Random(3)
     words = sorted(set(PROSE))
-    costs = secrets.pair_costs(words)
+    words_of = secrets.Dictionary(words)
     for _ in range(300):
         value = "".join(rng.choices("abcxyzABC019_-/.", k=rng.randrange(6, 60)))
         text = f"the house {value} of gold"
-        got = dict(zip(secrets.FEATURES, secrets.features(text, 10, 10 + len(value), 10, "a/test/b", set(words), costs)))
+        got = dict(zip(secrets.FEATURES, secrets.features(text, 10, 10 + len(value), 10, "a/test/b", words_of)))
         kind = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in value]
         assert got["length"] == len(value) and got["test_path"] == 1 and got["words_near"] == 4
         assert math.isclose(got["transitions"], sum(x != y for x, y in zip(kind, kind[1:])) / len(value))
@@ -84,3 +84,37 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = secrets.scan(long.withColumn("label", F.lit("mine")), keep=("doc_id", "source", "label"))
     assert got.groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 1), (2, 20_000)]
     assert got.columns[:3] == ["doc_id", "source", "label"] and got.first().label == "mine"
+
+
+def test_long_values_are_looked_at_whole():
+    rng = random.Random(7)
+    passphrase, odd = " ".join(rng.choices(PROSE, k=450))[:2000], "".join(rng.choices(ANY + " ", k=206))
+    text = f'password = "{passphrase}" token: \'{odd}\' api_key="{odd[:100]}'
+    assert [(text[a:b], n, q) for a, b, n, q, _ in secrets.candidates(text)][:2] == [(passphrase, True, True), (odd, True, True)]
+    words = secrets.Dictionary([*PROSE, "internationalization"])
+    of = lambda v: dict(zip(secrets.FEATURES, secrets.features(v, 0, len(v), 0, "", words)))
+    ends, low, high = "the" * 90, "the" * 100, "".join(rng.choices("QXZ019", k=300))
+    assert of(ends + low + ends)["coverage"] == 1 and of(ends + high + ends)["coverage"] < 0.9 and of(ends + low + ends)["entropy"] < of(ends + high + ends)["entropy"] - 0.5
+    assert secrets.coverage("internationalization", words) == 1
+
+
+def test_each_language_has_its_dictionary(spark, monkeypatch):
+    """Fifty languages of 300 words: the dictionaries see each, and secrets in them are found; joined or sent, the same."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k}": ["".join(rng.choices(letters, k=rng.randrange(4, 18))) for _ in range(300)] for k in range(50)}
+    rows, truth = [], {}
+    for i in range(2000):
+        lang = f"l{i % 50}"
+        pick = lambda n, w=words[lang]: rng.choices(w, k=n)
+        truth[i] = i % 3 == 0
+        value = "".join(rng.choices(ALNUM, k=30)) if truth[i] else "_".join(pick(3)).ljust(16, "a")
+        rows.append((i, " ".join(pick(40)) + (f' token = "{value}" ' if truth[i] and i % 2 else f" see {value} ") + " ".join(pick(40)), "src", lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    sizes = {r.lang: len(r.words) for r in secrets.dictionaries(docs).collect()}
+    assert len(sizes) == 50 and min(sizes.values()) > 280
+    found = secrets.report(docs).collect()
+    flagged, real = {r.doc_id for r in found if r.is_secret}, {i for i, s in truth.items() if s}
+    assert len(flagged & real) >= 0.9 * len(real) and len(flagged & real) >= 0.9 * len(flagged)
+    monkeypatch.setattr(secrets, "BROADCAST_WORDS", 10)
+    assert sorted(secrets.report(docs).collect(), key=str) == sorted(found, key=str)
