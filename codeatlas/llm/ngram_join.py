@@ -94,7 +94,7 @@ def minhash(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key and signature (both null without words)."""
+    """doc_id, text_key, n_shingles, set_key and signature (both null without words)."""
 
     def make():
         hashes, odd = WordHash(), minhash_parameters()
@@ -106,7 +106,12 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         return call
 
-    return map_slices(docs, ["doc_id"], ["text"], "n_shingles long, set_key binary, signature binary", make)
+    return map_slices(keyed(docs), ["doc_id", "text_key"], ["text"], "n_shingles long, set_key binary, signature binary", make)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key: rows that repeat an id are told apart by their texts."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -114,19 +119,19 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the representatives in ``wanted`` (rep, set_key, source_id)."""
+    """(rep, shingles) of the representatives in ``wanted`` (rep, set_key, source_id, source_key)."""
 
     def make():
         hashes = WordHash()
 
-        def call(texts, keys):  # of the rows that share an id, those that have the set
+        def call(texts, keys):
             sets = [shingle_set(t, hashes) for t in texts]
             return ([s.tobytes() if set_key(s) == k else None for s, k in zip(sets, keys)],)
 
         return call
 
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("source_id"))
-    return map_slices(rows, ["rep"], ["text", "set_key"], "shingles binary", make).filter("shingles IS NOT NULL").dropDuplicates(["rep"])
+    rows = keyed(docs).join(wanted, (F.col("doc_id") == F.col("source_id")) & (F.col("text_key") == F.col("source_key")))
+    return map_slices(rows, ["rep"], ["text", "set_key"], "shingles binary", make).filter("shingles IS NOT NULL")
 
 
 def least_matches() -> list[int]:
@@ -257,8 +262,11 @@ def _block_links(pdf, least):
     return pd.DataFrame({"rep": [reps[k] for k in at], "peer": [reps[find(int(k))] for k in at], "text_links": text_links[at], "doc_links": doc_links[at]})
 
 
-def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (rep, peer, text_links, doc_links): partial link counts of a representative, and an edge to ``peer``."""
+def links(classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """Rows (rep, peer, text_links, doc_links): partial link counts of a representative, and an edge to ``peer``.
+
+    ``repeated``: some rows repeat an id with its text.
+    """
     keys = F.array(*[F.xxhash64(F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS), F.lit(k)) for k in range(BANDS)])
     bands = classes.select("rep", "n_shingles", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).filter("members > 1")
@@ -277,8 +285,11 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     units = units.select("rep", "band", "key", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
 
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(large.select("rep")).distinct()
-    wanted = classes.select("rep", "set_key", "source_id").join(wanted, "rep")
-    whole = durable(shingle_sets(docs, wanted).join(classes.select("rep", "copies", "signature"), "rep"), "ngram-shingles")
+    wanted = classes.select("rep", "set_key", "source_id", "source_key").join(wanted, "rep")
+    sets = shingle_sets(docs, wanted)
+    if repeated:  # such rows give their set once
+        sets = sets.dropDuplicates(["rep"])
+    whole = durable(sets.join(classes.select("rep", "copies", "signature"), "rep"), "ngram-shingles")
     side = lambda x: whole.select(F.col("rep").alias(x), F.col("copies").alias(f"copies_{x}"), F.col("shingles").alias(f"shingles_{x}"))
     found = _verified(pairs.join(side("a"), "a").join(side("b"), "b"))
 
@@ -325,8 +336,9 @@ def join(docs: DataFrame) -> DataFrame:
     sets = durable(sketch(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
     usable = sets.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     grouped = usable.groupBy("set_key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies"))
-    classes = durable(grouped.join(sets.select(F.col("row").alias("rep"), F.col("doc_id").alias("source_id"), "n_shingles", "signature"), "rep"), "ngram-classes")
-    found = links(classes, docs)
+    classes = durable(grouped.join(sets.select(F.col("row").alias("rep"), F.col("doc_id").alias("source_id"), F.col("text_key").alias("source_key"), "n_shingles", "signature"), "rep"), "ngram-classes")
+    repeated = usable.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count() > 0
+    found = links(classes, docs, repeated)
     counts = found.groupBy("rep").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("peer").alias("v")))
     known = classes.select("set_key", "rep", "set_id", "copies").join(counts, "rep", "left").join(groups, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from codeatlas.llm import ngram_join as nj
 from tests.conftest import SMALL
@@ -82,6 +83,24 @@ def test_rows_that_repeat_an_id_stand_for_themselves(spark):
     assert sorted(r.set_key for r in kept) == ["a", "b", "e", "f", "g"]
 
 
+def test_many_rows_of_one_id_cost_what_many_ids_cost(spark):
+    """Near copies under one id, some of them twice: links as by brute force, and no product of the rows of the id."""
+    rng = random.Random(6)
+    base = rng.choices([f"w{k}" for k in range(900)], k=120)
+    rows = [(7 if i % 2 else i, " ".join([*base[:k], f"x{i % 90}", *base[k + 1 :]])) for i in range(200) for k in [i % 90]]
+    got = nj.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.n_text_links) for r in got.collect()) == brute(rows)
+
+    def took(one_id):
+        texts = [(5 if one_id else i, " ".join(rng.choices(base, k=40) + base[:80] + [f"y{i}"])) for i in range(2000)]
+        begun = time.time()
+        nj.join(spark.createDataFrame(texts, "doc_id long, text string")).write.format("noop").mode("overwrite").save()
+        return time.time() - begun
+
+    apart = took(False)
+    assert took(True) < 2 * apart + 10
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = nj.join(odd_docs).collect()
     assert len(got) == odd_docs.count()
