@@ -242,6 +242,43 @@ def call_chain(calls_: DataFrame, starts: DataFrame, depth: int = 3) -> DataFram
     return reduce(DataFrame.unionByName, levels).select("project_id", "keys", (F.size("keys") - 1).alias("length"))
 
 
+def call_walks(called: DataFrame, known: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
+    """Walks along CALLS edges, by the names that they follow: (project_id, start, names, length, walks), without the edges being made.
+
+    ``called`` (project_id, src, wanted) and ``known`` (project_id, wanted, dst) are ``method_calls`` and ``definitions``; an edge is a name that both share.
+    Methods of one name are one node here: a name leads to the names that methods of it call, as often as there are such methods, and the last name
+    stands for all its definitions. So a walk costs a row for each sequence of names and not for each sequence of methods. A method's own name is
+    not among its calls, so no edge leads back to where it starts. ``expand_walks`` gives the methods.
+    """
+    links = called.join(known.select("project_id", F.col("wanted").alias("at"), F.col("dst").alias("src")), ["project_id", "src"])
+    links = links.groupBy("project_id", "at", "wanted").agg(F.count(F.lit(1)).alias("n"))
+    defined = known.groupBy("project_id", "wanted").agg(F.count(F.lit(1)).alias("defined"))
+    begun = called.join(starts.select("project_id", F.col("key").alias("src")).distinct(), ["project_id", "src"])
+    levels = [begun.select("project_id", F.col("src").alias("start"), F.array("wanted").alias("names"), F.col("wanted").alias("at"), F.lit(1).cast("long").alias("ways"))]
+    for _ in range(depth - 1):
+        grown = levels[-1].join(links, ["project_id", "at"])
+        levels.append(grown.select("project_id", "start", F.concat("names", F.array("wanted")).alias("names"), F.col("wanted").alias("at"), (F.col("ways") * F.col("n")).alias("ways")))
+    rows = reduce(DataFrame.unionByName, levels).join(defined.withColumnRenamed("wanted", "at"), ["project_id", "at"])
+    return rows.select("project_id", "start", "names", F.size("names").alias("length"), (F.col("ways") * F.col("defined")).alias("walks"))
+
+
+def expand_walks(walks: DataFrame, called: DataFrame, known: DataFrame, depth: int = 3) -> DataFrame:
+    """The paths of some walks: (project_id, keys, length). An edge occurs at most once in a path."""
+    leads = called.join(known.select("project_id", F.col("wanted").alias("name"), F.col("dst").alias("src")), ["project_id", "src"])
+    leads = leads.select("project_id", "name", F.col("wanted").alias("next"), F.col("src").alias("b"))
+    ends = known.select("project_id", F.col("wanted").alias("name"), F.col("dst").alias("b"))
+    rows = walks.select("project_id", "names", "length", F.array("start").alias("keys"))
+    found = []
+    for n in range(1, depth + 1):
+        a = F.element_at("keys", -1)
+        again = F.exists(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: (F.element_at("keys", i) == F.element_at("keys", -1)) & (F.element_at("keys", i + 1) == F.col("b"))) if n > 1 else F.lit(False)  # noqa: B023
+        step = lambda df: df.filter(~again & (a != F.col("b"))).select("project_id", "names", "length", F.concat("keys", F.array("b")).alias("keys"))  # noqa: B023, E731
+        at = rows.withColumns({"name": F.get("names", F.lit(n - 1)), "next": F.get("names", F.lit(n))})
+        found.append(step(at.filter(F.col("length") == n).join(ends, ["project_id", "name"])))
+        rows = step(at.filter(F.col("length") > n).join(leads, ["project_id", "name", "next"]))
+    return reduce(DataFrame.unionByName, found).select("project_id", "keys", "length")
+
+
 def _placed(counted: DataFrame) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "name")))  # a row for each label and type
 

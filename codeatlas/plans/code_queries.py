@@ -339,6 +339,37 @@ def g18_call_chain_of_calls(spark, sf_dir):
     return graph.call_chain(edges, starts, 2).select("project_id", F.array_join("keys", ">").alias("path"), "length")
 
 
+def _factored(spark, sf_dir):
+    """Calls by name and definitions, stored: each is read more than once."""
+    code = _code(spark, sf_dir)
+    return durable(graph.method_calls(code), "called"), durable(graph.definitions(code), "definitions")
+
+
+_EDGE_OF = f"(SELECT project_id, src_key AS a, dst_key AS b, regexp_extract(dst_key, '[^.]+$') AS w FROM ({_CALLS}))"
+
+
+@query(oracle(f"""SELECT project_id, a AS start, w AS names, 1 AS length, count(*) AS walks FROM {_EDGE_OF} WHERE a LIKE '%.onCreate' GROUP BY ALL
+ UNION ALL SELECT e.project_id, e.a, concat(e.w, '>', f.w), 2, count(*) FROM {_EDGE_OF} e JOIN {_EDGE_OF} f ON f.project_id = e.project_id AND f.a = e.b WHERE e.a LIKE '%.onCreate' GROUP BY ALL
+ UNION ALL SELECT e.project_id, e.a, concat(e.w, '>', f.w, '>', g.w), 3, count(*) FROM {_EDGE_OF} e JOIN {_EDGE_OF} f ON f.project_id = e.project_id AND f.a = e.b JOIN {_EDGE_OF} g ON g.project_id = f.project_id AND g.a = f.b WHERE e.a LIKE '%.onCreate' GROUP BY ALL"""))
+def g18_call_walks(spark, sf_dir):
+    """Walks to depth 3 from every onCreate of every project, by the names on the way; no CALLS edge is made."""
+    called, known = _factored(spark, sf_dir)
+    starts = known.filter("wanted = 'onCreate'").select("project_id", F.col("dst").alias("key"))
+    return graph.call_walks(called, known, starts).select("project_id", "start", F.array_join("names", ">").alias("names"), "length", "walks")
+
+
+@query(oracle(f"""SELECT project_id, concat(a, '>', b) AS path, 1 AS length FROM {_EDGE_OF} e JOIN ({_STARTS}) s USING (project_id, a)
+ UNION ALL SELECT e.project_id, concat(e.a, '>', e.b, '>', f.b), 2 FROM {_EDGE_OF} e JOIN ({_STARTS}) s ON s.project_id = e.project_id AND s.a = e.a JOIN {_EDGE_OF} f ON f.project_id = e.project_id AND f.a = e.b
+ UNION ALL SELECT e.project_id, concat(e.a, '>', e.b, '>', f.b, '>', g.b), 3 FROM {_EDGE_OF} e JOIN ({_STARTS}) s ON s.project_id = e.project_id AND s.a = e.a JOIN {_EDGE_OF} f ON f.project_id = e.project_id AND f.a = e.b
+ JOIN {_EDGE_OF} g ON g.project_id = f.project_id AND g.a = f.b AND NOT (g.a = e.a AND g.b = e.b)"""))
+def g18_call_chain_depth_3(spark, sf_dir):
+    """The methods on the walks to depth 3 from one onCreate of each project."""
+    called, known = _factored(spark, sf_dir)
+    starts = known.filter("wanted = 'onCreate'").join(called.select("project_id", F.col("src").alias("dst")).distinct(), ["project_id", "dst"], "left_semi").groupBy("project_id").agg(F.min("dst").alias("key"))
+    found = graph.expand_walks(graph.call_walks(called, known, starts), called, known)
+    return found.select("project_id", F.array_join("keys", ">").alias("path"), "length")
+
+
 @query(oracle(f"SELECT project_id, count(*) + 3 AS total_files, CAST(sum((language = 'java')::INT) AS BIGINT) AS java_files, CAST(sum((language = 'kotlin')::INT) AS BIGINT) AS kotlin_files, 2::BIGINT AS xml_files, 1::BIGINT AS gradle_files, count(*) AS classes, count(*) + 3 + (SELECT count(*) FROM ({_BODIES}) b WHERE b.project_id = c.project_id AND length(body) > 60) AS total_chunks FROM classes c GROUP BY project_id"))
 def a1_project_stats(spark, sf_dir):
     p = corpus.parsed(spark, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions import specs
 from codeatlas.functions import text as tx
-from codeatlas.operators import audit, context, diagrams, graph, history, incremental, vectors
+from codeatlas.operators import audit, clusters, context, diagrams, graph, history, incremental, vectors
 from codeatlas.plans import corpus
 from codeatlas.sources import store
 from codeatlas.sources.scratch import durable, read_table, shared_dir
@@ -115,6 +115,19 @@ def v5_search_many(spark, sf_dir):
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+@query(f"""SELECT query_id, id, rank, distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id) AS rank,
+ {_COS.format(a='e.embedding', b='q.embedding')} AS distance FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND (q.vec_id % 200 = 0 OR e.label = q.label)) WHERE rank <= CASE WHEN query_id % 200 = 0 THEN 12 ELSE 10 END""")
+def v5_search_clusters(spark, sf_dir):
+    """The same from an index in clusters, of which most pairs of a query and a row are never compared."""
+    index = read_table(spark, sf_dir, "embeddings")
+    path = f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}"
+    clusters.write_clusters(index, path, id_column="vec_id")
+    wide = F.col("vec_id") % 200 == 0
+    queries = index.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.when(wide, 12).otherwise(10).alias("top_k"), F.when(~wide, F.col("label")).alias("label"))
+    found = clusters.search_clusters(spark, path, queries, filters=("label",), id_column="vec_id")
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 _SPEC_ROWS = ", ".join(f"('{c[0]}', {c[3]}, {'NULL' if c[4] is None else repr(c[4])})" for c in specs.CATEGORIES)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeatlas.operators import chunk, diagrams, graph, parse, vectors
+from codeatlas.operators import chunk, clusters, diagrams, graph, parse, vectors
 from codeatlas.sources import deltas, files, store
 from codeatlas.streaming import index
 
@@ -160,6 +160,29 @@ def test_search_equals_brute_force(spark, monkeypatch, limit):
         assert [d for _, d in got] == pytest.approx([d for d, _ in near], abs=1e-8)
 
 
+@pytest.mark.parametrize("limit, conditions", [(64_000_000, 256), (9000, 2)])
+def test_clusters_give_what_a_full_scan_gives_and_compare_less(spark, tmp_path, monkeypatch, limit, conditions):
+    monkeypatch.setattr(vectors, "QUERY_BYTES", limit)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 32)
+    monkeypatch.setattr(clusters, "CONDITIONS", conditions)
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    near = lambda: [x + rng.gauss(0, 0.15) for x in rng.choice(centres)]
+    rows = [(f"i{k}", near(), rng.choice("ab")) for k in range(1500)] + [("zero", [0.0] * 8, "a"), ("null", None, "a"), ("short", [1.0, 2.0], "b"), ("hole", [None] + [1.0] * 7, "a")] + [(f"c{k}", centres[0], "b") for k in range(30)]
+    asked = [(k, near(), rng.randrange(1, 12), rng.choice(["a", "b", None])) for k in range(40)] + [(50, centres[0], 5, None), (51, [0.0] * 8, 5, None), (52, None, 5, None), (53, near(), 4, "none"), (54, near(), 2000, None)]
+    stored = spark.createDataFrame(rows, "id string, embedding array<float>, kind string").repartition(5)
+    queries, path, counters = spark.createDataFrame(asked, "query_id long, embedding array<float>, top_k int, kind string"), str(tmp_path / "c"), {}
+    clusters.write_clusters(stored, path, pivots=12)
+    assert spark.read.parquet(f"{path}/rows").count() == len(rows)
+    got = clusters.search_clusters(spark, path, queries, ("kind",), counters=counters).collect()
+    want = vectors.search_many(stored, queries, ("kind",)).collect()
+    key = lambda r: (r.query_id, r["rank"], round(r.distance, 7))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) > 1500
+    assert counters["pairs"].value < 0.5 * len(rows) * len(asked)
+    clusters.write_clusters(stored.limit(0), path)
+    assert clusters.search_clusters(spark, path, queries, ("kind",)).count() == 0
+
+
 def test_steps_of_any_depth(spark):
     step = {"label": "deep"}
     for _ in range(20):
