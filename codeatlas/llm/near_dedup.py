@@ -11,8 +11,9 @@ shorter text is one shingle) share at least 85 of every 100 shingles that either
    A tuple that only one representative has cannot be part of a shared key, so keys are formed from shared tuples alone.
 3. Each member of a bucket is compared with the bucket's hub. Links make components; buckets inside one component are done.
 4. What is left is compared with a second hub, and then exhaustively, between components only: buckets of up to ``SMALL`` members as pairs;
-   in a larger one the members outside of its main component are compared with all, in blocks of bounded rows and shingles, two blocks
-   to a task, each pair in the first table that it shares. Tasks return a spanning forest of the links, never the pairs.
+   members of larger ones meet by the tuple of the first collection that is part of the key, and those outside of the main component are compared
+   with all, in blocks of bounded rows and shingles, two blocks to a task, each pair at the first tuple that it shares. Tasks return a
+   spanning forest of the links, never the pairs.
 5. Every link is confirmed on the full sets, in integers; the signature only drops pairs that have so few equal values as a
    linked pair has once in ``1 / TOLERANCE``.
 
@@ -179,18 +180,17 @@ def tile_links(mine: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return _linked(both.astype(np.int64), np.array([len(x) for x in mine])[:, None], np.array([len(x) for x in other])[None, :])
 
 
-def _first_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first table that each pair of signatures shares."""
-    same = (a == b).reshape(len(a), 2, SIDE, ROWS).all(axis=3)
-    first = same.argmax(axis=2)
-    return np.where(same.any(axis=2).all(axis=1), first[:, 0] * SIDE + first[:, 1], -1)
+def _first_tuple(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first tuple of the first collection that each pair of signatures shares, -1 without any."""
+    same = (a[:, : SIDE * ROWS] == b[:, : SIDE * ROWS]).reshape(len(a), SIDE, ROWS).all(axis=2)
+    return np.where(same.any(axis=1), same.argmax(axis=1), -1)
 
 
 def _block_links(pdf, least: int):
     """Forest edges of the links between a block of a bucket and some of its members outside of its main component."""
     import pandas as pd
 
-    sets, table = [_read(x) for x in pdf["shingles"]], int(pdf["table"].iloc[0])
+    sets, place = [_read(x) for x in pdf["shingles"]], int(pdf["at"].iloc[0])
     sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(-1, HASHES)
     reps, acts = pdf["rep"].to_numpy(), pdf["acts"].to_numpy()
     _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
@@ -212,7 +212,7 @@ def _block_links(pdf, least: int):
             for c in range(0, len(i), 16_384):
                 x, y = i[c : c + 16_384], j[c : c + 16_384]
                 a, b = sig[rows[x]], sig[cols[y]]
-                ok[x, y] = ((a == b).sum(axis=1) >= least) & (_first_table(a, b) == table)
+                ok[x, y] = ((a == b).sum(axis=1) >= least) & (_first_tuple(a, b) == place)
             r, c = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
             if not len(r):
                 continue
@@ -255,20 +255,23 @@ def links(classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     pairs = small.alias("x").join(small.alias("y"), ["table", "key"]).filter("x.rep < y.rep AND x.root <> y.root").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     found = edges.unionByName(confirmed(pairs, whole))
 
-    large = rest.filter(F.col("members") > SMALL).join(classes.select("rep", "n_shingles"), "rep")
+    # members of the larger ones meet by their tuple of the first collection, of which the pairs in a table share at least one
+    large = rest.filter(F.col("members") > SMALL).select("rep", "root", F.floor(F.col("table") / SIDE).cast("int").alias("at")).distinct()
+    large = large.join(classes.select("rep", "n_shingles", "signature"), "rep")
+    large = large.withColumn("half", F.xxhash64(F.expr(f"substring(signature, {4 * ROWS} * at + 1, {4 * ROWS})"))).drop("signature")
     blocks = lambda test: F.ceil(F.greatest(F.sum(F.when(test, F.col("n_shingles"))) / BLOCK_SHINGLES, F.count(F.when(test, 1)) / BLOCK_ROWS)).cast("int")
-    mains = large.groupBy("table", "key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("table", "key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    large = large.join(mains, ["table", "key"]).withColumn("other", F.col("root") != F.col("main"))
-    large = large.join(large.groupBy("table", "key").agg(blocks(F.lit(True)).alias("of_all"), blocks(F.col("other")).alias("of_others")), ["table", "key"])
+    mains = large.groupBy("at", "half", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("at", "half").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    large = large.join(mains, ["at", "half"]).withColumn("other", F.col("root") != F.col("main"))
+    large = large.join(large.groupBy("at", "half").agg(blocks(F.lit(True)).alias("of_all"), blocks(F.col("other")).alias("of_others")), ["at", "half"])
     # every block of all members meets every block of those outside of the main component
     dealt = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["rep", "root", "table", "key"]
-    all_ = large.select(*columns, F.lit(False).alias("acts"), dealt("of_all").alias("low"), each("of_others").alias("high"))
+    columns = ["rep", "root", "at", "half"]
+    all_ = large.filter("of_others > 0").select(*columns, F.lit(False).alias("acts"), dealt("of_all").alias("low"), each("of_others").alias("high"))
     others = large.filter("other").select(*columns, F.lit(True).alias("acts"), dealt("of_others").alias("high"), each("of_all").alias("low"))
     units = all_.unionByName(others)
     least = least_matches()
-    blocks = units.join(whole, "rep").groupBy("table", "key", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, least), "a long, b long")
+    blocks = units.join(whole, "rep").groupBy("at", "half", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, least), "a long, b long")
     return durable(found.unionByName(blocks), "near-links")
 
 
