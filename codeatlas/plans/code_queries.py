@@ -348,9 +348,13 @@ def _factored(spark, sf_dir):
 _EDGE_OF = f"(SELECT project_id, src_key AS a, dst_key AS b, regexp_extract(dst_key, '[^.]+$') AS w FROM ({_CALLS}))"
 
 
-@query(oracle(f"""SELECT project_id, a AS start, w AS names, 1 AS length, count(*) AS walks FROM {_EDGE_OF} WHERE a LIKE '%.onCreate' GROUP BY ALL
- UNION ALL SELECT e.project_id, e.a, concat(e.w, '>', f.w), 2, count(*) FROM {_EDGE_OF} e JOIN {_EDGE_OF} f ON f.project_id = e.project_id AND f.a = e.b WHERE e.a LIKE '%.onCreate' GROUP BY ALL
- UNION ALL SELECT e.project_id, e.a, concat(e.w, '>', f.w, '>', g.w), 3, count(*) FROM {_EDGE_OF} e JOIN {_EDGE_OF} f ON f.project_id = e.project_id AND f.a = e.b JOIN {_EDGE_OF} g ON g.project_id = f.project_id AND g.a = f.b WHERE e.a LIKE '%.onCreate' GROUP BY ALL"""))
+_WALKS = f""", edges AS MATERIALIZED {_EDGE_OF}, one AS MATERIALIZED (SELECT * FROM edges WHERE {{starts}}),
+ two AS MATERIALIZED (SELECT e.project_id, e.a, e.b, e.w, f.b AS b2, f.w AS w2 FROM one e JOIN edges f ON f.project_id = e.project_id AND f.a = e.b) """
+
+
+@query(oracle(_WALKS.replace("{starts}", "a LIKE '%.onCreate'") + """SELECT project_id, a AS start, w AS names, 1 AS length, count(*) AS walks FROM one GROUP BY ALL
+ UNION ALL SELECT project_id, a, concat(w, '>', w2), 2, count(*) FROM two GROUP BY ALL
+ UNION ALL SELECT e.project_id, e.a, concat(e.w, '>', e.w2, '>', g.w), 3, count(*) FROM two e JOIN edges g ON g.project_id = e.project_id AND g.a = e.b2 GROUP BY ALL"""))
 def g18_call_walks(spark, sf_dir):
     """Walks to depth 3 from every onCreate of every project, by the names on the way; no CALLS edge is made."""
     called, known = _factored(spark, sf_dir)
@@ -358,10 +362,9 @@ def g18_call_walks(spark, sf_dir):
     return graph.call_walks(called, known, starts).select("project_id", "start", F.array_join("names", ">").alias("names"), "length", "walks")
 
 
-@query(oracle(f"""SELECT project_id, concat(a, '>', b) AS path, 1 AS length FROM {_EDGE_OF} e JOIN ({_STARTS}) s USING (project_id, a)
- UNION ALL SELECT e.project_id, concat(e.a, '>', e.b, '>', f.b), 2 FROM {_EDGE_OF} e JOIN ({_STARTS}) s ON s.project_id = e.project_id AND s.a = e.a JOIN {_EDGE_OF} f ON f.project_id = e.project_id AND f.a = e.b
- UNION ALL SELECT e.project_id, concat(e.a, '>', e.b, '>', f.b, '>', g.b), 3 FROM {_EDGE_OF} e JOIN ({_STARTS}) s ON s.project_id = e.project_id AND s.a = e.a JOIN {_EDGE_OF} f ON f.project_id = e.project_id AND f.a = e.b
- JOIN {_EDGE_OF} g ON g.project_id = f.project_id AND g.a = f.b AND NOT (g.a = e.a AND g.b = e.b)"""))
+@query(oracle(_WALKS.replace("{starts}", f"(project_id, a) IN (SELECT (project_id, a) FROM ({_STARTS}))") + """SELECT project_id, concat(a, '>', b) AS path, 1 AS length FROM one
+ UNION ALL SELECT project_id, concat(a, '>', b, '>', b2), 2 FROM two
+ UNION ALL SELECT e.project_id, concat(e.a, '>', e.b, '>', e.b2, '>', g.b), 3 FROM two e JOIN edges g ON g.project_id = e.project_id AND g.a = e.b2 AND NOT (g.a = e.a AND g.b = e.b)"""))
 def g18_call_chain_depth_3(spark, sf_dir):
     """The methods on the walks to depth 3 from one onCreate of each project."""
     called, known = _factored(spark, sf_dir)
