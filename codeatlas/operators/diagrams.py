@@ -35,6 +35,11 @@ LIMITS = {"class": 15, "usecase": 20, "participant": 10}
 INITIAL = "idle|initial|created|new|ready"
 ENTRY = "main|home|splash|launcher|login|start"
 EDGE_STATE = "[*]"
+# Visibilities of members, types of participants, nodes and groups.
+VISIBILITIES = ["+", "-", "#", "~"]
+PARTICIPANTS = ["participant", "actor", "database", "entity", "boundary", "control", "collections"]
+NODES = ["node", "database", "cloud", "artifact"]
+GROUPS = ["alt", "opt", "loop", "critical", "group"]
 STEP_TYPES = ["action", "decision", "fork", "join", "stop"]
 
 
@@ -111,6 +116,82 @@ def parse_steps(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels or [level]).select("diagram_id", "path", "depth", *columns)
 
 
+def _one_of(value: Column, known: list[str], default: str) -> Column:
+    return F.when(F.lower(value).isin(known), F.lower(value)).otherwise(default)
+
+
+def _flag(element: Column, name: str) -> Column:
+    """Whether a JSON value counts as true: a text that is not empty, a number but zero, a list or object with something in it."""
+    value, text = F.get_json_object(element, f"$.{name}"), element.rlike(rf'"{name}"\s*:\s*"')
+    return F.coalesce(F.when(text, value != "").otherwise(~value.isin("false", "0", "0.0", "[]", "{}")), F.lit(False))
+
+
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    return rows.select("diagram_id", "diagram_type", F.posexplode(_list(F.col("json"), path)).alias("pos", "e"))
+
+
+def parse_members(docs: DataFrame) -> DataFrame:
+    """Fields and methods of the classes of class diagrams: (diagram_id, kind of class, class_pos, class_name, member, pos, name, type, params, visibility).
+
+    ``type`` is a field's type or what a method returns; an unknown visibility is ``+``.
+    """
+    mine, parts = docs.filter("diagram_type = 'class_diagram'"), []
+    for path, kind in ENTITIES["class_diagram"]:
+        for list_, member, type_ in (("fields", "field", "type"), ("methods", "method", "return_type")):
+            rows = _kept(mine, path).select("diagram_id", F.lit(kind).alias("kind"), F.col("pos").alias("class_pos"), _name(F.col("e")).alias("class_name"), F.posexplode(_list(F.col("e"), list_)).alias("pos", "e"))
+            e, seen = F.col("e"), _field(F.col("e"), "visibility", "+")
+            parts.append(rows.select(
+                "diagram_id", "kind", "class_pos", "class_name", F.lit(member).alias("member"), "pos", _name(e).alias("name"), _field(e, type_).alias("type"),
+                (_field(e, "params") if member == "method" else F.lit("")).alias("params"), F.when(seen.isin(VISIBILITIES), seen).otherwise("+").alias("visibility"),
+            ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def parse_traits(docs: DataFrame) -> DataFrame:
+    """What else each entity says of itself: (diagram_id, diagram_type, kind, parent, pos, name, entity_type, stereotype, package, is_abstract, is_interface,
+    entry_action, exit_action, do_action). Participants, nodes and children of nodes have a type, with the type's default where it is absent or (but for
+    children) unknown."""
+    parts = []
+
+    def add(rows: DataFrame, kind: str, parent: Column) -> None:
+        e = F.col("e")
+        types = {"participant": lambda: _one_of(_field(e, "participant_type", "participant"), PARTICIPANTS, "participant"), "node": lambda: _one_of(_field(e, "node_type", "node"), NODES, "node"), "child": lambda: F.when(e.rlike(r"^\s*\{"), _field(e, "child_type", "artifact")).otherwise("artifact")}
+        texts = [_field(e, c).alias(c) for c in ("stereotype", "package")]
+        flags = [_flag(e, c).alias(c) for c in ("is_abstract", "is_interface")]
+        actions = [_field(e, c).alias(c) for c in ("entry_action", "exit_action", "do_action")]
+        parts.append(rows.select("diagram_id", "diagram_type", F.lit(kind).alias("kind"), parent.alias("parent"), "pos", _name(e).alias("name"), types.get(kind, lambda: F.lit(""))().alias("entity_type"), *texts, *flags, *actions))
+
+    for kind_of, lists in ENTITIES.items():
+        for path, kind in lists:
+            add(_kept(docs.filter(F.col("diagram_type") == kind_of), path), kind, F.lit(""))
+    for kind_of, (path, inner, kind) in CHILDREN.items():
+        outer = docs.filter(F.col("diagram_type") == kind_of).select("diagram_id", "diagram_type", F.explode(_list(F.col("json"), path)).alias("outer"))
+        add(outer.select("diagram_id", "diagram_type", _name(F.col("outer")).alias("up"), F.posexplode(_list(F.col("outer"), inner)).alias("pos", "e")), kind, F.col("up"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def parse_groups(docs: DataFrame) -> DataFrame:
+    """The groups of sequence diagrams: (diagram_id, pos, group_type, label, else_label, n_messages, n_else_messages)."""
+    e = F.col("e")
+    size = lambda name: F.coalesce(F.size(_list(e, name)), F.lit(0)).alias(f"n_{name}")
+    rows = _kept(docs.filter("diagram_type = 'sequence_diagram'"), "groups")
+    return rows.select("diagram_id", "pos", _one_of(_field(e, "group_type", "alt"), GROUPS, "alt").alias("group_type"), _field(e, "label").alias("label"), _field(e, "else_label").alias("else_label"), size("messages"), size("else_messages"))
+
+
+def member_errors(members: DataFrame, traits: DataFrame, groups: DataFrame) -> DataFrame:
+    """(diagram_id, check, subject) of what members, traits and groups break: members without a name or given twice in a class (a method by its
+    parameters too), classes that are abstract and an interface at once, groups without messages."""
+    row = lambda df, check, subject: df.select("diagram_id", F.lit(check).alias("check"), subject.alias("subject"))
+    twice = members.filter("trim(name) <> ''").groupBy("diagram_id", "kind", "class_pos", "class_name", "member", "name", "params").count().filter("count > 1")
+    parts = [
+        row(members.filter("trim(name) = ''"), "empty member name", F.concat_ws(" ", "class_name", "member")),
+        row(twice, "duplicate member", F.concat_ws(".", "class_name", "name")),
+        row(traits.filter("is_abstract AND is_interface"), "abstract interface", F.col("name")),
+        row(groups.filter("n_messages + n_else_messages = 0"), "empty group", F.col("pos").cast("string")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dedupe_entities(entities: DataFrame) -> DataFrame:
     """Names squeezed, empty ones dropped, the first of each lower-cased name, kind and parent kept; display names filled."""
     clean = entities.withColumn("name", squeeze("name")).filter("name <> ''").withColumn("alias", F.regexp_replace("alias", r"\W+", ""))

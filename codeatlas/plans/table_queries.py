@@ -572,6 +572,64 @@ def d6_entry_and_exit_screens(spark, sf_dir):
     return entry.join(diagrams.exit_screens(links).select("diagram_id", F.col("name").alias("exits")), "diagram_id")
 
 
+# Members, types, flags and actions: every nation is a class with its suppliers as fields and methods, a participant, a node and a state
+
+_MEMBER_DOCS = """SELECT n_nationkey AS diagram_id, t AS diagram_type, CASE t
+ WHEN 'class_diagram' THEN concat('{"classes": [{"name": "', n_name, '", "stereotype": "s', n_nationkey, '", "package": "p", "is_abstract": ', CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END, ', "is_interface": ',
+  CASE n_nationkey % 3 WHEN 0 THEN '"no"' WHEN 1 THEN '0' ELSE '""' END, ', "fields": [', fields, ', {"visibility": "?"}], "methods": [', methods, ', "plain", {"name": "m"}, {"name": "m"}]}], "external_classes": [{"name": "Ext", "fields": [{"name": "x", "type": "int", "visibility": "~"}]}]}')
+ WHEN 'sequence_diagram' THEN concat('{"participants": [{"name": "', n_name, '", "participant_type": "', CASE n_nationkey % 3 WHEN 0 THEN 'Actor' WHEN 1 THEN 'robot' ELSE 'database' END, '"}, {"name": "B"}], "groups": [{"group_type": "', CASE n_nationkey % 2 WHEN 0 THEN 'LOOP' ELSE 'maybe' END, '", "label": "g", "messages": [{}, {}]}, {"else_messages": []}]}')
+ WHEN 'deployment_diagram' THEN concat('{"nodes": [{"name": "', n_name, '", "node_type": "', CASE n_nationkey % 2 WHEN 0 THEN 'Cloud' ELSE 'moon' END, '", "children": ["a", {"name": "b", "child_type": "Odd"}, {"name": "c"}]}]}')
+ ELSE concat('{"states": [{"name": "', n_name, '", "entry_action": "in', n_nationkey, '", "do_action": "run"}, {"name": "B", "exit_action": "out"}]}') END AS json
+FROM {nation} JOIN (SELECT s_nationkey, {fields} AS fields, {methods} AS methods FROM {supplier} GROUP BY s_nationkey) s ON s_nationkey = n_nationkey
+CROSS JOIN (VALUES ('class_diagram'), ('sequence_diagram'), ('deployment_diagram'), ('state_diagram')) v(t)"""
+_SEEN = "CASE s_suppkey % 5 WHEN 0 THEN '-' WHEN 1 THEN '#' WHEN 2 THEN '~' ELSE '+' END"
+
+
+def _member_docs(spark, sf_dir):
+    seen = "CASE s_suppkey % 5 WHEN 0 THEN '-' WHEN 1 THEN '#' WHEN 2 THEN '~' WHEN 3 THEN 'public' ELSE '+' END"
+    one = lambda kind: f"""array_join(transform(sort_array(collect_list(struct(s_suppkey, s_name, {seen} AS seen))), x -> concat('{{"name": "{kind}', x.s_suppkey, '", "{'type' if kind == 'f' else 'return_type'}": "', x.s_name, '", "params": "int a", "visibility": "', x.seen, '"}}')), ', ')"""
+    return corpus.run_sql(spark, _MEMBER_DOCS.replace("{fields}", one("f")).replace("{methods}", one("m")), nation=read_table(spark, sf_dir, "nation"), supplier=read_table(spark, sf_dir, "supplier"))
+
+
+_WITH = "(SELECT n_nationkey AS diagram_id, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier))"
+
+
+@query(f"""SELECT diagram_id, 'class' AS kind, n_name AS class_name, member, CASE member WHEN 'field' THEN concat('f', CAST(s_suppkey AS VARCHAR)) ELSE concat('m', CAST(s_suppkey AS VARCHAR)) END AS name, s_name AS type, CASE member WHEN 'field' THEN '' ELSE 'int a' END AS params, {_SEEN} AS visibility
+ FROM {_WITH} JOIN supplier ON s_nationkey = diagram_id, (VALUES ('field'), ('method')) v(member)
+ UNION ALL SELECT diagram_id, 'class', n_name, 'field', '', '', '', '+' FROM {_WITH} UNION ALL SELECT diagram_id, 'class', n_name, 'method', unnest(['plain', 'm', 'm']), '', '', '+' FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'external', 'Ext', 'field', 'x', 'int', '', '~' FROM {_WITH}""")
+def d1_class_members(spark, sf_dir):
+    """Fields and methods with types, parameters and visibility."""
+    return diagrams.parse_members(_member_docs(spark, sf_dir)).drop("class_pos", "pos")
+
+
+@query(f"""SELECT diagram_id, kind, parent, name, entity_type, stereotype, is_abstract, is_interface, concat_ws('|', entry_action, exit_action, do_action) AS actions FROM (
+ SELECT diagram_id, 'class' AS kind, '' AS parent, n_name AS name, '' AS entity_type, concat('s', CAST(diagram_id AS VARCHAR)) AS stereotype, diagram_id % 2 = 0 AS is_abstract, diagram_id % 3 = 0 AS is_interface, '' AS entry_action, '' AS exit_action, '' AS do_action FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'external', '', 'Ext', '', '', false, false, '', '', '' FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'participant', '', n_name, CASE diagram_id % 3 WHEN 0 THEN 'actor' WHEN 1 THEN 'participant' ELSE 'database' END, '', false, false, '', '', '' FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'participant', '', 'B', 'participant', '', false, false, '', '', '' FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'node', '', n_name, CASE diagram_id % 2 WHEN 0 THEN 'cloud' ELSE 'node' END, '', false, false, '', '', '' FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'child', n_name, unnest(['a', 'b', 'c']), unnest(['artifact', 'Odd', 'artifact']), '', false, false, '', '', '' FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'state', '', n_name, '', '', false, false, concat('in', CAST(diagram_id AS VARCHAR)), '', 'run' FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'state', '', 'B', '', '', false, false, '', 'out', '' FROM {_WITH})""")
+def d1_entity_traits(spark, sf_dir):
+    """Types of participants, nodes and children, stereotypes, flags, and the actions of states."""
+    found = diagrams.parse_traits(_member_docs(spark, sf_dir))
+    return found.select("diagram_id", "kind", "parent", "name", "entity_type", "stereotype", "is_abstract", "is_interface", F.concat_ws("|", "entry_action", "exit_action", "do_action").alias("actions"))
+
+
+@query(f"""SELECT diagram_id, 0 AS pos, CASE diagram_id % 2 WHEN 0 THEN 'loop' ELSE 'alt' END AS group_type, 'g' AS label, 2 AS n_messages, 0 AS n_else_messages FROM {_WITH} UNION ALL SELECT diagram_id, 1, 'alt', '', 0, 0 FROM {_WITH}""")
+def d1_message_groups(spark, sf_dir):
+    return diagrams.parse_groups(_member_docs(spark, sf_dir)).drop("else_label")
+
+
+@query(f"""SELECT diagram_id, "check", subject FROM (SELECT diagram_id, 'empty member name' AS "check", concat(n_name, ' field') AS subject FROM {_WITH} UNION ALL SELECT diagram_id, 'duplicate member', concat(n_name, '.m') FROM {_WITH}
+ UNION ALL SELECT diagram_id, 'abstract interface', n_name FROM {_WITH} WHERE diagram_id % 6 = 0 UNION ALL SELECT diagram_id, 'empty group', '1' FROM {_WITH})""")
+def d7_member_errors(spark, sf_dir):
+    docs = _member_docs(spark, sf_dir)
+    return diagrams.member_errors(diagrams.parse_members(docs), diagrams.parse_traits(docs), diagrams.parse_groups(docs))
+
+
 _STEP_DOCS = """SELECT n_nationkey AS diagram_id, 'activity_diagram' AS diagram_type, concat('{"steps": [', repeat('{"step_type": "Decision", "condition": "c", "no_steps": [{"label": "no", "step_type": "odd"}], "yes_steps": [', CAST(n_nationkey AS INT)), '{"label": "leaf", "step_type": "STOP"}', repeat(']}', CAST(n_nationkey AS INT)), ']}') AS json FROM {nation}"""
 
 
