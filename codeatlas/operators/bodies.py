@@ -95,6 +95,12 @@ def _declares(code: str, kotlin: bool):
     return lambda at: last(funs, at) > last(stops, at - 1)
 
 
+def declared_methods(code: str, kotlin: bool, ends: dict[int, int]) -> list[tuple[str, int, int]]:
+    """(name, where the body opens, where it ends) of the methods that a text without comments and literals declares."""
+    declares = _declares(code, kotlin)
+    return [(m[1], m.end() - 1, ends[m.end() - 1]) for m in METHOD_HEAD.finditer(code) if m[1] not in NOT_CALLS and declares(m.start())]
+
+
 def calls_of(source: str, language: str) -> list[tuple[str, list[str]]]:
     """(method, names called) for each method with a body: a call counts for all methods around it, a declaration is none."""
     kotlin = language == "kotlin"

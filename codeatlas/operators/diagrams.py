@@ -40,6 +40,7 @@ VISIBILITIES = ["+", "-", "#", "~"]
 PARTICIPANTS = ["participant", "actor", "database", "entity", "boundary", "control", "collections"]
 NODES = ["node", "database", "cloud", "artifact"]
 GROUPS = ["alt", "opt", "loop", "critical", "group"]
+MAX_NESTING = 5
 STEP_TYPES = ["action", "decision", "fork", "join", "stop"]
 
 
@@ -192,6 +193,32 @@ def member_errors(members: DataFrame, traits: DataFrame, groups: DataFrame) -> D
     return reduce(DataFrame.unionByName, parts)
 
 
+def step_errors(docs: DataFrame, steps: DataFrame) -> DataFrame:
+    """(diagram_id, check, subject) of what the steps of activity diagrams break; steps below ``MAX_NESTING`` decisions are not looked at."""
+    row = lambda df, check, subject: df.select("diagram_id", F.lit(check).alias("check"), subject.alias("subject"))
+    mine = docs.filter("diagram_type = 'activity_diagram'").select("diagram_id", "json")
+    near = steps.filter(F.col("depth") <= MAX_NESTING)
+    lanes = mine.select("diagram_id", F.explode(_list(F.col("json"), "swimlanes")).alias("swimlane"))
+    named = lanes.filter("swimlane <> ''").distinct()
+    yes = steps.filter(F.col("path").rlike(r"/y\d+$")).select("diagram_id", F.regexp_replace("path", r"/y\d+$", "").alias("path")).distinct()
+    decisions = near.filter("step_type = 'decision'")
+    used = near.filter("swimlane <> ''").join(named.select("diagram_id").distinct(), "diagram_id", "left_semi")
+    with_steps = mine.join(steps.select("diagram_id").distinct(), "diagram_id", "left_semi")
+    empty = lambda kind, c: near.filter((F.col("step_type") == kind) & (F.trim(c) == ""))
+    parts = [
+        row(mine.join(steps.select("diagram_id").distinct(), "diagram_id", "left_anti"), "no steps", F.lit("")),
+        row(lanes.groupBy("diagram_id", "swimlane").count().filter("count > 1"), "duplicate swimlane", F.col("swimlane")),
+        row(used.join(named, ["diagram_id", "swimlane"], "left_anti").select("diagram_id", "swimlane").distinct(), "undeclared swimlane", F.col("swimlane")),
+        row(empty("action", "label"), "empty action label", F.col("path")),
+        row(empty("fork", "label"), "empty fork label", F.col("path")),
+        row(empty("decision", "condition"), "empty condition", F.col("path")),
+        row(decisions.join(yes, ["diagram_id", "path"], "left_anti"), "no yes steps", F.col("path")),
+        row(decisions.filter(F.col("depth") == MAX_NESTING), "nesting too deep", F.col("path")),
+        row(with_steps.join(near.filter("step_type = 'action'").select("diagram_id").distinct(), "diagram_id", "left_anti"), "no action steps", F.lit("")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dedupe_entities(entities: DataFrame) -> DataFrame:
     """Names squeezed, empty ones dropped, the first of each lower-cased name, kind and parent kept; display names filled."""
     clean = entities.withColumn("name", squeeze("name")).filter("name <> ''").withColumn("alias", F.regexp_replace("alias", r"\W+", ""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions import rules, specs
 from codeatlas.functions.text import truncate
-from codeatlas.operators import audit, chunk, context, graph, incremental, parse, stats, vectors
+from codeatlas.operators import audit, chunk, context, graph, incremental, parse, spans, stats, vectors
 from codeatlas.operators.bodies import resolve_members
 from codeatlas.plans import corpus
 from codeatlas.plans.corpus import oracle
@@ -424,6 +424,14 @@ def f7_rule_scan_code(spark, sf_dir):
     return audit.rule_scan(corpus.files(spark, sf_dir)).groupBy("path", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(oracle("""SELECT regexp_replace(path, '[.]kt$', '.java') AS path, rule_id, CAST(line_number AS INTEGER) AS line_number FROM (SELECT path, 'empty_catch_block' AS rule_id, 4 AS line_number FROM classes WHERE k % 2 = 1
+ UNION ALL SELECT path, 'allocation_in_loop', 11 FROM classes WHERE k % 3 = 0 UNION ALL SELECT path, 'io_in_callback', 15 + (k % 3 = 0)::INT FROM classes WHERE k % 5 = 0
+ UNION ALL SELECT path, 'joined_sql', 19 + (k % 3 = 0)::INT + (k % 5 = 0)::INT FROM classes WHERE k % 7 = 0 UNION ALL SELECT path, 'printed_error', 22 + (k % 3 = 0)::INT + (k % 5 = 0)::INT FROM classes)"""))
+def f7_span_scan(spark, sf_dir):
+    """Rules over several lines, in loops, handlers and callbacks; comments and strings are no code."""
+    return spans.span_scan(corpus.audited_files(spark, sf_dir)).select("path", "rule_id", "line_number")
+
+
 @query(oracle("SELECT DISTINCT project_id, 'android.permission.NEVER_USED' AS permission FROM classes"))
 def f8_unused_permissions(spark, sf_dir):
     p = corpus.parsed(spark, sf_dir)

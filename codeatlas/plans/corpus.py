@@ -172,6 +172,44 @@ class <name>(val seed: () -> Unit = { }) : <super>() {
     return _listed(rows.withColumn("source", F.when(F.col("language") == "kotlin", filled(kotlin)).otherwise(filled(java))))
 
 
+def audited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Java file for each class with what the span rules look for, over several lines and beside what only looks like it.
+
+    Odd k have an empty handler (line 4), every third an allocation in a loop (line 11), every fifth IO in onCreate (line 15), every seventh joined SQL (line 19).
+    """
+    rows = class_rows(spark, sf_dir)
+    text = """class <name> { // catch (E e) { }
+    void run() {
+        try { go(); }
+        catch (java.io.IOException
+               | RuntimeException e) {
+            <handler>// nothing
+        }
+        String s = "for (;;) { new Thing(); }";
+        for (int i = 0; i < f(1, (2));
+             i++) {
+            <alloc>/* new Other() */
+        }
+    }
+    void onCreate(Bundle state) {
+        <io>String t = "openConnection()";
+    }
+    void later() {
+        url.openConnection(); new Thing();
+        db.rawQuery(
+            "SELECT " <sql> id);
+        db.execSQL("fine"); // execSQL("x" + y)
+        try { } catch (E e) { e.printStackTrace ( ); }
+    }
+}
+"""
+    on = lambda n, yes, no="": F.when(F.col("k") % n == (1 if n == 2 else 0), yes).otherwise(no)
+    words = {"name": F.col("name"), "handler": on(2, "", "log(e);"), "alloc": on(3, "Object o = new\n Thing();"), "io": on(5, "url.openConnection\n();"), "sql": on(7, "+", ",")}
+    parts = re.split(r"<(\w+)>", text)
+    source = F.concat(*[words[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    return _listed(rows.withColumns({"source": source, "path": F.regexp_replace("path", r"\.kt$", ".java")}))
+
+
 _STORED: dict[tuple, DataFrame] = {}
 
 

@@ -591,6 +591,19 @@ def _member_docs(spark, sf_dir):
     return corpus.run_sql(spark, _MEMBER_DOCS.replace("{fields}", one("f")).replace("{methods}", one("m")), nation=read_table(spark, sf_dir, "nation"), supplier=read_table(spark, sf_dir, "supplier"))
 
 
+_ODD_STEPS = """SELECT n_nationkey AS diagram_id, 'activity_diagram' AS diagram_type, CASE n_nationkey % 4
+ WHEN 0 THEN '{"steps": []}' WHEN 1 THEN concat('{"swimlanes": ["A", "A", ""], "steps": [{"label": "', n_name, '", "swimlane": "A"}, {"label": " ", "swimlane": "B"}, {"step_type": "fork"}, {"swimlane": "B", "label": "x"}]}')
+ WHEN 2 THEN '{"steps": [{"step_type": "decision", "yes_steps": [{"step_type": "stop"}]}, {"step_type": "decision", "condition": "c", "no_steps": [{"step_type": "stop"}]}]}'
+ ELSE concat('{"steps": [', repeat('{"step_type": "decision", "condition": "c", "yes_steps": [', 7), '{"step_type": "fork"}', repeat(']}', 7), ', {"label": "', n_name, '"}]}') END AS json FROM {nation}"""
+
+
+@query("""SELECT n_nationkey AS diagram_id, "check", subject FROM nation, (VALUES (0, 'no steps', ''), (1, 'duplicate swimlane', 'A'), (1, 'undeclared swimlane', 'B'), (1, 'empty action label', '0001'), (1, 'empty fork label', '0002'),
+ (2, 'empty condition', '0000'), (2, 'no yes steps', '0001'), (2, 'no action steps', ''), (3, 'nesting too deep', concat('0000', repeat('/y0000', 5)))) v(k, "check", subject) WHERE n_nationkey % 4 = k""")
+def d7_step_errors(spark, sf_dir):
+    docs = corpus.run_sql(spark, _ODD_STEPS, nation=read_table(spark, sf_dir, "nation"))
+    return diagrams.step_errors(docs, diagrams.parse_steps(docs))
+
+
 _WITH = "(SELECT n_nationkey AS diagram_id, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier))"
 
 
