@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions import specs
 from codeatlas.functions.text import strip
+from codeatlas.sources.scratch import durable
 
 # Defaults of a finding and of an answer that cannot be read.
 DEFAULTS = {"severity": "INFO", "title": "Untitled finding", "location": "Unknown", "description": "", "recommendation": ""}
 UNREAD = ("INFO", "Scan Results (unstructured)", "N/A", "Review the findings above manually.")
 FENCE = r"(?s)```(?:json)?\s*\n?(.*?)```"
 MAX_UNREAD = 2000
+BROADCAST_NAMES = 200_000
 FINDING = "struct<severity: string, title: string, location: string, description: string, recommendation: string>"
 
 
@@ -144,10 +146,16 @@ def rule_scan(sources: DataFrame, rules: list[tuple] = specs.RULES) -> DataFrame
 
 
 def unused_permissions(manifests: DataFrame, sources: DataFrame) -> DataFrame:
-    """Permissions of each project whose short name is in none of its code."""
+    """Permissions of each project whose short name is in none of its code.
+
+    Words that are no permission's name are dropped before anything is shuffled: the names go to the tasks while there are at most ``BROADCAST_NAMES`` (counted first).
+    """
     wanted = manifests.select("project_id", F.explode("permissions").alias("permission")).distinct()
-    wanted = wanted.withColumn("short", F.element_at(F.split("permission", r"\."), -1))
-    words = sources.select("project_id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"\w+"), F.lit(0)))).alias("short")).distinct()
+    wanted = durable(wanted.withColumn("short", F.element_at(F.split("permission", r"\."), -1)), "permissions")
+    names = wanted.select("short").distinct()
+    names = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
+    words = sources.select("project_id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"\w+"), F.lit(0)))).alias("short"))
+    words = words.join(names, "short", "left_semi").distinct()
     return wanted.join(words, ["project_id", "short"], "left_anti").select("project_id", "permission")
 
 

@@ -85,7 +85,7 @@ def span_scan(sources: DataFrame, rule_list: list[tuple] = specs.SPAN_RULES) ->
     pattern and no handler can concern stays in the JVM.
     """
     wanted = "|".join([f"(?:{r[4]})" for r in rule_list if r[4]] + [r"catch\s*\(" for r in rule_list if r[3] == "empty catch"])
-    rows = sources.filter(rules.language_of(F.col("path")).isin("java", "kotlin") & F.col("source").rlike(wanted))
+    rows = sources.filter(F.lower("path").rlike(r"\.(?:java|kt)$") & F.col("source").rlike(wanted))
 
     @F.pandas_udf("array<struct<rule: int, line_number: int>>")
     def scanned(texts: pd.Series, languages: pd.Series) -> pd.Series:

@@ -449,6 +449,14 @@ def i1_code_fingerprint(spark, sf_dir):
     return incremental.project_fingerprint(rows)
 
 
+@query(oracle("""SELECT project_id, path, CASE WHEN k % 11 = 0 THEN 'added' WHEN k % 13 = 0 THEN 'removed' ELSE 'changed' END AS change FROM classes WHERE k % 11 = 0 AND k % 13 <> 0 OR k % 13 = 0 AND k % 11 <> 0 OR k % 17 = 0 AND k % 11 <> 0 AND k % 13 <> 0"""))
+def i2_changed_files(spark, sf_dir):
+    """Two versions of all files: every 11th is new, every 13th gone, every 17th of another size; those of both are in neither."""
+    rows = corpus.class_rows(spark, sf_dir).select("k", "project_id", "path", F.length("name").cast("long").alias("size"))
+    old, new = rows.filter("k % 11 <> 0"), rows.filter("k % 13 <> 0").withColumn("size", F.col("size") + F.when(F.col("k") % 17 == 0, 1).otherwise(0))
+    return incremental.changed_files(new, old, incremental.digest_leaves(new), incremental.digest_leaves(old))
+
+
 @query(oracle(f"SELECT path, CASE WHEN length(t) > 100 THEN concat(substr(t, 1, 100), chr(10), '... [truncated]') ELSE t END AS content FROM (SELECT path, {_CLASS_TEXT} AS t FROM classes)"))
 def k1_truncate_chunks(spark, sf_dir):
     return chunk.class_chunks(_code(spark, sf_dir)).select(F.col("file_path").alias("path"), truncate(F.col("content"), 100).alias("content"))

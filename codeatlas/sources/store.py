@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeatlas.sources import deltas
+from codeatlas.sources.scratch import durable
+
 
 def write_index(chunks: DataFrame, path: str, mode: str = "replace") -> None:
     """``replace`` writes the whole index, ``projects`` only the partitions of the projects in ``chunks``."""
@@ -32,15 +35,27 @@ def chunk_count(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"))
 
 
+NODES, EDGES = ["project_id", "label", "key"], ["project_id", "rel", "src_key"]
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges of the projects in them, in place of all that those projects had (labels and types that are gone too)."""
-    for df, name, key in ((nodes, "nodes", "key"), (edges, "edges", "src_key")):
-        spread = df.repartition("project_id", F.pmod(F.hash(key), F.lit(16)))
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(f"{path}/{name}")
+    """Nodes and edges of the projects in them, in place of all that those projects had (labels and types that are gone too).
+
+    A change writes its own projects only, in files that are ranges of project and label or relation (``sources.deltas``).
+    """
+    touched = durable(nodes.select("project_id").union(edges.select("project_id")).distinct(), "graph-projects")
+    for df, name, order in ((nodes, "nodes", NODES), (edges, "edges", EDGES)):
+        deltas.apply(df, touched, f"{path}/{name}", key=["project_id"], order=order)
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    return tuple(deltas.read(spark, f"{path}/{name}", key=["project_id"]) for name in ("nodes", "edges"))
+
+
+def compact_graph(spark: SparkSession, path: str) -> None:
+    for name, order in (("nodes", NODES), ("edges", EDGES)):
+        deltas.compact(spark, f"{path}/{name}", key=["project_id"], order=order)
+        deltas.vacuum(spark, f"{path}/{name}")
 
 
 HISTORY = (

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeatlas.operators import chunk, clusters, diagrams, graph, parse, vectors
+from codeatlas.operators import chunk, clusters, diagrams, graph, incremental, parse, vectors
 from codeatlas.sources import deltas, files, store
 from codeatlas.streaming import index
 
@@ -45,6 +45,28 @@ def test_graph_of_a_project_is_replaced_as_a_whole(spark, tmp_path):
     kept, links = store.read_graph(spark, path)
     assert {(r.project_id, r.label) for r in kept.collect()} == {("p", "File"), ("q", "Class")}
     assert {(r.project_id, r.rel) for r in links.collect()} == {("p", "DEFINED_IN"), ("q", "IMPORTS")}
+    store.compact_graph(spark, path)
+    kept, links = store.read_graph(spark, path)
+    assert {(r.project_id, r.rel) for r in links.collect()} == {("p", "DEFINED_IN"), ("q", "IMPORTS")} and kept.count() == 2
+
+
+def test_files_of_a_stored_graph_are_ranges(spark, tmp_path):
+    """Rows of a project and relation are in few files, and the filter on them reaches the scan."""
+    rows = [(f"p{k % 20:02}", "Class", f"c{k}", ["CALLS", "IMPORTS", "OF_TYPE"][k % 3], "Class", f"d{k}") for k in range(6000)]
+    edges = spark.createDataFrame(rows, "project_id string, src_label string, src_key string, rel string, dst_label string, dst_key string")
+    nodes = edges.select("project_id", F.lit("Class").alias("label"), F.col("src_key").alias("key"), F.col("src_key").alias("name"))
+    path = str(tmp_path / "g")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_graph(nodes, edges, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    mine = store.read_graph(spark, path)[1].filter("project_id = 'p07' AND rel = 'IMPORTS'")
+    stored = spark.read.parquet(f"{path}/edges/delta/*/rows")
+    held = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert mine.count() == 100 and held(stored.filter("project_id = 'p07' AND rel = 'IMPORTS'")) <= 2 < held(stored)
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(project_id,p07)" in plan and "EqualTo(rel,IMPORTS)" in plan
 
 
 def test_stream_keeps_the_index_up_to_date(spark, tmp_path):
@@ -76,7 +98,7 @@ def test_deltas_grow_with_the_change_and_replays_are_applied_once(spark, tmp_pat
     want = alive()
     assert len(want) == 2000 and {("f7", "new"), ("f7", "more")} < want and not any(f == "f8" for f, _ in want) and len(alive(1)) == 2000 and ("f8", "text 8 " * 20) in alive(1)
     assert deltas.compact(spark, path) == 3 and deltas.compact(spark, path) is None and alive() == want
-    (tmp_path / "i" / "delta" / "9-broken" / "chunks").mkdir(parents=True)
+    (tmp_path / "i" / "delta" / "9-broken" / "rows").mkdir(parents=True)
     assert deltas.vacuum(spark, path) == 3 and alive() == want
     assert deltas.apply(one.limit(0), touched.limit(1), path) == 4 and len(alive()) == 1998
 
@@ -123,6 +145,23 @@ def test_what_cannot_be_read_is_a_row_of_the_errors(spark, tmp_path, monkeypatch
     assert files._tried(flaky) == "there" and len(calls) == 3
 
 
+def test_digest_tree_names_changed_files(spark):
+    schema = "project_id string, path string, size long"
+    rng = random.Random(3)
+    old = {(f"p{k % 3}", f"/f{k}"): rng.randrange(100) for k in range(900)}
+    new = {f: n + (i % 97 == 0) for i, (f, n) in enumerate(old.items()) if i % 101}
+    new |= {("p1", "/new"): 5, ("p9", "/only"): 1}
+    table = lambda files: spark.createDataFrame([(*f, n) for f, n in files.items()], schema)
+    leaves = [incremental.digest_leaves(table(x)) for x in (new, old)]
+    want = {(*f, "added" if f not in old else "removed" if f not in new else "changed") for f in old | new if old.get(f) != new.get(f)}
+    assert {tuple(r) for r in incremental.changed_files(table(new), table(old), *leaves).collect()} == want and len(want) > 15
+    roots = {r.project_id: r.digest for r in incremental.digest_roots(leaves[0]).collect()}
+    again = {r.project_id: r.digest for r in incremental.digest_roots(incremental.digest_leaves(table(new).repartition(7))).collect()}
+    assert roots == again and len(set(roots.values())) == 4
+    assert {r.project_id for r in incremental.digest_roots(leaves[1]).collect() if r.digest == roots[r.project_id]} == set()
+    assert incremental.changed_files(table(old), table(old), leaves[1], leaves[1]).count() == 0
+
+
 def test_embed_and_search(spark):
     chunks = spark.createDataFrame([(k, t) for k, t in enumerate(["red blue", "green", "red red", "blue"])], "id long, content string")
     stored = vectors.embed(chunks, vectors.hashing_embedder(16), batch_size=3)
