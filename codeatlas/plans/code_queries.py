@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions import rules, specs
 from codeatlas.functions.text import truncate
-from codeatlas.operators import audit, chunk, context, graph, incremental, parse, spans, stats, vectors
+from codeatlas.operators import audit, chunk, context, graph, incremental, maintain, parse, spans, stats, vectors
 from codeatlas.operators.bodies import resolve_members
 from codeatlas.plans import corpus
 from codeatlas.plans.corpus import oracle
@@ -296,6 +296,24 @@ def g14_graph_edges(spark, sf_dir):
     return graph.build_graph(corpus.parsed(spark, sf_dir))[1]
 
 
+@query(oracle(f"SELECT {_E} FROM ({_ALL_EDGES})"))
+def g14_maintained_edges(spark, sf_dir):
+    """The graph after three changes: all but every fifth file, some of them in an earlier version and some that are to go; the rest and the right versions; a base, and
+    the removal of the others."""
+    code, path = _code(spark, sf_dir), f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    rows = code.join(corpus.class_rows(spark, sf_dir).select("k", "path"), "path").select("k", *code.columns)
+    strange = rows.withColumn("package", F.lit("old"))
+    ghost = rows.filter("k % 9 = 0").withColumns({"path": F.concat("path", F.lit("x")), "package": F.lit("ghost")})
+    first = rows.filter("k % 5 <> 0 AND k % 7 <> 0").unionByName(strange.filter("k % 5 <> 0 AND k % 7 = 0")).unionByName(ghost)
+    files = lambda df: df.select("project_id", "path")
+    maintain.update_edges(first.select(*code.columns), files(first), path)
+    second = rows.filter("k % 5 = 0 OR k % 7 = 0")
+    maintain.update_edges(second.select(*code.columns), files(second), path)
+    maintain.compact_edges(spark, path)
+    maintain.update_edges(code.limit(0), files(ghost), path)
+    return maintain.read_edges(spark, path)
+
+
 @query(oracle("SELECT project_id, CAST(count(*) + 3 AS BIGINT) AS files, count(*) AS code_files, count(*) AS classes, CAST(sum(n_runs + 1) AS BIGINT) AS methods, CAST(sum(n_fields) AS BIGINT) AS fields, count(*) AS inherits, CAST(sum(CASE WHEN iface_a <> '' THEN 2 ELSE 0 END) AS BIGINT) AS implements, CAST(2 * count(*) AS BIGINT) AS imports FROM classes GROUP BY project_id"))
 def g15_build_counters(spark, sf_dir):
     return graph.build_counters(corpus.parsed(spark, sf_dir))
