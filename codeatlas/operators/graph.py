@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.operators import bodies, parse
+from codeatlas.sources.scratch import durable
 
 # Types that are no classes.
 PRIMITIVES = ["int", "long", "float", "double", "boolean", "byte", "char", "short", "String", "void", "Object", "Int", "Long", "Float", "Double", "Boolean"]
@@ -75,25 +76,24 @@ def _named_classes(code: DataFrame) -> DataFrame:
     return declared(code).select("project_id", F.col("name").alias("wanted"), F.col("qualified_name").alias("dst")).distinct()
 
 
-def _resolved(wanted: DataFrame, code: DataFrame, rel: str) -> tuple[DataFrame, DataFrame]:
+def _resolved(wanted: DataFrame, classes: DataFrame, rel: str) -> tuple[DataFrame, DataFrame]:
     """Edges from ``src`` to every class named ``wanted``, and stubs for names that no class has."""
     wanted = wanted.distinct()
-    classes = _named_classes(code)
     linked = wanted.join(classes, ["project_id", "wanted"], "left").withColumn("dst", F.coalesce("dst", "wanted"))
     stubs = wanted.join(classes, ["project_id", "wanted"], "left_anti").select("project_id", F.col("wanted").alias("name")).distinct()
     return _edges(linked, "Class", "src", rel, "Class", "dst"), stubs
 
 
-def inheritance(code: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """INHERITS_FROM edges and stub classes."""
+def inheritance(code: DataFrame, named: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """INHERITS_FROM edges and stub classes; ``named``: the classes by name, if they are at hand."""
     wanted = declared(code).filter("superclass <> ''").select("project_id", F.col("qualified_name").alias("src"), F.col("superclass").alias("wanted"))
-    return _resolved(wanted, code, "INHERITS_FROM")
+    return _resolved(wanted, _named_classes(code) if named is None else named, "INHERITS_FROM")
 
 
-def interfaces(code: DataFrame) -> tuple[DataFrame, DataFrame]:
+def interfaces(code: DataFrame, named: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """IMPLEMENTS edges and stub interfaces."""
     wanted = declared(code).select("project_id", F.col("qualified_name").alias("src"), F.explode("interfaces").alias("wanted"))
-    return _resolved(wanted, code, "IMPLEMENTS")
+    return _resolved(wanted, _named_classes(code) if named is None else named, "IMPLEMENTS")
 
 
 def _first_class(code: DataFrame) -> Column:
@@ -123,17 +123,17 @@ def has_field(code: DataFrame) -> DataFrame:
     return _edges(_members(code, "fields"), "Class", "class_name", "HAS_FIELD", "Field", "id")
 
 
-def of_type(code: DataFrame) -> DataFrame:
+def of_type(code: DataFrame, named: DataFrame | None = None) -> DataFrame:
     wanted = last_part(F.regexp_replace("type", r"<.*$", ""))
     rows = field_nodes(code).filter(~F.col("type").isin(PRIMITIVES)).select("project_id", F.col("id").alias("src"), wanted.alias("wanted"))
-    return _edges(rows.distinct().join(_named_classes(code), ["project_id", "wanted"]), "Field", "src", "OF_TYPE", "Class", "dst")
+    return _edges(rows.distinct().join(_named_classes(code) if named is None else named, ["project_id", "wanted"]), "Field", "src", "OF_TYPE", "Class", "dst")
 
 
-def import_edges(code: DataFrame) -> DataFrame:
+def import_edges(code: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Each class of a file to the existing classes that the file imports by name."""
     rows = code.withColumn("wanted", F.explode(F.array_distinct(F.transform("imports", last_part)))).select("project_id", "package", "wanted", F.explode("classes").alias("c"))
     rows = rows.select("project_id", qualified(F.col("package"), F.col("c.name")).alias("src"), "wanted").distinct()
-    return _edges(rows.join(_named_classes(code), ["project_id", "wanted"]), "Class", "src", "IMPORTS", "Class", "dst")
+    return _edges(rows.join(_named_classes(code) if named is None else named, ["project_id", "wanted"]), "Class", "src", "IMPORTS", "Class", "dst")
 
 
 def method_calls(code: DataFrame) -> DataFrame:
@@ -174,22 +174,28 @@ def count_calls(code: DataFrame) -> DataFrame:
     return total.select(F.lit("CALLS").alias("rel"), (F.col("all") - F.col("own")).alias("count"))
 
 
-def _edge_parts(code: DataFrame) -> list[DataFrame]:
-    """All edges but CALLS."""
-    return [inheritance(code)[0], interfaces(code)[0], has_method(code), has_field(code), belongs_to(code), defined_in(code), of_type(code), import_edges(code)]
+def _edge_parts(code: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """All edges but CALLS, and the stubs; the classes by name are made once."""
+    named = durable(_named_classes(code), "named-classes")
+    supers, ifaces = inheritance(code, named), interfaces(code, named)
+    return [supers[0], ifaces[0], has_method(code), has_field(code), belongs_to(code), defined_in(code), of_type(code, named), import_edges(code, named)], [supers[1], ifaces[1]]
 
 
-def build_graph(parsed: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): nodes as (project_id, label, key, name)."""
+def _nodes(parsed: dict[str, DataFrame], stubs: list[DataFrame]) -> DataFrame:
     code = parsed["code"]
-    class_stubs, interface_stubs = inheritance(code)[1], interfaces(code)[1]
     node = lambda df, label, key, name: df.select("project_id", F.lit(label).alias("label"), F.col(key).alias("key"), F.col(name).alias("name"))
-    classes = [node(class_nodes(code), "Class", "qualified_name", "name"), node(class_stubs, "Class", "name", "name"), node(interface_stubs, "Class", "name", "name")]
+    classes = [node(class_nodes(code), "Class", "qualified_name", "name"), *[node(df, "Class", "name", "name") for df in stubs]]
     nodes = [
         reduce(DataFrame.unionByName, classes).dropDuplicates(["project_id", "key"]), node(file_nodes(parsed), "File", "path", "path"),
         node(package_nodes(code), "Package", "name", "name"), node(method_nodes(code), "Method", "id", "name"), node(field_nodes(code), "Field", "id", "name"),
     ]
-    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, [*_edge_parts(code), calls(code)])
+    return reduce(DataFrame.unionByName, nodes)
+
+
+def build_graph(parsed: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): nodes as (project_id, label, key, name)."""
+    edges, stubs = _edge_parts(parsed["code"])
+    return _nodes(parsed, stubs), reduce(DataFrame.unionByName, [*edges, calls(parsed["code"])])
 
 
 def build_counters(parsed: dict[str, DataFrame]) -> DataFrame:
@@ -291,7 +297,8 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def summary_of(parsed: dict[str, DataFrame]) -> DataFrame:
     """The summary of the graph that ``build_graph`` would make, without its CALLS edges being made."""
-    nodes, edges = build_graph(parsed)[0], reduce(DataFrame.unionByName, _edge_parts(parsed["code"]))
+    edges, stubs = _edge_parts(parsed["code"])
+    nodes, edges = _nodes(parsed, stubs), reduce(DataFrame.unionByName, edges)
     nodes = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).count()
     edges = edges.groupBy(F.col("rel").alias("name")).count().unionByName(count_calls(parsed["code"]).withColumnRenamed("rel", "name")).filter(F.col("count") > 0)
     return _placed(nodes.unionByName(edges.select(F.lit("edge").alias("kind"), "name", "count")))
