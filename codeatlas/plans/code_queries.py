@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codeatlas.functions import rules, specs
+from codeatlas.functions import text as tx
 from codeatlas.functions.text import truncate
 from codeatlas.operators import audit, chunk, context, graph, incremental, maintain, parse, spans, stats, vectors
 from codeatlas.operators.bodies import resolve_members
@@ -637,7 +638,47 @@ def _retrieved(spark, sf_dir):
     return vectors.search_many(chunks, asked, filters=("layer",)).join(chunks.drop("embedding"), "id")
 
 
-@query()
+# The graph text of one class for each ``id`` of ``asked`` (id, project_id, name, qualified_name): ten edges each way, over all relations.
+_GRAPH_TABLES = f", edges AS MATERIALIZED ({_ALL_EDGES}), nodes AS MATERIALIZED ({_ALL_NODES})"
+
+
+def _side(near, far, title, line):
+    return f"""SELECT id, concat({title}, chr(10), string_agg({line}, chr(10) ORDER BY n)) AS text FROM (SELECT q.id, q.name, e.rel, n.name AS other, row_number() OVER (PARTITION BY q.id ORDER BY e.rel, n.name, e.{far}_key) AS n
+ FROM asked q JOIN edges e ON e.project_id = q.project_id AND e.{near}_label = 'Class' AND e.{near}_key = q.qualified_name JOIN nodes n ON n.project_id = e.project_id AND n.label = e.{far}_label AND n.key = e.{far}_key) WHERE n <= 10 GROUP BY id"""
+
+
+_OUT = _side("src", "dst", "concat('**', any_value(name), ' depends on:**')", "concat('  - (', rel, ') → ', other)")
+_IN = _side("dst", "src", "concat('**Classes that depend on ', any_value(name), ':**')", "concat('  - ', other, ' (', rel, ')')")
+_GRAPH_TEXT = f"SELECT id, concat_ws(chr(10) || chr(10), o.text, i.text) AS graph FROM asked LEFT JOIN ({_OUT}) o USING (id) LEFT JOIN ({_IN}) i USING (id) WHERE o.text IS NOT NULL OR i.text IS NOT NULL"
+
+
+@query(oracle(f"{_GRAPH_TABLES}, asked AS (SELECT k AS id, project_id, name, qualified_name FROM classes) SELECT id AS query_id, graph FROM ({_GRAPH_TEXT})"))
+def q9_context_of_all_relations(spark, sf_dir):
+    """Who uses each class, over all relations of the stored graph."""
+    nodes, edges = corpus.stored_graph(spark, sf_dir)
+    asked = corpus.class_rows(spark, sf_dir).select(F.col("k").alias("query_id"), "project_id", F.concat(F.lit("who uses "), "name").alias("question"))
+    return context.graph_context(asked, nodes, edges)
+
+
+def _text(value):
+    return "'" + value.replace("'", "''") + "'"
+
+
+_TASKS = {"sec_performance": "Find what is slow."}
+_HEAD, _TAIL = context.SYSTEM.split("{model}")
+_CATEGORY = ", ".join(
+    f"({_text(key)}, {_text(specs.AUDIT_QUESTION.replace('{name}', name).replace('{about}', about))}, {k}, {'NULL' if layer is None else _text(layer)}, {_text(specs.MODELS.get(f'sec_{key}', specs.DEFAULT_MODEL))}, {_text(_TASKS.get(f'sec_{key}', context.DEFAULT_TASK))})"
+    for key, name, about, k, layer in specs.CATEGORIES
+)
+
+
+@query(oracle(f"""{_GRAPH_TABLES}, category AS (SELECT * FROM (VALUES {_CATEGORY}) c(key, t, top_k, layer_filter, model, task)), texts AS (SELECT *, {_CLASS_TEXT} AS t FROM classes),
+ found AS MATERIALIZED (SELECT * FROM (SELECT q.key, q.top_k, d.*, row_number() OVER (PARTITION BY key ORDER BY 1 - list_cosine_similarity(q.v, d.v), sha256(concat(project_id, '|', path, '|CLASS|0'))) AS rank
+  FROM (SELECT key, top_k, layer_filter, {_VECTOR} AS v FROM category) q JOIN (SELECT *, {_VECTOR} AS v FROM texts) d ON q.layer_filter IS NULL OR q.layer_filter = d.layer) WHERE rank <= top_k),
+ packed AS (SELECT key, string_agg(concat('### [CLASS] ', name, ' (', component_type, ', Layer: ', layer, ')', chr(10), t), {_text(tx.SEPARATOR)} ORDER BY rank) AS body FROM found GROUP BY key),
+ asked AS (SELECT key AS id, project_id, name, qualified_name FROM found WHERE rank = 1), told AS ({_GRAPH_TEXT})
+ SELECT key AS query_id, concat({_text(_HEAD)}, model, {_text(_TAIL)}, chr(10), 'TASK: ', task, chr(10), chr(10), 'RETRIEVED CODE CONTEXT:', chr(10), repeat('=', 60), chr(10), body, CASE WHEN graph IS NOT NULL THEN concat(chr(10), {_text(context.GRAPH_HEAD)}, graph) ELSE '' END,
+  chr(10), repeat('=', 60), chr(10), chr(10), 'QUESTION: ', t, chr(10), chr(10), 'ANSWER:', chr(10)) AS prompt FROM category JOIN packed USING (key) LEFT JOIN told ON told.id = category.key"""))
 def q12_audit_prompts(spark, sf_dir):
     """From questions to prompts: retrieval, packing, graph neighbours, model and prompt."""
     found = _retrieved(spark, sf_dir)
@@ -646,4 +687,4 @@ def q12_audit_prompts(spark, sf_dir):
     best = found.filter("rank = 1").select("query_id", "project_id", F.concat(F.lit("who uses "), "component_name").alias("question"))
     whole = context.hybrid_context(packed, context.graph_context(best, nodes, edges))
     asked = context.route_model(context.scan_questions(spark).withColumnRenamed("key", "query_id"))
-    return context.build_prompts(asked, whole, tasks={"sec_performance": "Find what is slow."})
+    return context.build_prompts(asked, whole, tasks=_TASKS)
