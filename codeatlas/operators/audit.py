@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.functions import specs
+from codeatlas.functions import spans, specs
 from codeatlas.functions.text import strip
 from codeatlas.sources.scratch import durable
 
@@ -135,14 +137,16 @@ def rule_table(spark: SparkSession, rules: list[tuple] = specs.RULES) -> DataFra
 def rule_scan(sources: DataFrame, rules: list[tuple] = specs.RULES) -> DataFrame:
     """Findings of the rules on each line of ``sources`` (project_id, path, source).
 
-    Every rule's pattern is a constant in one projection over the lines, so that there is no join and a line is
-    exploded only into the rules that it meets.
+    Every rule's pattern is a constant in one projection: no join. A text is tagged once with the rules that it meets anywhere (a search for a
+    fixed text comes before a pattern, ``specs.NEEDS``), and its lines are held against these only.
     """
-    wanted = "|".join(f"(?:{r[3]})" for r in rules)
-    lines = sources.filter(F.col("source").rlike(wanted)).select("project_id", "path", F.posexplode(F.split("source", "\n")).alias("n", "line"))
-    met = [F.when(F.col("line").rlike(r[3]), F.struct(*[F.lit(v).alias(k) for k, v in zip(("rule_id", "category", "severity", "title", "recommendation"), (*r[:3], *r[4:]))])) for r in rules]
-    found = lines.select("project_id", "path", (F.col("n") + 1).alias("line_number"), F.inline(F.array_compact(F.array(*met))))
-    return found
+    needed = lambda r, low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in specs.NEEDS.get(r[0], [])] or [F.lit(True)])
+    tags = spans.let(F.lower("source"), lambda low: F.array_compact(F.array(*[F.when(needed(r, low) & F.col("source").rlike(r[3]), F.lit(i)) for i, r in enumerate(rules)])))
+    tagged = sources.select("project_id", "path", "source", tags.alias("tags"))
+    lines = tagged.select("project_id", "path", "tags", F.posexplode(F.when(F.size("tags") > 0, F.split("source", "\n"))).alias("n", "line"))
+    made = lambda r: F.struct(*[F.lit(v).alias(k) for k, v in zip(("rule_id", "category", "severity", "title", "recommendation"), (*r[:3], *r[4:]))])
+    met = [F.when(F.array_contains("tags", i) & F.col("line").rlike(r[3]), made(r)) for i, r in enumerate(rules)]
+    return lines.select("project_id", "path", (F.col("n") + 1).alias("line_number"), F.inline(F.array_compact(F.array(*met))))
 
 
 def unused_permissions(manifests: DataFrame, sources: DataFrame) -> DataFrame:
