@@ -41,7 +41,7 @@ from codeatlas.llm.arrow import map_slices
 from codeatlas.sources.scratch import durable
 
 TREES, DEPTH, MAX_FINDINGS, DICTIONARY, MIN_SHARE = 40, 8, 10_000, 2000, 0.5
-NEAR, BROADCAST_WORDS = 40, 200_000
+NEAR, BROADCAST_WORDS, BROADCAST_LANGUAGES = 40, 200_000, 20_000
 # Runs of token characters; names of secrets; what assigns a value; words of example values and of paths that hold no live secrets.
 RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api_?key|access_?key|auth|credential|private_?key)s?"
@@ -117,7 +117,8 @@ def dictionaries(docs: DataFrame) -> DataFrame:
     """(lang, words): the common words of three letters or more of each language, from all documents; stored."""
     words = docs.select(language(docs).alias("lang"), F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("word")).filter("length(word) > 2")
     counted = durable(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "secret-words")
-    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    total = durable(counted.groupBy("lang").agg(F.sum("n").alias("total")), "secret-totals")
+    total = F.broadcast(total) if total.count() <= BROADCAST_LANGUAGES else total  # words stay where they are: a language may hold most of them
     common = counted.join(total, "lang").filter(F.col("n") * DICTIONARY >= F.col("total"))  # at most DICTIONARY words a language
     return durable(common.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("words")), "secret-dictionaries")
 
