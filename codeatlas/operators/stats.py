@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import humanize
+from codeatlas.sources.scratch import durable
 
 # The layers that a layer group can have.
 LAYERS = ["UI", "Business Logic", "Data", "Service", "DI", "Other"]
@@ -73,11 +74,24 @@ def gradle_info(builds: DataFrame) -> DataFrame:
     return first_by_path(builds).select("project_id", "plugins", "dependencies", "min_sdk", "target_sdk", "compile_sdk")
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with each row's place in its group: no group is sorted by one task.
+
+    Rows are dealt to ranges of (group, order) and stored; a place is the rows of the group in earlier ranges plus the place within its own range.
+    """
+    placed = durable(rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range that holds some of a group
+    earlier = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*group, "_range", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    return placed.withColumn("_at", within).join(counts, [*group, "_range"]).withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).drop("_range", "_at", "_before")
+
+
 def layer_groups(classes: DataFrame) -> DataFrame:
-    """(project_id, layer, position, name): class names of each layer in order, a row each; an unknown layer counts as Other."""
+    """(project_id, layer, name, position): class names of each layer in order, a row each; an unknown layer counts as Other."""
     known = F.when(F.col("layer").isin(LAYERS), F.col("layer")).otherwise("Other")
-    rows = classes.select("project_id", known.alias("layer"), "name")
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("project_id", "layer").orderBy("name")))
+    rows = classes.select("project_id", known.alias("layer"), "name", F.xxhash64(*[c for c in ("path", "pos") if c in classes.columns], F.lit(0)).alias("_tie"))
+    return numbered(rows, ["project_id", "layer"], ["name", "_tie"], "position").drop("_tie")
 
 
 def screen_list(classes: DataFrame) -> DataFrame:
