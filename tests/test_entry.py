@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from codeatlas.plans import registry
 from tests.conftest import SMALL
 
-FEW = ["a2_components_by_layer", "k2_class_chunks", "g12_calls", "q7_pack_context", "f4_f5_scan_summary", "v5_search_many", "h1_latest_runs", "i2_changed_projects", "s1_scan_files", "s7_write_and_read_graph", "s8_history_round_trip", "f6_scan_report", "v5_search_chunks", "g19_graph_summary", "d7_errors_of_other_kinds", "g13_members_beside_literals", "g11_calls_beside_literals", "f7_span_scan", "i2_changed_files", "d1_entity_traits", "q12_audit_prompts", "g18_call_chain_depth_3"]
+FEW = ["a2_components_by_layer", "k2_class_chunks", "g12_calls", "q7_pack_context", "f4_f5_scan_summary", "v5_search_many", "h1_latest_runs", "i2_changed_projects", "s1_scan_files", "s7_write_and_read_graph", "s8_history_round_trip", "f6_scan_report", "v5_search_chunks", "g19_graph_summary", "d7_errors_of_other_kinds", "g13_members_beside_literals", "f7_span_scan", "i2_changed_files"]
 
 
 def test_every_oracle_has_a_query():
