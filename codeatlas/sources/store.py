@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeatlas.operators import graph
 from codeatlas.sources import deltas
 from codeatlas.sources.scratch import durable
 
@@ -36,24 +37,40 @@ def chunk_count(chunks: DataFrame) -> DataFrame:
 
 
 NODES, EDGES = ["project_id", "label", "key"], ["project_id", "rel", "src_key"]
+ORDERS = {"nodes": NODES, "edges": EDGES, "called": ["project_id", "wanted"], "known": ["project_id", "wanted"]}
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, called: DataFrame | None = None, known: DataFrame | None = None) -> None:
     """Nodes and edges of the projects in them, in place of all that those projects had (labels and types that are gone too).
 
-    A change writes its own projects only, in files that are ranges of project and label or relation (``sources.deltas``).
+    A change writes its own projects only, in files that are ranges of project and label or relation (``sources.deltas``). With ``called`` and ``known``
+    (``graph.build_parts``) the CALLS edges are stored as these two tables and need not be in ``edges``.
     """
     touched = durable(nodes.select("project_id").union(edges.select("project_id")).distinct(), "graph-projects")
-    for df, name, order in ((nodes, "nodes", NODES), (edges, "edges", EDGES)):
-        deltas.apply(df, touched, f"{path}/{name}", key=["project_id"], order=order)
+    for name, df in zip(ORDERS, (nodes, edges, called, known)):
+        if df is None and (df := _stored(nodes.sparkSession, path, name)) is not None:
+            df = df.limit(0)  # the projects' former calls go
+        if df is not None:
+            deltas.apply(df, touched, f"{path}/{name}", key=["project_id"], order=ORDERS[name])
+
+
+def _stored(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    return deltas.read(spark, f"{path}/{name}", key=["project_id"])
+
+
+def read_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Nodes, edges, called and known as they were written; the last two are None if no change had them."""
+    return tuple(_stored(spark, path, name) for name in ORDERS)
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(deltas.read(spark, f"{path}/{name}", key=["project_id"]) for name in ("nodes", "edges"))
+    """Nodes and all edges."""
+    nodes, edges, called, known = read_parts(spark, path)
+    return nodes, edges if called is None else graph.with_calls(edges, called, known)
 
 
 def compact_graph(spark: SparkSession, path: str) -> None:
-    for name, order in (("nodes", NODES), ("edges", EDGES)):
+    for name, order in ORDERS.items():
         deltas.compact(spark, f"{path}/{name}", key=["project_id"], order=order)
         deltas.vacuum(spark, f"{path}/{name}")
 
