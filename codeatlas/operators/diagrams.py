@@ -72,9 +72,7 @@ def parse_entities(docs: DataFrame) -> DataFrame:
         for path, kind in lists:
             parts.append(_entity_rows(mine.select("diagram_id", "diagram_type", F.posexplode(_list(F.col("json"), path)).alias("pos", "e")), kind, F.lit("")))
     for kind_of, (path, inner, kind) in CHILDREN.items():
-        mine = docs.filter(F.col("diagram_type") == kind_of).select("diagram_id", "diagram_type", F.explode(_list(F.col("json"), path)).alias("outer"))
-        rows = mine.select("diagram_id", "diagram_type", _name(F.col("outer")).alias("up"), F.posexplode(_list(F.col("outer"), inner)).alias("pos", "e"))
-        parts.append(_entity_rows(rows, kind, F.col("up")))
+        parts.append(_entity_rows(_inner(_kept(docs.filter(F.col("diagram_type") == kind_of), path), inner, "diagram_type"), kind, F.col("up")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -131,6 +129,15 @@ def _kept(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("diagram_id", "diagram_type", F.posexplode(_list(F.col("json"), path)).alias("pos", "e"))
 
 
+def _inner(rows: DataFrame, list_: str, *more: str) -> DataFrame:
+    """A row for each element ``e`` of a list inside the element ``e`` of ``rows``, whose name is ``up``.
+
+    The name is read before the list is opened: beside a generator Spark would read it from the whole outer text once for each inner element.
+    """
+    named = rows.select("diagram_id", *more, _name(F.col("e")).alias("up"), F.col("e").alias("_outer"))
+    return named.select("diagram_id", *more, "up", F.posexplode(_list(F.col("_outer"), list_)).alias("pos", "e"))
+
+
 def parse_members(docs: DataFrame) -> DataFrame:
     """Fields and methods of the classes of class diagrams: (diagram_id, kind of class, class_pos, class_name, member, pos, name, type, params, visibility).
 
@@ -139,7 +146,8 @@ def parse_members(docs: DataFrame) -> DataFrame:
     mine, parts = docs.filter("diagram_type = 'class_diagram'"), []
     for path, kind in ENTITIES["class_diagram"]:
         for list_, member, type_ in (("fields", "field", "type"), ("methods", "method", "return_type")):
-            rows = _kept(mine, path).select("diagram_id", F.lit(kind).alias("kind"), F.col("pos").alias("class_pos"), _name(F.col("e")).alias("class_name"), F.posexplode(_list(F.col("e"), list_)).alias("pos", "e"))
+            outer = _kept(mine, path).withColumnRenamed("pos", "class_pos")
+            rows = _inner(outer, list_, "class_pos").select("diagram_id", F.lit(kind).alias("kind"), "class_pos", F.col("up").alias("class_name"), "pos", "e")
             e, seen = F.col("e"), _field(F.col("e"), "visibility", "+")
             parts.append(rows.select(
                 "diagram_id", "kind", "class_pos", "class_name", F.lit(member).alias("member"), "pos", _name(e).alias("name"), _field(e, type_).alias("type"),
@@ -166,8 +174,7 @@ def parse_traits(docs: DataFrame) -> DataFrame:
         for path, kind in lists:
             add(_kept(docs.filter(F.col("diagram_type") == kind_of), path), kind, F.lit(""))
     for kind_of, (path, inner, kind) in CHILDREN.items():
-        outer = docs.filter(F.col("diagram_type") == kind_of).select("diagram_id", "diagram_type", F.explode(_list(F.col("json"), path)).alias("outer"))
-        add(outer.select("diagram_id", "diagram_type", _name(F.col("outer")).alias("up"), F.posexplode(_list(F.col("outer"), inner)).alias("pos", "e")), kind, F.col("up"))
+        add(_inner(_kept(docs.filter(F.col("diagram_type") == kind_of), path), inner, "diagram_type"), kind, F.col("up"))
     return reduce(DataFrame.unionByName, parts)
 
 
