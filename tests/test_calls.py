@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeatlas.operators import graph, parse
+from codeatlas.operators import graph, maintain, parse
 from codeatlas.plans import corpus
 from codeatlas.sources import store
 from codeatlas.streaming import index
@@ -48,3 +48,22 @@ def test_calls_are_made_in_many_tasks(spark, parsed):
     """The callers of one name are in several tasks, whatever their bytes."""
     made = graph.calls(parsed["code"])
     assert made.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
+
+
+def test_walks_are_dealt_over_tasks(spark, parsed):
+    """Paths by names are those by edges, and the paths over one name are made in several tasks."""
+    called, known = graph.method_calls(parsed["code"]), graph.definitions(parsed["code"])
+    starts = spark.createDataFrame([("p", "x.A0.go"), ("p", "x.A1.go")], "project_id string, key string")
+    found = graph.expand_walks(graph.call_walks(called, known, starts, 2), called, known, 2)
+    assert _rows(found) == _rows(graph.call_chain(graph.calls(parsed["code"]), starts, 2))
+    assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+
+
+def test_maintained_calls_are_joined_when_read(spark, parsed, tmp_path):
+    code = parsed["code"]
+    maintain.update_edges(code, code.select("project_id", "path"), str(tmp_path))
+    assert not spark.read.parquet(f"{tmp_path}/edges/delta/*/rows").filter("rel = 'CALLS'").count()
+    gone = code.filter("path = '/A0.java'").select("project_id", "path")
+    maintain.update_edges(code.limit(0), gone, str(tmp_path))
+    left = maintain.read_edges(spark, str(tmp_path))
+    assert left.filter("rel = 'CALLS'").count() == (MANY - 1) ** 2 and not left.filter("src_key LIKE 'x.A0.%' OR dst_key LIKE 'x.A0.%'").count()
