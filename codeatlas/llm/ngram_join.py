@@ -298,32 +298,32 @@ def links(classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     return durable(found.unionByName(blocks), "ngram-links")
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v) with u > v, all different, are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("outs"), F.count(F.lit(1)).alias("ends"))
+    return nodes.filter("outs > 0 AND ends > 1").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(rep, root): the smallest node that each end of the edges (u, v) is connected to.
 
     Rounds of large-star and small-star steps; each node's neighbours are only ever reduced to their
-    smallest, never collected.
+    smallest, never collected. Edges that are stars need no round more.
     """
     current = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
 
     def star(pairs: DataFrame, small: bool) -> DataFrame:
-        both = pairs if small else pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = pairs if small else pairs.select(F.inline(F.array(pair("u", "v"), pair("v", "u"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
-        if small:
-            made = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        else:
-            made = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.filter("m < u").select("u", F.col("m").alias("v")))
-        return made.filter("u <> v").distinct()
-
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(current)
+        to = F.array(pair("v", "m"), pair("u", "m"))  # a node's own pair comes with each neighbour, and once after the distinct
+        return both.join(least, "u").select(F.inline(to if small else F.filter(to, lambda x: x["u"] >= F.col("u")))).filter("u <> v").distinct()
+
     for _ in range(max_rounds):
+        if settled(current):
+            return current.select(F.col("u").alias("rep"), F.col("v").alias("root"))
         current = durable(star(star(current, small=False), small=True), "cc")
-        after = mark(current)
-        if after == before:
-            return current.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "rep")
-        before = after
     raise RuntimeError("components did not settle")
 
 

@@ -115,3 +115,26 @@ def test_odd_rows(odd_docs, no_docs):
 def test_pruning_keeps_pairs_at_the_threshold():
     least = nj.least_matches()
     assert len(least) == nj.HASHES // nj.STEP and all(m <= 0.8 * n for m, n in zip(least, range(nj.STEP, nj.HASHES + 1, nj.STEP))) and least[-1] > 64
+
+
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    """Rounds are tables of as many files and tasks as there are partitions, all of which the driver keeps account of."""
+    written = []
+    monkeypatch.setattr(nj, "durable", lambda df, name, keep=nj.durable: written.append(name) or keep(df, name))
+
+    def found(edges):
+        written.clear()
+        return dict(map(tuple, nj.components(spark.createDataFrame(edges, "u long, v long")).collect())), len(written)
+
+    stars = [(k, k % 3) for k in range(3, 40)] + [(2, 2), (5, 2), (2, 8)]
+    assert found(stars) == ({k: k % 3 for k in range(3, 40)}, 1)
+    assert found([(1, 1)]) == ({}, 1)
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(30)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)]
+    root = {k: k for e in edges for k in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    roots, tables = found(edges)
+    assert roots == {k: r for k, r in root.items() if k != r}
+    assert tables < 8
