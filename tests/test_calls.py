@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeatlas.operators import graph, maintain, parse
+from codeatlas.operators import chunk, graph, maintain, parse
 from codeatlas.plans import corpus
 from codeatlas.sources import store
+from codeatlas.sources.scratch import durable
 from codeatlas.streaming import index
 from tests.conftest import SMALL
 
@@ -67,3 +68,14 @@ def test_maintained_calls_are_joined_when_read(spark, parsed, tmp_path):
     maintain.update_edges(code.limit(0), gone, str(tmp_path))
     left = maintain.read_edges(spark, str(tmp_path))
     assert left.filter("rel = 'CALLS'").count() == (MANY - 1) ** 2 and not left.filter("src_key LIKE 'x.A0.%' OR dst_key LIKE 'x.A0.%'").count()
+
+
+def test_method_texts_are_made_once(spark):
+    source = "class A {\n" + "".join(f"    void m{k}(int a) {{ if (a > {k}) {{ go(); }} }}\n" for k in range(3)) + "}\n"
+    files = spark.createDataFrame([("p", f"/src/p/A{k}.java", source if k % 7 else "class A { }") for k in range(600)], "project_id string, path string, source string")
+    code = durable(parse.parse_code(files), "bodies-test")
+    rows = chunk.with_bodies(code).filter("length(body) > 10").select("path", "pos", "name", "body")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    got = sorted(map(tuple, rows.collect()))
+    assert got == sorted((f"/src/p/A{k}.java", m, f"m{m}", f"void m{m}(int a) {{ if (a > {m}) {{ go(); }} }}") for k in range(600) if k % 7 for m in range(3))
