@@ -51,6 +51,31 @@ def test_calls_are_made_in_many_tasks(spark, parsed):
     assert made.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
 
 
+def _nodes_of(plan):
+    """All operators of a physical plan that has run."""
+    kind, below = plan.getClass().getSimpleName(), []
+    if kind == "AdaptiveSparkPlanExec":
+        below = [plan.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        below = [plan.plan()]
+    else:
+        below = [plan.children().apply(k) for k in range(plan.children().size())]
+    return [(kind, plan), *[x for p in below for x in _nodes_of(p)]]
+
+
+def test_calls_are_joined_in_blocks(spark, monkeypatch):
+    """The join gives a row for each block of definitions, not for each edge; no edge is lost or doubled, and a method that calls its name is not linked to itself."""
+    known = [("p", n, f"x.A{k}.{n}") for n in ("run", "go") for k in range(200)] + [("q", "run", "x.A0.run")]
+    called = [(p, s, w) for p, _, s in known for w in ("run", "none")] + [("p", "x.A1.rerun", "run"), ("p", "y.run", "run")]
+    wanted = sorted((p, "Method", s, "CALLS", "Method", d) for p, s, w in called for q, n, d in known if (p, w) == (q, n) and s != d)
+    for size in (graph.BLOCK, 7):
+        monkeypatch.setattr(graph, "BLOCK", size)
+        made = graph.call_edges(spark.createDataFrame(called, "project_id string, src string, wanted string"), spark.createDataFrame(known, "project_id string, wanted string, dst string"))
+        assert _rows(made) == wanted
+        joins = [p.metrics().apply("numOutputRows").value() for kind, p in _nodes_of(made._jdf.queryExecution().executedPlan()) if "Join" in kind]
+        assert joins and max(joins) < len(wanted) / 3
+
+
 def test_walks_are_dealt_over_tasks(spark, parsed):
     """Paths by names are those by edges, and the paths over one name are made in several tasks."""
     called, known = graph.method_calls(parsed["code"]), graph.definitions(parsed["code"])
