@@ -76,6 +76,23 @@ def test_calls_are_joined_in_blocks(spark, monkeypatch):
         assert joins and max(joins) < len(wanted) / 3
 
 
+def test_all_edges_come_together_in_blocks(spark, monkeypatch):
+    """What goes through the union of all edges are blocks and not every CALLS edge; no edge is lost or doubled, and only CALLS edges from a method to itself are left out."""
+    known = [("p", n, f"x.A{k}.{n}") for n in ("run", "go") for k in range(150)] + [("q", "run", "x.A0.run")]
+    called = [(p, s, w) for p, _, s in known for w in ("run", "none")] + [("p", "x.A1.rerun", "run"), ("p", "y.run", "run")]
+    plain = [("p", "Class", f"x.A{k}", "INHERITS_FROM", "Class", f"x.A{k // 2}") for k in range(9)] + [("q", "Class", "x.A0", "HAS_METHOD", "Method", "x.A0.run")]
+    wanted = sorted(plain + [(p, "Method", s, "CALLS", "Method", d) for p, s, w in called for q, n, d in known if (p, w) == (q, n) and s != d])
+    frames = [spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names)) for rows, names in ((plain, graph.EDGE), (called, ["project_id", "src", "wanted"]), (known, ["project_id", "wanted", "dst"]))]
+    for size in (graph.BLOCK, 7):
+        monkeypatch.setattr(graph, "BLOCK", size)
+        made = graph.with_calls(*frames)
+        assert _rows(made) == wanted
+        (union,) = [p for kind, p in _nodes_of(made._jdf.queryExecution().executedPlan()) if kind == "UnionExec"]
+        counts = [p.metrics().apply("numOutputRows").value() for _, p in _nodes_of(union) if p.metrics().contains("numOutputRows")]
+        assert counts and max(counts) < len(wanted) / 3
+        assert _rows(made.filter("rel <> 'CALLS'")) == sorted(plain) and made.groupBy("rel").count().count() == 3
+
+
 def test_walks_are_dealt_over_tasks(spark, parsed):
     """Paths by names are those by edges, and the paths over one name are made in several tasks."""
     called, known = graph.method_calls(parsed["code"]), graph.definitions(parsed["code"])
