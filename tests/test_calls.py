@@ -112,6 +112,22 @@ def test_maintained_calls_are_joined_when_read(spark, parsed, tmp_path):
     assert left.filter("rel = 'CALLS'").count() == (MANY - 1) ** 2 and not left.filter("src_key LIKE 'x.A0.%' OR dst_key LIKE 'x.A0.%'").count()
 
 
+def test_a_change_reads_each_text_once(spark, parsed, tmp_path):
+    """References, names and direct edges of a change come from one pass over its files."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    code = durable(parsed["code"], "read-once")
+    seen = code.withColumn("source", counted.asNondeterministic()("source"))
+    maintain.update_edges(seen, code.select("project_id", "path"), str(tmp_path))
+    assert read.value == MANY
+    assert _rows(maintain.read_edges(spark, str(tmp_path)).select(*graph.EDGE)) == _rows(graph.build_graph(parsed)[1].select(*graph.EDGE))
+
+
 def test_method_texts_are_made_once(spark):
     source = "class A {\n" + "".join(f"    void m{k}(int a) {{ if (a > {k}) {{ go(); }} }}\n" for k in range(3)) + "}\n"
     files = spark.createDataFrame([("p", f"/src/p/A{k}.java", source if k % 7 else "class A { }") for k in range(600)], "project_id string, path string, source string")
