@@ -102,6 +102,23 @@ def test_walks_are_dealt_over_tasks(spark, parsed):
     assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
 
 
+def test_last_steps_of_walks_are_joined_in_blocks(spark, monkeypatch):
+    """What is joined for the last step are blocks and not every path; paths that come back over an edge or to their own method are as by edges."""
+    known = [("p", n, f"x.A{k}.{n}") for n in ("run", "go") for k in range(20)]
+    called = [("p", s, w) for _, n, s in known for w in ("run", "go", "none") if w != n]
+    called, known = spark.createDataFrame(called, "project_id string, src string, wanted string"), spark.createDataFrame(known, "project_id string, wanted string, dst string")
+    starts = spark.createDataFrame([("p", "x.A0.run"), ("p", "x.A3.go")], "project_id string, key string")
+    edges = durable(graph.call_edges(called, known), "walk-edges")
+    for size, depth, classes in ((graph.BLOCK, 3, 20), (7, 3, 20), (3, 4, 6)):
+        monkeypatch.setattr(graph, "BLOCK", size)
+        few = lambda df, *names: df.filter(" AND ".join(f"CAST(regexp_extract({c}, '[.]A([0-9]+)[.]', 1) AS INT) < {classes}" for c in names))  # noqa: B023, E731
+        made = graph.expand_walks(graph.call_walks(few(called, "src"), few(known, "dst"), starts, depth), few(called, "src"), few(known, "dst"), depth)
+        got = _rows(made)
+        assert got == _rows(graph.call_chain(few(edges, "src_key", "dst_key"), starts, depth))
+        joins = [p.metrics().apply("numOutputRows").value() for kind, p in _nodes_of(made._jdf.queryExecution().executedPlan()) if "Join" in kind]
+        assert joins and max(joins) < len(got) / 3
+
+
 def test_maintained_calls_are_joined_when_read(spark, parsed, tmp_path):
     code = parsed["code"]
     maintain.update_edges(code, code.select("project_id", "path"), str(tmp_path))
