@@ -129,7 +129,7 @@ def test_maintained_calls_are_joined_when_read(spark, parsed, tmp_path):
     assert left.filter("rel = 'CALLS'").count() == (MANY - 1) ** 2 and not left.filter("src_key LIKE 'x.A0.%' OR dst_key LIKE 'x.A0.%'").count()
 
 
-def test_a_change_reads_each_text_once(spark, parsed, tmp_path):
+def test_a_change_reads_each_file_once(spark, parsed, tmp_path):
     """References, names and direct edges of a change come from one pass over its files."""
     read = spark.sparkContext.accumulator(0)
 
@@ -139,7 +139,7 @@ def test_a_change_reads_each_text_once(spark, parsed, tmp_path):
         return text
 
     code = durable(parsed["code"], "read-once")
-    seen = code.withColumn("source", counted.asNondeterministic()("source"))
+    seen = code.withColumn("package", counted.asNondeterministic()("package"))
     maintain.update_edges(seen, code.select("project_id", "path"), str(tmp_path))
     assert read.value == MANY
     assert _rows(maintain.read_edges(spark, str(tmp_path)).select(*graph.EDGE)) == _rows(graph.build_graph(parsed)[1].select(*graph.EDGE))
